@@ -17,7 +17,7 @@ def parse_with(col: Column, pattern: str | None) -> Column:
     """Null where the value does not parse; ``None`` means ISO cast."""
     if pattern is None:
         return col.try_cast("date")
-    return F.try_to_date(col, F.lit(pattern))
+    return F.try_to_date(col, pattern)
 
 
 def as_date(col: Column, dtype: T.DataType, pattern: str | None = None) -> Column:

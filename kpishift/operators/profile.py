@@ -25,7 +25,7 @@ def _date_like(c, dtype: T.DataType):
     if isinstance(dtype, DATE_TYPES):
         return c.isNotNull()
     if isinstance(dtype, T.StringType):
-        parsed = [F.try_to_date(c, F.lit(p)) for p in DATE_PATTERNS] + [c.try_cast("date")]
+        parsed = [F.try_to_date(c, p) for p in DATE_PATTERNS] + [c.try_cast("date")]
         return c.isNotNull() & F.coalesce(*parsed).isNotNull()
     return F.lit(False)
 

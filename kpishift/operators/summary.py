@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_to
 from ..functions.text import value_str
 
 RECORD_FIELDS = ["rank", "metric", "current_value", "previous_value", "delta", "delta_pct", "impact_score",
@@ -47,7 +48,8 @@ def insight_summary(ranked: DataFrame, dims: list[str], keys: list[str] = ()) ->
 def period_totals(periods: DataFrame, metrics: list[str], keys: list[str] = (), keep: int = TOTALS_KEEP) -> DataFrame:
     """Per metric: total of each period; the ``keep`` largest by current + previous.
 
-    Reads the (small) period aggregate, not the facts. Ties: metric name.
+    Reads the (small) period aggregate, not the facts. Totals are rounded to
+    4 decimals like insight values; ties: metric name.
     """
     keys = list(keys)
     present = [m for m in metrics if f"{m}_current" in periods.columns and f"{m}_previous" in periods.columns]
@@ -64,7 +66,9 @@ def period_totals(periods: DataFrame, metrics: list[str], keys: list[str] = (),
     args = [F.lit(len(present))]
     for m in present:
         args += [F.lit(m), F.col(f"{m}_current"), F.col(f"{m}_previous")]
-    long = wide.select(*keys, F.stack(*args).alias("metric", "current_total", "previous_total"))
+    long = wide.select(*keys, F.stack(*args).alias("metric", "_cur", "_prev")).select(
+        *keys, "metric", round_to(F.col("_cur"), 4).alias("current_total"),
+        round_to(F.col("_prev"), 4).alias("previous_total"))
     order = [(F.col("current_total") + F.col("previous_total")).desc(), F.col("metric").asc()]
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return long.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
@@ -91,6 +95,7 @@ def dimension_breakdown(ranked: DataFrame, dims: list[str], keys: list[str] = ()
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS_NO_DIMS)
         grouped = src.groupBy(*keys, F.col("metric").alias("label")).agg(
             F.max_by(F.abs(F.col("impact_score")), F.col("rank")).alias("value"), F.min("rank").alias("_first"))
+    grouped = grouped.withColumn("value", round_to(F.col("value"), 4))
     order = [F.col("value").desc(), F.col("_first").asc()]
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return (grouped.withColumn("position", F.row_number().over(w))
