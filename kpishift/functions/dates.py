@@ -10,6 +10,15 @@ from pyspark.sql import types as T
 # (year-month-day with '-', with '/', month/day/year, day/month/year).
 DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy")
 
+# Shape of the text each pattern can parse. Checked first: a failed parse
+# costs an exception inside the JVM, a regex mismatch costs almost nothing.
+PATTERN_SHAPES = {
+    "yyyy-M-d": r"^[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}$",
+    "yyyy/M/d": r"^[0-9]{4,}/[0-9]{1,2}/[0-9]{1,2}$",
+    "M/d/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4,}$",
+    "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4,}$",
+}
+
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -17,7 +26,9 @@ def parse_with(col: Column, pattern: str | None) -> Column:
     """Null where the value does not parse; ``None`` means ISO cast."""
     if pattern is None:
         return col.try_cast("date")
-    return F.try_to_date(col, pattern)
+    shape = PATTERN_SHAPES.get(pattern)
+    parsed = F.try_to_date(col, pattern)
+    return F.when(col.rlike(shape), parsed) if shape else parsed
 
 
 def as_date(col: Column, dtype: T.DataType, pattern: str | None = None) -> Column:

@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def qi(name: str) -> str:
+    """Quote a column name for a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def round_sql(expr: str, digits: int) -> str:
+    """SQL text of :func:`round_to`."""
+    scale = f"{float(10 ** digits)!r}D"
+    return f"(round(CAST({expr} AS DOUBLE) * {scale}, 0) / {scale})"
+
+
 def round_to(col: Column, digits: int) -> Column:
     """Round a double to ``digits`` decimals as ``round(x * 10^d) / 10^d``.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import InsightConfig
+from ..functions.numeric import qi
 
 # Exact accumulator for floating metrics: sums become order-independent.
 DECIMAL_ACCUMULATOR = T.DecimalType(38, 10)
@@ -60,11 +61,12 @@ def aggregate_by_dimensions(df: DataFrame, dims: list[str], metrics: list[str],
     return df.groupBy(*dims).agg(*aggs)
 
 
-def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_current: Column,
-                      in_previous: Column, accumulator: str = "double") -> DataFrame:
+def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_current: str = "in_current",
+                      in_previous: str = "in_previous", accumulator: str = "double") -> DataFrame:
     """Both periods in one hash aggregate: ``m_current`` and ``m_previous`` per group.
 
-    ``df`` should already be restricted to rows of either period (the
+    ``in_current`` / ``in_previous`` are boolean SQL expressions (usually the
+    flag columns). ``df`` should already be restricted to rows of either period (the
     predicate reaches the scan). A row in both periods (overlap) counts in
     both sums; a group seen in one period only gets 0 for the other, which
     is what a full outer join of two per-period aggregates gives, in one
@@ -76,8 +78,12 @@ def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_cur
     aggs = []
     for m in valid:
         for flag, suffix in ((in_current, "current"), (in_previous, "previous")):
-            picked = F.when(flag, F.col(m))
-            aggs.append(zero_if_null(sum_of(picked, types[m], accumulator)).alias(f"{m}_{suffix}"))
+            picked = f"CASE WHEN {flag} THEN {qi(m)} END"
+            if accumulator == "decimal" and _floating(types[m]):
+                total = f"CAST(sum(CAST({picked} AS {DECIMAL_ACCUMULATOR.simpleString()})) AS DOUBLE)"
+            else:
+                total = f"sum({picked})"
+            aggs.append(F.expr(f"coalesce({total}, 0) AS {qi(m + '_' + suffix)}"))
     if not dims:
         return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
     return df.groupBy(*dims).agg(*aggs)

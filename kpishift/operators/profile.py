@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import DATE_PATTERNS, DATE_TYPES
+from ..functions.dates import DATE_PATTERNS, DATE_TYPES, parse_with
 
 # Name hints for each role.
 DATE_NAME_HINTS = ("date", "dt_", "timestamp", "created_at")
@@ -25,7 +25,7 @@ def _date_like(c, dtype: T.DataType):
     if isinstance(dtype, DATE_TYPES):
         return c.isNotNull()
     if isinstance(dtype, T.StringType):
-        parsed = [F.try_to_date(c, p) for p in DATE_PATTERNS] + [c.try_cast("date")]
+        parsed = [parse_with(c, p) for p in DATE_PATTERNS] + [parse_with(c, None)]
         return c.isNotNull() & F.coalesce(*parsed).isNotNull()
     return F.lit(False)
 

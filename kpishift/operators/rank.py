@@ -16,8 +16,7 @@ def rank_order(dims: list[str]) -> list[Column]:
 
 def min_impact_filter(df: DataFrame, min_impact: float = 0.0) -> DataFrame:
     """``impact >= min_impact``; NaN never passes (Spark would order it first)."""
-    imp = F.col("impact_score")
-    return df.where((imp >= F.lit(float(min_impact))) & ~F.isnan(imp))
+    return df.where(f"impact_score >= {float(min_impact)!r}D AND NOT isnan(impact_score)")
 
 
 def rank_insights(insights: DataFrame, dims: list[str], top_n: int | None = None, min_impact: float = 0.0,

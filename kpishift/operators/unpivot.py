@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_to
-from ..functions.scoring import (IMPACT_DIGITS, PCT_DIGITS, VALUE_DIGITS, delta, delta_pct, direction,
-                                 impact_score)
+from ..functions.numeric import qi, round_sql
+from ..functions.scoring import (IMPACT_DIGITS, PCT_DIGITS, VALUE_DIGITS, delta_pct_sql, delta_sql,
+                                 direction_sql, impact_sql)
 
 INSIGHT_VALUE_COLUMNS = ["metric", "kpi_index", "current_value", "previous_value", "delta", "delta_pct",
                          "impact_score", "direction"]
@@ -37,24 +37,24 @@ def extract_insights(joined: DataFrame, dims: list[str], kpis: list[str], keys:
               ("current_value", "previous_value", "delta", "delta_pct", "impact_score")],
             F.lit(None).cast("string").alias("direction"),
         ).where(F.lit(False))
-    args = [F.lit(len(present))]
-    for i, k in present:
-        args += [F.lit(k), F.lit(i), F.col(f"{k}_current").cast("double"), F.col(f"{k}_previous").cast("double")]
-    long = joined.select(*group, F.stack(*args).alias("metric", "kpi_index", "_cur", "_prev"))
-    cur = F.coalesce(F.col("_cur"), F.lit(0.0))
-    prev = F.coalesce(F.col("_prev"), F.lit(0.0))
-    d = delta(cur, prev)
-    dp = delta_pct(cur, prev)
-    return long.select(
-        *group,
+    g = [qi(c) for c in group]
+    stack = ", ".join(f"'{k}', {i}, CAST({qi(k + '_current')} AS DOUBLE), CAST({qi(k + '_previous')} AS DOUBLE)"
+                      for i, k in present)
+    long = joined.selectExpr(*g, f"stack({len(present)}, {stack}) AS (metric, kpi_index, _cur, _prev)")
+    # Staged projections: each intermediate is computed once and referenced by
+    # name (Catalyst does not inline a non-trivial expression used twice).
+    vals = long.selectExpr(*g, "metric", "kpi_index", "coalesce(_cur, 0.0D) AS _c", "coalesce(_prev, 0.0D) AS _p")
+    changes = vals.selectExpr("*", f"{delta_sql('_c', '_p')} AS _d", f"{delta_pct_sql('_c', '_p')} AS _dp")
+    return changes.selectExpr(
+        *g,
         "metric",
         "kpi_index",
-        round_to(cur, VALUE_DIGITS).alias("current_value"),
-        round_to(prev, VALUE_DIGITS).alias("previous_value"),
-        round_to(d, VALUE_DIGITS).alias("delta"),
-        round_to(dp, PCT_DIGITS).alias("delta_pct"),
-        impact_score(d, dp, F.col("kpi_index"), n_kpis).alias("impact_score"),
-        direction(d).alias("direction"),
+        f"{round_sql('_c', VALUE_DIGITS)} AS current_value",
+        f"{round_sql('_p', VALUE_DIGITS)} AS previous_value",
+        f"{round_sql('_d', VALUE_DIGITS)} AS delta",
+        f"{round_sql('_dp', PCT_DIGITS)} AS delta_pct",
+        f"{impact_sql('_d', '_dp', 'kpi_index', n_kpis)} AS impact_score",
+        f"{direction_sql('_d')} AS direction",
     )
 
 

@@ -6,7 +6,7 @@ aggregate with both periods -> stack + score -> top-N -> summary tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,25 +23,57 @@ from ..operators.unpivot import extract_insights
 from ..sources.ingest import ingest_data
 
 
-@dataclass
 class ReportTables:
-    """Lazy result tables of one run; nothing executes until one is used."""
-
-    config: InsightConfig
-    dims: list
-    keys: list
-    facts: DataFrame          # joined rows with dates and derived metrics
-    periods: DataFrame        # wide aggregate: keys, dims, m_current, m_previous
-    scored: DataFrame         # every (dims x KPI) row, scored, before ranking
-    insights: DataFrame       # ranked (rank 1..N per key)
-    summary: DataFrame
-    totals: DataFrame
-    breakdown: DataFrame
-    cards: DataFrame
-    table: DataFrame
-    narrative: DataFrame
-    meta: DataFrame
-    extra: dict = field(default_factory=dict)
+    """Lazy result tables of one run; nothing executes until one is used.
+
+    ``insights`` (ranked, rank 1..N per key) is the base of every other
+    table; those are built on first access only.
+    """
+
+    def __init__(self, config: InsightConfig, dims: list, keys: list, facts: DataFrame, periods: DataFrame,
+                 scored: DataFrame, insights: DataFrame, dim_types: dict):
+        self.config = config
+        self.dims = dims
+        self.keys = keys
+        self.facts = facts          # joined rows with dates and derived metrics
+        self.periods = periods      # wide aggregate: keys, dims, m_current, m_previous
+        self.scored = scored        # every (dims x KPI) row, scored, before ranking
+        self.insights = insights
+        self.dim_types = dim_types
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return insight_summary(self.insights, self.dims, self.keys)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return period_totals(self.periods, metric_list(self.config), self.keys)
+
+    @cached_property
+    def breakdown(self) -> DataFrame:
+        return dimension_breakdown(self.insights, self.dims, self.keys, self.dim_types)
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return kpi_cards(self.insights, self.keys)
+
+    @cached_property
+    def table(self) -> DataFrame:
+        return insight_table(self.insights, self.dims, self.keys, self.dim_types)
+
+    @cached_property
+    def narrative(self) -> DataFrame:
+        return narrative(self.insights, self.dims, self.keys, self.dim_types)
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        rep = self.config.report
+        return self.facts.sparkSession.range(1).select(
+            F.array(*[F.lit(d) for d in self.dims]).cast("array<string>").alias("dimensions"),
+            F.array(*[F.lit(k) for k in rep.kpi_priority]).cast("array<string>").alias("kpis"),
+            F.lit(rep.comparison.current_period).alias("current_period"),
+            F.lit(rep.comparison.previous_period).alias("previous_period"),
+        )
 
     def insights_ordered(self) -> DataFrame:
         return self.insights.orderBy(*[F.col(k) for k in self.keys], "rank")
@@ -72,7 +104,7 @@ def period_aggregate(fact: DataFrame, config: InsightConfig, date_col: str, plan
     if plan != "fused":
         raise ValueError(f"Unknown plan: {plan}")
     flagged = flag_periods(fact, date_col, rep.comparison)
-    return aggregate_periods(flagged, group, metrics, F.col(IN_CURRENT), F.col(IN_PREVIOUS), rep.accumulator)
+    return aggregate_periods(flagged, group, metrics, IN_CURRENT, IN_PREVIOUS, rep.accumulator)
 
 
 def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: str = "fused",
@@ -85,22 +117,7 @@ def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: st
     scored = extract_insights(periods, dims, list(rep.kpi_priority), keys)
     ranked = rank_insights(scored, dims, top_n=n, min_impact=rep.min_impact, keys=keys)
     dim_types = {f.name: f.dataType for f in fact.schema.fields if f.name in dims}
-    meta = fact.sparkSession.range(1).select(
-        F.array(*[F.lit(d) for d in dims]).cast("array<string>").alias("dimensions"),
-        F.array(*[F.lit(k) for k in rep.kpi_priority]).cast("array<string>").alias("kpis"),
-        F.lit(rep.comparison.current_period).alias("current_period"),
-        F.lit(rep.comparison.previous_period).alias("previous_period"),
-    )
-    return ReportTables(
-        config=config, dims=dims, keys=keys, facts=fact, periods=periods, scored=scored, insights=ranked,
-        summary=insight_summary(ranked, dims, keys),
-        totals=period_totals(periods, metric_list(config), keys),
-        breakdown=dimension_breakdown(ranked, dims, keys, dim_types),
-        cards=kpi_cards(ranked, keys),
-        table=insight_table(ranked, dims, keys, dim_types),
-        narrative=narrative(ranked, dims, keys, dim_types),
-        meta=meta,
-    )
+    return ReportTables(config, dims, keys, fact, periods, scored, ranked, dim_types)
 
 
 def run_report(spark: SparkSession, config: InsightConfig, frames: dict | None = None, base_path: str = "",
