@@ -47,7 +47,8 @@ def join_sources(frames: dict[str, DataFrame], config: InsightConfig, how: str |
             log.warning("source %r shares no join key with %r; skipped", name, primary_name)
             continue
         extra = [c for c in df.columns if c not in result.columns]
-        result = result.join(df.select(*common, *extra), on=common, how=how)
+        order = result.columns + extra  # primary columns keep their place, new ones follow
+        result = result.join(df.select(*common, *extra), on=common, how=how).select(*order)
     return result
 
 
