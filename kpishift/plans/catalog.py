@@ -549,6 +549,20 @@ SQL_CSV_SOURCE = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", ["even
                               TN_CUR, TN_PREV, 20)
 
 
+# ------------------------------------------------------------------ streaming
+def q_streaming_flagship(spark, sf_dir):
+    """Flagship over lineitem read as a file stream; result read back from the sink."""
+    from ..streaming import file_stream, stream_report
+    cfg = config_from_dict(flagship_config(sf_dir))
+    sink = scratch_path(spark, f"stream_sink/{uuid.uuid4().hex}")
+    stream = file_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    query = stream_report(cfg, stream, sink, checkpoint_location=f"{sink}_checkpoint")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return spark.read.parquet(f"{sink}/insights").drop("dimensions")
+
+
 # ------------------------------------------------------------------ registry
 QUERIES = {
     "flagship_insights": q_flagship,
@@ -578,6 +592,7 @@ QUERIES = {
     "column_profile": q_column_profile,
     "suggested_ranges": q_suggested_ranges,
     "csv_source": q_csv_source,
+    "streaming_flagship": q_streaming_flagship,
 }
 
 
@@ -610,4 +625,5 @@ def oracle_statements() -> dict[str, str]:
         "column_profile": _sql_profile(),
         "suggested_ranges": SQL_SUGGESTED_RANGES,
         "csv_source": SQL_CSV_SOURCE,
+        "streaming_flagship": flagship_sql(),
     }

@@ -107,17 +107,27 @@ def period_aggregate(fact: DataFrame, config: InsightConfig, date_col: str, plan
     return aggregate_periods(flagged, group, metrics, IN_CURRENT, IN_PREVIOUS, rep.accumulator)
 
 
-def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: str = "fused",
-                 top_n: int | None = -1) -> ReportTables:
+def report_from_periods(config: InsightConfig, periods: DataFrame, facts: DataFrame | None = None,
+                        dim_types: dict | None = None, top_n: int | None = -1) -> ReportTables:
+    """Score, rank and summarise an existing wide period aggregate."""
     rep = config.report
     dims = list(rep.primary_dims)
     keys = list(rep.report_key)
     n = rep.top_n if top_n == -1 else top_n
-    periods = period_aggregate(fact, config, date_col, plan)
     scored = extract_insights(periods, dims, list(rep.kpi_priority), keys)
     ranked = rank_insights(scored, dims, top_n=n, min_impact=rep.min_impact, keys=keys)
+    if dim_types is None:
+        dim_types = {f.name: f.dataType for f in periods.schema.fields if f.name in dims}
+    return ReportTables(config, dims, keys, facts if facts is not None else periods, periods, scored, ranked,
+                        dim_types)
+
+
+def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: str = "fused",
+                 top_n: int | None = -1) -> ReportTables:
+    periods = period_aggregate(fact, config, date_col, plan)
+    dims = list(config.report.primary_dims)
     dim_types = {f.name: f.dataType for f in fact.schema.fields if f.name in dims}
-    return ReportTables(config, dims, keys, fact, periods, scored, ranked, dim_types)
+    return report_from_periods(config, periods, fact, dim_types, top_n)
 
 
 def run_report(spark: SparkSession, config: InsightConfig, frames: dict | None = None, base_path: str = "",
@@ -137,5 +147,5 @@ def period_rows(fact: DataFrame, config: InsightConfig, date_col: str) -> DataFr
     return flag_periods(fact, date_col, config.report.comparison)
 
 
-__all__ = ["ReportTables", "run_report", "build_report", "prepare_facts", "period_aggregate", "period_rows",
+__all__ = ["ReportTables", "run_report", "build_report", "report_from_periods", "prepare_facts", "period_aggregate", "period_rows",
            "period_predicates"]
