@@ -273,6 +273,29 @@ FROM c FULL OUTER JOIN p ON c.o_custkey = p.o_custkey
 """
 
 
+def q_join_periods_no_dims(spark, sf_dir):
+    """No dimensions: the two one-row period aggregates side by side."""
+    o = _orders_by_customer(spark, sf_dir)
+    cur = o.where(F.col("o_orderdate").between(F.lit(JP_CUR[0]).cast("date"), F.lit(JP_CUR[1]).cast("date")))
+    prev = o.where(F.col("o_orderdate").between(F.lit(JP_PREV[0]).cast("date"), F.lit(JP_PREV[1]).cast("date")))
+    metrics = ["o_totalprice", "order_count"]
+    return join_periods(aggregate_by_dimensions(cur, [], metrics), aggregate_by_dimensions(prev, [], metrics), [])
+
+
+SQL_JOIN_PERIODS_NO_DIMS = f"""
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders)
+SELECT
+  coalesce(sum(o_totalprice) FILTER (WHERE d BETWEEN DATE '{JP_CUR[0]}' AND DATE '{JP_CUR[1]}'), 0.0)
+    AS o_totalprice_current,
+  CAST(count(*) FILTER (WHERE d BETWEEN DATE '{JP_CUR[0]}' AND DATE '{JP_CUR[1]}') AS BIGINT) AS order_count_current,
+  coalesce(sum(o_totalprice) FILTER (WHERE d BETWEEN DATE '{JP_PREV[0]}' AND DATE '{JP_PREV[1]}'), 0.0)
+    AS o_totalprice_previous,
+  CAST(count(*) FILTER (WHERE d BETWEEN DATE '{JP_PREV[0]}' AND DATE '{JP_PREV[1]}') AS BIGINT)
+    AS order_count_previous
+FROM o
+"""
+
+
 # ------------------------------------------------------ insights, no dims
 ND_CUR = ("2000-01-01", "2000-12-31")
 ND_PREV = ("1999-01-01", "1999-12-31")
@@ -280,12 +303,21 @@ ND_KPIS = ["o_totalprice", "order_count", "avg_price"]
 
 
 def q_insights_no_dims(spark, sf_dir):
+    return no_dims_report(spark, sf_dir).insights
+
+
+def no_dims_report(spark, sf_dir) -> ReportTables:
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice", F.lit(1).alias("order_count"))
     cfg = config_from_dict(_cfg(
         {"orders": {"type": "table", "table": "orders", "date_col": "o_orderdate",
                     "metrics": ["o_totalprice", "order_count"]}},
         "orders", "o_orderdate", [], ND_KPIS, ND_CUR, ND_PREV, {"avg_price": "o_totalprice / order_count"}))
-    return run_report(spark, cfg, frames={"orders": o}).insights
+    return run_report(spark, cfg, frames={"orders": o})
+
+
+def q_breakdown_no_dims(spark, sf_dir):
+    """Without dimensions the breakdown is by metric: |impact| of its last row among the first 6."""
+    return no_dims_report(spark, sf_dir).breakdown
 
 
 SQL_INSIGHTS_NO_DIMS = insights_sql(
@@ -294,6 +326,13 @@ SQL_INSIGHTS_NO_DIMS = insights_sql(
     ND_KPIS, ND_CUR, ND_PREV, 20)
 
 
+SQL_BREAKDOWN_NO_DIMS = (
+    f"WITH r AS ({SQL_INSIGHTS_NO_DIMS}), g AS (SELECT metric AS label, "
+    f"round(arg_max(abs(impact_score), rank), 4) AS value, min(rank) AS first FROM r WHERE rank <= 6 "
+    f"GROUP BY metric) SELECT label, value, CAST(row_number() OVER (ORDER BY value DESC, first) AS INTEGER) "
+    f"AS position FROM g QUALIFY position <= 6")
+
+
 # ------------------------------------------------------ top-N, min impact
 TN_CUR = ("2024-01-16", "2024-01-30")
 TN_PREV = ("2024-01-01", "2024-01-15")
@@ -366,6 +405,50 @@ SQL_PER_REPORT = insights_sql(PER_NATION_FACT, "CAST(o_orderdate AS DATE)", ["c_
                               5, 0.0, keys=["n_name"])
 
 
+def q_summary_per_report(spark, sf_dir):
+    s = per_nation_report(spark, sf_dir).summary
+    cols = [F.col("n_name"), F.col("total_insights"), F.col("total_gains"), F.col("total_drops")]
+    for rec in ("top_mover", "biggest_gain", "biggest_drop"):
+        for fld in ("rank", "metric", "c_mktsegment", "delta_pct"):
+            cols.append(F.col(f"{rec}.{fld}").alias(f"{rec}_{fld}"))
+    return s.select(*cols)
+
+
+def _sql_summary_per_report() -> str:
+    flds = ("rank", "metric", "c_mktsegment", "delta_pct")
+    picks = {"top_mover": ("TRUE", "rank"), "biggest_gain": ("direction = 'up'", "delta_pct DESC, rank"),
+             "biggest_drop": ("direction = 'down'", "delta_pct ASC, rank")}
+    ctes, joins, cols = [], [], []
+    for rec, (where, order) in picks.items():
+        sel = ", ".join(f"{f} AS {rec}_{f}" for f in flds)
+        ctes.append(f"{rec} AS (SELECT n_name, {sel} FROM (SELECT *, row_number() OVER (PARTITION BY n_name "
+                    f"ORDER BY {order}) AS o FROM r WHERE {where}) WHERE o = 1)")
+        joins.append(f"LEFT JOIN {rec} USING (n_name)")
+        cols += [f"{rec}_{f}" for f in flds]
+    return (f"WITH r AS ({SQL_PER_REPORT}), s AS (SELECT n_name, count(*) AS total_insights, "
+            f"count(*) FILTER (WHERE direction = 'up') AS total_gains, "
+            f"count(*) FILTER (WHERE direction = 'down') AS total_drops FROM r GROUP BY n_name), "
+            f"{', '.join(ctes)} SELECT s.n_name, total_insights, total_gains, total_drops, {', '.join(cols)} "
+            f"FROM s {' '.join(joins)}")
+
+
+def q_totals_per_report(spark, sf_dir):
+    return per_nation_report(spark, sf_dir).totals
+
+
+def _sql_totals_per_report() -> str:
+    from .oracle import aggregate_sql
+    agg = aggregate_sql(PER_NATION_FACT, "CAST(o_orderdate AS DATE)", ["n_name", "c_mktsegment"],
+                        {"o_totalprice": "o_totalprice", "order_count": "1"}, FLAG_CUR, FLAG_PREV)
+    parts = " UNION ALL ".join(
+        f"SELECT n_name, '{m}' AS metric, round(coalesce(sum(CAST({q(m + '_current')} AS DOUBLE)), 0.0), 4) "
+        f"AS current_total, round(coalesce(sum(CAST({q(m + '_previous')} AS DOUBLE)), 0.0), 4) AS previous_total "
+        f"FROM agg GROUP BY n_name" for m in PR_KPIS)
+    return (f"WITH agg AS ({agg}), t AS ({parts}) SELECT *, CAST(row_number() OVER (PARTITION BY n_name "
+            f"ORDER BY current_total + previous_total DESC, metric) AS INTEGER) AS position FROM t "
+            f"QUALIFY position <= 6")
+
+
 # ------------------------------------------------- summary-level tables
 def q_insight_summary(spark, sf_dir):
     s = flagship_report(spark, sf_dir).summary
@@ -580,6 +663,10 @@ QUERIES = {
     "join_periods": q_join_periods,
     "period_aggregate": q_period_aggregate,
     "insights_no_dims": q_insights_no_dims,
+    "join_periods_no_dims": q_join_periods_no_dims,
+    "dimension_breakdown_no_dims": q_breakdown_no_dims,
+    "summary_per_report": q_summary_per_report,
+    "totals_per_report": q_totals_per_report,
     "top_n_min_impact": q_top_n_min_impact,
     "full_ranking": q_full_ranking,
     "insights_per_report": q_insights_per_report,
@@ -613,6 +700,10 @@ def oracle_statements() -> dict[str, str]:
         "join_periods": SQL_JOIN_PERIODS,
         "period_aggregate": SQL_JOIN_PERIODS,
         "insights_no_dims": SQL_INSIGHTS_NO_DIMS,
+        "join_periods_no_dims": SQL_JOIN_PERIODS_NO_DIMS,
+        "dimension_breakdown_no_dims": SQL_BREAKDOWN_NO_DIMS,
+        "summary_per_report": _sql_summary_per_report(),
+        "totals_per_report": _sql_totals_per_report(),
         "top_n_min_impact": SQL_TOP_N_MIN_IMPACT,
         "full_ranking": SQL_FULL_RANKING,
         "insights_per_report": SQL_PER_REPORT,

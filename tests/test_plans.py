@@ -53,3 +53,27 @@ def test_number_rows_matches_row_number(spark):
     got_all = number_rows(df, order, [], "rn").select("id", "rn").collect()
     want_all = df.withColumn("rn", F.row_number().over(Window.orderBy(*order))).select("id", "rn").collect()
     assert sorted(map(tuple, got_all)) == sorted(map(tuple, want_all))
+
+
+def test_date_partitioned_input_prunes_partitions(spark):
+    import uuid
+
+    from kpishift import config_from_dict, run_report
+    from kpishift.session import scratch_path
+
+    path = scratch_path(spark, f"by_month/{uuid.uuid4().hex}")
+    (spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+     .select(F.trunc("l_shipdate", "month").cast("date").alias("ship_month"), "l_returnflag", "l_quantity")
+     .write.partitionBy("ship_month").parquet(path))
+    cfg = config_from_dict({
+        "dataset": {"primary_source": "li", "sources": {"li": {"type": "parquet", "path": path,
+                                                               "date_col": "ship_month",
+                                                               "metrics": ["l_quantity"]}}},
+        "report": {"primary_date_col": "ship_month", "primary_dims": ["l_returnflag"],
+                   "kpi_priority": ["l_quantity"],
+                   "comparison": {"current_start": "1998-01-01", "current_end": "1998-12-31",
+                                  "previous_start": "1997-01-01", "previous_end": "1997-12-31"}}})
+    ins = run_report(spark, cfg).insights
+    sp = ins._jdf.queryExecution().sparkPlan().toString()
+    assert "PartitionFilters: [" in sp and "ship_month" in sp.split("PartitionFilters: [")[1].split("]")[0]
+    assert ins.count() == 3
