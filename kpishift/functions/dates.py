@@ -10,13 +10,17 @@ from pyspark.sql import types as T
 # (year-month-day with '-', with '/', month/day/year, day/month/year).
 DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d/M/yyyy")
 
-# Shape of the text each pattern can parse. Checked first: a failed parse
-# costs an exception inside the JVM, a regex mismatch costs almost nothing.
+# Shape of the text each pattern can parse (field ranges included). Checked
+# first: a failed parse costs an exception inside the JVM, a regex mismatch
+# costs almost nothing, and text outside these shapes cannot parse anyway.
+_MONTH = "(0?[1-9]|1[0-2])"
+_DAY = "(0?[1-9]|[12][0-9]|3[01])"
+_YEAR = "[0-9]{4,}"
 PATTERN_SHAPES = {
-    "yyyy-M-d": r"^[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}$",
-    "yyyy/M/d": r"^[0-9]{4,}/[0-9]{1,2}/[0-9]{1,2}$",
-    "M/d/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4,}$",
-    "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4,}$",
+    "yyyy-M-d": f"^{_YEAR}-{_MONTH}-{_DAY}$",
+    "yyyy/M/d": f"^{_YEAR}/{_MONTH}/{_DAY}$",
+    "M/d/yyyy": f"^{_MONTH}/{_DAY}/{_YEAR}$",
+    "d/M/yyyy": f"^{_DAY}/{_MONTH}/{_YEAR}$",
 }
 
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
