@@ -240,3 +240,11 @@ def test_literal_and_fused_agree(spark):
     assert [tuple(r) for r in fa] == [tuple(r) for r in fb]
     cfg = report_config(["k"], ["a"], ["a"], **{k: v for k, v in kw.items() if k != "top_n"})
     assert period_aggregate(df.withColumn("d", F.to_date("d")), cfg, "d").count() == 10
+
+
+def test_q16_decimal_accumulator_keeps_flat_rows_flat(spark):
+    df = frame(spark, [("2025-01-09", "x", 0.1, 0.0), ("2025-01-10", "x", 0.2, 0.0), ("2025-01-02", "x", 0.3, 0.0)])
+    dbl = run(spark, df, ["k"], ["a"], ["a"]).insights.first()
+    dec = run(spark, df, ["k"], ["a"], ["a"], accumulator="decimal").insights.first()
+    assert dbl.direction == "up"          # 0.1 + 0.2 > 0.3 in binary floating point
+    assert dec.direction == "flat" and dec.impact_score == 0.0
