@@ -17,7 +17,7 @@ from .operators.profile import column_profile, suggested_ranges
 from .plans.report import run_report
 from .session import local_session
 from .sources.files import read_csv, read_parquet
-from .sources.sinks import write_report, write_table
+from .sources.sinks import write_report
 
 
 def _session(args):
@@ -31,11 +31,8 @@ def _session(args):
 def cmd_report(args) -> int:
     spark = _session(args)
     tables = run_report(spark, load_config(args.config), base_path=args.base_path)
-    paths = write_report(tables, args.out, fmt=args.format)
-    for name in ("totals", "breakdown", "cards", "table", "narrative"):
-        target = f"{args.out.rstrip('/')}/{name}"
-        write_table(getattr(tables, name), target, args.format, "overwrite", tables.keys or None)
-        paths[name] = target
+    paths = write_report(tables, args.out, fmt=args.format,
+                         extra=("totals", "breakdown", "cards", "table", "narrative"))
     print(json.dumps(paths))
     if args.show:
         tables.insights_ordered().show(args.show, truncate=False)

@@ -20,6 +20,7 @@ from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
 from ..operators.unpivot import extract_insights
+from ..session import cut_lineage
 from ..sources.ingest import ingest_data
 
 
@@ -78,6 +79,21 @@ class ReportTables:
     def insights_ordered(self) -> DataFrame:
         return self.insights.orderBy(*[F.col(k) for k in self.keys], "rank")
 
+    def materialize(self) -> "ReportTables":
+        """Compute the period aggregate once and cut lineage there.
+
+        Every table derives from the period aggregate (one row per group,
+        far smaller than the facts). Writing several tables would otherwise
+        re-run scan, join and aggregate once per table. The checkpoint is a
+        reliable one in ``spark.checkpoint.dir`` (shared storage), so a lost
+        executor does not force a rescan; the ranked insights (top-N per key)
+        are cut the same way.
+        """
+        periods = cut_lineage(self.periods)
+        tables = report_from_periods(self.config, periods, self.facts, self.dim_types)
+        tables.insights = cut_lineage(tables.insights)
+        return tables
+
 
 def prepare_facts(spark: SparkSession, config: InsightConfig, frames: dict | None = None,
                   base_path: str = "") -> tuple[DataFrame, str]:

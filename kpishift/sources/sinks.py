@@ -28,16 +28,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.save(path)
 
 
-def write_report(tables, path: str, fmt: str = "parquet", mode: str = "overwrite") -> dict[str, str]:
-    """Write insights, summary and metadata under ``path``; returns the table paths.
-
-    Per-report-key runs are partitioned by the key, so one report is one
-    directory to read back.
+def write_report(tables, path: str, fmt: str = "parquet", mode: str = "overwrite",
+                 extra: tuple = (), materialize: bool = True) -> dict[str, str]:
+    """Write insights, summary, metadata (and ``extra`` tables by name, e.g.
+    ``("totals", "narrative")``) under ``path``; returns the table paths.
+
+    With ``materialize`` the facts are scanned and aggregated once for all
+    tables (see ``ReportTables.materialize``). Per-report-key runs are
+    partitioned by the key, so one report is one directory to read back.
     """
+    if materialize:
+        tables = tables.materialize()
     keys = list(tables.keys)
     out = {}
-    for name, df in (("insights", with_dimension_map(tables.insights, tables.dims)),
-                     ("summary", tables.summary), ("meta", tables.meta)):
+    named = [("insights", with_dimension_map(tables.insights, tables.dims)), ("summary", tables.summary),
+             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra]
+    for name, df in named:
         target = f"{path.rstrip('/')}/{name}"
         write_table(df, target, fmt, mode, keys if keys and name != "meta" else None)
         out[name] = target

@@ -38,3 +38,11 @@ def test_write_report_round_trip(spark):
     assert meta.current_period == "1998-01-01 to 1998-12-31" and list(meta.kpis)[0] == "unit_price"
     summ = spark.read.parquet(out["summary"]).first()
     assert summ.total_insights == back.count()
+
+
+def test_materialize_scans_facts_once(spark):
+    rep = flagship_report(spark, SF_SMALL).materialize()
+    for df in (rep.insights, rep.summary, rep.totals, rep.narrative):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "Scan parquet" not in plan
+    assert rep.insights.count() == flagship_report(spark, SF_SMALL).insights.count()
