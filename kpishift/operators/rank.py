@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 RANK = "rank"
 
 
@@ -55,26 +57,35 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
 def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str = RANK) -> DataFrame:
     """Consecutive 1-based numbers in ``order`` (within each key) for any size.
 
-    Range-partition on (keys, order): every partition holds one contiguous
-    slice of the order, and a hot key spreads over many partitions. Rows
-    are numbered inside their (partition, key) slice, and the slice sizes of
-    earlier partitions are added. The offset table has at most one row per
-    (partition, key) slice; without keys it has at most one row per partition
-    and is broadcast.
+    Range-partition on (keys, order), sort inside each partition, and
+    checkpoint the result (see below): every
+    partition holds one contiguous slice of the order, and a hot key spreads
+    over many partitions. ``monotonically_increasing_id`` then carries each
+    row's position inside its partition, so no further shuffle is needed to
+    number rows locally. One small aggregate gives, per (partition, key)
+    slice, its first position and size; a window over those slices adds the
+    sizes of earlier partitions. Without keys that table has at most one row
+    per partition and is broadcast; with keys it is joined on (partition, key).
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    ranged = df.repartitionByRange(n, *sort_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
-    sizes = local.groupBy("_pid", *keys).agg(F.max("_lrn").alias("_n"))
+    ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()))
+    # The frame is read twice below (slice sizes, and the rows themselves).
+    # Range bounds come from a random sample, so two evaluations could cut
+    # partitions differently; a reliable checkpoint fixes one partitioning
+    # (and spares the second read a recomputation of everything upstream).
+    ranged = cut_lineage(ranged)
+    slices = ranged.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", *[F.col(k) for k in keys],
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = slices.select("_pid", *[F.col(k) for k in keys], "_first",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     if not keys:
         offsets = F.broadcast(offsets)  # at most one row per shuffle partition
     o = offsets.alias("_o")
-    lft = local.alias("_l")
+    lft = ranged.alias("_l")
     joined = lft.join(o, _null_safe_on(lft, o, ["_pid", *keys]))
     cols = [F.col(f"_l.{c}") for c in df.columns]
-    return joined.select(*cols, (F.col("_l._lrn") + F.col("_o._off")).cast("int").alias(out))
+    number = F.col("_l._pos") - F.col("_o._first") + F.lit(1) + F.col("_o._off")
+    return joined.select(*cols, number.cast("int").alias(out))

@@ -43,8 +43,8 @@ def test_per_report_top_n_is_window_group_limit(spark):
 
 def test_number_rows_matches_row_number(spark):
     rnd = random.Random(3)
-    rows = [(rnd.choice(["a", "b", None]), rnd.random(), i) for i in range(500)]
-    df = spark.createDataFrame(rows, "g string, v double, id int")
+    rows = [(rnd.choice(["a", "b", None]), rnd.random(), i) for i in range(20000)]
+    df = spark.createDataFrame(rows, "g string, v double, id int").repartition(16)
     order = [F.col("v").desc(), F.col("id").asc()]
     got = number_rows(df, order, ["g"], "rn").select("id", "rn").collect()
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order))).select(
