@@ -20,6 +20,52 @@ def with_dimension_map(insights: DataFrame, dims: list[str]) -> DataFrame:
     return insights.withColumn("dimensions", m)
 
 
+def _record(dims: list[str], dim_types: dict):
+    pairs = []
+    for d in dims:
+        pairs += [F.lit(d), value_str(F.col(d), dim_types.get(d))]
+    dim_map = F.create_map(*pairs) if dims else F.create_map().cast("map<string,string>")
+    return F.struct(dim_map.alias("dimensions"), *[F.col(c) for c in (
+        "metric", "current_value", "previous_value", "delta", "delta_pct", "impact_score", "direction")])
+
+
+def report_payload(tables) -> DataFrame:
+    """One row per report: ``insights`` (array in rank order), ``summary``, ``config``.
+
+    The JSON document a dashboard reads. Built from the top-N rows only
+    (bounded per report); an unlimited ranking is refused rather than
+    collected into one row.
+    """
+    if not tables.config.report.top_n:
+        raise ValueError("a payload needs top_n: an unlimited ranking is not collected into one row")
+    keys = list(tables.keys)
+    dims = list(tables.dims)
+    rec = _record(dims, tables.dim_types)
+    up, down = F.col("direction") == "up", F.col("direction") == "down"
+    aggs = [
+        F.array_sort(F.collect_list(F.struct(F.col("rank"), rec.alias("r"))),
+                     lambda a, b: F.signum(a["rank"] - b["rank"]).cast("int")).alias("_ranked"),
+        F.count(F.lit(1)).alias("total_insights"),
+        F.count_if(up).alias("total_gains"),
+        F.count_if(down).alias("total_drops"),
+        F.min_by(rec, F.col("rank")).alias("top_mover"),
+        F.max_by(rec, F.when(up, F.struct(F.col("delta_pct"), -F.col("rank")))).alias("biggest_gain"),
+        F.min_by(rec, F.when(down, F.struct(F.col("delta_pct"), F.col("rank")))).alias("biggest_drop"),
+    ]
+    g = tables.insights.groupBy(*keys).agg(*aggs) if keys else tables.insights.agg(*aggs)
+    rep = tables.config.report
+    config = F.struct(
+        F.array(*[F.lit(d) for d in dims]).cast("array<string>").alias("dimensions"),
+        F.array(*[F.lit(k) for k in rep.kpi_priority]).cast("array<string>").alias("kpis"),
+        F.lit(rep.comparison.current_period).alias("current_period"),
+        F.lit(rep.comparison.previous_period).alias("previous_period"),
+    )
+    summary = F.struct("total_insights", "total_gains", "total_drops", "top_mover", "biggest_gain",
+                       "biggest_drop")
+    return g.select(*keys, F.transform("_ranked", lambda x: x["r"]).alias("insights"), summary.alias("summary"),
+                    config.alias("config"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode).format(fmt)
@@ -42,7 +88,9 @@ def write_report(tables, path: str, fmt: str = "parquet", mode: str = "overwrite
     keys = list(tables.keys)
     out = {}
     named = [("insights", with_dimension_map(tables.insights, tables.dims)), ("summary", tables.summary),
-             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra]
+             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra if n != "payload"]
+    if "payload" in extra:
+        named.append(("payload", report_payload(tables)))
     for name, df in named:
         target = f"{path.rstrip('/')}/{name}"
         write_table(df, target, fmt, mode, keys if keys and name != "meta" else None)

@@ -46,3 +46,25 @@ def test_materialize_scans_facts_once(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "FileScan" not in plan and "Scan parquet" not in plan
     assert rep.insights.count() == flagship_report(spark, SF_SMALL).insights.count()
+
+
+def test_payload_one_row_per_report(spark):
+    import json
+
+    from kpishift.plans.catalog import per_nation_report
+    from kpishift.sources.sinks import report_payload
+
+    rep = flagship_report(spark, SF_SMALL)
+    p = report_payload(rep).collect()
+    assert len(p) == 1
+    doc = json.loads(report_payload(rep).toJSON().first())
+    ins = doc["insights"]
+    assert len(ins) == rep.insights.count()
+    assert ins[0]["impact_score"] >= ins[-1]["impact_score"]
+    assert set(ins[0]["dimensions"]) == {"l_returnflag", "l_linestatus"}
+    assert doc["summary"]["total_insights"] == len(ins)
+    assert doc["summary"]["top_mover"] == ins[0]
+    assert doc["config"]["current_period"] == "1998-01-01 to 1998-12-31"
+    per = report_payload(per_nation_report(spark, SF_SMALL))
+    assert per.count() == per.select("n_name").distinct().count()
+    assert max(len(r.insights) for r in per.collect()) <= 5
