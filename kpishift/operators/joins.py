@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import logging
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +71,3 @@ def join_periods(current: DataFrame, previous: DataFrame, dims: list[str]) -> Da
         both = cur.unionByName(prev, allowMissingColumns=True)
         joined = both.agg(*[F.max(c).alias(c) for c in value_cols]) if value_cols else both.limit(1)
     return joined.na.fill(0, subset=value_cols) if value_cols else joined
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

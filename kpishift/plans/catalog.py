@@ -20,7 +20,7 @@ from ..operators.periods import flag_periods, parse_date_column
 from ..operators.profile import column_profile, suggested_ranges
 from ..session import scratch_path
 from .oracle import fmt_sql, insights_sql, q, safe_div_sql, thousands_sql
-from .report import ReportTables, build_report, period_aggregate, prepare_facts, run_report
+from .report import ReportTables, period_aggregate, run_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from ..config import InsightConfig
 from ..operators.aggregate import aggregate_by_dimensions, aggregate_periods, metric_list
 from ..operators.derive import compute_all_derived_metrics
 from ..operators.joins import join_periods
-from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, period_predicates, split_by_period
+from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, split_by_period
 from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
@@ -158,10 +158,4 @@ def run_report(spark: SparkSession, config: InsightConfig, frames: dict | None =
     return build_report(config, fact, date_col, plan)
 
 
-def period_rows(fact: DataFrame, config: InsightConfig, date_col: str) -> DataFrame:
-    """Rows of either period with ``in_current`` / ``in_previous`` flags."""
-    return flag_periods(fact, date_col, config.report.comparison)
-
-
-__all__ = ["ReportTables", "run_report", "build_report", "report_from_periods", "prepare_facts", "period_aggregate", "period_rows",
-           "period_predicates"]
+__all__ = ["ReportTables", "run_report", "build_report", "report_from_periods", "prepare_facts", "period_aggregate"]
