@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..config import InsightConfig, SourceConfig
 from ..operators.joins import join_sources
@@ -72,4 +73,7 @@ def ingest_data(spark: SparkSession, config: InsightConfig, base_path: str = "",
     if report_date not in fact.columns:
         report_date = primary_date if report_date == config.dataset.primary.date_col else date_fallback(
             fact.columns, report_date)
+    if not isinstance(fact.schema[report_date].dataType, T.DateType):
+        # a fallback column, or a report date other than the sources' own
+        fact = parse_date_column(fact, report_date)
     return fact, report_date

@@ -202,7 +202,7 @@ def test_q21_to_q24_join_rules(spark):
 
 def test_q25_date_fallback(spark):
     from kpishift import config_from_dict, run_report
-    df = spark.createDataFrame([("2025-01-09", "x", 2.0), ("2025-01-02", "x", 1.0)], "order_date string, k string, a double")
+    df = spark.createDataFrame([("01/09/2025", "x", 2.0), ("01/02/2025", "x", 1.0)], "order_date string, k string, a double")
     cfg = config_from_dict({
         "dataset": {"primary_source": "f", "sources": {"f": {"type": "table", "table": "f", "date_col": "day",
                                                              "metrics": ["a"]}}},
