@@ -1,30 +1,122 @@
-"""Rounding that is the same bit for bit on every engine we check against."""
+"""Decimal rounding with the exact semantics of Python's ``round(x, d)``.
+
+Python rounds the *exact* binary value of a double to ``d`` decimals, ties
+to even. ``round(x * 10^d) / 10^d`` does not: the product is itself rounded
+first, so ``-5.55`` (binary ``-5.5499999...``) becomes ``-5.6`` instead of
+``-5.5``. Spark's ``round(x, d)`` rounds the shortest decimal string half
+up, which differs again. Here the product ``x * 10^d`` is split into its
+rounded value ``p`` and its exact error ``err`` (Dekker's error-free product
+with a Veltkamp split; ``10^d`` needs no split for d <= 8), so the position
+of the exact product against the midpoint ``floor(p) + 0.5`` is known
+exactly. It is plain IEEE double arithmetic, so every engine that evaluates
+the same expression gets the same bits (the DuckDB statements use it too).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Veltkamp splitter 2^27 + 1, and 2^52 (from there on a double has no fraction).
+SPLITTER = 134217729.0
+TWO_52 = 4503599627370496.0
+
 
 def qi(name: str) -> str:
     """Quote a column name for a SQL expression."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def _lit(v: float, dbl: str) -> str:
+    return f"{v!r}{dbl}"
+
+
+def _step_sql(p: str, f: str, err: str, dbl: str) -> str:
+    """0 or 1 to add to ``f = floor(p)``: compares the exact product
+    ``p + err`` with the midpoint ``f + 0.5`` (ties to even)."""
+    zero, half, one, two = (_lit(v, dbl) for v in (0.0, 0.5, 1.0, 2.0))
+    diff = f"(({p} - {f}) - {half})"                     # exact while |p| < 2^52
+    side = f"(CASE WHEN {diff} <> {zero} THEN {diff} ELSE {err} END)"
+    even = f"(({f} - {two} * CAST(floor({f} / {two}) AS DOUBLE)) = {zero})"
+    return (f"(CASE WHEN {side} > {zero} THEN {one} WHEN {side} < {zero} THEN {zero} "
+            f"WHEN {even} THEN {zero} ELSE {one} END)")
+
+
+def _finish_sql(x: str, p: str, n: str, s: str, dbl: str) -> str:
+    zero = _lit(0.0, dbl)
+    return (f"(CASE WHEN isnan({x}) OR abs({p}) >= {_lit(TWO_52, dbl)} THEN {x} "
+            f"WHEN {n} = {zero} THEN {x} * {zero} ELSE {n} / {s} END)")
+
+
+def exact_round_sql(expr: str, digits: int, dbl: str = "D") -> str:
+    """SQL text rounding ``expr`` like Python's ``round(expr, digits)``.
+
+    One self-contained expression (it repeats its input; use
+    :func:`round_columns` for many values over large data). ``dbl`` is the
+    double-literal suffix: ``"D"`` for Spark SQL, ``"::DOUBLE"`` for DuckDB.
+    """
+    if not 0 <= digits <= 8:
+        raise ValueError("digits must be between 0 and 8")
+    s = _lit(float(10 ** digits), dbl)
+    x = f"CAST({expr} AS DOUBLE)"
+    p = f"({x} * {s})"
+    c = f"({_lit(SPLITTER, dbl)} * {x})"
+    xh = f"({c} - ({c} - {x}))"
+    err = f"(({xh} * {s} - {p}) + ({x} - {xh}) * {s})"   # x * s == p + err, exactly
+    f = f"CAST(floor({p}) AS DOUBLE)"
+    n = f"({f} + {_step_sql(p, f, err, dbl)})"
+    return _finish_sql(x, p, n, s, dbl)
+
+
 def round_sql(expr: str, digits: int) -> str:
-    """SQL text of :func:`round_to`."""
-    scale = f"{float(10 ** digits)!r}D"
-    return f"(round(CAST({expr} AS DOUBLE) * {scale}, 0) / {scale})"
+    """Spark SQL text of :func:`round_to`."""
+    return exact_round_sql(expr, digits)
 
 
-def round_to(col: Column, digits: int) -> Column:
-    """Round a double to ``digits`` decimals as ``round(x * 10^d) / 10^d``.
+def round_columns(df: DataFrame, specs: list[tuple[str, int, str]], keep: list[str]) -> DataFrame:
+    """Add ``out = round(src, digits)`` (Python semantics) for every spec.
 
-    ``round(y, 0)`` on a double rounds half away from zero on the exact
-    value, so the whole expression is plain IEEE arithmetic: identical to
-    DuckDB's ``round(x, d)`` and closer to Python's ``round`` on values such
-    as 2.675 than ``round(x, d)`` in Spark, which rounds the shortest decimal
-    string half up.
+    Staged as three narrow projections (product, split and floor; integer;
+    result) so that every expression reads plain columns: the same
+    arithmetic as :func:`exact_round_sql` without repeating subexpressions,
+    which keeps optimizer work and generated code small. Returns ``keep``
+    plus the outputs.
     """
-    scale = F.lit(float(10 ** digits))
-    return F.round(col.cast("double") * scale, 0) / scale
+    a = []
+    for j, (src, digits, _) in enumerate(specs):
+        s = _lit(float(10 ** digits), "D")
+        x = f"CAST({qi(src)} AS DOUBLE)"
+        k = _lit(SPLITTER, "D")
+        a += [f"{x} * {s} AS __p{j}", f"({k} * {x}) - (({k} * {x}) - {x}) AS __h{j}",
+              f"CAST(floor({x} * {s}) AS DOUBLE) AS __f{j}"]
+    st1 = df.selectExpr("*", *a)
+    b = []
+    for j, (src, digits, _) in enumerate(specs):
+        s = _lit(float(10 ** digits), "D")
+        err = f"((__h{j} * {s} - __p{j}) + (CAST({qi(src)} AS DOUBLE) - __h{j}) * {s})"
+        b.append(f"__f{j} + {_step_sql(f'__p{j}', f'__f{j}', err, 'D')} AS __n{j}")
+    st2 = st1.selectExpr("*", *b)
+    outs = [f"{_finish_sql('CAST(' + qi(src) + ' AS DOUBLE)', f'__p{j}', f'__n{j}', _lit(float(10 ** d), 'D'), 'D')}"
+            f" AS {qi(out)}" for j, (src, d, out) in enumerate(specs)]
+    return st2.selectExpr(*[qi(k) for k in keep], *outs)
+
+
+def round_to(col: Column, digits: int) -> Column:
+    """Round a double column to ``digits`` decimals exactly as Python does
+    (exact binary value, ties to even; a zero result keeps the sign of x).
+    For a few values per row; see :func:`round_columns` for bulk use."""
+    if not 0 <= digits <= 8:
+        raise ValueError("digits must be between 0 and 8")
+    s = F.lit(float(10 ** digits))
+    x = col.cast("double")
+    p = x * s
+    c = F.lit(SPLITTER) * x
+    xh = c - (c - x)
+    err = (xh * s - p) + (x - xh) * s
+    f = F.floor(p).cast("double")
+    diff = (p - f) - F.lit(0.5)
+    side = F.when(diff != 0, diff).otherwise(err)
+    even = (f - F.lit(2.0) * F.floor(f / F.lit(2.0)).cast("double")) == F.lit(0.0)
+    n = f + F.when(side > 0, F.lit(1.0)).when(side < 0, F.lit(0.0)).when(even, F.lit(0.0)).otherwise(F.lit(1.0))
+    return (F.when(F.isnan(x) | (F.abs(p) >= F.lit(TWO_52)), x)
+            .when(n == 0.0, x * F.lit(0.0)).otherwise(n / s))

@@ -35,13 +35,17 @@ def delta_pct_sql(current: str, previous: str) -> str:
             f"ELSE ({current} - {previous}) / abs({previous}) * 100.0D END)")
 
 
-def impact_sql(d: str, d_pct: str, kpi_index: str, n_kpis: int) -> str:
-    """round(|d| * (1 + min(|d%|, 200)/200) * (1 + (N - i)/N), 4) on unrounded inputs."""
+def raw_impact_sql(d: str, d_pct: str, kpi_index: str, n_kpis: int) -> str:
+    """|d| * (1 + min(|d%|, 200)/200) * (1 + (N - i)/N) on unrounded inputs."""
     n = f"{float(n_kpis)!r}D"
     cap = f"{PCT_CAP!r}D"
-    raw = (f"abs({d}) * (1.0D + least(abs({d_pct}), {cap}) / {cap}) * "
-           f"(1.0D + ({n} - CAST({kpi_index} AS DOUBLE)) / {n})")
-    return round_sql(raw, IMPACT_DIGITS)
+    return (f"(abs({d}) * (1.0D + least(abs({d_pct}), {cap}) / {cap}) * "
+            f"(1.0D + ({n} - CAST({kpi_index} AS DOUBLE)) / {n}))")
+
+
+def impact_sql(d: str, d_pct: str, kpi_index: str, n_kpis: int) -> str:
+    """The impact score, rounded to 4 decimals."""
+    return round_sql(raw_impact_sql(d, d_pct, kpi_index, n_kpis), IMPACT_DIGITS)
 
 
 def direction_sql(d: str) -> str:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import qi, round_sql
+from ..functions.numeric import qi, round_columns
 from ..functions.scoring import (IMPACT_DIGITS, PCT_DIGITS, VALUE_DIGITS, delta_pct_sql, delta_sql,
-                                 direction_sql, impact_sql)
+                                 direction_sql, raw_impact_sql)
 
 INSIGHT_VALUE_COLUMNS = ["metric", "kpi_index", "current_value", "previous_value", "delta", "delta_pct",
                          "impact_score", "direction"]
@@ -18,12 +18,15 @@ def present_kpis(columns: list[str], kpis: list[str]) -> list[tuple[int, str]]:
     return [(i, k) for i, k in enumerate(kpis) if f"{k}_current" in columns and f"{k}_previous" in columns]
 
 
-def extract_insights(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[str] = ()) -> DataFrame:
-    """Unpivot with ``stack`` (narrow, no shuffle), then score each row.
+def score_rows(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[str] = ()) -> DataFrame:
+    """Unpivot with ``stack`` (narrow, no shuffle) after scoring every KPI.
 
-    Impact uses the unrounded delta and delta %; outputs are rounded
-    (values and delta to 4 decimals, delta % to 2). ``N`` in the priority
-    weight is the number of configured KPIs, also when some are absent.
+    Output: keys, dims, metric, kpi_index, the unrounded ``_c, _p, _d, _dp``,
+    ``impact_score`` (rounded: it orders and filters the rows) and
+    ``direction``. Impact uses the unrounded delta and delta %; ``N`` in the
+    priority weight is the number of configured KPIs, also when some are
+    absent. :func:`finish_insights` rounds the remaining values, after any
+    top-N, so that work is done on the kept rows only.
     """
     group = list(keys) + list(dims)
     kpis = list(kpis)
@@ -33,29 +36,45 @@ def extract_insights(joined: DataFrame, dims: list[str], kpis: list[str], keys:
         return joined.select(
             *group,
             F.lit(None).cast("string").alias("metric"), F.lit(None).cast("int").alias("kpi_index"),
-            *[F.lit(None).cast("double").alias(c) for c in
-              ("current_value", "previous_value", "delta", "delta_pct", "impact_score")],
+            *[F.lit(None).cast("double").alias(c) for c in ("_c", "_p", "_d", "_dp", "impact_score")],
             F.lit(None).cast("string").alias("direction"),
         ).where(F.lit(False))
     g = [qi(c) for c in group]
-    stack = ", ".join(f"'{k}', {i}, CAST({qi(k + '_current')} AS DOUBLE), CAST({qi(k + '_previous')} AS DOUBLE)"
-                      for i, k in present)
-    long = joined.selectExpr(*g, f"stack({len(present)}, {stack}) AS (metric, kpi_index, _cur, _prev)")
-    # Staged projections: each intermediate is computed once and referenced by
-    # name (Catalyst does not inline a non-trivial expression used twice).
-    vals = long.selectExpr(*g, "metric", "kpi_index", "coalesce(_cur, 0.0D) AS _c", "coalesce(_prev, 0.0D) AS _p")
-    changes = vals.selectExpr("*", f"{delta_sql('_c', '_p')} AS _d", f"{delta_pct_sql('_c', '_p')} AS _dp")
-    return changes.selectExpr(
-        *g,
-        "metric",
-        "kpi_index",
-        f"{round_sql('_c', VALUE_DIGITS)} AS current_value",
-        f"{round_sql('_p', VALUE_DIGITS)} AS previous_value",
-        f"{round_sql('_d', VALUE_DIGITS)} AS delta",
-        f"{round_sql('_dp', PCT_DIGITS)} AS delta_pct",
-        f"{impact_sql('_d', '_dp', 'kpi_index', n_kpis)} AS impact_score",
-        f"{direction_sql('_d')} AS direction",
-    )
-
-
-__all__ = ["extract_insights", "present_kpis", "INSIGHT_VALUE_COLUMNS", "IMPACT_DIGITS"]
+    # Score every KPI in the wide row first, then unpivot the scored values.
+    # Filters on the scores (min impact) sit above the ``stack`` and cannot
+    # be pushed below it, so they never expand into copies of the scoring
+    # expressions; each stage reads plain column references.
+    wide = joined.selectExpr(*g, *[
+        e for i, k in present for e in (
+            f"coalesce(CAST({qi(k + '_current')} AS DOUBLE), 0.0D) AS _c{i}",
+            f"coalesce(CAST({qi(k + '_previous')} AS DOUBLE), 0.0D) AS _p{i}")])
+    changes = wide.selectExpr("*", *[
+        e for i, _ in present for e in (
+            f"{delta_sql(f'_c{i}', f'_p{i}')} AS _d{i}", f"{delta_pct_sql(f'_c{i}', f'_p{i}')} AS _dp{i}")])
+    raw = changes.selectExpr("*", *[
+        e for i, _ in present for e in (
+            f"{raw_impact_sql(f'_d{i}', f'_dp{i}', str(i), n_kpis)} AS _imp{i}",
+            f"{direction_sql(f'_d{i}')} AS _dr{i}")])
+    keep = list(group) + [c for i, _ in present for c in (f"_c{i}", f"_p{i}", f"_d{i}", f"_dp{i}", f"_dr{i}")]
+    scored = round_columns(raw, [(f"_imp{i}", IMPACT_DIGITS, f"_im{i}") for i, _ in present], keep)
+    stack = ", ".join(f"'{k}', {i}, _c{i}, _p{i}, _d{i}, _dp{i}, _im{i}, _dr{i}" for i, k in present)
+    return scored.selectExpr(
+        *g, f"stack({len(present)}, {stack}) AS (metric, kpi_index, _c, _p, _d, _dp, impact_score, direction)")
+
+
+def finish_insights(scored: DataFrame) -> DataFrame:
+    """Round values and delta to 4 decimals, delta % to 2 (Python's rounding)."""
+    front = [c for c in scored.columns if c not in ("_c", "_p", "_d", "_dp", "impact_score", "direction")]
+    specs = [("_c", VALUE_DIGITS, "current_value"), ("_p", VALUE_DIGITS, "previous_value"),
+             ("_d", VALUE_DIGITS, "delta"), ("_dp", PCT_DIGITS, "delta_pct")]
+    out = round_columns(scored, specs, front + ["impact_score", "direction"])
+    order = [c for c in front if c != "rank"] + INSIGHT_VALUE_COLUMNS[2:] + (["rank"] if "rank" in front else [])
+    return out.select(*order)
+
+
+def extract_insights(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[str] = ()) -> DataFrame:
+    """One scored row per (dimension tuple x KPI), all values rounded."""
+    return finish_insights(score_rows(joined, dims, kpis, keys))
+
+
+__all__ = ["extract_insights", "score_rows", "finish_insights", "present_kpis", "INSIGHT_VALUE_COLUMNS"]

@@ -19,7 +19,7 @@ from ..operators.joins import join_periods, join_sources
 from ..operators.periods import flag_periods, parse_date_column
 from ..operators.profile import column_profile, suggested_ranges
 from ..session import scratch_path
-from .oracle import fmt_sql, insights_sql, q, safe_div_sql, thousands_sql
+from .oracle import fmt_sql, insights_sql, q, rnd, safe_div_sql, thousands_sql
 from .report import ReportTables, period_aggregate, run_report
 
 
@@ -328,7 +328,7 @@ SQL_INSIGHTS_NO_DIMS = insights_sql(
 
 SQL_BREAKDOWN_NO_DIMS = (
     f"WITH r AS ({SQL_INSIGHTS_NO_DIMS}), g AS (SELECT metric AS label, "
-    f"round(arg_max(abs(impact_score), rank), 4) AS value, min(rank) AS first FROM r WHERE rank <= 6 "
+    f"{rnd('arg_max(abs(impact_score), rank)', 4)} AS value, min(rank) AS first FROM r WHERE rank <= 6 "
     f"GROUP BY metric) SELECT label, value, CAST(row_number() OVER (ORDER BY value DESC, first) AS INTEGER) "
     f"AS position FROM g QUALIFY position <= 6")
 
@@ -441,9 +441,9 @@ def _sql_totals_per_report() -> str:
     agg = aggregate_sql(PER_NATION_FACT, "CAST(o_orderdate AS DATE)", ["n_name", "c_mktsegment"],
                         {"o_totalprice": "o_totalprice", "order_count": "1"}, FLAG_CUR, FLAG_PREV)
     parts = " UNION ALL ".join(
-        f"SELECT n_name, '{m}' AS metric, round(coalesce(sum(CAST({q(m + '_current')} AS DOUBLE)), 0.0), 4) "
-        f"AS current_total, round(coalesce(sum(CAST({q(m + '_previous')} AS DOUBLE)), 0.0), 4) AS previous_total "
-        f"FROM agg GROUP BY n_name" for m in PR_KPIS)
+        f"SELECT n_name, '{m}' AS metric, {rnd('coalesce(sum(CAST(' + q(m + '_current') + ' AS DOUBLE)), 0.0)', 4)} "
+        f"AS current_total, {rnd('coalesce(sum(CAST(' + q(m + '_previous') + ' AS DOUBLE)), 0.0)', 4)} "
+        f"AS previous_total FROM agg GROUP BY n_name" for m in PR_KPIS)
     return (f"WITH agg AS ({agg}), t AS ({parts}) SELECT *, CAST(row_number() OVER (PARTITION BY n_name "
             f"ORDER BY current_total + previous_total DESC, metric) AS INTEGER) AS position FROM t "
             f"QUALIFY position <= 6")
@@ -484,8 +484,9 @@ def _sql_totals() -> str:
     agg = aggregate_sql("SELECT * FROM lineitem", "CAST(l_shipdate AS DATE)", FLAG_DIMS, FLAG_METRICS_SQL,
                         FLAG_CUR, FLAG_PREV)
     parts = " UNION ALL ".join(
-        f"SELECT '{m}' AS metric, round(coalesce(sum(CAST({q(m + '_current')} AS DOUBLE)), 0.0), 4) AS current_total, "
-        f"round(coalesce(sum(CAST({q(m + '_previous')} AS DOUBLE)), 0.0), 4) AS previous_total FROM agg"
+        f"SELECT '{m}' AS metric, {rnd('coalesce(sum(CAST(' + q(m + '_current') + ' AS DOUBLE)), 0.0)', 4)} "
+        f"AS current_total, {rnd('coalesce(sum(CAST(' + q(m + '_previous') + ' AS DOUBLE)), 0.0)', 4)} "
+        f"AS previous_total FROM agg"
         for m in ["l_extendedprice", "l_quantity", "unit_price"])
     return (f"WITH agg AS ({agg}), t AS ({parts}) SELECT *, CAST(row_number() OVER "
             f"(ORDER BY current_total + previous_total DESC, metric) AS INTEGER) AS position FROM t "
@@ -496,8 +497,8 @@ def q_dimension_breakdown(spark, sf_dir):
     return flagship_report(spark, sf_dir).breakdown
 
 
-SQL_BREAKDOWN = (f"WITH r AS ({flagship_sql()}), g AS (SELECT l_returnflag AS label, round(sum(abs(current_value)), 4) "
-                 f"AS value, min(rank) AS first FROM r WHERE rank <= 10 GROUP BY l_returnflag) "
+SQL_BREAKDOWN = (f"WITH r AS ({flagship_sql()}), g AS (SELECT l_returnflag AS label, "
+                 f"{rnd('sum(abs(current_value))', 4)} AS value, min(rank) AS first FROM r WHERE rank <= 10 GROUP BY l_returnflag) "
                  f"SELECT label, value, CAST(row_number() OVER (ORDER BY value DESC, first) AS INTEGER) AS position "
                  f"FROM g QUALIFY position <= 6")
 

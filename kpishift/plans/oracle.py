@@ -6,6 +6,13 @@ DataFrame code; the catalogue pairs each Spark query with one of these.
 
 from __future__ import annotations
 
+from ..functions.numeric import exact_round_sql
+
+
+def rnd(expr: str, digits: int) -> str:
+    """Python-exact rounding in DuckDB SQL (same arithmetic as the Spark side)."""
+    return exact_round_sql(expr, digits, "::DOUBLE")
+
 
 def q(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
@@ -52,10 +59,11 @@ def insights_sql(fact: str, date_expr: str, dims: list[str], metrics: dict[str,
     sc = ("SELECT *, c - p AS dl, CASE WHEN p = 0 THEN CASE WHEN c = 0 THEN 0.0::DOUBLE "
           "WHEN c > 0 AND NOT isnan(c) THEN 100.0::DOUBLE ELSE -100.0::DOUBLE END "
           "ELSE (c - p) / abs(p) * 100.0::DOUBLE END AS dp FROM long")
-    fin = (f"SELECT {gcols}metric, kpi_index, round(c, 4) AS current_value, round(p, 4) AS previous_value, "
-           f"round(dl, 4) AS delta, round(dp, 2) AS delta_pct, "
-           f"round(abs(dl) * (1.0::DOUBLE + least(abs(dp), 200.0::DOUBLE) / 200.0::DOUBLE) * "
-           f"(1.0::DOUBLE + ({n}.0::DOUBLE - kpi_index) / {n}.0::DOUBLE), 4) AS impact_score, "
+    raw_impact = (f"abs(dl) * (1.0::DOUBLE + least(abs(dp), 200.0::DOUBLE) / 200.0::DOUBLE) * "
+                  f"(1.0::DOUBLE + ({n}.0::DOUBLE - kpi_index) / {n}.0::DOUBLE)")
+    fin = (f"SELECT {gcols}metric, kpi_index, {rnd('c', 4)} AS current_value, {rnd('p', 4)} AS previous_value, "
+           f"{rnd('dl', 4)} AS delta, {rnd('dp', 2)} AS delta_pct, "
+           f"{rnd(raw_impact, 4)} AS impact_score, "
            f"CASE WHEN dl > 0 AND NOT isnan(dl) THEN 'up' WHEN dl < 0 THEN 'down' ELSE 'flat' END AS direction "
            f"FROM sc")
     part = f"PARTITION BY {', '.join(q(k) for k in keys)} " if keys else ""
@@ -68,8 +76,8 @@ def insights_sql(fact: str, date_expr: str, dims: list[str], metrics: dict[str,
 
 
 def fmt_sql(expr: str, digits: int, sign: bool = False) -> str:
-    return f"printf('%{'+' if sign else ''}.{digits}f', round({expr}, {digits}))"
+    return f"printf('%{'+' if sign else ''}.{digits}f', {rnd(expr, digits)})"
 
 
 def thousands_sql(expr: str) -> str:
-    return f"format('{{:,.2f}}', round({expr}, 2))"
+    return f"format('{{:,.2f}}', {rnd(expr, 2)})"

@@ -19,7 +19,7 @@ from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, split_by_
 from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
-from ..operators.unpivot import extract_insights
+from ..operators.unpivot import finish_insights, score_rows
 from ..session import cut_lineage
 from ..sources.ingest import ingest_data
 
@@ -32,16 +32,21 @@ class ReportTables:
     """
 
     def __init__(self, config: InsightConfig, dims: list, keys: list, facts: DataFrame, periods: DataFrame,
-                 scored: DataFrame, insights: DataFrame, dim_types: dict):
+                 raw_scores: DataFrame, insights: DataFrame, dim_types: dict):
         self.config = config
         self.dims = dims
         self.keys = keys
         self.facts = facts          # joined rows with dates and derived metrics
         self.periods = periods      # wide aggregate: keys, dims, m_current, m_previous
-        self.scored = scored        # every (dims x KPI) row, scored, before ranking
+        self.raw_scores = raw_scores  # every (dims x KPI) row; only the impact rounded yet
         self.insights = insights
         self.dim_types = dim_types
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Every (dims x KPI) row, scored and rounded, before filter and ranking."""
+        return finish_insights(self.raw_scores)
+
     @cached_property
     def summary(self) -> DataFrame:
         return insight_summary(self.insights, self.dims, self.keys)
@@ -130,11 +135,12 @@ def report_from_periods(config: InsightConfig, periods: DataFrame, facts: DataFr
     dims = list(rep.primary_dims)
     keys = list(rep.report_key)
     n = rep.top_n if top_n == -1 else top_n
-    scored = extract_insights(periods, dims, list(rep.kpi_priority), keys)
-    ranked = rank_insights(scored, dims, top_n=n, min_impact=rep.min_impact, keys=keys)
+    raw = score_rows(periods, dims, list(rep.kpi_priority), keys)
+    # rank on the rounded impact, round the other values on the kept rows only
+    ranked = finish_insights(rank_insights(raw, dims, top_n=n, min_impact=rep.min_impact, keys=keys))
     if dim_types is None:
         dim_types = {f.name: f.dataType for f in periods.schema.fields if f.name in dims}
-    return ReportTables(config, dims, keys, facts if facts is not None else periods, periods, scored, ranked,
+    return ReportTables(config, dims, keys, facts if facts is not None else periods, periods, raw, ranked,
                         dim_types)
 
 

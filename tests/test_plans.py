@@ -77,3 +77,17 @@ def test_date_partitioned_input_prunes_partitions(spark):
     sp = ins._jdf.queryExecution().sparkPlan().toString()
     assert "PartitionFilters: [" in sp and "ship_month" in sp.split("PartitionFilters: [")[1].split("]")[0]
     assert ins.count() == 3
+
+
+def test_report_plans_compile_without_fallback(spark):
+    """Whole-stage codegen must compile (no silent fallback to interpreted mode)."""
+    from kpishift.plans.catalog import flagship_report, no_dims_report
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for rep in (flagship_report(spark, SF_SMALL), per_nation_report(spark, SF_SMALL),
+                    no_dims_report(spark, SF_SMALL)):
+            for df in (rep.insights, rep.summary, rep.totals, rep.breakdown, rep.cards, rep.table, rep.narrative):
+                df.collect()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")
