@@ -73,32 +73,43 @@ def round_sql(expr: str, digits: int) -> str:
     return exact_round_sql(expr, digits)
 
 
-def round_columns(df: DataFrame, specs: list[tuple[str, int, str]], keep: list[str]) -> DataFrame:
-    """Add ``out = round(src, digits)`` (Python semantics) for every spec.
-
-    Staged as three narrow projections (product, split and floor; integer;
-    result) so that every expression reads plain columns: the same
-    arithmetic as :func:`exact_round_sql` without repeating subexpressions,
-    which keeps optimizer work and generated code small. Returns ``keep``
+def chain(df: DataFrame, stages: list[list[str]]) -> DataFrame:
+    """Apply projection stages (lists of SQL select items) as nested
+    subqueries in one ``spark.sql`` call: the same plan as a chain of
+    ``selectExpr`` calls, parsed and analysed once."""
+    sql = None
+    for cols in stages:
+        source = "{df}" if sql is None else f"({sql})"
+        sql = f"SELECT {', '.join(cols)} FROM {source}"
+    return df if sql is None else df.sparkSession.sql(sql, df=df)
+
+
+def round_stages(specs: list[tuple[str, int, str]], keep: list[str]) -> list[list[str]]:
+    """Projection stages adding ``out = round(src, digits)`` for every spec.
+
+    Three narrow stages (product, split and floor; integer; result), so
+    every expression reads plain columns: the arithmetic of
+    :func:`exact_round_sql` without repeated subexpressions, which keeps
+    optimizer work and generated code small. The last stage keeps ``keep``
     plus the outputs.
     """
-    a = []
-    for j, (src, digits, _) in enumerate(specs):
+    k = _lit(SPLITTER, "D")
+    a, b, outs = ["*"], ["*"], [qi(c) for c in keep]
+    for j, (src, digits, out) in enumerate(specs):
         s = _lit(float(10 ** digits), "D")
         x = f"CAST({qi(src)} AS DOUBLE)"
-        k = _lit(SPLITTER, "D")
         a += [f"{x} * {s} AS __p{j}", f"({k} * {x}) - (({k} * {x}) - {x}) AS __h{j}",
               f"CAST(floor({x} * {s}) AS DOUBLE) AS __f{j}"]
-    st1 = df.selectExpr("*", *a)
-    b = []
-    for j, (src, digits, _) in enumerate(specs):
-        s = _lit(float(10 ** digits), "D")
-        err = f"((__h{j} * {s} - __p{j}) + (CAST({qi(src)} AS DOUBLE) - __h{j}) * {s})"
+        err = f"((__h{j} * {s} - __p{j}) + ({x} - __h{j}) * {s})"
         b.append(f"__f{j} + {_step_sql(f'__p{j}', f'__f{j}', err, 'D')} AS __n{j}")
-    st2 = st1.selectExpr("*", *b)
-    outs = [f"{_finish_sql('CAST(' + qi(src) + ' AS DOUBLE)', f'__p{j}', f'__n{j}', _lit(float(10 ** d), 'D'), 'D')}"
-            f" AS {qi(out)}" for j, (src, d, out) in enumerate(specs)]
-    return st2.selectExpr(*[qi(k) for k in keep], *outs)
+        outs.append(f"{_finish_sql(x, f'__p{j}', f'__n{j}', s, 'D')} AS {qi(out)}")
+    return [a, b, outs]
+
+
+def round_columns(df: DataFrame, specs: list[tuple[str, int, str]], keep: list[str]) -> DataFrame:
+    """Add ``out = round(src, digits)`` (Python semantics) for every spec;
+    returns ``keep`` plus the outputs (see :func:`round_stages`)."""
+    return chain(df, round_stages(specs, keep))
 
 
 def round_to(col: Column, digits: int) -> Column:

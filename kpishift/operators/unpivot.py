@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import qi, round_columns
+from ..functions.numeric import chain, qi, round_stages
 from ..functions.scoring import (IMPACT_DIGITS, PCT_DIGITS, VALUE_DIGITS, delta_pct_sql, delta_sql,
                                  direction_sql, raw_impact_sql)
 
@@ -43,23 +43,20 @@ def score_rows(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[s
     # Score every KPI in the wide row first, then unpivot the scored values.
     # Filters on the scores (min impact) sit above the ``stack`` and cannot
     # be pushed below it, so they never expand into copies of the scoring
-    # expressions; each stage reads plain column references.
-    wide = joined.selectExpr(*g, *[
-        e for i, k in present for e in (
-            f"coalesce(CAST({qi(k + '_current')} AS DOUBLE), 0.0D) AS _c{i}",
-            f"coalesce(CAST({qi(k + '_previous')} AS DOUBLE), 0.0D) AS _p{i}")])
-    changes = wide.selectExpr("*", *[
-        e for i, _ in present for e in (
-            f"{delta_sql(f'_c{i}', f'_p{i}')} AS _d{i}", f"{delta_pct_sql(f'_c{i}', f'_p{i}')} AS _dp{i}")])
-    raw = changes.selectExpr("*", *[
-        e for i, _ in present for e in (
-            f"{raw_impact_sql(f'_d{i}', f'_dp{i}', str(i), n_kpis)} AS _imp{i}",
-            f"{direction_sql(f'_d{i}')} AS _dr{i}")])
+    # expressions; each stage reads plain column references. All stages
+    # are one nested query (parsed and analysed once).
+    wide = g + [e for i, k in present for e in (
+        f"coalesce(CAST({qi(k + '_current')} AS DOUBLE), 0.0D) AS _c{i}",
+        f"coalesce(CAST({qi(k + '_previous')} AS DOUBLE), 0.0D) AS _p{i}")]
+    changes = ["*"] + [e for i, _ in present for e in (
+        f"{delta_sql(f'_c{i}', f'_p{i}')} AS _d{i}", f"{delta_pct_sql(f'_c{i}', f'_p{i}')} AS _dp{i}")]
+    raw = ["*"] + [e for i, _ in present for e in (
+        f"{raw_impact_sql(f'_d{i}', f'_dp{i}', str(i), n_kpis)} AS _imp{i}", f"{direction_sql(f'_d{i}')} AS _dr{i}")]
     keep = list(group) + [c for i, _ in present for c in (f"_c{i}", f"_p{i}", f"_d{i}", f"_dp{i}", f"_dr{i}")]
-    scored = round_columns(raw, [(f"_imp{i}", IMPACT_DIGITS, f"_im{i}") for i, _ in present], keep)
+    rounding = round_stages([(f"_imp{i}", IMPACT_DIGITS, f"_im{i}") for i, _ in present], keep)
     stack = ", ".join(f"'{k}', {i}, _c{i}, _p{i}, _d{i}, _dp{i}, _im{i}, _dr{i}" for i, k in present)
-    return scored.selectExpr(
-        *g, f"stack({len(present)}, {stack}) AS (metric, kpi_index, _c, _p, _d, _dp, impact_score, direction)")
+    unpivot = g + [f"stack({len(present)}, {stack}) AS (metric, kpi_index, _c, _p, _d, _dp, impact_score, direction)"]
+    return chain(joined, [wide, changes, raw, *rounding, unpivot])
 
 
 def finish_insights(scored: DataFrame) -> DataFrame:
@@ -67,9 +64,8 @@ def finish_insights(scored: DataFrame) -> DataFrame:
     front = [c for c in scored.columns if c not in ("_c", "_p", "_d", "_dp", "impact_score", "direction")]
     specs = [("_c", VALUE_DIGITS, "current_value"), ("_p", VALUE_DIGITS, "previous_value"),
              ("_d", VALUE_DIGITS, "delta"), ("_dp", PCT_DIGITS, "delta_pct")]
-    out = round_columns(scored, specs, front + ["impact_score", "direction"])
     order = [c for c in front if c != "rank"] + INSIGHT_VALUE_COLUMNS[2:] + (["rank"] if "rank" in front else [])
-    return out.select(*order)
+    return chain(scored, [*round_stages(specs, front + ["impact_score", "direction"]), [qi(c) for c in order]])
 
 
 def extract_insights(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[str] = ()) -> DataFrame:
