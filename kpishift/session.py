@@ -16,6 +16,36 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for large inputs. All are runtime SQL options; `apply_recommended`
+# sets only those the session has not set already.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ~256 MB shuffle partitions after coalescing; skewed ones split at 5x the median
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    # scan splits: fewer, larger tasks over wide Parquet files
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # streaming state (one row per report group) off-heap in RocksDB
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def apply_recommended(spark: SparkSession, overrides: dict | None = None) -> dict:
+    """Set the recommended options the session does not set yet; returns what was set."""
+    applied = {}
+    for key, value in {**RECOMMENDED_CONF, **(overrides or {})}.items():
+        if spark.conf.get(key, None) in (None, ""):
+            try:
+                spark.conf.set(key, value)
+                applied[key] = value
+            except Exception:  # noqa: BLE001 - some deployments lock options
+                pass
+    return applied
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "kpishift",
                   extra: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks (a cluster brings its own)."""

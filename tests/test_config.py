@@ -78,3 +78,11 @@ def test_connection_strings():
     assert connection_string_options("sqlite:///data/x.db")["url"] == "jdbc:sqlite:data/x.db"
     assert connection_string_options("mysql+mysqlconnector://h/db")["url"] == "jdbc:mysql://h:3306/db"
     assert connection_string_options("jdbc:derby:memory:x")["url"] == "jdbc:derby:memory:x"
+
+
+def test_apply_recommended_keeps_existing(spark):
+    from kpishift.session import apply_recommended
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    applied = apply_recommended(spark, {"spark.sql.adaptive.enabled": "false"})
+    assert "spark.sql.adaptive.enabled" not in applied          # already set by the session
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
