@@ -33,11 +33,20 @@ RECOMMENDED_CONF = {
 }
 
 
+def _explicitly_set(spark: SparkSession, key: str) -> bool:
+    """Set at launch or at run time (a registered default does not count)."""
+    try:
+        return bool(spark._jsparkSession.sessionState().conf().getAllConfs().contains(key))
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session)
+        sc = _context(spark)
+        return sc is not None and sc.getConf().contains(key)
+
+
 def apply_recommended(spark: SparkSession, overrides: dict | None = None) -> dict:
     """Set the recommended options the session does not set yet; returns what was set."""
     applied = {}
     for key, value in {**RECOMMENDED_CONF, **(overrides or {})}.items():
-        if spark.conf.get(key, None) in (None, ""):
+        if not _explicitly_set(spark, key):
             try:
                 spark.conf.set(key, value)
                 applied[key] = value

@@ -86,3 +86,10 @@ def test_apply_recommended_keeps_existing(spark):
     applied = apply_recommended(spark, {"spark.sql.adaptive.enabled": "false"})
     assert "spark.sql.adaptive.enabled" not in applied          # already set by the session
     assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        assert apply_recommended(spark).get(key) == "256m"
+    finally:
+        spark.conf.set(key, old)
