@@ -83,13 +83,15 @@ def test_connection_strings():
 def test_apply_recommended_keeps_existing(spark):
     from kpishift.session import apply_recommended
     before = spark.conf.get("spark.sql.adaptive.enabled")
-    applied = apply_recommended(spark, {"spark.sql.adaptive.enabled": "false"})
-    assert "spark.sql.adaptive.enabled" not in applied          # already set by the session
-    assert spark.conf.get("spark.sql.adaptive.enabled") == before
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     old = spark.conf.get(key)
+    spark.conf.unset(key)
+    applied = apply_recommended(spark, {"spark.sql.adaptive.enabled": "false"})
     try:
-        spark.conf.unset(key)
-        assert apply_recommended(spark).get(key) == "256m"
+        assert "spark.sql.adaptive.enabled" not in applied          # already set by the session
+        assert spark.conf.get("spark.sql.adaptive.enabled") == before
+        assert applied.get(key) == "256m"
     finally:
+        for k in applied:                                           # leave the shared session as it was
+            spark.conf.unset(k)
         spark.conf.set(key, old)
