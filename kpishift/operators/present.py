@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (bullet_text, change_text, fmt_fixed, impact_bar, segment_text, trend_text,
-                              value_str, value_text)
+from ..functions.numeric import qi
+from ..functions.text import (bullet_text_sql, change_text_sql, fmt_fixed_sql, impact_bar_sql, segment_text_sql,
+                              sql_str, trend_text_sql, value_str_sql, value_text_sql)
 
 # Rows shown per table and the rule-based narrative wording.
 CARD_ROWS = 4
@@ -25,33 +26,33 @@ RECOMMEND_DOWN = "Investigate the decline in {metric} and implement corrective m
 RECOMMEND_NONE = "Continue monitoring key metrics for emerging trends."
 
 
-def _dim_values(dims: list[str], dim_types: dict | None):
-    return [(d, value_str(F.col(d), (dim_types or {}).get(d))) for d in dims]
+def _dim_values(dims: list[str], dim_types: dict | None) -> list[tuple[str, str]]:
+    return [(d, value_str_sql(qi(d), (dim_types or {}).get(d))) for d in dims]
 
 
 def kpi_cards(ranked: DataFrame, keys: list[str] = ()) -> DataFrame:
     """First 4 ranks: metric, humanised current value, trend text."""
-    return ranked.where(F.col("rank") <= CARD_ROWS).select(
-        *keys, "rank", "metric",
-        value_text(F.col("current_value")).alias("value_text"),
-        trend_text(F.col("direction"), F.col("delta_pct")).alias("trend_text"),
+    return ranked.where(f"rank <= {CARD_ROWS}").selectExpr(
+        *[qi(k) for k in keys], "rank", "metric",
+        f"{value_text_sql('current_value')} AS value_text",
+        f"{trend_text_sql('direction', 'delta_pct')} AS trend_text",
     )
 
 
 def insight_table(ranked: DataFrame, dims: list[str], keys: list[str] = (), dim_types: dict | None = None) -> DataFrame:
     """First 6 ranks: segment, METRIC, change, impact bar."""
-    return ranked.where(F.col("rank") <= TABLE_ROWS).select(
-        *keys, "rank",
-        segment_text(_dim_values(dims, dim_types), ": ").alias("segment"),
-        F.upper(F.col("metric")).alias("metric"),
-        change_text(F.col("direction"), F.col("delta_pct")).alias("change"),
-        impact_bar(F.col("impact_score")).alias("impact"),
+    return ranked.where(f"rank <= {TABLE_ROWS}").selectExpr(
+        *[qi(k) for k in keys], "rank",
+        f"{segment_text_sql(_dim_values(dims, dim_types), ': ')} AS segment",
+        "upper(metric) AS metric",
+        f"{change_text_sql('direction', 'delta_pct')} AS change",
+        f"{impact_bar_sql('impact_score')} AS impact",
     )
 
 
-def _fill(template: str, metric):
+def _fill_sql(template: str, metric: str) -> str:
     head, tail = template.split("{metric}")
-    return F.concat(F.lit(head), metric, F.lit(tail))
+    return f"concat({sql_str(head)}, {metric}, {sql_str(tail)})"
 
 
 def narrative(ranked: DataFrame, dims: list[str], keys: list[str] = (), dim_types: dict | None = None) -> DataFrame:
@@ -61,33 +62,29 @@ def narrative(ranked: DataFrame, dims: list[str], keys: list[str] = (), dim_type
     row per key, or exactly one row without keys (also for no insights).
     """
     keys = list(keys)
-    seg = segment_text(_dim_values(dims, dim_types), "=")
-    bullet = bullet_text(F.col("metric"), seg, F.col("current_value"), F.col("previous_value"), F.col("delta_pct"))
-    top = F.struct(F.col("metric").alias("metric"), F.col("direction").alias("direction"),
-                   F.col("delta_pct").alias("delta_pct"))
-    head = ranked.where(F.col("rank") <= BULLET_ROWS)
+    seg = segment_text_sql(_dim_values(dims, dim_types), "=")
+    bullet = bullet_text_sql("metric", seg, "current_value", "previous_value", "delta_pct")
+    head = ranked.where(f"rank <= {BULLET_ROWS}")
     aggs = [
-        F.min_by(top, F.col("rank")).alias("_top"),
-        F.sort_array(F.collect_list(F.struct(F.col("rank"), bullet.alias("text")))).alias("_b"),
+        F.expr("min_by(named_struct('metric', metric, 'direction', direction, 'delta_pct', delta_pct), rank)")
+        .alias("_top"),
+        F.expr(f"sort_array(collect_list(named_struct('rank', rank, 'text', {bullet})))").alias("_b"),
     ]
     g = head.groupBy(*keys).agg(*aggs) if keys else head.agg(*aggs)
-    t = F.col("_top")
-    verb = F.when(t["direction"] == "up", F.lit(HEADLINE_UP)).otherwise(F.lit(HEADLINE_DOWN))
-    headline = F.when(
-        t.isNull(), F.lit(HEADLINE_STABLE)
-    ).otherwise(F.concat(
-        F.lit(HEADLINE_PREFIX), F.upper(t["metric"]), F.lit(" "), verb, F.lit(" by "),
-        fmt_fixed(F.abs(t["delta_pct"]), 1), F.lit(HEADLINE_SUFFIX)))
-    recommendation = (
-        F.when(t.isNull(), F.lit(RECOMMEND_NONE))
-        .when(t["direction"] == "up", _fill(RECOMMEND_UP, t["metric"]))
-        .otherwise(_fill(RECOMMEND_DOWN, t["metric"])))
-    texts = F.transform(F.coalesce(F.col("_b"), F.array()), lambda s: s["text"])
-    pad = F.array_repeat(F.lit(BULLET_PAD), F.greatest(F.lit(BULLET_ROWS) - F.size(texts), F.lit(0)))
-    return g.select(
-        *keys,
-        F.lit(NARRATIVE_TITLE).alias("title"),
-        headline.alias("headline"),
-        F.concat(texts, pad).alias("bullets"),
-        recommendation.alias("recommendation"),
+    verb = f"(CASE WHEN _top.direction = 'up' THEN {sql_str(HEADLINE_UP)} ELSE {sql_str(HEADLINE_DOWN)} END)"
+    headline = (f"(CASE WHEN _top IS NULL THEN {sql_str(HEADLINE_STABLE)} ELSE concat({sql_str(HEADLINE_PREFIX)}, "
+                f"upper(_top.metric), ' ', {verb}, ' by ', {fmt_fixed_sql('abs(_top.delta_pct)', 1)}, "
+                f"{sql_str(HEADLINE_SUFFIX)}) END)")
+    recommendation = (f"(CASE WHEN _top IS NULL THEN {sql_str(RECOMMEND_NONE)} "
+                      f"WHEN _top.direction = 'up' THEN {_fill_sql(RECOMMEND_UP, '_top.metric')} "
+                      f"ELSE {_fill_sql(RECOMMEND_DOWN, '_top.metric')} END)")
+    texts = "transform(coalesce(_b, array()), s -> s.text)"
+    bullets = (f"concat({texts}, array_repeat({sql_str(BULLET_PAD)}, "
+               f"greatest({BULLET_ROWS} - size({texts}), 0)))")
+    return g.selectExpr(
+        *[qi(k) for k in keys],
+        f"{sql_str(NARRATIVE_TITLE)} AS title",
+        f"{headline} AS headline",
+        f"{bullets} AS bullets",
+        f"{recommendation} AS recommendation",
     )

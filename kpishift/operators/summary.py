@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_to
-from ..functions.text import value_str
+from ..functions.numeric import qi, round_sql
+from ..functions.text import value_str_sql
 
 RECORD_FIELDS = ["rank", "metric", "current_value", "previous_value", "delta", "delta_pct", "impact_score",
                  "direction"]
@@ -67,8 +67,8 @@ def period_totals(periods: DataFrame, metrics: list[str], keys: list[str] = (),
     for m in present:
         args += [F.lit(m), F.col(f"{m}_current"), F.col(f"{m}_previous")]
     long = wide.select(*keys, F.stack(*args).alias("metric", "_cur", "_prev")).select(
-        *keys, "metric", round_to(F.col("_cur"), 4).alias("current_total"),
-        round_to(F.col("_prev"), 4).alias("previous_total"))
+        *keys, "metric", F.expr(round_sql("_cur", 4)).alias("current_total"),
+        F.expr(round_sql("_prev", 4)).alias("previous_total"))
     order = [(F.col("current_total") + F.col("previous_total")).desc(), F.col("metric").asc()]
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return long.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
@@ -88,14 +88,14 @@ def dimension_breakdown(ranked: DataFrame, dims: list[str], keys: list[str] = ()
     if dims:
         d0 = dims[0]
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS)
-        label = value_str(F.col(d0), (dim_types or {}).get(d0))
+        label = F.expr(value_str_sql(qi(d0), (dim_types or {}).get(d0)))
         grouped = src.groupBy(*keys, label.alias("label")).agg(
             F.sum(F.abs(F.col("current_value"))).alias("value"), F.min("rank").alias("_first"))
     else:
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS_NO_DIMS)
         grouped = src.groupBy(*keys, F.col("metric").alias("label")).agg(
             F.max_by(F.abs(F.col("impact_score")), F.col("rank")).alias("value"), F.min("rank").alias("_first"))
-    grouped = grouped.withColumn("value", round_to(F.col("value"), 4))
+    grouped = grouped.withColumn("value", F.expr(round_sql("value", 4)))
     order = [F.col("value").desc(), F.col("_first").asc()]
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return (grouped.withColumn("position", F.row_number().over(w))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import value_str
+from ..functions.numeric import qi
+from ..functions.text import value_str_sql
 
 
 def with_dimension_map(insights: DataFrame, dims: list[str]) -> DataFrame:
@@ -13,7 +14,7 @@ def with_dimension_map(insights: DataFrame, dims: list[str]) -> DataFrame:
     if dims:
         pairs = []
         for d in dims:
-            pairs += [F.lit(d), value_str(F.col(d), insights.schema[d].dataType)]
+            pairs += [F.lit(d), F.expr(value_str_sql(qi(d), insights.schema[d].dataType))]
         m = F.create_map(*pairs)
     else:
         m = F.create_map().cast("map<string,string>")
@@ -23,7 +24,7 @@ def with_dimension_map(insights: DataFrame, dims: list[str]) -> DataFrame:
 def _record(dims: list[str], dim_types: dict):
     pairs = []
     for d in dims:
-        pairs += [F.lit(d), value_str(F.col(d), dim_types.get(d))]
+        pairs += [F.lit(d), F.expr(value_str_sql(qi(d), dim_types.get(d)))]
     dim_map = F.create_map(*pairs) if dims else F.create_map().cast("map<string,string>")
     return F.struct(dim_map.alias("dimensions"), *[F.col(c) for c in (
         "metric", "current_value", "previous_value", "delta", "delta_pct", "impact_score", "direction")])

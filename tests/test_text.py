@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from kpishift.functions.numeric import round_to
-from kpishift.functions.text import (bullet_text, change_text, impact_bar, segment_text, trend_text, value_str,
-                                     value_text)
+from kpishift.functions.text import (bullet_text_sql, change_text, impact_bar, segment_text_sql, trend_text,
+                                     value_str, value_str_sql, value_text)
 
 
 def py_value(c):
@@ -40,12 +40,12 @@ def test_text_matches_python_formats(spark):
     df = spark.createDataFrame(rows, "v double, dir string, imp double")
     out = df.select(
         "v", "dir", "imp",
-        value_text(F.col("v")).alias("value"),
-        trend_text(F.col("dir"), F.col("v")).alias("trend"),
-        change_text(F.col("dir"), F.col("v")).alias("change"),
-        impact_bar(F.col("imp")).alias("bar"),
-        bullet_text(F.lit("ctr"), segment_text([("geo", value_str(F.lit("US")))], "="), F.col("v"), F.col("imp"),
-                    F.col("v")).alias("bullet"),
+        value_text("v").alias("value"),
+        trend_text("dir", "v").alias("trend"),
+        change_text("dir", "v").alias("change"),
+        impact_bar("imp").alias("bar"),
+        F.expr(bullet_text_sql("'ctr'", segment_text_sql([("geo", value_str_sql("'US'"))], "="), "v", "imp",
+                               "v")).alias("bullet"),
         round_to(F.col("v"), 2).alias("r2"),
     ).collect()
     checked = 0
@@ -64,8 +64,8 @@ def test_text_matches_python_formats(spark):
 def test_segment_and_none(spark):
     df = spark.createDataFrame([("a", None, True)], "x string, y string, z boolean")
     row = df.select(
-        segment_text([("x", value_str(F.col("x"))), ("y", value_str(F.col("y")))], ": ").alias("s"),
-        segment_text([], ": ").alias("o"),
-        value_str(F.col("z"), df.schema["z"].dataType).alias("b"),
+        F.expr(segment_text_sql([("x", value_str_sql("x")), ("y", value_str_sql("y"))], ": ")).alias("s"),
+        F.expr(segment_text_sql([], ": ")).alias("o"),
+        value_str("z", df.schema["z"].dataType).alias("b"),
     ).first()
     assert (row.s, row.o, row.b) == ("x: a, y: None", "Overall", "True")
