@@ -56,23 +56,28 @@ def flagship_config(sf_dir: str, **report) -> dict:
                 {"unit_price": "l_extendedprice / l_quantity"}, **report)
 
 
-def flagship_report(spark: SparkSession, sf_dir: str, plan: str = "fused") -> ReportTables:
-    return run_report(spark, config_from_dict(flagship_config(sf_dir)), plan=plan)
+def flagship_report(spark: SparkSession, sf_dir: str, plan: str = "fused", **report) -> ReportTables:
+    return run_report(spark, config_from_dict(flagship_config(sf_dir, **report)), plan=plan)
 
 
 FLAG_METRICS_SQL = {"l_extendedprice": "l_extendedprice", "l_quantity": "l_quantity",
                     "unit_price": safe_div_sql("l_extendedprice", "l_quantity")}
 
 
-def flagship_sql(top_n=20) -> str:
+def flagship_sql(top_n=20, decimal=False) -> str:
     return insights_sql("SELECT * FROM lineitem", "CAST(l_shipdate AS DATE)", FLAG_DIMS, FLAG_METRICS_SQL,
-                        FLAG_KPIS, FLAG_CUR, FLAG_PREV, top_n)
+                        FLAG_KPIS, FLAG_CUR, FLAG_PREV, top_n, decimal=decimal)
 
 
 def q_flagship(spark, sf_dir):
     return flagship_report(spark, sf_dir).insights
 
 
+def q_flagship_decimal(spark, sf_dir):
+    """Same report with the exact decimal accumulator (order-independent sums)."""
+    return flagship_report(spark, sf_dir, accumulator="decimal").insights
+
+
 def q_flagship_literal(spark, sf_dir):
     """Same report through two per-period aggregates and a full outer join."""
     return flagship_report(spark, sf_dir, plan="literal").insights
@@ -651,6 +656,7 @@ def q_streaming_flagship(spark, sf_dir):
 QUERIES = {
     "flagship_insights": q_flagship,
     "flagship_insights_literal": q_flagship_literal,
+    "flagship_insights_decimal": q_flagship_decimal,
     "derived_metrics": q_derived_metrics,
     "parse_dates": q_parse_dates,
     "parse_dates_day_first": q_parse_dates_day_first,
@@ -688,6 +694,7 @@ def oracle_statements() -> dict[str, str]:
     return {
         "flagship_insights": flagship_sql(),
         "flagship_insights_literal": flagship_sql(),
+        "flagship_insights_decimal": flagship_sql(decimal=True),
         "derived_metrics": SQL_DERIVED,
         "parse_dates": SQL_PARSE_DATES,
         "parse_dates_day_first": SQL_PARSE_DATES_DAY_FIRST,

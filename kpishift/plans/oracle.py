@@ -2,6 +2,9 @@
 
 The scoring formulas are written out in SQL here independently of the
 DataFrame code; the catalogue pairs each Spark query with one of these.
+Only the rounding expression is shared with the Spark side: it is plain
+double arithmetic, checked against Python's ``round`` on its own
+(tests/test_rounding.py).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def safe_div_sql(a: str, b: str) -> str:
 
 
 def aggregate_sql(fact: str, date_expr: str, group: list[str], metrics: dict[str, str], cur: tuple, prev: tuple,
-                  metric_casts: dict[str, str] | None = None) -> str:
+                  metric_casts: dict[str, str] | None = None, decimal: bool = False) -> str:
     """Wide per-period sums ``m_current`` / ``m_previous`` (0 when none)."""
     metric_casts = metric_casts or {}
     base_cols = [q(g) for g in group] + [f"{e} AS {q(m)}" for m, e in metrics.items()] + [f"{date_expr} AS __d"]
@@ -36,7 +39,9 @@ def aggregate_sql(fact: str, date_expr: str, group: list[str], metrics: dict[str
     for m in metrics:
         cast = metric_casts.get(m)
         for flag, suf in ((in_c, "current"), (in_p, "previous")):
-            s = f"coalesce(sum(CASE WHEN {flag} THEN {q(m)} END), 0)"
+            picked = f"CASE WHEN {flag} THEN {q(m)} END"
+            s = (f"coalesce(CAST(sum(CAST({picked} AS DECIMAL(38, 10))) AS DOUBLE), 0)" if decimal
+                 else f"coalesce(sum({picked}), 0)")
             sums.append(f"{('CAST(' + s + ' AS ' + cast + ')') if cast else s} AS {q(m + '_' + suf)}")
     group_by = f" GROUP BY {', '.join(q(g) for g in group)}" if group else ""
     sel = ", ".join([q(g) for g in group] + sums)
@@ -46,10 +51,10 @@ def aggregate_sql(fact: str, date_expr: str, group: list[str], metrics: dict[str
 
 def insights_sql(fact: str, date_expr: str, dims: list[str], metrics: dict[str, str], kpis: list[str],
                  cur: tuple, prev: tuple, top_n: int | None = 20, min_impact: float = 0.0,
-                 keys: list[str] = ()) -> str:
+                 keys: list[str] = (), decimal: bool = False) -> str:
     keys = list(keys)
     group = keys + list(dims)
-    agg = aggregate_sql(fact, date_expr, group, metrics, cur, prev)
+    agg = aggregate_sql(fact, date_expr, group, metrics, cur, prev, decimal=decimal)
     n = len(kpis)
     present = [(i, k) for i, k in enumerate(kpis) if k in metrics]
     gcols = "".join(q(g) + ", " for g in group)
