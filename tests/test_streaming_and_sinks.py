@@ -68,3 +68,26 @@ def test_payload_one_row_per_report(spark):
     per = report_payload(per_nation_report(spark, SF_SMALL))
     assert per.count() == per.select("n_name").distinct().count()
     assert max(len(r.insights) for r in per.collect()) <= 5
+
+
+def test_streaming_per_report_key(spark):
+    from kpishift.plans.catalog import per_nation_config, per_nation_frames
+    from kpishift.plans.report import run_report
+    from kpishift.streaming import stream_report
+
+    # stream the joined facts of the per-nation report, written once as files
+    frames = per_nation_frames(spark, SF_SMALL)
+    cfg = config_from_dict(per_nation_config())
+    facts = run_report(spark, cfg, frames=frames).facts
+    src = scratch_path(spark, f"facts/{uuid.uuid4().hex}")
+    facts.write.parquet(src)
+    single = config_from_dict({**per_nation_config(), "dataset": {"primary_source": "orders", "sources": {
+        "orders": {"type": "parquet", "path": src, "date_col": "o_orderdate",
+                   "metrics": ["o_totalprice", "order_count"]}}}})
+    sink = scratch_path(spark, f"stream_sink/{uuid.uuid4().hex}")
+    q = stream_report(single, file_stream(spark, src), sink, checkpoint_location=sink + "_ck")
+    q.awaitTermination()
+    got = spark.read.parquet(f"{sink}/insights")
+    want = run_report(spark, cfg, frames=frames).insights
+    cols = ["n_name", "c_mktsegment", "metric", "rank", "impact_score", "current_value"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
