@@ -27,6 +27,11 @@ def qi(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def col(name: str) -> Column:
+    """A column by its exact name (dots and spaces are part of the name)."""
+    return F.col(qi(name))
+
+
 def _lit(v: float, dbl: str) -> str:
     return f"{v!r}{dbl}"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import InsightConfig
-from ..functions.numeric import qi
+from ..functions.numeric import col, qi
 
 # Exact accumulator for floating metrics: sums become order-independent.
 DECIMAL_ACCUMULATOR = T.DecimalType(38, 10)
@@ -55,10 +55,10 @@ def aggregate_by_dimensions(df: DataFrame, dims: list[str], metrics: list[str],
     dims = list(dims)
     valid = _valid_metrics(df, dims, metrics)
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [zero_if_null(sum_of(F.col(m), types[m], accumulator)).alias(m) for m in valid]
+    aggs = [zero_if_null(sum_of(col(m), types[m], accumulator)).alias(m) for m in valid]
     if not dims:
         return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
-    return df.groupBy(*dims).agg(*aggs)
+    return df.groupBy(*[col(d) for d in dims]).agg(*aggs)
 
 
 def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_current: str = "in_current",
@@ -86,4 +86,4 @@ def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_cur
             aggs.append(F.expr(f"coalesce({total}, 0) AS {qi(m + '_' + suffix)}"))
     if not dims:
         return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
-    return df.groupBy(*dims).agg(*aggs)
+    return df.groupBy(*[col(d) for d in dims]).agg(*aggs)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import InsightConfig
+from ..functions.numeric import col
 
 log = logging.getLogger(__name__)
 
@@ -46,12 +47,13 @@ def join_sources(frames: dict[str, DataFrame], config: InsightConfig, how: str |
             continue
         extra = [c for c in df.columns if c not in result.columns]
         order = result.columns + extra  # primary columns keep their place, new ones follow
-        result = result.join(df.select(*common, *extra), on=common, how=how).select(*order)
+        right = df.select(*[col(c) for c in common + extra])
+        result = result.join(right, on=common, how=how).select(*[col(c) for c in order])
     return result
 
 
 def _suffixed(df: DataFrame, dims: list[str], suffix: str) -> DataFrame:
-    return df.select(*dims, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in dims])
+    return df.select(*[col(d) for d in dims], *[col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in dims])
 
 
 def join_periods(current: DataFrame, previous: DataFrame, dims: list[str]) -> DataFrame:
@@ -69,5 +71,5 @@ def join_periods(current: DataFrame, previous: DataFrame, dims: list[str]) -> Da
         joined = cur.join(prev, on=dims, how="full_outer")
     else:
         both = cur.unionByName(prev, allowMissingColumns=True)
-        joined = both.agg(*[F.max(c).alias(c) for c in value_cols]) if value_cols else both.limit(1)
+        joined = both.agg(*[F.max(col(c)).alias(c) for c in value_cols]) if value_cols else both.limit(1)
     return joined.na.fill(0, subset=value_cols) if value_cols else joined

@@ -24,7 +24,7 @@ def detect_date_pattern(df: DataFrame, col: str) -> str | None:
     and day-first). ``None`` means the ISO cast fallback parses everything.
     Raises ``ValueError`` when nothing fits.
     """
-    c = F.col(col).cast("string")
+    c = F.col(qi(col)).cast("string")
     candidates = list(DATE_PATTERNS) + [None]
     aggs = [F.count_if(c.isNotNull() & parse_with(c, p).isNull()).alias(f"f{i}") for i, p in enumerate(candidates)]
     row = df.agg(*aggs).first()
@@ -42,12 +42,12 @@ def parse_date_column(df: DataFrame, col: str, pattern: str | None = None, detec
     if isinstance(dtype, DATE_TYPES):
         if isinstance(dtype, T.DateType):
             return df
-        return df.withColumn(col, F.to_date(F.col(col)))
+        return df.withColumn(col, F.to_date(F.col(qi(col))))
     if not isinstance(dtype, T.StringType):
         raise ValueError(f"Date column '{col}' has type {dtype.simpleString()}")
     if pattern is None and detect:
         pattern = detect_date_pattern(df, col)
-    return df.withColumn(col, as_date(F.col(col), dtype, pattern))
+    return df.withColumn(col, as_date(F.col(qi(col)), dtype, pattern))
 
 
 def period_predicates(date_col: Column, comparison: ComparisonConfig) -> tuple[Column, Column]:
@@ -62,7 +62,7 @@ def _between(c: Column, lo: date, hi: date) -> Column:
 
 def split_by_period(df: DataFrame, date_col: str, comparison: ComparisonConfig) -> tuple[DataFrame, DataFrame]:
     """(current rows, previous rows); overlapping periods put a row in both."""
-    in_cur, in_prev = period_predicates(F.col(date_col), comparison)
+    in_cur, in_prev = period_predicates(F.col(qi(date_col)), comparison)
     return df.where(in_cur), df.where(in_prev)
 
 

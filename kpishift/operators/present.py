@@ -70,7 +70,7 @@ def narrative(ranked: DataFrame, dims: list[str], keys: list[str] = (), dim_type
         .alias("_top"),
         F.expr(f"sort_array(collect_list(named_struct('rank', rank, 'text', {bullet})))").alias("_b"),
     ]
-    g = head.groupBy(*keys).agg(*aggs) if keys else head.agg(*aggs)
+    g = head.groupBy(*[F.col(qi(k)) for k in keys]).agg(*aggs) if keys else head.agg(*aggs)
     verb = f"(CASE WHEN _top.direction = 'up' THEN {sql_str(HEADLINE_UP)} ELSE {sql_str(HEADLINE_DOWN)} END)"
     headline = (f"(CASE WHEN _top IS NULL THEN {sql_str(HEADLINE_STABLE)} ELSE concat({sql_str(HEADLINE_PREFIX)}, "
                 f"upper(_top.metric), ' ', {verb}, ' by ', {fmt_fixed_sql('abs(_top.delta_pct)', 1)}, "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import col, qi
 from ..session import cut_lineage
 
 RANK = "rank"
@@ -13,7 +14,7 @@ RANK = "rank"
 def rank_order(dims: list[str]) -> list[Column]:
     """Impact descending; ties by KPI priority, then dimension values (a total order)."""
     return [F.col("impact_score").desc(), F.col("kpi_index").asc(),
-            *[F.col(d).asc_nulls_first() for d in dims]]
+            *[col(d).asc_nulls_first() for d in dims]]
 
 
 def min_impact_filter(df: DataFrame, min_impact: float = 0.0) -> DataFrame:
@@ -38,7 +39,7 @@ def rank_insights(insights: DataFrame, dims: list[str], top_n: int | None = None
     kept = min_impact_filter(insights, min_impact)
     if keys:
         if top_n:
-            w = Window.partitionBy(*keys).orderBy(*order)
+            w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
             return kept.withColumn(RANK, F.row_number().over(w)).where(F.col(RANK) <= top_n)
         return number_rows(kept, order, keys)
     if top_n:
@@ -50,7 +51,7 @@ def rank_insights(insights: DataFrame, dims: list[str], top_n: int | None = None
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     cond = F.lit(True)
     for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
+        cond = cond & left[qi(c)].eqNullSafe(right[qi(c)])
     return cond
 
 
@@ -68,7 +69,7 @@ def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str =
     per partition and is broadcast; with keys it is joined on (partition, key).
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sort_cols = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    sort_cols = [col(k).asc_nulls_first() for k in keys] + list(order)
     ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
@@ -77,15 +78,15 @@ def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str =
     # partitions differently; a reliable checkpoint fixes one partitioning
     # (and spares the second read a recomputation of everything upstream).
     ranged = cut_lineage(ranged)
-    slices = ranged.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("_pid", *[F.col(k) for k in keys], "_first",
+    slices = ranged.groupBy(F.col("_pid"), *[col(k) for k in keys]).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[col(k) for k in keys]).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("_pid", *[col(k) for k in keys], "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     if not keys:
         offsets = F.broadcast(offsets)  # at most one row per shuffle partition
     o = offsets.alias("_o")
     lft = ranged.alias("_l")
     joined = lft.join(o, _null_safe_on(lft, o, ["_pid", *keys]))
-    cols = [F.col(f"_l.{c}") for c in df.columns]
+    cols = [F.col(f"_l.{qi(c)}") for c in df.columns]
     number = F.col("_l._pos") - F.col("_o._first") + F.lit(1) + F.col("_o._off")
     return joined.select(*cols, number.cast("int").alias(out))

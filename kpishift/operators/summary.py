@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import qi, round_sql
+from ..functions.numeric import col, qi, round_sql
 from ..functions.text import value_str_sql
 
 RECORD_FIELDS = ["rank", "metric", "current_value", "previous_value", "delta", "delta_pct", "impact_score",
@@ -19,7 +19,7 @@ TOTALS_KEEP = 6
 
 
 def _record(dims: list[str]):
-    return F.struct(*[F.col(c) for c in ["rank", *dims, *RECORD_FIELDS[1:]]])
+    return F.struct(*[col(c) for c in ["rank", *dims, *RECORD_FIELDS[1:]]])
 
 
 def insight_summary(ranked: DataFrame, dims: list[str], keys: list[str] = ()) -> DataFrame:
@@ -42,7 +42,7 @@ def insight_summary(ranked: DataFrame, dims: list[str], keys: list[str] = ()) ->
         F.min_by(rec, F.when(down, F.struct(F.col("delta_pct"), F.col("rank")))).alias("biggest_drop"),
     ]
     keys = list(keys)
-    return ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
+    return ranked.groupBy(*[col(k) for k in keys]).agg(*aggs) if keys else ranked.agg(*aggs)
 
 
 def period_totals(periods: DataFrame, metrics: list[str], keys: list[str] = (), keep: int = TOTALS_KEEP) -> DataFrame:
@@ -54,23 +54,23 @@ def period_totals(periods: DataFrame, metrics: list[str], keys: list[str] = (),
     keys = list(keys)
     present = [m for m in metrics if f"{m}_current" in periods.columns and f"{m}_previous" in periods.columns]
     if not present:
-        return periods.select(*keys, F.lit(None).cast("string").alias("metric"),
+        return periods.select(*[col(k) for k in keys], F.lit(None).cast("string").alias("metric"),
                               F.lit(None).cast("double").alias("current_total"),
                               F.lit(None).cast("double").alias("previous_total"),
                               F.lit(None).cast("int").alias("position")).where(F.lit(False))
     sums = []
     for m in present:
         for s in ("current", "previous"):
-            sums.append(F.coalesce(F.sum(F.col(f"{m}_{s}").cast("double")), F.lit(0.0)).alias(f"{m}_{s}"))
-    wide = periods.groupBy(*keys).agg(*sums) if keys else periods.agg(*sums)
+            sums.append(F.coalesce(F.sum(col(f"{m}_{s}").cast("double")), F.lit(0.0)).alias(f"{m}_{s}"))
+    wide = periods.groupBy(*[col(k) for k in keys]).agg(*sums) if keys else periods.agg(*sums)
     args = [F.lit(len(present))]
     for m in present:
-        args += [F.lit(m), F.col(f"{m}_current"), F.col(f"{m}_previous")]
-    long = wide.select(*keys, F.stack(*args).alias("metric", "_cur", "_prev")).select(
-        *keys, "metric", F.expr(round_sql("_cur", 4)).alias("current_total"),
+        args += [F.lit(m), col(f"{m}_current"), col(f"{m}_previous")]
+    long = wide.select(*[col(k) for k in keys], F.stack(*args).alias("metric", "_cur", "_prev")).select(
+        *[col(k) for k in keys], "metric", F.expr(round_sql("_cur", 4)).alias("current_total"),
         F.expr(round_sql("_prev", 4)).alias("previous_total"))
     order = [(F.col("current_total") + F.col("previous_total")).desc(), F.col("metric").asc()]
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order) if keys else Window.orderBy(*order)
     return long.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
 
 
@@ -89,14 +89,14 @@ def dimension_breakdown(ranked: DataFrame, dims: list[str], keys: list[str] = ()
         d0 = dims[0]
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS)
         label = F.expr(value_str_sql(qi(d0), (dim_types or {}).get(d0)))
-        grouped = src.groupBy(*keys, label.alias("label")).agg(
+        grouped = src.groupBy(*[col(k) for k in keys], label.alias("label")).agg(
             F.sum(F.abs(F.col("current_value"))).alias("value"), F.min("rank").alias("_first"))
     else:
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS_NO_DIMS)
-        grouped = src.groupBy(*keys, F.col("metric").alias("label")).agg(
+        grouped = src.groupBy(*[col(k) for k in keys], F.col("metric").alias("label")).agg(
             F.max_by(F.abs(F.col("impact_score")), F.col("rank")).alias("value"), F.min("rank").alias("_first"))
     grouped = grouped.withColumn("value", F.expr(round_sql("value", 4)))
     order = [F.col("value").desc(), F.col("_first").asc()]
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order) if keys else Window.orderBy(*order)
     return (grouped.withColumn("position", F.row_number().over(w))
             .where(F.col("position") <= BREAKDOWN_KEEP).drop("_first"))

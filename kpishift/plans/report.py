@@ -20,6 +20,7 @@ from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
 from ..operators.unpivot import finish_insights, score_rows
+from ..functions.numeric import qi
 from ..session import cut_lineage
 from ..sources.ingest import ingest_data
 
@@ -82,7 +83,7 @@ class ReportTables:
         )
 
     def insights_ordered(self) -> DataFrame:
-        return self.insights.orderBy(*[F.col(k) for k in self.keys], "rank")
+        return self.insights.orderBy(*[F.col(qi(k)) for k in self.keys], "rank")
 
     def materialize(self) -> "ReportTables":
         """Compute the period aggregate once and cut lineage there.

@@ -248,3 +248,23 @@ def test_q16_decimal_accumulator_keeps_flat_rows_flat(spark):
     dec = run(spark, df, ["k"], ["a"], ["a"], accumulator="decimal").insights.first()
     assert dbl.direction == "up"          # 0.1 + 0.2 > 0.3 in binary floating point
     assert dec.direction == "flat" and dec.impact_score == 0.0
+
+
+def test_column_names_with_dots_and_spaces(spark):
+    from kpishift import config_from_dict, run_report
+    df = spark.createDataFrame([("2025-01-09", "x", 2.0, 4.0), ("2025-01-02", "x", 1.0, 1.0),
+                                ("2025-01-09", "y", 5.0, 1.0)],
+                               "`order date` string, `geo.code` string, `spend usd` double, `clicks.n` double")
+    cfg = config_from_dict({
+        "dataset": {"primary_source": "f", "sources": {"f": {"type": "table", "table": "f", "date_col": "order date",
+                                                             "metrics": ["spend usd", "clicks.n"]}}},
+        "report": {"primary_date_col": "order date", "primary_dims": ["geo.code"],
+                   "kpi_priority": ["spend usd", "clicks.n"], "report_key": [],
+                   "comparison": {"current_start": "2025-01-08", "current_end": "2025-01-14",
+                                  "previous_start": "2025-01-01", "previous_end": "2025-01-07"}}})
+    rep = run_report(spark, cfg, frames={"f": df})
+    rows = {(r["geo.code"], r.metric): r for r in rep.insights.collect()}
+    assert rows[("x", "spend usd")].delta == 1.0 and rows[("y", "clicks.n")].current_value == 1.0
+    for t in (rep.summary, rep.totals, rep.breakdown, rep.cards, rep.table, rep.narrative):
+        assert t.count() >= 1
+    assert rep.table.orderBy("rank").first().segment.startswith("geo.code: ")
