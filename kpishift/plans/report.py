@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from ..config import InsightConfig
 from ..operators.aggregate import aggregate_by_dimensions, aggregate_periods, metric_list
 from ..operators.derive import compute_all_derived_metrics
-from ..operators.joins import join_periods
+from ..operators.joins import default_join_keys, join_periods, join_sources
 from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, split_by_period
 from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
 from ..operators.unpivot import finish_insights, score_rows
-from ..functions.numeric import qi
+from ..functions.formulas import parse_formula
+from ..functions.numeric import col, qi
 from ..session import cut_lineage
-from ..sources.ingest import ingest_data
+from ..sources.ingest import ingest_data, load_all_sources, normalise_dates
 
 
 class ReportTables:
@@ -37,7 +38,8 @@ class ReportTables:
         self.config = config
         self.dims = dims
         self.keys = keys
-        self.facts = facts          # joined rows with dates and derived metrics
+        self.facts = facts          # joined rows (dates normalised, derived metrics); when the
+        #                             primary was aggregated before the joins: the period aggregate
         self.periods = periods      # wide aggregate: keys, dims, m_current, m_previous
         self.raw_scores = raw_scores  # every (dims x KPI) row; only the impact rounded yet
         self.insights = insights
@@ -153,14 +155,89 @@ def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: st
     return report_from_periods(config, periods, fact, dim_types, top_n)
 
 
+def _formula_operands(config: InsightConfig) -> set[str]:
+    ops = set()
+    for formula in config.derived_metrics.values():
+        a, _, b = parse_formula(formula)
+        ops |= {a, b}
+    return ops
+
+
+def eager_periods(config: InsightConfig, loaded: dict[str, DataFrame]) -> DataFrame | None:
+    """Period aggregate with the primary aggregated *before* the joins, when exact.
+
+    Applies when the secondary sources contribute only dimension / key
+    columns (no metric, no formula operand), the joins are left or inner,
+    the report date is a primary column and sums are plain doubles. The
+    primary is then summed per (join keys, primary-side group columns) with
+    the period flags, the secondaries are joined onto those partial sums,
+    and a second aggregate sums them per report group. Equal to joining
+    first: a key's partial sums are repeated once per matching right row,
+    exactly as the key's fact rows would be. The join then shuffles one row
+    per key instead of every fact row. Returns None when not applicable.
+    """
+    rep = config.report
+    primary_name = config.dataset.primary_source
+    if len(loaded) < 2 or config.dataset.join_type not in ("left", "left_outer", "inner") \
+            or rep.accumulator != "double":
+        return None
+    primary = loaded[primary_name]
+    date_col = rep.primary_date_col
+    if date_col not in primary.columns:
+        return None
+    derived_names = set(config.derived_metrics)
+    operands = _formula_operands(config)
+    if not operands <= set(primary.columns) | derived_names:
+        return None
+    metrics = metric_list(config)
+    keys = default_join_keys(config)
+    seen = set(primary.columns) | derived_names
+    needed_from_primary = set()
+    for name, df in loaded.items():
+        if name == primary_name:
+            continue
+        src = config.dataset.sources.get(name)
+        wanted = list(src.join_key) if src is not None and src.join_key else keys
+        common = [k for k in wanted if k in df.columns and k in seen]
+        if not common:
+            continue
+        extra = [c for c in df.columns if c not in seen]
+        if set(extra) & (set(metrics) | operands):
+            return None                      # the source brings a metric: join first
+        needed_from_primary |= {k for k in common if k in primary.columns}
+        seen |= set(extra)
+    group = list(rep.report_key) + list(rep.primary_dims)
+    if not set(group) <= seen:
+        return None
+    pre_keys = [c for c in primary.columns if c in needed_from_primary or c in group]
+    fact = compute_all_derived_metrics(primary, config.derived_metrics) if config.derived_metrics else primary
+    flagged = flag_periods(fact, date_col, rep.comparison)
+    partial = aggregate_periods(flagged, pre_keys, metrics, IN_CURRENT, IN_PREVIOUS, "double")
+    joined = join_sources({**loaded, primary_name: partial}, config)
+    sums = [c for c in partial.columns if c not in pre_keys]
+    aggs = [F.coalesce(F.sum(col(c)), F.lit(0)).alias(c) for c in sums]
+    if not group:
+        return joined.agg(*aggs)
+    return joined.groupBy(*[col(g) for g in group]).agg(*aggs)
+
+
 def run_report(spark: SparkSession, config: InsightConfig, frames: dict | None = None, base_path: str = "",
                plan: str = "fused") -> ReportTables:
     """Validate, ingest and build all report tables (lazy).
 
     ``frames`` maps source names to ready DataFrames (used instead of
-    reading the configured location).
+    reading the configured location). With several sources the primary is
+    aggregated before the joins whenever that is exact (see
+    :func:`eager_periods`); ``plan="join_first"`` turns that off.
     """
     config.validate()
+    if plan == "fused" and len(config.dataset.sources) > 1:
+        loaded = normalise_dates(load_all_sources(spark, config, base_path, frames), config)
+        periods = eager_periods(config, loaded)
+        if periods is not None:
+            return report_from_periods(config, periods, periods)
+    if plan == "join_first":
+        plan = "fused"
     fact, date_col = prepare_facts(spark, config, frames, base_path)
     return build_report(config, fact, date_col, plan)
 

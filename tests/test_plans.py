@@ -91,3 +91,48 @@ def test_report_plans_compile_without_fallback(spark):
                 df.collect()
     finally:
         spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
+def _two_source(spark, with_metric_on_right=False):
+    import random
+
+    from kpishift import config_from_dict
+    rnd = random.Random(9)
+    facts = [(f"2025-01-{rnd.randint(1, 14):02d}", rnd.choice(["c1", "c2", "c3", None]), float(rnd.randint(1, 50)),
+              float(rnd.randint(0, 4))) for _ in range(300)]
+    p = spark.createDataFrame(facts, "d string, cust string, amount double, units double")
+    # repeated keys on the right (c2 twice) multiply the matching fact rows
+    rows = [("c1", "north", 1.0), ("c2", "south", 2.0), ("c2", "east", 3.0), ("c9", "west", 4.0)]
+    s = spark.createDataFrame(rows, "cust string, region string, bonus double")
+    if not with_metric_on_right:
+        s = s.drop("bonus")
+    cfg = config_from_dict({
+        "dataset": {"primary_source": "p", "sources": {
+            "p": {"type": "table", "table": "p", "date_col": "d", "metrics": ["amount", "units"]},
+            "s": {"type": "table", "table": "s", "date_col": "d", "join_key": ["cust"]}}},
+        "derived_metrics": {"per_unit": "amount / units", **({"b": "bonus * units"} if with_metric_on_right else {})},
+        "report": {"primary_date_col": "d", "primary_dims": ["region"], "top_n": None,
+                   "kpi_priority": ["per_unit", "amount", "units"] + (["b"] if with_metric_on_right else []),
+                   "comparison": {"current_start": "2025-01-08", "current_end": "2025-01-14",
+                                  "previous_start": "2025-01-01", "previous_end": "2025-01-08"}}})
+    return cfg, {"p": p, "s": s}
+
+
+def test_aggregation_below_joins_is_exact(spark):
+    from kpishift.plans.report import eager_periods, load_all_sources, normalise_dates, run_report
+    cfg, frames = _two_source(spark)
+    assert eager_periods(cfg, normalise_dates(load_all_sources(spark, cfg, "", frames), cfg)) is not None
+    eager = run_report(spark, cfg, frames=frames)
+    first = run_report(spark, cfg, frames=frames, plan="join_first")
+    plan = eager.periods._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate")       # an aggregate sits below the join
+    key = lambda r: (r.region or "", r.metric)
+    a = sorted(eager.insights.drop("rank").collect(), key=key)
+    b = sorted(first.insights.drop("rank").collect(), key=key)
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_metric_from_a_secondary_joins_first(spark):
+    from kpishift.plans.report import eager_periods, load_all_sources, normalise_dates
+    cfg, frames = _two_source(spark, with_metric_on_right=True)
+    assert eager_periods(cfg, normalise_dates(load_all_sources(spark, cfg, "", frames), cfg)) is None

@@ -72,13 +72,13 @@ def test_payload_one_row_per_report(spark):
 
 def test_streaming_per_report_key(spark):
     from kpishift.plans.catalog import per_nation_config, per_nation_frames
-    from kpishift.plans.report import run_report
+    from kpishift.plans.report import prepare_facts, run_report
     from kpishift.streaming import stream_report
 
     # stream the joined facts of the per-nation report, written once as files
     frames = per_nation_frames(spark, SF_SMALL)
     cfg = config_from_dict(per_nation_config())
-    facts = run_report(spark, cfg, frames=frames).facts
+    facts, _ = prepare_facts(spark, cfg, frames)
     src = scratch_path(spark, f"facts/{uuid.uuid4().hex}")
     facts.write.parquet(src)
     single = config_from_dict({**per_nation_config(), "dataset": {"primary_source": "orders", "sources": {
