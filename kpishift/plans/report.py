@@ -10,12 +10,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import InsightConfig
 from ..operators.aggregate import aggregate_by_dimensions, aggregate_periods, metric_list
 from ..operators.derive import compute_all_derived_metrics
 from ..operators.joins import default_join_keys, join_periods, join_sources
-from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, split_by_period
+from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, parse_date_column, split_by_period
 from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
@@ -210,6 +211,8 @@ def eager_periods(config: InsightConfig, loaded: dict[str, DataFrame]) -> DataFr
     if not set(group) <= seen:
         return None
     pre_keys = [c for c in primary.columns if c in needed_from_primary or c in group]
+    if not isinstance(primary.schema[date_col].dataType, T.DateType):
+        primary = parse_date_column(primary, date_col)   # a report date other than the source's own
     fact = compute_all_derived_metrics(primary, config.derived_metrics) if config.derived_metrics else primary
     flagged = flag_periods(fact, date_col, rep.comparison)
     partial = aggregate_periods(flagged, pre_keys, metrics, IN_CURRENT, IN_PREVIOUS, "double")
