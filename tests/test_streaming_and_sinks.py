@@ -91,3 +91,17 @@ def test_streaming_per_report_key(spark):
     want = run_report(spark, cfg, frames=frames).insights
     cols = ["n_name", "c_mktsegment", "metric", "rank", "impact_score", "current_value"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_write_report_partitions_by_report_key(spark):
+    import os
+
+    from kpishift.plans.catalog import per_nation_report
+
+    rep = per_nation_report(spark, SF_SMALL)
+    out = write_report(rep, scratch_path(spark, f"sink/{uuid.uuid4().hex}"), extra=("totals", "narrative"))
+    parts = [d for d in os.listdir(out["insights"]) if d.startswith("n_name=")]
+    back = spark.read.parquet(out["insights"])
+    assert len(parts) == back.select("n_name").distinct().count() > 1
+    assert back.count() == rep.insights.count()
+    assert spark.read.parquet(out["narrative"]).count() == len(parts)
