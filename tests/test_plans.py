@@ -136,3 +136,10 @@ def test_metric_from_a_secondary_joins_first(spark):
     from kpishift.plans.report import eager_periods, load_all_sources, normalise_dates
     cfg, frames = _two_source(spark, with_metric_on_right=True)
     assert eager_periods(cfg, normalise_dates(load_all_sources(spark, cfg, "", frames), cfg)) is None
+
+
+def test_per_nation_report_aggregates_before_joining(spark):
+    rep = per_nation_report(spark, SF_SMALL)
+    plan = rep.periods._jdf.queryExecution().optimizedPlan().toString()
+    # top aggregate per (nation, segment), joins below it, orders summed per customer below the joins
+    assert plan.count("Aggregate") == 2 and plan.index("Join") < plan.rindex("Aggregate")
