@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kpishift.session import scratch_path
 
 from .common import table
+from .minhash import near_duplicates
 from .packing import pack
 from .records import read_records, with_starts, write_records
 
@@ -34,9 +35,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_records": op8_records,
     "op9_packing": op9_packing,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}

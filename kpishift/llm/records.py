@@ -5,7 +5,8 @@ File format, one file per range of ids (all integers little-endian). A record:
     u64 length of the payload | u32 masked checksum of those 8 bytes |
     payload | u32 masked checksum of the payload
 
-Payload: i64 document id (0 where null), u8 1 if there is an id, then the u32
+Payload: i64 document id (0 where null), u8 1 if there is an id, u8 bytes per
+token id (2 if every id of the vocabulary fits, else 4), then the unsigned
 token ids, end id last. The checksum is CRC-32 (zlib), masked by rotating it
 15 bits to the right and adding 0xA282EAD8. The index is a Parquet table with a
 row per record: file, byte offset, payload length, doc_id, n_tokens. Any record
@@ -41,7 +42,7 @@ _INDEX = pa.schema([("part", pa.int32()), ("file", pa.string()), ("offset", pa.i
 _RECORDS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("n_tokens", pa.int64()),
                       ("ids", pa.binary())])
 _HEAD = struct.Struct("<QI")
-_ID = struct.Struct("<qB")
+_ID = struct.Struct("<qBB")
 
 
 def masked(data) -> int:
@@ -76,13 +77,13 @@ def _uri(path: str) -> str:
     return "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def _payload(doc_id: int | None, ids: np.ndarray) -> bytes:
-    return _ID.pack(doc_id or 0, doc_id is not None) + ids.astype("<u4").tobytes()
+def _payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    return _ID.pack(doc_id or 0, doc_id is not None, width) + ids.astype(f"<u{width}").tobytes()
 
 
-def _ids_of(payload: bytes) -> tuple[int | None, bytes]:
-    doc_id, known = _ID.unpack_from(payload)
-    return doc_id if known else None, payload[_ID.size:]
+def _ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
+    doc_id, known, width = _ID.unpack_from(payload)
+    return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=_ID.size).astype("<u4")
 
 
 def read_at(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
@@ -90,8 +91,7 @@ def read_at(uri: str, offset: int) -> tuple[int | None, np.ndarray]:
     fs, path = _place(uri)
     with fs.open_input_file(path) as f:
         f.seek(offset)
-        doc_id, ids = _ids_of(unframe(f))
-    return doc_id, np.frombuffer(ids, "<u4")
+        return _ids_of(unframe(f))
 
 
 def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -101,6 +101,7 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0
     def run(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         end, out, offset, uri = np.array([end_id], np.uint32), None, 0, ""
+        width = 2 if max(enc.vocabulary_size, end_id + 1) <= 1 << 16 else 4
         try:
             for batch in batches:
                 for at in range(0, len(batch), 500):
@@ -113,7 +114,7 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0
                     doc_ids = some.column("doc_id").to_pylist()
                     offsets, lengths, counts = [], [], []
                     for doc_id, ids in zip(doc_ids, enc.encode(some.column("text").to_pylist()), strict=True):
-                        payload = _payload(doc_id, np.append(ids, end))
+                        payload = _payload(doc_id, np.append(ids, end), width)
                         record = frame(payload)
                         out.write(record)
                         offsets.append(offset)
@@ -149,9 +150,9 @@ def read_records(spark: SparkSession, out_dir: str) -> DataFrame:
                 with fs.open_input_stream(path, buffer_size=1 << 20) as f:
                     while (payload := unframe(f)) is not None:
                         doc_id, ids = _ids_of(payload)
-                        rows.append((doc_id, part, place, len(ids) // 4, ids))
-                        place += len(ids) // 4
-                        seen, size = seen + 1, size + len(ids)
+                        rows.append((doc_id, part, place, len(ids), ids.tobytes()))
+                        place += len(ids)
+                        seen, size = seen + 1, size + 4 * len(ids)
                         if size > 4 << 20:
                             yield _batch(rows)
                             rows, size = [], 0

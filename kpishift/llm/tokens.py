@@ -1,17 +1,20 @@
 """Token ids of whole texts with a public byte-level BPE tokenizer, inside tasks.
 
-The tokenizer never joins a blank with what stands before it, so a text whose
-white space is single blanks and line ends can be encoded piece by piece: one
-piece up to each blank. Ids of a piece are kept for the next time it occurs in
-the process (a bounded number of pieces); new pieces are encoded together, as
-one text, and parted at the tokens that begin with a blank. Any other text goes
-to the tokenizer whole. Both ways give the ids of encoding the text at once.
+The tokenizer never joins a blank or a line end with what stands before it, so
+a text whose white space is single blanks and line ends can be encoded piece by
+piece: one piece up to each of them. Ids of a piece are kept for the next time
+it occurs in the process (a bounded number of pieces); new pieces are encoded
+together, as one text, and parted at the tokens that begin with the blank or
+line end. A comma or full stop after a letter is a token of its own, so a piece
+that ends in one takes the ids of the rest. Any other text goes to the
+tokenizer whole. All ways give the ids of encoding the text at once.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -38,9 +41,13 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._max = max_pieces
-        self._blank = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self.vocabulary_size = self._tokenizer.get_vocab_size()
+        self._begins = {"": np.zeros(self._tokenizer.get_vocab_size(), bool)}
+        self._begins["\n"] = self._begins[""].copy()
         for token, number in self._tokenizer.get_vocab().items():
-            self._blank[number] = token[0] == "Ġ"
+            self._begins[""][number] = token[0] == "Ġ"
+            self._begins["\n"][number] = token[0] == "Ċ"
+        self._ends = {mark: self._raw([mark])[0] for mark in ",."}
         self._forget()
 
     def _forget(self):
@@ -66,15 +73,30 @@ class Encoder:
         self._place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def _learn(self, new: list[str]):
-        for at in range(0, len(new), 2_000):
-            some = new[at:at + 2_000]
-            ids = self._raw([" " + " ".join(some)])[0]
-            cut = np.flatnonzero(self._blank[ids])
-            if len(cut) == len(some):
-                self._keep(some, ids, np.diff(np.append(cut, len(ids))))
-            else:
-                each = self._raw([" " + p for p in some])
-                self._keep(some, np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each)))
+        """Pieces are keyed without their blank; those after a line end begin with it."""
+        base = {p: p[:-1] for p in new if p[-1:] in self._ends and p[-2:-1].isalpha()}
+        plain = {base.get(p, p) for p in new}.difference(self._place)
+        for kind, lead in (("", " "), ("\n", "")):
+            some = [p for p in plain if p[:1] == "\n"] if kind else [p for p in plain if p[:1] != "\n"]
+            for at in range(0, len(some), 2_000):
+                part = some[at:at + 2_000]
+                ids = self._raw([lead + lead.join(part)])[0]
+                cut = np.flatnonzero(self._begins[kind][ids])
+                if len(cut) == len(part):
+                    self._keep(part, ids, np.diff(np.append(cut, len(ids))))
+                else:
+                    each = self._raw([lead + p for p in part])
+                    self._keep(part, np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each)))
+        for mark, tail in self._ends.items():
+            some = [p for p in base if p[-1] == mark and p not in self._place]
+            if some:
+                lengths, flat = self._gather(np.fromiter((self._place[base[p]] for p in some), np.int64, len(some)))
+                self._keep(some, np.insert(flat, np.repeat(np.cumsum(lengths), len(tail)), np.tile(tail, len(some))), lengths + len(tail))
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = self._start[place]
+        lengths = self._start[place + 1] - begin
+        return lengths, self._ids[np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text (a null is an empty text)."""
@@ -82,23 +104,25 @@ class Encoder:
         first = [0]
         for i, t in enumerate(texts):
             if t and _plain(t):
-                parts = t.split(" ")
+                parts = t.replace("\n", " \n").split(" ")
                 heads.append(parts[0])
                 pieces += parts[1:]
                 rows.append(i)
                 first.append(len(pieces))
             elif t:
                 whole.append(i)
-        missing = set(pieces).difference(self._place)
-        if len(self._place) + len(missing) > self._max:
-            self._forget()
-            missing = set(pieces).difference(self._place)
-        self._learn(list(missing))
-        place = np.fromiter(map(self._place.__getitem__, pieces), np.int64, len(pieces))
-        begin, lengths = self._start[place], self._start[place + 1] - self._start[place]
+        place = np.fromiter(map(self._place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(place < 0).tolist()
+        if new:
+            missing = list({pieces[i] for i in new})
+            if len(self._place) + len(missing) > self._max:
+                self._forget()
+                new, missing = range(len(pieces)), list(set(pieces).difference(self._place))
+            self._learn(missing)
+            place[new] = np.fromiter((self._place[pieces[i]] for i in new), np.int64, len(new))
+        lengths, flat = self._gather(place)
         total = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
-        flat = self._ids[np.repeat(begin - total[:-1], lengths) + np.arange(total[-1])]
         out = [np.zeros(0, np.uint32)] * len(texts)
         for k, (i, head) in enumerate(zip(rows, self._raw(heads), strict=True)):
             out[i] = np.concatenate([head, flat[total[first[k]]:total[first[k + 1]]]])
