@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from kpishift.session import scratch_path
 
 from .common import table
+from .language import languages
+from .licenses import digest, scan_licenses
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import quality_scores
 from .records import read_records, with_starts, write_records
+from .toxicity import toxicity_scores
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,6 +26,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, f"records-{uuid.uuid4().hex}")
     index = write_records(table(spark, sf_dir, "documents"), out, tokenizer_path(), end_id=0)
@@ -40,6 +60,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_licenses": op3_licenses,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_records": op8_records,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,

@@ -57,12 +57,12 @@ def _sigmoid(x):
 
 
 def train(x: np.ndarray, y: np.ndarray, terms: np.ndarray, rank: int = 8, epochs: int = 30, rate: float = 0.1,
-          decay: float = 2e-4, seed: int = 3) -> Machine:
+          decay: float = 1e-5, seed: int = 3) -> Machine:
     """Log loss by Adagrad over rows x terms (0/1)."""
     rng = np.random.default_rng(seed)
     share = y.mean()
     base, w, v = np.log(share / (1 - share)), np.zeros(x.shape[1]), rng.normal(0, 0.02, (x.shape[1], rank))
-    gb, gw, gv = 1.0, np.full(w.shape, 1e-2), np.full(v.shape, 1e-2)
+    gb, gw, gv = 1e-2, np.full(w.shape, 1e-6), np.full(v.shape, 1e-4)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 512):
@@ -81,7 +81,7 @@ def train(x: np.ndarray, y: np.ndarray, terms: np.ndarray, rank: int = 8, epochs
     return Machine(float(base), terms, w, v)
 
 
-def chosen_terms(rows: DataFrame, max_terms: int, least: float = 6.6) -> np.ndarray:
+def chosen_terms(rows: DataFrame, max_terms: int, least: float = 20.0) -> np.ndarray:
     """Buckets by chi-square with the label over all rows (terms, label), at least ``least``."""
     total = rows.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
     n, p = float(total["n"]), float(total["p"] or 0)
@@ -89,7 +89,7 @@ def chosen_terms(rows: DataFrame, max_terms: int, least: float = 6.6) -> np.ndar
         F.count("*").cast("double").alias("a"), F.sum("label").cast("double").alias("t"))
     expected = F.col("a") * F.lit(p / n if n else 0.0)
     spread = expected * F.lit(1 - p / n if n else 1.0) * F.greatest(1 - F.col("a") / F.lit(max(n, 1.0)), F.lit(1e-12))
-    best = (seen.withColumn("chi", F.pow(F.col("t") - expected, F.lit(2.0)) / spread).where((F.col("a") >= 3) & (F.col("chi") >= least))
+    best = (seen.withColumn("chi", F.pow(F.col("t") - expected, F.lit(2.0)) / spread).where((F.col("a") >= 4) & (F.col("chi") >= least))
             .orderBy(F.desc("chi"), "term").limit(max_terms).select("term"))
     return np.sort(np.array([r["term"] for r in best.collect()], np.int64))
 
