@@ -28,8 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("center")).agg(F.min("v").alias("m"))
         large = (both.join(least, F.col("u") == F.col("center")).where("v > u")
-                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
-        large = saved(large, "star")
+                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
         low = large.groupBy(F.col("u").alias("center")).agg(F.min("v").alias("m"))
         small = (large.join(low, F.col("u") == F.col("center")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select(F.col("center").alias("u"), F.col("m").alias("v"))).distinct())

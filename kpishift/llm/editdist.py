@@ -27,8 +27,7 @@ def within(data: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarr
     short = (np.where(swap, a[0], b[0]), np.where(swap, a[1], b[1]))
     m, n = long[1] - long[0], short[1] - short[0]
     out = m - n <= limit
-    out &= ~(m <= limit) | out  # every pair this short is within the limit
-    work = np.flatnonzero(out & (m > limit))
+    work = np.flatnonzero(out & (m > limit))  # shorter ones are within the limit anyway
     for part in np.array_split(work[np.argsort(m[work], kind="stable")], max(1, int(m[work].sum() * 2 // (32 << 20)) + 1)):
         if len(part):
             out[part] = _band(data, (long[0][part], long[1][part]), (short[0][part], short[1][part]), limit)

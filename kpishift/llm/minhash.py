@@ -1,20 +1,21 @@
 """MinHash near-duplicate detection with verified links and connected components.
 
-1. One pass over the texts: 5-word shingle sets, a fingerprint of the set, 128
+1. One pass over the texts: 5-word shingle sets, a fingerprint of the set, 256
    universal hash minima, 32 band keys of 4 minima, one byte of each minimum.
 2. Equal sets meet by fingerprint; one node (smallest id) stands for them.
 3. Nodes sharing a band key are candidates. Each key's nodes are first
    compared with one node of the key only, chosen by a hash (a star, linear in
    the key's size); the most similar one by signature is verified on the full
    sets. Components of these links follow.
-4. Keys that still hold several components are compared pair by pair between
-   different components, on signatures, in tasks of bounded blocks; pairs
-   near or above the threshold are verified on the full sets too. After this
-   no pair of nodes with a common key and a signature similarity of at least
-   ``screen`` is left unverified, except within a component.
+4. Keys that still hold several components are compared between different
+   components, on signatures, in tasks of bounded blocks. First the few most
+   similar pairs of each node are verified, and the components joined; then all
+   pairs left whose signatures reach ``screen``. After this no pair of nodes
+   with a common key and such signatures is unverified, except within a
+   component, and few pairs of a large group had to be verified.
 
 A link of similarity 0.75 is missed by all 32 bands with probability 5e-6 and
-by the signature screen (0.6 of 128 minima) with probability 4e-5.
+by the signature screen (0.64 of 256 minima) with probability 3e-5.
 
 Defined results: a null, empty or blank text has no shingles and is linked with
 nothing; fewer than five words are one shingle; rows sharing an id each take
@@ -28,14 +29,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NON_SPACE_BYTES, mix, rows_of, saved, text_chunks, word_hashes
 from .components import components
+from .groups import changes, whole_runs
 
-SHINGLE, BANDS, WIDTH = 5, 32, 4
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()),
+SHINGLE, BANDS, WIDTH, MINIMA = 5, 32, 4, 256
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()),
                          ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
@@ -60,7 +62,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return out, starts
 
 
-def minima(shingles: np.ndarray, starts: np.ndarray, count: int = BANDS * WIDTH, seed: int = 7) -> np.ndarray:
+def minima(shingles: np.ndarray, starts: np.ndarray, count: int = MINIMA, seed: int = 7) -> np.ndarray:
     """count x texts: the least value of each universal hash over a text's shingles (texts without any excluded)."""
     rng = np.random.default_rng(seed)
     a = rng.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,7 +91,7 @@ def _signature_batches(batches):
             low = minima(shingles, starts[some])
             band = np.zeros((BANDS, len(some)), np.uint64)
             for k in range(WIDTH):
-                band = mix(band * np.uint64(31) + low[k::WIDTH][:BANDS] + np.arange(BANDS, dtype=np.uint64)[:, None])
+                band = mix(band * np.uint64(31) + low[k:BANDS * WIDTH:WIDTH] + np.arange(BANDS, dtype=np.uint64)[:, None])
             byte = (mix(low) & np.uint64(255)).astype(np.uint8).T
             for j, i in enumerate(some):
                 sigs[i] = byte[j].tobytes()
@@ -98,14 +100,14 @@ def _signature_batches(batches):
             np.cumsum(has, out=places[1:])
             keys = np.ascontiguousarray(band.T).reshape(-1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(prints, pa.binary()),
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes), pa.array(prints, pa.binary()),
              pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(keys)), pa.array(sigs, pa.binary())],
             schema=_SIGNATURES)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(
-        _signature_batches, "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        _signature_batches, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, sig binary")
 
 
 def shingle_set(text: str) -> set:
@@ -152,57 +154,71 @@ def _agreement_batches(batches):
                                          names=["a", "b", "same"])
 
 
-def _groups(batches, keys: list[str]):
-    """Runs of equal keys in key-sorted batches, as one table each."""
-    held, last = [], None
-    for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in keys]
-        change = np.zeros(len(batch), bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), len(batch)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s == e:
-                continue
-            key = tuple(c[s] for c in cols)
-            if held and key != last:
-                yield last, pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = key
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
-def _cross_batches(screen: float):
-    """Pairs of one block group in different components that agree in at least ``screen`` of their minima."""
+def _cross_batches(screen: float, most: int | None):
+    """Pairs of a block group in different components that agree in at least ``screen`` of their minima.
+
+    ``y`` is the end outside the group's largest component; with ``most``, only its most similar pairs.
+    """
     def run(batches):
-        for (_, bi, bj), group in _groups(batches, ["key", "bi", "bj"]):
-            node, comp, blk = (group.column(c).to_numpy() for c in ("node", "comp", "blk"))
-            if (comp == comp[0]).all():
-                continue
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-            values, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-            order = np.argsort(inverse == np.argmax(sizes), kind="stable")  # the largest component last
-            node, comp, blk, sig = node[order], comp[order], blk[order], sig[order]
-            a, b = [], []
-            for i in range(len(node) - int(sizes.max())):
-                other = comp[i + 1:] != comp[i]
-                if bi != bj:
-                    other &= blk[i + 1:] != blk[i]
-                at = i + 1 + np.flatnonzero(other)
-                at = at[(sig[at] == sig[i]).mean(axis=1) >= screen] if len(at) else at
-                a += [int(node[i])] * len(at)
-                b += node[at].tolist()
+        for table in whole_runs(batches, ["key", "bi", "bj"]):
+            table = table.combine_chunks()
+            nodes, comps, blocks, bi, bj = (table.column(c).to_numpy() for c in ("node", "comp", "blk", "bi", "bj"))
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
+            starts = changes(table.to_batches()[0], ["key", "bi", "bj"])
+            a, b, y, same = [], [], [], []
+            for s, e in zip(starts, np.append(starts[1:], len(nodes)), strict=True):
+                comp = comps[s:e]
+                if (comp == comp[0]).all():
+                    continue
+                _, inverse, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+                order = s + np.argsort(inverse == np.argmax(sizes), kind="stable")  # the largest component last
+                node, comp, blk, sig = nodes[order], comps[order], blocks[order], sigs[order]
+                for i in range(len(node) - int(sizes.max())):
+                    other = comp[i + 1:] != comp[i]
+                    if bi[s] != bj[s]:
+                        other &= blk[i + 1:] != blk[i]
+                    at = i + 1 + np.flatnonzero(other)
+                    if not len(at):
+                        continue
+                    like = (sig[at] == sig[i]).mean(axis=1)
+                    good = like >= screen
+                    at, like = at[good], like[good]
+                    if most and len(at) > most:
+                        top = np.argpartition(-like, most)[:most]
+                        at, like = at[top], like[top]
+                    a.append(np.minimum(node[at], node[i]))
+                    b.append(np.maximum(node[at], node[i]))
+                    y.append(np.full(len(at), node[i]))
+                    same.append(like)
             if a:
-                a, b = np.array(a), np.array(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, y, same)], names=["a", "b", "y", "same"])
 
     return run
 
 
-def links(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float = 0.6, block: int = 4096) -> DataFrame:
-    """Verified links between nodes, enough to give the components of all links."""
+def _cross(shared: DataFrame, sigs: DataFrame, forest: DataFrame, screen: float, block: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) with a common key, in different trees of ``forest`` (node, component)."""
+    comps = forest.select(F.col("node").alias("comp_node"), "component")
+    placed = (shared.join(comps, F.col("node") == F.col("comp_node"), "left")
+              .select("key", "node", "size", F.coalesce("component", "node").alias("comp")))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    blocked = (placed.join(open_keys, "key").withColumn("parts", parts)
+               .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+               .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp"))
+    pairs = (blocked.join(sigs, "node").select("key", "bi", "bj", "blk", "node", "comp", "sig")
+             .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+             .mapInArrow(_cross_batches(screen, most), "a long, b long, y long, same double").distinct())
+    if most:
+        nearest = Window.partitionBy("y").orderBy(F.desc("same"), "a", "b")
+        pairs = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most)
+    return pairs.select("a", "b").distinct()
+
+
+def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float = 0.64, block: int = 4096,
+           nearest: int = 8) -> DataFrame:
+    """(node, component) of all nodes with a link; a component is its smallest node."""
     reps = mapped.where("doc_id = node")
     bands = reps.select("node", F.explode("bands").alias("key"))
     keys = (bands.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "key")).alias("leader"))
@@ -214,35 +230,36 @@ def links(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float =
     near = (star.join(of["a"], F.col("a") == F.col("id_a")).join(of["b"], F.col("b") == F.col("id_b"))
             .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreement_batches, "a long, b long, same double")
             .where(F.col("same") >= screen))
-    best = saved(near.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b"), "minhash-best")
-    first = saved(verified(best, docs, percent), "minhash-links")
-
-    comps = components(first).select(F.col("node").alias("comp_node"), "component")
-    placed = (shared.join(comps, F.col("node") == F.col("comp_node"), "left")
-              .select("key", "node", "size", F.coalesce("component", "node").alias("comp")))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    blocked = (placed.join(open_keys, "key").withColumn("parts", parts)
-               .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-               .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp"))
-    cross = (blocked.join(sigs, "node").select("key", "bi", "bj", "blk", "node", "comp", "sig")
-             .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-             .mapInArrow(_cross_batches(screen), "a long, b long").distinct())
-    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verified(saved(cross.join(tested, ["a", "b"], "left_anti"), "minhash-cross"), docs, percent)
-    return first.union(second)
+    tested = saved(near.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))
+                   .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "minhash-best")
+    forest = components(saved(verified(tested, docs, percent), "minhash-links"))
+    for most in (nearest, None):
+        edges = saved(_cross(shared, sigs, forest, screen, block, most).join(tested, ["a", "b"], "left_anti"), "minhash-cross")
+        if edges.isEmpty():
+            break
+        new = saved(verified(edges, docs, percent), "minhash-links")
+        if not new.isEmpty():
+            forest = components(new.union(forest.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        tested = tested.union(edges)
+    return forest
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs``."""
     sigs = saved(signatures(docs), "minhash-signatures")
     nodes = (sigs.where("fp is not null and doc_id is not null").groupBy(F.col("fp").alias("node_fp"))
              .agg(F.min("doc_id").alias("node")))
     mapped = saved(sigs.join(nodes, F.col("fp") == F.col("node_fp"), "left")
-                   .select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"),
+                   .select("doc_id", "text_hash", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"),
                            F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")), "minhash-nodes")
-    comps = components(links(docs, mapped, percent)).select(F.col("node").alias("comp_node"), "component")
+    comps = linked(docs, mapped, percent).select(F.col("node").alias("comp_node"), "component")
     return (mapped.join(comps, F.col("node") == F.col("comp_node"), "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+            .select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` (all columns) without the rows that near_duplicates does not keep."""
+    gone = (near_duplicates(docs, percent).where("not kept")
+            .select(F.col("doc_id").alias("kpishift_id"), F.col("text_hash").alias("kpishift_hash")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["kpishift_id"]) & (F.xxhash64(docs["text"]) == gone["kpishift_hash"]), "left_anti")

@@ -91,12 +91,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _statistic_batches(batches):
+    """Any columns but ``text`` as they are, and the statistics ``x``."""
     for batch, offsets, data in text_chunks(batches):
         x = statistics(data, offsets).astype(np.float32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("held_out"),
-             pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), N_FEATURES).cast(pa.list_(pa.float32()))],
-            names=["doc_id", "held_out", "x"])
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), N_FEATURES).cast(pa.list_(pa.float32()))
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "x"])
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -197,9 +197,27 @@ def _scored(model: Model | float):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, kept_out: int = 1, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; labels (doc_id, quality) of the fold are never used."""
-    x = saved(docs.select("doc_id", fold(F.col("doc_id"), modulus, kept_out).alias("held_out"), "text")
+    x = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), modulus, kept_out).alias("held_out"), "text")
               .mapInArrow(_statistic_batches, "doc_id long, held_out boolean, x array<float>"), "quality-statistics")
     rows = saved(x.where("not held_out").join(label_of(labels, "quality"), F.col("doc_id") == F.col("label_id"))
                  .select("x", "label"), "quality-rows")
     scored = x.mapInArrow(_scored(fit(rows)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _passing(model: Model | float, threshold: float):
+    def run(batches):
+        for batch, offsets, data in text_chunks(batches):
+            x = statistics(data, offsets)
+            s = np.full(len(batch), model) if isinstance(model, float) else model.score(x.astype(np.float32).astype(float))
+            yield batch.filter(pa.array(s >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 3, kept_out: int = 1, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose score reaches the threshold; each row is scored for itself, without a join."""
+    learning = docs.select("doc_id", "text").where(~fold(F.col("doc_id"), modulus, kept_out)).join(
+        label_of(labels, "quality"), F.col("doc_id") == F.col("label_id"))
+    rows = saved(learning.select("label", "text").mapInArrow(_statistic_batches, "label int, x array<float>"), "quality-rows")
+    return docs.mapInArrow(_passing(fit(rows), threshold), docs.schema)

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from kpishift.session import scratch_path
 
 from .common import table
+from .decontaminate import contaminated
 from .language import languages
 from .licenses import digest, scan_licenses
+from .lines import line_classes
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores
 from .records import read_records, with_starts, write_records
+from .search import bm25_search, build_index
 from .toxicity import toxicity_scores
 
 
@@ -34,6 +37,16 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_classes(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=20)
+    return lines.select("doc_id", F.col("number").alias("line"), "class_doc", F.col("class_number").alias("class_line"),
+                        F.col("is_first").alias("kept"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,12 +69,21 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75).drop("text_hash")
+
+
+def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25_search(build_index(docs), queries, k=10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_search": op2_search,
     "op3_licenses": op3_licenses,
+    "op4_lines": op4_lines,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_records": op8_records,

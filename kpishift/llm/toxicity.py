@@ -58,12 +58,12 @@ def _sigmoid(x):
 
 def train(x: np.ndarray, y: np.ndarray, terms: np.ndarray, rank: int = 8, epochs: int = 30, rate: float = 0.1,
           decay: float = 1e-5, seed: int = 3) -> Machine:
-    """Log loss by Adagrad over rows x terms (0/1)."""
+    """Log loss by Adagrad over rows x terms (0/1), in at least 900 steps."""
     rng = np.random.default_rng(seed)
     share = y.mean()
     base, w, v = np.log(share / (1 - share)), np.zeros(x.shape[1]), rng.normal(0, 0.02, (x.shape[1], rank))
     gb, gw, gv = 1e-2, np.full(w.shape, 1e-6), np.full(v.shape, 1e-4)
-    for _ in range(epochs):
+    for _ in range(max(epochs, 900 * 512 // len(y))):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 512):
             some = order[at:at + 512]
