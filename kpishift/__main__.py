@@ -15,7 +15,7 @@ import sys
 from .config import load_config
 from .operators.profile import column_profile, suggested_ranges
 from .plans.report import run_report
-from .session import local_session
+from .session import apply_recommended, local_session
 from .sources.files import read_csv, read_parquet
 from .sources.sinks import write_report
 
@@ -25,7 +25,9 @@ def _session(args):
         return local_session(args.master.removeprefix("local[").removesuffix("]") if args.master.startswith("local")
                              else "*")
     from pyspark.sql import SparkSession
-    return SparkSession.builder.getOrCreate()
+    spark = SparkSession.builder.getOrCreate()
+    apply_recommended(spark)  # only options that the session does not set itself
+    return spark
 
 
 def cmd_report(args) -> int:

@@ -11,16 +11,27 @@ from pyspark.sql import functions as F
 FORMULA_PATTERN = re.compile(r"^\s*(\w+)\s*([+\-*/])\s*(\w+)\s*$")
 
 
-def parse_formula(formula: str) -> tuple[str, str, str]:
-    """Split ``"clicks / impressions"`` into ``("clicks", "/", "impressions")``.
+def read_formulas(formulas: dict[str, str] | None) -> dict[str, tuple[str, str, str]]:
+    """``{name: (left, operator, right)}`` in config order; all unreadable ones are named at once.
 
     No constants, parentheses or longer chains: a digit token is an operand
-    name like any other and fails later when no such column exists.
+    name like any other, and must be a column.
     """
-    m = FORMULA_PATTERN.match(formula or "")
-    if not m:
-        raise ValueError(f"Cannot parse formula: {formula}")
-    return m.group(1), m.group(2), m.group(3)
+    found = {name: FORMULA_PATTERN.fullmatch(str(text or "")) for name, text in (formulas or {}).items()}
+    bad = [name for name, m in found.items() if m is None]
+    if bad:
+        raise ValueError(f"a formula is two names with one of + - * / between them; not so: {', '.join(bad)}")
+    return {name: m.groups() for name, m in found.items()}
+
+
+def check_operands(formulas: dict[str, tuple[str, str, str]], columns: list[str]) -> None:
+    """Every operand is a column, or the result of an earlier formula."""
+    known = set(columns)
+    for name, (left, _, right) in formulas.items():
+        unknown = sorted({left, right} - known)
+        if unknown:
+            raise ValueError(f"derived metric {name!r} uses {', '.join(unknown)}, which is no column at that point")
+        known.add(name)
 
 
 def combine(left: Column, op: str, right: Column) -> Column:
@@ -30,23 +41,7 @@ def combine(left: Column, op: str, right: Column) -> Column:
     zero divisor. A null numerator over a non-zero divisor stays null;
     ``+ - *`` propagate nulls.
     """
-    a = left.cast("double")
-    b = right.cast("double")
-    if op == "+":
-        return a + b
-    if op == "-":
-        return a - b
-    if op == "*":
-        return a * b
+    a, b = left.cast("double"), right.cast("double")
     if op == "/":
         return F.when(b != 0, a / b).otherwise(F.lit(0.0))
-    raise ValueError(f"Unsupported operator: {op}")
-
-
-def formula_column(formula: str, columns: list[str]) -> Column:
-    """Column expression for ``formula`` over a frame with ``columns``."""
-    a, op, b = parse_formula(formula)
-    for operand in (a, b):
-        if operand not in columns:
-            raise ValueError(f"Column '{operand}' not found for formula '{formula}'")
-    return combine(F.col(a), op, F.col(b))
+    return {"+": a + b, "-": a - b, "*": a * b}[op]

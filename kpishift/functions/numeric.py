@@ -32,14 +32,14 @@ def col(name: str) -> Column:
     return F.col(qi(name))
 
 
-def _lit(v: float, dbl: str) -> str:
-    return f"{v!r}{dbl}"
+def _lit(v: float) -> str:
+    return f"{v!r}D"
 
 
-def _step_sql(p: str, f: str, err: str, dbl: str) -> str:
+def _step_sql(p: str, f: str, err: str) -> str:
     """0 or 1 to add to ``f = floor(p)``: compares the exact product
     ``p + err`` with the midpoint ``f + 0.5`` (ties to even)."""
-    zero, half, one, two = (_lit(v, dbl) for v in (0.0, 0.5, 1.0, 2.0))
+    zero, half, one, two = (_lit(v) for v in (0.0, 0.5, 1.0, 2.0))
     diff = f"(({p} - {f}) - {half})"                     # exact while |p| < 2^52
     side = f"(CASE WHEN {diff} <> {zero} THEN {diff} ELSE {err} END)"
     even = f"(({f} - {two} * CAST(floor({f} / {two}) AS DOUBLE)) = {zero})"
@@ -47,30 +47,45 @@ def _step_sql(p: str, f: str, err: str, dbl: str) -> str:
             f"WHEN {even} THEN {zero} ELSE {one} END)")
 
 
-def _finish_sql(x: str, p: str, n: str, s: str, dbl: str) -> str:
-    zero = _lit(0.0, dbl)
-    return (f"(CASE WHEN isnan({x}) OR abs({p}) >= {_lit(TWO_52, dbl)} THEN {x} "
+def _fraction_sql(x: str, s: str) -> str:
+    """``x``, or its part above ``floor(x)`` where ``x * s`` leaves no room for a fraction."""
+    wide = f"abs({x} * {s}) >= {_lit(TWO_52)} AND abs({x}) < {_lit(TWO_52)}"
+    return f"(CASE WHEN {wide} THEN {x} - CAST(floor({x}) AS DOUBLE) ELSE {x} END)"
+
+
+def _finish_sql(x: str, y: str, n: str, s: str) -> str:
+    """The rounded value from ``n``, the rounded ``y * s`` of the part ``y`` of ``x``."""
+    zero = _lit(0.0)
+    return (f"(CASE WHEN isnan({x}) OR abs({x}) >= {_lit(TWO_52)} THEN {x} "
+            f"WHEN {y} <> {x} THEN ({x} - {y}) + {n} / {s} "
             f"WHEN {n} = {zero} THEN {x} * {zero} ELSE {n} / {s} END)")
 
 
-def exact_round_sql(expr: str, digits: int, dbl: str = "D") -> str:
+def _steps(y: str, s: str) -> tuple[str, str, str]:
+    """Product ``y * s``, high part of ``y``, floor of the product."""
+    k = _lit(SPLITTER)
+    return f"({y} * {s})", f"(({k} * {y}) - (({k} * {y}) - {y}))", f"CAST(floor({y} * {s}) AS DOUBLE)"
+
+
+def _number_sql(y: str, s: str, p: str, h: str, f: str) -> str:
+    """The integer nearest to the exact ``y * s`` (ties to even), as a double."""
+    err = f"(({h} * {s} - {p}) + ({y} - {h}) * {s})"   # y * s == p + err, exactly
+    return f"({f} + {_step_sql(p, f, err)})"
+
+
+def exact_round_sql(expr: str, digits: int) -> str:
     """SQL text rounding ``expr`` like Python's ``round(expr, digits)``.
 
-    One self-contained expression (it repeats its input; use
-    :func:`round_columns` for many values over large data). ``dbl`` is the
-    double-literal suffix: ``"D"`` for Spark SQL, ``"::DOUBLE"`` for DuckDB.
+    One self-contained expression whose intermediate values are lambda
+    variables, so the text stays short wherever it is nested. For a few rows
+    (display text, totals); :func:`round_columns` is the form for bulk data.
     """
     if not 0 <= digits <= 8:
         raise ValueError("digits must be between 0 and 8")
-    s = _lit(float(10 ** digits), dbl)
-    x = f"CAST({expr} AS DOUBLE)"
-    p = f"({x} * {s})"
-    c = f"({_lit(SPLITTER, dbl)} * {x})"
-    xh = f"({c} - ({c} - {x}))"
-    err = f"(({xh} * {s} - {p}) + ({x} - {xh}) * {s})"   # x * s == p + err, exactly
-    f = f"CAST(floor({p}) AS DOUBLE)"
-    n = f"({f} + {_step_sql(p, f, err, dbl)})"
-    return _finish_sql(x, p, n, s, dbl)
+    s = _lit(float(10 ** digits))
+    result = _finish_sql("__x", "__y", _number_sql("__y", s, *_steps("__y", s)), s)
+    inner = f"transform(array({_fraction_sql('__x', s)}), __y -> {result})[0]"
+    return f"transform(array(CAST({expr} AS DOUBLE)), __x -> {inner})[0]"
 
 
 def round_sql(expr: str, digits: int) -> str:
@@ -92,23 +107,22 @@ def chain(df: DataFrame, stages: list[list[str]]) -> DataFrame:
 def round_stages(specs: list[tuple[str, int, str]], keep: list[str]) -> list[list[str]]:
     """Projection stages adding ``out = round(src, digits)`` for every spec.
 
-    Three narrow stages (product, split and floor; integer; result), so
-    every expression reads plain columns: the arithmetic of
+    Narrow stages (part to round; product, split and floor; integer; result),
+    so every expression reads plain columns: the arithmetic of
     :func:`exact_round_sql` without repeated subexpressions, which keeps
-    optimizer work and generated code small. The last stage keeps ``keep``
-    plus the outputs.
+    optimizer work and generated code small. The last stage keeps ``keep`` plus
+    the outputs.
     """
-    k = _lit(SPLITTER, "D")
-    a, b, outs = ["*"], ["*"], [qi(c) for c in keep]
+    a, b, c, outs = ["*"], ["*"], ["*"], [qi(name) for name in keep]
     for j, (src, digits, out) in enumerate(specs):
-        s = _lit(float(10 ** digits), "D")
+        s = _lit(float(10 ** digits))
         x = f"CAST({qi(src)} AS DOUBLE)"
-        a += [f"{x} * {s} AS __p{j}", f"({k} * {x}) - (({k} * {x}) - {x}) AS __h{j}",
-              f"CAST(floor({x} * {s}) AS DOUBLE) AS __f{j}"]
-        err = f"((__h{j} * {s} - __p{j}) + ({x} - __h{j}) * {s})"
-        b.append(f"__f{j} + {_step_sql(f'__p{j}', f'__f{j}', err, 'D')} AS __n{j}")
-        outs.append(f"{_finish_sql(x, f'__p{j}', f'__n{j}', s, 'D')} AS {qi(out)}")
-    return [a, b, outs]
+        y, n, *steps = (f"__round_{name}{j}" for name in "ynphf")
+        a.append(f"{_fraction_sql(x, s)} AS {y}")
+        b += [f"{text} AS {name}" for text, name in zip(_steps(y, s), steps, strict=True)]
+        c.append(f"{_number_sql(y, s, *steps)} AS {n}")
+        outs.append(f"{_finish_sql(x, y, n, s)} AS {qi(out)}")
+    return [a, b, c, outs]
 
 
 def round_columns(df: DataFrame, specs: list[tuple[str, int, str]], keep: list[str]) -> DataFrame:
@@ -125,14 +139,16 @@ def round_to(col: Column, digits: int) -> Column:
         raise ValueError("digits must be between 0 and 8")
     s = F.lit(float(10 ** digits))
     x = col.cast("double")
-    p = x * s
-    c = F.lit(SPLITTER) * x
-    xh = c - (c - x)
-    err = (xh * s - p) + (x - xh) * s
+    y = F.when((F.abs(x * s) >= F.lit(TWO_52)) & (F.abs(x) < F.lit(TWO_52)), x - F.floor(x).cast("double")).otherwise(x)
+    p = y * s
+    c = F.lit(SPLITTER) * y
+    yh = c - (c - y)
+    err = (yh * s - p) + (y - yh) * s
     f = F.floor(p).cast("double")
     diff = (p - f) - F.lit(0.5)
     side = F.when(diff != 0, diff).otherwise(err)
     even = (f - F.lit(2.0) * F.floor(f / F.lit(2.0)).cast("double")) == F.lit(0.0)
     n = f + F.when(side > 0, F.lit(1.0)).when(side < 0, F.lit(0.0)).when(even, F.lit(0.0)).otherwise(F.lit(1.0))
-    return (F.when(F.isnan(x) | (F.abs(p) >= F.lit(TWO_52)), x)
+    return (F.when(F.isnan(x) | (F.abs(x) >= F.lit(TWO_52)), x)
+            .when(y != x, (x - y) + n / s)
             .when(n == 0.0, x * F.lit(0.0)).otherwise(n / s))

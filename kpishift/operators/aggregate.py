@@ -8,9 +8,12 @@ from pyspark.sql import types as T
 
 from ..config import InsightConfig
 from ..functions.numeric import col, qi
+from .periods import IN_CURRENT, IN_PREVIOUS
 
-# Exact accumulator for floating metrics: sums become order-independent.
+# Exact accumulator for floating metrics: sums become order-independent. Every
+# value is rounded to 10 decimals, and must be below DECIMAL_LIMIT.
 DECIMAL_ACCUMULATOR = T.DecimalType(38, 10)
+DECIMAL_LIMIT = 1e27
 
 
 def metric_list(config: InsightConfig) -> list[str]:
@@ -26,11 +29,29 @@ def _floating(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
-def sum_of(value: Column, dtype: T.DataType, accumulator: str = "double") -> Column:
+def decimal_sum_sql(value: str) -> str:
+    """Exact sum of a double expression, as a double.
+
+    Numbers are added as decimals; NaN and infinities, if there are any, decide
+    the sum as they do in a sum of doubles. A number or a total out of range
+    fails the query with a message, whatever the session's ANSI setting.
+    """
+    odd = f"(isnan({value}) OR abs({value}) = double('infinity'))"
+    number = (f"CASE WHEN {odd} THEN NULL WHEN abs({value}) >= {DECIMAL_LIMIT!r}D THEN CAST(raise_error("
+              f"'accumulator decimal holds values below 1e27 only; use accumulator double') AS {DECIMAL_ACCUMULATOR.simpleString()}) "
+              f"ELSE CAST({value} AS {DECIMAL_ACCUMULATOR.simpleString()}) END")
+    total = f"try_sum({number})"
+    return (f"coalesce(sum(CASE WHEN {odd} THEN {value} END), "
+            f"CASE WHEN count({number}) > 0 AND {total} IS NULL THEN CAST(raise_error("
+            f"'the total is out of range for accumulator decimal; use accumulator double') AS DOUBLE) "
+            f"ELSE CAST({total} AS DOUBLE) END)")
+
+
+def sum_sql(value: str, dtype: T.DataType, accumulator: str = "double") -> str:
     """SUM keeping the native type; ``decimal`` sums floats exactly, then back to double."""
     if accumulator == "decimal" and _floating(dtype):
-        return F.sum(value.cast(DECIMAL_ACCUMULATOR)).cast("double")
-    return F.sum(value)
+        return decimal_sum_sql(f"CAST({value} AS DOUBLE)")
+    return f"sum({value})"
 
 
 def zero_if_null(c: Column) -> Column:
@@ -42,10 +63,10 @@ def _valid_metrics(df: DataFrame, dims: list[str], metrics: list[str]) -> list[s
     if dims:
         missing = [d for d in dims if d not in df.columns]
         if missing:
-            raise ValueError(f"Missing dimension columns: {missing}")
+            raise ValueError(f"these dimensions are no columns of the data: {', '.join(missing)}")
     valid = [m for m in metrics if m in df.columns and m not in dims]  # absent metrics are skipped
     if dims and not valid:
-        raise ValueError("No valid metrics found to aggregate")
+        raise ValueError(f"none of the metrics {list(metrics)} is a column besides the dimensions")
     return valid
 
 
@@ -55,14 +76,14 @@ def aggregate_by_dimensions(df: DataFrame, dims: list[str], metrics: list[str],
     dims = list(dims)
     valid = _valid_metrics(df, dims, metrics)
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [zero_if_null(sum_of(col(m), types[m], accumulator)).alias(m) for m in valid]
+    aggs = [zero_if_null(F.expr(sum_sql(qi(m), types[m], accumulator))).alias(m) for m in valid]
     if not dims:
         return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
     return df.groupBy(*[col(d) for d in dims]).agg(*aggs)
 
 
-def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_current: str = "in_current",
-                      in_previous: str = "in_previous", accumulator: str = "double") -> DataFrame:
+def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_current: str = IN_CURRENT,
+                      in_previous: str = IN_PREVIOUS, accumulator: str = "double") -> DataFrame:
     """Both periods in one hash aggregate: ``m_current`` and ``m_previous`` per group.
 
     ``in_current`` / ``in_previous`` are boolean SQL expressions (usually the
@@ -79,10 +100,7 @@ def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_cur
     for m in valid:
         for flag, suffix in ((in_current, "current"), (in_previous, "previous")):
             picked = f"CASE WHEN {flag} THEN {qi(m)} END"
-            if accumulator == "decimal" and _floating(types[m]):
-                total = f"CAST(sum(CAST({picked} AS {DECIMAL_ACCUMULATOR.simpleString()})) AS DOUBLE)"
-            else:
-                total = f"sum({picked})"
+            total = sum_sql(picked, types[m], accumulator)
             aggs.append(F.expr(f"coalesce({total}, 0) AS {qi(m + '_' + suffix)}"))
     if not dims:
         return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")

@@ -12,8 +12,8 @@ from ..config import ComparisonConfig
 from ..functions.numeric import qi
 from ..functions.dates import DATE_PATTERNS, DATE_TYPES, as_date, parse_with
 
-IN_CURRENT = "in_current"
-IN_PREVIOUS = "in_previous"
+IN_CURRENT = "__kpi_in_current"  # reserved: never a column of a source
+IN_PREVIOUS = "__kpi_in_previous"
 
 
 def detect_date_pattern(df: DataFrame, col: str) -> str | None:
@@ -31,20 +31,20 @@ def detect_date_pattern(df: DataFrame, col: str) -> str | None:
     for i, pattern in enumerate(candidates):
         if row[f"f{i}"] == 0:
             return pattern
-    raise ValueError(f"Cannot parse date column '{col}'")
+    raise ValueError(f"no known date format fits every value of column {col!r}")
 
 
 def parse_date_column(df: DataFrame, col: str, pattern: str | None = None, detect: bool = True) -> DataFrame:
     """Date kept, timestamp -> date, string parsed with one whole-column format."""
     if col not in df.columns:
-        raise ValueError(f"Date column '{col}' not found")
+        raise ValueError(f"there is no column {col!r} to take dates from")
     dtype = df.schema[col].dataType
     if isinstance(dtype, DATE_TYPES):
         if isinstance(dtype, T.DateType):
             return df
         return df.withColumn(col, F.to_date(F.col(qi(col))))
     if not isinstance(dtype, T.StringType):
-        raise ValueError(f"Date column '{col}' has type {dtype.simpleString()}")
+        raise ValueError(f"column {col!r} is {dtype.simpleString()}, not a date, timestamp or text")
     if pattern is None and detect:
         pattern = detect_date_pattern(df, col)
     return df.withColumn(col, as_date(F.col(qi(col)), dtype, pattern))

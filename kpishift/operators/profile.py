@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import DATE_PATTERNS, DATE_TYPES, parse_with
+from ..functions.numeric import col
+from .periods import parse_date_column
 
 # Name hints for each role.
 DATE_NAME_HINTS = ("date", "dt_", "timestamp", "created_at")
@@ -18,6 +20,14 @@ CURRENT_DAYS = 7          # current = [anchor - 7, anchor]
 PREVIOUS_START_DAYS = 14  # previous = [anchor - 14, anchor - 8]
 PREVIOUS_END_DAYS = 8
 
+# An integer column is a category if it has at most this many
+# distinct values and they make up at most this share of its rows ...
+MAX_CATEGORIES = 24
+MAX_CATEGORY_SHARE = 0.05
+# ... unless its name says that it counts or measures.
+MEASURE_NAME_PATTERN = re.compile(r"(amount|count|total|price|revenue|sales|income|cost|qty|quantity|balance|value|size|score)",
+                                  re.IGNORECASE)
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -30,7 +40,7 @@ def _date_like(c, dtype: T.DataType):
     return F.lit(False)
 
 
-def column_profile(df: DataFrame, approx_distinct: bool = True) -> DataFrame:
+def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: type, counts, date-like count, distinct estimate, role.
 
     All statistics come from a single aggregate over the data (every column
@@ -39,19 +49,23 @@ def column_profile(df: DataFrame, approx_distinct: bool = True) -> DataFrame:
       non-null values all parse as dates, or text named like a date
       (``date``, ``dt_``, ``timestamp``, ``created_at``); later such
       columns become dimensions;
-    * dimension: text or boolean, or an integer named like an id, key, code
-      or year;
+    * dimension: text or boolean, an integer named like an id, key, code or
+      year, or a low-cardinality integer: an estimated number of distinct values
+      of at most ``MAX_CATEGORIES`` and ``MAX_CATEGORY_SHARE`` of its non-null
+      rows, unless its name is one of a measure;
     * metric: any other number;
     * none: other types.
+    ``distinct_estimate`` is HyperLogLog++ (relative standard deviation 5 %;
+    exact in practice at the size of the category rule). ``null_rate`` is the
+    share of null rows, 0 without rows.
     """
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
+        c = col(f.name)
         aggs.append(F.count(c).alias(f"n{i}"))
         aggs.append(F.count_if(_date_like(c, f.dataType)).alias(f"d{i}"))
-        if approx_distinct:
-            aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
+        aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
     stats = df.agg(*aggs)
     args = [F.lit(len(fields))]
     for i, f in enumerate(fields):
@@ -62,48 +76,46 @@ def column_profile(df: DataFrame, approx_distinct: bool = True) -> DataFrame:
         args += [
             F.lit(f.name), F.lit(i), F.lit(dt.simpleString()),
             F.col(f"n{i}").cast("long"), F.col(f"d{i}").cast("long"),
-            (F.col(f"u{i}") if approx_distinct else F.lit(None)).cast("long"),
+            F.col(f"u{i}").cast("long"),
             F.lit(isinstance(dt, DATE_TYPES)), F.lit(is_text and not isinstance(dt, T.BooleanType)),
             F.lit(is_text), F.lit(is_num), F.lit(integral),
             F.lit(any(h in f.name.lower() for h in DATE_NAME_HINTS)),
-            F.lit(bool(ID_NAME_PATTERN.search(f.name))),
+            F.lit(bool(ID_NAME_PATTERN.search(f.name))), F.lit(bool(MEASURE_NAME_PATTERN.search(f.name))),
         ]
     long = stats.select(
         F.col("__rows").alias("row_count"),
         F.stack(*args).alias("column_name", "ordinal", "data_type", "non_null_count", "date_like_count",
-                             "distinct_estimate", "_temporal", "_string", "_text", "_numeric", "_integral",
-                             "_date_name", "_id_name"))
-    candidate = (F.col("_temporal")
-                 | (F.col("_string") & (F.col("non_null_count") > 0)
+                             "distinct_estimate", "__kpi_temporal", "__kpi_string", "__kpi_text", "__kpi_numeric", "__kpi_integral",
+                             "__kpi_date_name", "__kpi_id_name", "__kpi_measure_name"))
+    candidate = (F.col("__kpi_temporal")
+                 | (F.col("__kpi_string") & (F.col("non_null_count") > 0)
                     & (F.col("date_like_count") == F.col("non_null_count")))
-                 | (F.col("_string") & F.col("_date_name")))
+                 | (F.col("__kpi_string") & F.col("__kpi_date_name")))
     first_date = F.min(F.when(candidate, F.col("ordinal"))).over(Window.partitionBy())
+    few = (F.col("__kpi_integral") & ~F.col("__kpi_measure_name") & (F.col("distinct_estimate") <= MAX_CATEGORIES)
+           & (F.col("distinct_estimate") <= MAX_CATEGORY_SHARE * F.col("non_null_count")))
     role = (F.when(candidate & (F.col("ordinal") == first_date), F.lit("date"))
-            .when(candidate | F.col("_text"), F.lit("dimension"))
-            .when(F.col("_integral") & F.col("_id_name"), F.lit("dimension"))
-            .when(F.col("_numeric"), F.lit("metric"))
+            .when(candidate | F.col("__kpi_text"), F.lit("dimension"))
+            .when((F.col("__kpi_integral") & F.col("__kpi_id_name")) | few, F.lit("dimension"))
+            .when(F.col("__kpi_numeric"), F.lit("metric"))
             .otherwise(F.lit("none")))
     return long.select(
         "column_name", "ordinal", "data_type", "row_count", "non_null_count",
         (F.col("row_count") - F.col("non_null_count")).alias("null_count"),
+        F.when(F.col("row_count") > 0, (F.col("row_count") - F.col("non_null_count")) / F.col("row_count"))
+        .otherwise(0.0).alias("null_rate"),
         "date_like_count", "distinct_estimate", role.alias("role"),
     )
 
 
-def suggested_ranges(df: DataFrame | None = None, date_col: str | None = None) -> DataFrame:
+def suggested_ranges(df: DataFrame, date_col: str) -> DataFrame:
     """Current = last 7 days up to the anchor, previous = the 7 days before that.
 
-    Anchor = latest date in ``df[date_col]`` (one aggregate), or today
-    without data. Bounds as ``YYYY-MM-DD`` strings, ready for a config.
+    Anchor = latest date in ``df[date_col]`` (one aggregate; a text column is
+    read with one format that fits all its values, as everywhere else). Bounds
+    as ``YYYY-MM-DD`` strings, ready for a config.
     """
-    spark_df = df
-    if spark_df is not None and date_col:
-        c = F.col(date_col)
-        dtype = spark_df.schema[date_col].dataType
-        day = F.to_date(c) if isinstance(dtype, DATE_TYPES) else c.cast("string").try_cast("date")
-        base = spark_df.agg(F.max(day).alias("anchor"))
-    else:
-        raise ValueError("suggested_ranges needs a frame and its date column")
+    base = parse_date_column(df.select(col(date_col)), date_col).agg(F.max(col(date_col)).alias("anchor"))
     a = F.col("anchor")
 
     def fmt(d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, qi
@@ -22,30 +22,45 @@ def min_impact_filter(df: DataFrame, min_impact: float = 0.0) -> DataFrame:
     return df.where(f"impact_score >= {float(min_impact)!r}D AND NOT isnan(impact_score)")
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def allow_group_limit(spark: SparkSession, n: int) -> None:
+    """Let Spark cut every key to ``n`` rows before the shuffle, also above its default of 1000.
+
+    Only raises the session's option, never lowers it.
+    """
+    if 0 <= int(spark.conf.get(GROUP_LIMIT, "1000")) < n:
+        spark.conf.set(GROUP_LIMIT, str(n))
+
+
 def rank_insights(insights: DataFrame, dims: list[str], top_n: int | None = None, min_impact: float = 0.0,
-                  keys: list[str] = ()) -> DataFrame:
+                  keys: list[str] = (), partitions: int | None = None) -> DataFrame:
     """Filter, order and number (``rank`` from 1); keep ``top_n`` (falsy = all).
 
     * global top-N: ``orderBy().limit()`` plans as TakeOrderedAndProject
       (per-partition top-N, then a merge of at most N x partitions rows);
       numbering the N survivors is a window over N rows.
     * per report key: ``row_number`` over ``partitionBy(keys)`` with
-      ``rank <= N`` plans as WindowGroupLimit, which cuts every key to N rows
+      ``rank <= N`` plans as WindowGroupLimit for any N (see
+      :func:`allow_group_limit`), which cuts every key to N rows per map task
       before the shuffle, so a hot key cannot swamp one task.
-    * no limit: :func:`number_rows` (range partitioning, no single task).
+    * no limit: :func:`number_rows` (range partitioning, no single task); ranks
+      are then ``bigint``.
     """
     keys = list(keys)
     order = rank_order(dims)
     kept = min_impact_filter(insights, min_impact)
     if keys:
         if top_n:
+            allow_group_limit(insights.sparkSession, int(top_n))
             w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
             return kept.withColumn(RANK, F.row_number().over(w)).where(F.col(RANK) <= top_n)
-        return number_rows(kept, order, keys)
+        return number_rows(kept, order, keys, partitions=partitions)
     if top_n:
         top = kept.orderBy(*order).limit(int(top_n))
         return top.withColumn(RANK, F.row_number().over(Window.orderBy(*order)))
-    return number_rows(kept, order, [])
+    return number_rows(kept, order, [], partitions=partitions)
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -55,7 +70,8 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return cond
 
 
-def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str = RANK) -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str = RANK,
+                partitions: int | None = None) -> DataFrame:
     """Consecutive 1-based numbers in ``order`` (within each key) for any size.
 
     Range-partition on (keys, order), sort inside each partition, and
@@ -68,25 +84,25 @@ def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str =
     sizes of earlier partitions. Without keys that table has at most one row
     per partition and is broadcast; with keys it is joined on (partition, key).
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [col(k).asc_nulls_first() for k in keys] + list(order)
-    ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
+    ranged = df.repartitionByRange(partitions, *sort_cols) if partitions else df.repartitionByRange(*sort_cols)
+    ranged = (ranged.sortWithinPartitions(*sort_cols)
+              .withColumn("__kpi_pid", F.spark_partition_id())
+              .withColumn("__kpi_pos", F.monotonically_increasing_id()))
     # The frame is read twice below (slice sizes, and the rows themselves).
     # Range bounds come from a random sample, so two evaluations could cut
     # partitions differently; a reliable checkpoint fixes one partitioning
     # (and spares the second read a recomputation of everything upstream).
     ranged = cut_lineage(ranged)
-    slices = ranged.groupBy(F.col("_pid"), *[col(k) for k in keys]).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*[col(k) for k in keys]).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("_pid", *[col(k) for k in keys], "_first",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    slices = ranged.groupBy(F.col("__kpi_pid"), *[col(k) for k in keys]).agg(F.min("__kpi_pos").alias("__kpi_first"), F.count(F.lit(1)).alias("__kpi_n"))
+    before = Window.partitionBy(*[col(k) for k in keys]).orderBy("__kpi_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("__kpi_pid", *[col(k) for k in keys], "__kpi_first",
+                            F.coalesce(F.sum("__kpi_n").over(before), F.lit(0)).alias("__kpi_off"))
     if not keys:
-        offsets = F.broadcast(offsets)  # at most one row per shuffle partition
+        offsets = F.broadcast(offsets)  # one row per partition of ``ranged``
     o = offsets.alias("_o")
     lft = ranged.alias("_l")
-    joined = lft.join(o, _null_safe_on(lft, o, ["_pid", *keys]))
+    joined = lft.join(o, _null_safe_on(lft, o, ["__kpi_pid", *keys]))
     cols = [F.col(f"_l.{qi(c)}") for c in df.columns]
-    number = F.col("_l._pos") - F.col("_o._first") + F.lit(1) + F.col("_o._off")
-    return joined.select(*cols, number.cast("int").alias(out))
+    number = F.col("_l.__kpi_pos") - F.col("_o.__kpi_first") + F.lit(1) + F.col("_o.__kpi_off")
+    return joined.select(*cols, number.cast("bigint").alias(out))

@@ -66,9 +66,9 @@ def period_totals(periods: DataFrame, metrics: list[str], keys: list[str] = (),
     args = [F.lit(len(present))]
     for m in present:
         args += [F.lit(m), col(f"{m}_current"), col(f"{m}_previous")]
-    long = wide.select(*[col(k) for k in keys], F.stack(*args).alias("metric", "_cur", "_prev")).select(
-        *[col(k) for k in keys], "metric", F.expr(round_sql("_cur", 4)).alias("current_total"),
-        F.expr(round_sql("_prev", 4)).alias("previous_total"))
+    long = wide.select(*[col(k) for k in keys], F.stack(*args).alias("metric", "__kpi_cur", "__kpi_prev")).select(
+        *[col(k) for k in keys], "metric", F.expr(round_sql("__kpi_cur", 4)).alias("current_total"),
+        F.expr(round_sql("__kpi_prev", 4)).alias("previous_total"))
     order = [(F.col("current_total") + F.col("previous_total")).desc(), F.col("metric").asc()]
     w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order) if keys else Window.orderBy(*order)
     return long.withColumn("position", F.row_number().over(w)).where(F.col("position") <= keep)
@@ -90,13 +90,13 @@ def dimension_breakdown(ranked: DataFrame, dims: list[str], keys: list[str] = ()
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS)
         label = F.expr(value_str_sql(qi(d0), (dim_types or {}).get(d0)))
         grouped = src.groupBy(*[col(k) for k in keys], label.alias("label")).agg(
-            F.sum(F.abs(F.col("current_value"))).alias("value"), F.min("rank").alias("_first"))
+            F.sum(F.abs(F.col("current_value"))).alias("value"), F.min("rank").alias("__kpi_first"))
     else:
         src = ranked.where(F.col("rank") <= BREAKDOWN_ROWS_NO_DIMS)
         grouped = src.groupBy(*[col(k) for k in keys], F.col("metric").alias("label")).agg(
-            F.max_by(F.abs(F.col("impact_score")), F.col("rank")).alias("value"), F.min("rank").alias("_first"))
+            F.max_by(F.abs(F.col("impact_score")), F.col("rank")).alias("value"), F.min("rank").alias("__kpi_first"))
     grouped = grouped.withColumn("value", F.expr(round_sql("value", 4)))
-    order = [F.col("value").desc(), F.col("_first").asc()]
+    order = [F.col("value").desc(), F.col("__kpi_first").asc()]
     w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order) if keys else Window.orderBy(*order)
     return (grouped.withColumn("position", F.row_number().over(w))
-            .where(F.col("position") <= BREAKDOWN_KEEP).drop("_first"))
+            .where(F.col("position") <= BREAKDOWN_KEEP).drop("__kpi_first"))

@@ -21,7 +21,7 @@ def present_kpis(columns: list[str], kpis: list[str]) -> list[tuple[int, str]]:
 def score_rows(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[str] = ()) -> DataFrame:
     """Unpivot with ``stack`` (narrow, no shuffle) after scoring every KPI.
 
-    Output: keys, dims, metric, kpi_index, the unrounded ``_c, _p, _d, _dp``,
+    Output: keys, dims, metric, kpi_index, the unrounded ``__kpi_c, __kpi_p, __kpi_d, __kpi_dp``,
     ``impact_score`` (rounded: it orders and filters the rows) and
     ``direction``. Impact uses the unrounded delta and delta %; ``N`` in the
     priority weight is the number of configured KPIs, also when some are
@@ -36,7 +36,7 @@ def score_rows(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[s
         return joined.select(
             *group,
             F.lit(None).cast("string").alias("metric"), F.lit(None).cast("int").alias("kpi_index"),
-            *[F.lit(None).cast("double").alias(c) for c in ("_c", "_p", "_d", "_dp", "impact_score")],
+            *[F.lit(None).cast("double").alias(c) for c in ("__kpi_c", "__kpi_p", "__kpi_d", "__kpi_dp", "impact_score")],
             F.lit(None).cast("string").alias("direction"),
         ).where(F.lit(False))
     g = [qi(c) for c in group]
@@ -46,24 +46,24 @@ def score_rows(joined: DataFrame, dims: list[str], kpis: list[str], keys: list[s
     # expressions; each stage reads plain column references. All stages
     # are one nested query (parsed and analysed once).
     wide = g + [e for i, k in present for e in (
-        f"coalesce(CAST({qi(k + '_current')} AS DOUBLE), 0.0D) AS _c{i}",
-        f"coalesce(CAST({qi(k + '_previous')} AS DOUBLE), 0.0D) AS _p{i}")]
+        f"coalesce(CAST({qi(k + '_current')} AS DOUBLE), 0.0D) AS __kpi_c{i}",
+        f"coalesce(CAST({qi(k + '_previous')} AS DOUBLE), 0.0D) AS __kpi_p{i}")]
     changes = ["*"] + [e for i, _ in present for e in (
-        f"{delta_sql(f'_c{i}', f'_p{i}')} AS _d{i}", f"{delta_pct_sql(f'_c{i}', f'_p{i}')} AS _dp{i}")]
+        f"{delta_sql(f'__kpi_c{i}', f'__kpi_p{i}')} AS __kpi_d{i}", f"{delta_pct_sql(f'__kpi_c{i}', f'__kpi_p{i}')} AS __kpi_dp{i}")]
     raw = ["*"] + [e for i, _ in present for e in (
-        f"{raw_impact_sql(f'_d{i}', f'_dp{i}', str(i), n_kpis)} AS _imp{i}", f"{direction_sql(f'_d{i}')} AS _dr{i}")]
-    keep = list(group) + [c for i, _ in present for c in (f"_c{i}", f"_p{i}", f"_d{i}", f"_dp{i}", f"_dr{i}")]
-    rounding = round_stages([(f"_imp{i}", IMPACT_DIGITS, f"_im{i}") for i, _ in present], keep)
-    stack = ", ".join(f"'{k}', {i}, _c{i}, _p{i}, _d{i}, _dp{i}, _im{i}, _dr{i}" for i, k in present)
-    unpivot = g + [f"stack({len(present)}, {stack}) AS (metric, kpi_index, _c, _p, _d, _dp, impact_score, direction)"]
+        f"{raw_impact_sql(f'__kpi_d{i}', f'__kpi_dp{i}', str(i), n_kpis)} AS __kpi_imp{i}", f"{direction_sql(f'__kpi_d{i}')} AS __kpi_dr{i}")]
+    keep = list(group) + [c for i, _ in present for c in (f"__kpi_c{i}", f"__kpi_p{i}", f"__kpi_d{i}", f"__kpi_dp{i}", f"__kpi_dr{i}")]
+    rounding = round_stages([(f"__kpi_imp{i}", IMPACT_DIGITS, f"__kpi_im{i}") for i, _ in present], keep)
+    stack = ", ".join(f"'{k}', {i}, __kpi_c{i}, __kpi_p{i}, __kpi_d{i}, __kpi_dp{i}, __kpi_im{i}, __kpi_dr{i}" for i, k in present)
+    unpivot = g + [f"stack({len(present)}, {stack}) AS (metric, kpi_index, __kpi_c, __kpi_p, __kpi_d, __kpi_dp, impact_score, direction)"]
     return chain(joined, [wide, changes, raw, *rounding, unpivot])
 
 
 def finish_insights(scored: DataFrame) -> DataFrame:
     """Round values and delta to 4 decimals, delta % to 2 (Python's rounding)."""
-    front = [c for c in scored.columns if c not in ("_c", "_p", "_d", "_dp", "impact_score", "direction")]
-    specs = [("_c", VALUE_DIGITS, "current_value"), ("_p", VALUE_DIGITS, "previous_value"),
-             ("_d", VALUE_DIGITS, "delta"), ("_dp", PCT_DIGITS, "delta_pct")]
+    front = [c for c in scored.columns if c not in ("__kpi_c", "__kpi_p", "__kpi_d", "__kpi_dp", "impact_score", "direction")]
+    specs = [("__kpi_c", VALUE_DIGITS, "current_value"), ("__kpi_p", VALUE_DIGITS, "previous_value"),
+             ("__kpi_d", VALUE_DIGITS, "delta"), ("__kpi_dp", PCT_DIGITS, "delta_pct")]
     order = [c for c in front if c != "rank"] + INSIGHT_VALUE_COLUMNS[2:] + (["rank"] if "rank" in front else [])
     return chain(scored, [*round_stages(specs, front + ["impact_score", "direction"]), [qi(c) for c in order]])
 

@@ -16,9 +16,10 @@ from ..config import config_from_dict
 from ..operators.aggregate import aggregate_by_dimensions
 from ..operators.derive import compute_all_derived_metrics
 from ..operators.joins import join_periods, join_sources
-from ..operators.periods import flag_periods, parse_date_column
+from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, parse_date_column
 from ..operators.profile import column_profile, suggested_ranges
-from ..session import scratch_path
+from ..session import cut_lineage, remove_scratch, scratch_path
+from ..sources.sinks import report_payload, write_report, write_table
 from .oracle import fmt_sql, insights_sql, q, rnd, safe_div_sql, thousands_sql
 from .report import ReportTables, period_aggregate, run_report
 
@@ -135,7 +136,8 @@ def q_period_split(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("event_day"))
     cfg = config_from_dict(_cfg({"events": {"type": "table", "table": "events", "date_col": "event_day"}},
                                 "events", "event_day", [], [], EV_CUR, EV_PREV_OVERLAP))
-    return flag_periods(ev, "event_day", cfg.report.comparison)
+    flagged = flag_periods(ev, "event_day", cfg.report.comparison)
+    return flagged.withColumnsRenamed({IN_CURRENT: "in_current", IN_PREVIOUS: "in_previous"})
 
 
 SQL_PERIOD_SPLIT = f"""
@@ -359,6 +361,13 @@ def q_top_n_min_impact(spark, sf_dir):
     return run_report(spark, cfg, frames={"events": _events_frame(spark, sf_dir)}).insights
 
 
+def q_full_ranking_per_key(spark, sf_dir):
+    """Every insight of every event type ranked within its type."""
+    cfg = _events_config(None, 0.0, dims=["user_id"])
+    cfg["report"]["report_key"] = ["event_type"]
+    return run_report(spark, config_from_dict(cfg), frames={"events": _events_frame(spark, sf_dir)}).insights
+
+
 def q_full_ranking(spark, sf_dir):
     """Every insight ranked (no limit): numbering spread over range partitions."""
     cfg = config_from_dict(_events_config(None, 0.0))
@@ -368,10 +377,61 @@ def q_full_ranking(spark, sf_dir):
 EV_METRICS_SQL = {"value": "value", "events": "1"}
 SQL_TOP_N_MIN_IMPACT = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", TN_DIMS, EV_METRICS_SQL, TN_KPIS,
                                     TN_CUR, TN_PREV, 25, 50.0)
+SQL_FULL_RANKING_PER_KEY = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", ["user_id"], EV_METRICS_SQL, TN_KPIS,
+                                        TN_CUR, TN_PREV, None, 0.0, keys=["event_type"])
 SQL_FULL_RANKING = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", TN_DIMS, EV_METRICS_SQL, TN_KPIS,
                                 TN_CUR, TN_PREV, None, 0.0)
 
 
+# ------------------------------------------------------- values beyond 1e12
+LARGE_FACTOR = 987654321.123
+
+
+def q_large_values(spark, sf_dir):
+    """One report row per order, values from 1e11 to beyond 1e14: rounding where x * 10^4 has no fraction left."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", (F.col("o_totalprice") * F.lit(LARGE_FACTOR)).alias("volume"))
+    cfg = config_from_dict(_cfg(
+        {"orders": {"type": "table", "table": "orders", "date_col": "o_orderdate", "metrics": ["volume"]}},
+        "orders", "o_orderdate", ["o_orderkey"], ["volume"], JP_CUR, JP_PREV, top_n=None))
+    return run_report(spark, cfg, frames={"orders": o}).insights
+
+
+SQL_LARGE_VALUES = insights_sql("SELECT * FROM orders", "CAST(o_orderdate AS DATE)", ["o_orderkey"],
+                                {"volume": f"o_totalprice * {LARGE_FACTOR!r}::DOUBLE"}, ["volume"], JP_CUR, JP_PREV, None)
+
+
+# --------------------------------- decimal sums with NaN and infinite values
+NONFINITE = ("CASE WHEN l_linenumber = 2 AND l_returnflag = 'A' AND l_shipdate >= {cur} THEN {inf} "
+             "WHEN l_linenumber = 3 AND l_returnflag = 'N' AND l_orderkey % 5 = 0 THEN {nan} ELSE l_extendedprice END")
+
+
+def q_decimal_nonfinite(spark, sf_dir):
+    """lineitem with infinite and NaN prices among the others, summed by the decimal accumulator."""
+    amount = NONFINITE.format(cur=f"TIMESTAMP_NTZ'{FLAG_CUR[0]}'", inf="double('infinity')", nan="double('NaN')")
+    li = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", f"{amount} AS amount")
+    cfg = config_from_dict(_cfg(
+        {"lineitem": {"type": "table", "table": "lineitem", "date_col": "l_shipdate", "metrics": ["amount", "l_quantity"]}},
+        "lineitem", "l_shipdate", FLAG_DIMS, ["amount", "l_quantity"], FLAG_CUR, FLAG_PREV, accumulator="decimal"))
+    return run_report(spark, cfg, frames={"lineitem": li}).insights
+
+
+SQL_DECIMAL_NONFINITE = insights_sql(
+    "SELECT * FROM lineitem", "CAST(l_shipdate AS DATE)", FLAG_DIMS,
+    {"amount": NONFINITE.format(cur=f"TIMESTAMP '{FLAG_CUR[0]}'", inf="'infinity'::DOUBLE", nan="'nan'::DOUBLE"),
+     "l_quantity": "l_quantity"}, ["amount", "l_quantity"], FLAG_CUR, FLAG_PREV, 20, decimal=True)
+
+
+# ------------------------------------------------------ date column fallback
+def q_date_fallback(spark, sf_dir):
+    """The configured date column is absent: the first column named like a date is taken."""
+    ev = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("event_date"), "value", F.lit(1).alias("events"))
+    cfg = config_from_dict(_cfg(
+        {"events": {"type": "table", "table": "events", "date_col": "day", "metrics": ["value", "events"]}},
+        "events", "day", ["event_type"], TN_KPIS, TN_CUR, TN_PREV))
+    return run_report(spark, cfg, frames={"events": ev}).insights
+
+
 # --------------------------------------------------- one report per nation
 PR_KPIS = ["o_totalprice", "order_count"]
 
@@ -410,6 +470,42 @@ SQL_PER_REPORT = insights_sql(PER_NATION_FACT, "CAST(o_orderdate AS DATE)", ["c_
                               5, 0.0, keys=["n_name"])
 
 
+def read_back(df: DataFrame, path: str) -> DataFrame:
+    """Rows read from a scratch folder, cut from it, so that the folder can go."""
+    out = cut_lineage(df)
+    remove_scratch(df.sparkSession, path)
+    return out
+
+
+def q_report_sink(spark, sf_dir):
+    """The report per nation written partitioned by its key, and the insights table read back."""
+    path = scratch_path(spark, f"report_sink-{uuid.uuid4().hex}")
+    tables = per_nation_report(spark, sf_dir)
+    target = write_report(tables, path)["insights"]
+    back = spark.read.parquet(target)
+    return read_back(back.select(*tables.insights.columns, F.col("dimensions")["c_mktsegment"].alias("segment_text")), path)
+
+
+SQL_REPORT_SINK = f"SELECT *, c_mktsegment AS segment_text FROM ({SQL_PER_REPORT})"
+
+
+def q_report_payload(spark, sf_dir):
+    """The JSON payload per nation, written, read back and laid out as rows."""
+    path = scratch_path(spark, f"report_payload-{uuid.uuid4().hex}")
+    payload = report_payload(per_nation_report(spark, sf_dir))
+    write_table(payload, path, "json")
+    back = spark.read.schema(payload.schema).json(path).select(
+        "n_name", "summary.total_insights", "config.current_period", F.posexplode("insights").alias("place", "i"))
+    return read_back(back.select("n_name", "total_insights", "current_period", (F.col("place") + 1).alias("rank"),
+                                 F.col("i.dimensions")["c_mktsegment"].alias("segment"), "i.metric", "i.current_value",
+                                 "i.previous_value", "i.delta", "i.delta_pct", "i.impact_score", "i.direction"), path)
+
+
+SQL_REPORT_PAYLOAD = (
+    f"SELECT n_name, count(*) OVER (PARTITION BY n_name) AS total_insights, '{FLAG_CUR[0]} to {FLAG_CUR[1]}' AS current_period, rank, "
+    f"c_mktsegment AS segment, metric, current_value, previous_value, delta, delta_pct, impact_score, direction FROM ({SQL_PER_REPORT})")
+
+
 def q_summary_per_report(spark, sf_dir):
     s = per_nation_report(spark, sf_dir).summary
     cols = [F.col("n_name"), F.col("total_insights"), F.col("total_gains"), F.col("total_drops")]
@@ -599,10 +695,32 @@ def _sql_profile() -> str:
         parts.append(
             f"SELECT '{c}' AS column_name, {i} AS ordinal, '{t}' AS data_type, count(*) AS row_count, "
             f"count({c}) AS non_null_count, count(*) - count({c}) AS null_count, "
+            f"CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_rate, "
             f"CAST({like} AS BIGINT) AS date_like_count, '{ORDERS_ROLES[c]}' AS role FROM orders")
     return " UNION ALL ".join(parts)
 
 
+def q_column_profile_labels(spark, sf_dir):
+    """0/1 columns are categories by their few values; the distinct estimate is held against the exact count."""
+    labels = table(spark, sf_dir, "labels")
+    exact = labels.agg(*[F.count_distinct(c).alias(c) for c in labels.columns]).unpivot([], labels.columns, "name", "exact")
+    prof = column_profile(labels)
+    close = F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.15 * F.col("exact")  # three standard deviations
+    return (prof.join(exact, F.col("column_name") == F.col("name"))
+            .select("column_name", "data_type", "null_rate", "role", close.alias("estimate_close")))
+
+
+SQL_PROFILE_LABELS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, CAST(count(*) - count({c}) AS DOUBLE) / count(*) AS null_rate, "
+    f"'dimension' AS role, TRUE AS estimate_close FROM labels" for c, t in (("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")))
+
+
+def q_suggested_ranges_text(spark, sf_dir):
+    """Ranges from a date column that is text, month first."""
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "MM/dd/yyyy").alias("o.date"))
+    return suggested_ranges(o, "o.date")
+
+
 def q_suggested_ranges(spark, sf_dir):
     return suggested_ranges(table(spark, sf_dir, "orders"), "o_orderdate")
 
@@ -621,17 +739,18 @@ FROM a
 def q_csv_source(spark, sf_dir):
     """events -> ';' CSV in the shared scratch folder -> CSV source -> report.
 
-    The delimiter is sniffed from the header line and the day column is
-    inferred as DATE by the reader.
+    The delimiter is sniffed from the header line; a schema spares the reader
+    its inference pass (tests cover inference).
     """
-    path = scratch_path(spark, f"csv_source/{uuid.uuid4().hex}")
+    path = scratch_path(spark, f"csv_source-{uuid.uuid4().hex}")
     (table(spark, sf_dir, "events")
      .select(F.to_date("ts").alias("event_day"), "event_type", "value", F.lit(1).alias("events"))
      .write.option("header", True).option("sep", ";").csv(path))
     cfg = config_from_dict(_cfg(
-        {"events": {"type": "csv", "path": path, "date_col": "event_day", "metrics": ["value", "events"]}},
+        {"events": {"type": "csv", "path": path, "date_col": "event_day", "metrics": ["value", "events"],
+                    "schema": "event_day DATE, event_type STRING, value DOUBLE, events INT"}},
         "events", "event_day", ["event_type"], TN_KPIS, TN_CUR, TN_PREV))
-    return run_report(spark, cfg).insights
+    return read_back(run_report(spark, cfg).insights, path)
 
 
 SQL_CSV_SOURCE = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", ["event_type"], EV_METRICS_SQL, TN_KPIS,
@@ -641,15 +760,15 @@ SQL_CSV_SOURCE = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", ["even
 # ------------------------------------------------------------------ streaming
 def q_streaming_flagship(spark, sf_dir):
     """Flagship over lineitem read as a file stream; result read back from the sink."""
-    from ..streaming import file_stream, stream_report
+    from ..streaming import file_stream, published, stream_report
     cfg = config_from_dict(flagship_config(sf_dir))
-    sink = scratch_path(spark, f"stream_sink/{uuid.uuid4().hex}")
+    sink = scratch_path(spark, f"stream_sink-{uuid.uuid4().hex}")
     stream = file_stream(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
-    query = stream_report(cfg, stream, sink, checkpoint_location=f"{sink}_checkpoint")
+    query = stream_report(cfg, stream, f"{sink}/tables", checkpoint_location=f"{sink}/checkpoint")
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    return spark.read.parquet(f"{sink}/insights").drop("dimensions")
+    return read_back(published(spark, f"{sink}/tables", "insights").drop("dimensions"), sink)
 
 
 # ------------------------------------------------------------------ registry
@@ -676,6 +795,12 @@ QUERIES = {
     "totals_per_report": q_totals_per_report,
     "top_n_min_impact": q_top_n_min_impact,
     "full_ranking": q_full_ranking,
+    "full_ranking_per_key": q_full_ranking_per_key,
+    "large_values": q_large_values,
+    "decimal_nonfinite": q_decimal_nonfinite,
+    "date_fallback": q_date_fallback,
+    "report_sink": q_report_sink,
+    "report_payload": q_report_payload,
     "insights_per_report": q_insights_per_report,
     "insight_summary": q_insight_summary,
     "period_totals": q_period_totals,
@@ -684,7 +809,9 @@ QUERIES = {
     "insight_table": q_insight_table,
     "narrative": q_narrative,
     "column_profile": q_column_profile,
+    "column_profile_labels": q_column_profile_labels,
     "suggested_ranges": q_suggested_ranges,
+    "suggested_ranges_text": q_suggested_ranges_text,
     "csv_source": q_csv_source,
     "streaming_flagship": q_streaming_flagship,
 }
@@ -714,6 +841,12 @@ def oracle_statements() -> dict[str, str]:
         "totals_per_report": _sql_totals_per_report(),
         "top_n_min_impact": SQL_TOP_N_MIN_IMPACT,
         "full_ranking": SQL_FULL_RANKING,
+        "full_ranking_per_key": SQL_FULL_RANKING_PER_KEY,
+        "large_values": SQL_LARGE_VALUES,
+        "decimal_nonfinite": SQL_DECIMAL_NONFINITE,
+        "date_fallback": SQL_CSV_SOURCE,
+        "report_sink": SQL_REPORT_SINK,
+        "report_payload": SQL_REPORT_PAYLOAD,
         "insights_per_report": SQL_PER_REPORT,
         "insight_summary": _sql_summary(),
         "period_totals": _sql_totals(),
@@ -722,7 +855,9 @@ def oracle_statements() -> dict[str, str]:
         "insight_table": SQL_INSIGHT_TABLE,
         "narrative": _sql_narrative(),
         "column_profile": _sql_profile(),
+        "column_profile_labels": SQL_PROFILE_LABELS,
         "suggested_ranges": SQL_SUGGESTED_RANGES,
+        "suggested_ranges_text": SQL_SUGGESTED_RANGES,
         "csv_source": SQL_CSV_SOURCE,
         "streaming_flagship": flagship_sql(),
     }

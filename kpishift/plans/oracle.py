@@ -2,19 +2,16 @@
 
 The scoring formulas are written out in SQL here independently of the
 DataFrame code; the catalogue pairs each Spark query with one of these.
-Only the rounding expression is shared with the Spark side: it is plain
-double arithmetic, checked against Python's ``round`` on its own
-(tests/test_rounding.py).
+Rounding is DuckDB's own ``printf``, which prints the exact binary value
+rounded to even, so nothing of the Spark side is used here.
 """
 
 from __future__ import annotations
 
-from ..functions.numeric import exact_round_sql
-
 
 def rnd(expr: str, digits: int) -> str:
-    """Python-exact rounding in DuckDB SQL (same arithmetic as the Spark side)."""
-    return exact_round_sql(expr, digits, "::DOUBLE")
+    """Rounding to ``digits`` decimals through the printed number."""
+    return f"CAST(printf('%.{digits}f', CAST({expr} AS DOUBLE)) AS DOUBLE)"
 
 
 def q(name: str) -> str:
@@ -40,8 +37,11 @@ def aggregate_sql(fact: str, date_expr: str, group: list[str], metrics: dict[str
         cast = metric_casts.get(m)
         for flag, suf in ((in_c, "current"), (in_p, "previous")):
             picked = f"CASE WHEN {flag} THEN {q(m)} END"
-            s = (f"coalesce(CAST(sum(CAST({picked} AS DECIMAL(38, 10))) AS DOUBLE), 0)" if decimal
-                 else f"coalesce(sum({picked}), 0)")
+            s = f"coalesce(sum({picked}), 0)"
+            if decimal:  # numbers as exact decimals; NaN and infinities by their double sum
+                odd = f"isnan({picked}) OR isinf({picked})"
+                s = (f"coalesce(sum({picked}) FILTER (WHERE {odd}), "
+                     f"CAST(sum(CAST(CASE WHEN NOT ({odd}) THEN {picked} END AS DECIMAL(38, 10))) AS DOUBLE), 0)")
             sums.append(f"{('CAST(' + s + ' AS ' + cast + ')') if cast else s} AS {q(m + '_' + suf)}")
     group_by = f" GROUP BY {', '.join(q(g) for g in group)}" if group else ""
     sel = ", ".join([q(g) for g in group] + sums)
@@ -73,7 +73,8 @@ def insights_sql(fact: str, date_expr: str, dims: list[str], metrics: dict[str,
            f"FROM sc")
     part = f"PARTITION BY {', '.join(q(k) for k in keys)} " if keys else ""
     order = ", ".join(["impact_score DESC", "kpi_index"] + [f"{q(d)} ASC NULLS FIRST" for d in dims])
-    rk = (f"SELECT *, CAST(row_number() OVER ({part}ORDER BY {order}) AS INTEGER) AS rank FROM fin "
+    number = "INTEGER" if top_n else "BIGINT"
+    rk = (f"SELECT *, CAST(row_number() OVER ({part}ORDER BY {order}) AS {number}) AS rank FROM fin "
           f"WHERE impact_score >= {float(min_impact)!r} AND NOT isnan(impact_score)")
     limit = f" WHERE rank <= {int(top_n)}" if top_n else ""
     return (f"WITH agg AS ({agg}), long AS ({long}), sc AS ({sc}), fin AS ({fin}), rk AS ({rk}) "

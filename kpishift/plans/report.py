@@ -6,6 +6,7 @@ aggregate with both periods -> stack + score -> top-N -> summary tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,10 @@ from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
 from ..operators.unpivot import finish_insights, score_rows
-from ..functions.formulas import parse_formula
+from ..functions.formulas import read_formulas
 from ..functions.numeric import col, qi
 from ..session import cut_lineage
-from ..sources.ingest import ingest_data, load_all_sources, normalise_dates
+from ..sources.ingest import join_loaded, load_all_sources, normalise_dates
 
 
 class ReportTables:
@@ -34,17 +35,34 @@ class ReportTables:
     table; those are built on first access only.
     """
 
-    def __init__(self, config: InsightConfig, dims: list, keys: list, facts: DataFrame, periods: DataFrame,
-                 raw_scores: DataFrame, insights: DataFrame, dim_types: dict):
+    def __init__(self, config: InsightConfig, dims: list, keys: list, facts: Callable[[], DataFrame] | None,
+                 periods: DataFrame, raw_scores: DataFrame, dim_types: dict, top_n: int | None):
         self.config = config
         self.dims = dims
         self.keys = keys
-        self.facts = facts          # joined rows (dates normalised, derived metrics); when the
-        #                             primary was aggregated before the joins: the period aggregate
+        self._facts = facts
         self.periods = periods      # wide aggregate: keys, dims, m_current, m_previous
         self.raw_scores = raw_scores  # every (dims x KPI) row; only the impact rounded yet
-        self.insights = insights
         self.dim_types = dim_types
+        self.top_n = top_n
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The joined rows, dates normalised, with the derived metrics."""
+        if self._facts is None:
+            raise ValueError("this report was built from a period aggregate: it has no joined rows")
+        return self._facts()
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        """Ranked on the rounded impact; the other values are rounded on the kept rows only.
+
+        A full ranking (no ``top_n``) writes its sorted rows to the checkpoint
+        folder when this is first used, not before.
+        """
+        rep = self.config.report
+        return finish_insights(rank_insights(self.raw_scores, self.dims, top_n=self.top_n, min_impact=rep.min_impact,
+                                             keys=self.keys, partitions=rep.ranking_partitions))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -78,7 +96,7 @@ class ReportTables:
     @cached_property
     def meta(self) -> DataFrame:
         rep = self.config.report
-        return self.facts.sparkSession.range(1).select(
+        return self.periods.sparkSession.range(1).select(
             F.array(*[F.lit(d) for d in self.dims]).cast("array<string>").alias("dimensions"),
             F.array(*[F.lit(k) for k in rep.kpi_priority]).cast("array<string>").alias("kpis"),
             F.lit(rep.comparison.current_period).alias("current_period"),
@@ -96,17 +114,17 @@ class ReportTables:
         re-run scan, join and aggregate once per table. The checkpoint is a
         reliable one in ``spark.checkpoint.dir`` (shared storage), so a lost
         executor does not force a rescan; the ranked insights (top-N per key)
-        are cut the same way.
+        are cut the same way. A full ranking is already cut where it is numbered.
         """
-        periods = cut_lineage(self.periods)
-        tables = report_from_periods(self.config, periods, self.facts, self.dim_types)
-        tables.insights = cut_lineage(tables.insights)
+        tables = report_from_periods(self.config, cut_lineage(self.periods), self._facts, self.dim_types, self.top_n)
+        if self.top_n:
+            tables.insights = cut_lineage(tables.insights)
         return tables
 
 
-def prepare_facts(spark: SparkSession, config: InsightConfig, frames: dict | None = None,
-                  base_path: str = "") -> tuple[DataFrame, str]:
-    fact, date_col = ingest_data(spark, config, base_path, frames)
+def prepare_facts(loaded: dict[str, DataFrame], config: InsightConfig) -> tuple[DataFrame, str]:
+    """(fact table with derived metrics, date column) of loaded sources with normalised dates."""
+    fact, date_col = join_loaded(loaded, config)
     if config.derived_metrics:
         fact = compute_all_derived_metrics(fact, config.derived_metrics)
     return fact, date_col
@@ -132,7 +150,7 @@ def period_aggregate(fact: DataFrame, config: InsightConfig, date_col: str, plan
     return aggregate_periods(flagged, group, metrics, IN_CURRENT, IN_PREVIOUS, rep.accumulator)
 
 
-def report_from_periods(config: InsightConfig, periods: DataFrame, facts: DataFrame | None = None,
+def report_from_periods(config: InsightConfig, periods: DataFrame, facts: Callable[[], DataFrame] | None = None,
                         dim_types: dict | None = None, top_n: int | None = -1) -> ReportTables:
     """Score, rank and summarise an existing wide period aggregate."""
     rep = config.report
@@ -140,12 +158,9 @@ def report_from_periods(config: InsightConfig, periods: DataFrame, facts: DataFr
     keys = list(rep.report_key)
     n = rep.top_n if top_n == -1 else top_n
     raw = score_rows(periods, dims, list(rep.kpi_priority), keys)
-    # rank on the rounded impact, round the other values on the kept rows only
-    ranked = finish_insights(rank_insights(raw, dims, top_n=n, min_impact=rep.min_impact, keys=keys))
     if dim_types is None:
         dim_types = {f.name: f.dataType for f in periods.schema.fields if f.name in dims}
-    return ReportTables(config, dims, keys, facts if facts is not None else periods, periods, raw, ranked,
-                        dim_types)
+    return ReportTables(config, dims, keys, facts, periods, raw, dim_types, n)
 
 
 def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: str = "fused",
@@ -153,15 +168,11 @@ def build_report(config: InsightConfig, fact: DataFrame, date_col: str, plan: st
     periods = period_aggregate(fact, config, date_col, plan)
     dims = list(config.report.primary_dims)
     dim_types = {f.name: f.dataType for f in fact.schema.fields if f.name in dims}
-    return report_from_periods(config, periods, fact, dim_types, top_n)
+    return report_from_periods(config, periods, lambda: fact, dim_types, top_n)
 
 
 def _formula_operands(config: InsightConfig) -> set[str]:
-    ops = set()
-    for formula in config.derived_metrics.values():
-        a, _, b = parse_formula(formula)
-        ops |= {a, b}
-    return ops
+    return {name for left, _, right in read_formulas(config.derived_metrics).values() for name in (left, right)}
 
 
 def eager_periods(config: InsightConfig, loaded: dict[str, DataFrame]) -> DataFrame | None:
@@ -174,8 +185,13 @@ def eager_periods(config: InsightConfig, loaded: dict[str, DataFrame]) -> DataFr
     the period flags, the secondaries are joined onto those partial sums,
     and a second aggregate sums them per report group. Equal to joining
     first: a key's partial sums are repeated once per matching right row,
-    exactly as the key's fact rows would be. The join then shuffles one row
-    per key instead of every fact row. Returns None when not applicable.
+    exactly as the key's fact rows would be. The join then shuffles a partial
+    sum per key and map task instead of every fact row: worth it where the
+    secondaries are too large to broadcast and a key has many fact rows in a
+    task; otherwise the extra aggregate costs more than it saves. Returns None
+    when not applicable, in particular when a metric or a derived name is also
+    a group column or a key of any join (its values would be summed away or
+    overwritten before the join reads them).
     """
     rep = config.report
     primary_name = config.dataset.primary_source
@@ -193,7 +209,7 @@ def eager_periods(config: InsightConfig, loaded: dict[str, DataFrame]) -> DataFr
     metrics = metric_list(config)
     keys = default_join_keys(config)
     seen = set(primary.columns) | derived_names
-    needed_from_primary = set()
+    needed_from_primary, join_keys = set(), set()
     for name, df in loaded.items():
         if name == primary_name:
             continue
@@ -206,10 +222,13 @@ def eager_periods(config: InsightConfig, loaded: dict[str, DataFrame]) -> DataFr
         if set(extra) & (set(metrics) | operands):
             return None                      # the source brings a metric: join first
         needed_from_primary |= {k for k in common if k in primary.columns}
+        join_keys |= set(common)
         seen |= set(extra)
     group = list(rep.report_key) + list(rep.primary_dims)
     if not set(group) <= seen:
         return None
+    if (join_keys | needed_from_primary | set(group)) & (set(metrics) | derived_names):
+        return None
     pre_keys = [c for c in primary.columns if c in needed_from_primary or c in group]
     if not isinstance(primary.schema[date_col].dataType, T.DateType):
         primary = parse_date_column(primary, date_col)   # a report date other than the source's own
@@ -229,20 +248,18 @@ def run_report(spark: SparkSession, config: InsightConfig, frames: dict | None =
     """Validate, ingest and build all report tables (lazy).
 
     ``frames`` maps source names to ready DataFrames (used instead of
-    reading the configured location). With several sources the primary is
-    aggregated before the joins whenever that is exact (see
-    :func:`eager_periods`); ``plan="join_first"`` turns that off.
+    reading the configured location). Sources are loaded once and joined
+    before the aggregate; with ``pre_aggregate: true`` in the dataset the
+    primary is aggregated before the joins whenever that gives the same
+    result (see :func:`eager_periods`).
     """
     config.validate()
-    if plan == "fused" and len(config.dataset.sources) > 1:
-        loaded = normalise_dates(load_all_sources(spark, config, base_path, frames), config)
+    loaded = normalise_dates(load_all_sources(spark, config, base_path, frames), config)
+    if plan == "fused" and config.dataset.pre_aggregate:
         periods = eager_periods(config, loaded)
         if periods is not None:
-            return report_from_periods(config, periods, periods)
-    if plan == "join_first":
-        plan = "fused"
-    fact, date_col = prepare_facts(spark, config, frames, base_path)
-    return build_report(config, fact, date_col, plan)
+            return report_from_periods(config, periods, lambda: prepare_facts(loaded, config)[0])
+    return build_report(config, *prepare_facts(loaded, config), plan)
 
 
 __all__ = ["ReportTables", "run_report", "build_report", "report_from_periods", "prepare_facts", "period_aggregate"]

@@ -79,12 +79,16 @@ def _context(spark: SparkSession):
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) a folder is created and
-    set; on a cluster the setting must point at shared storage.
+    Only a local session (tests) that names none gets a temporary folder; on a
+    cluster executors would each write to their own disk, so that is refused.
     """
     sc = _context(spark)
     current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "") or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: with master {master!r} it must name a folder on "
+                               "storage that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="kpishift-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
@@ -100,6 +104,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made under :func:`scratch_path` (through Spark's file system)."""
+    root = checkpoint_dir(spark).rstrip("/")
+    if not path.startswith(f"{root}/"):
+        raise ValueError(f"{path} is not in the scratch folder {root}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local one."""
     checkpoint_dir(df.sparkSession)

@@ -48,7 +48,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema: str
         return reader.csv(path)
     except AnalysisException as exc:
         if _missing(exc):
-            raise FileNotFoundError(f"CSV file not found: {path}") from exc
+            raise FileNotFoundError(f"there is no CSV file at {path}") from exc
         raise
 
 
@@ -57,7 +57,7 @@ def read_parquet(spark: SparkSession, path: str, options: dict | None = None) ->
         return spark.read.options(**(options or {})).parquet(path)
     except AnalysisException as exc:
         if _missing(exc):
-            raise FileNotFoundError(f"Parquet path not found: {path}") from exc
+            raise FileNotFoundError(f"there is nothing at {path}") from exc
         raise
 
 

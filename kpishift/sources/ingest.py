@@ -27,7 +27,7 @@ READERS = {
 def load_source(spark: SparkSession, name: str, cfg: SourceConfig, base_path: str = "") -> DataFrame:
     reader = READERS.get(cfg.type)
     if reader is None:
-        raise ValueError(f"Unknown source type: {cfg.type}")
+        raise ValueError(f"source {name!r}: there is no reader for type {cfg.type!r}")
     return reader(spark, cfg, base_path)
 
 
@@ -45,7 +45,7 @@ def date_fallback(columns: list[str], date_col: str) -> str:
         return date_col
     candidates = [c for c in columns if "date" in c.lower() or "dt_" in c.lower()]
     if not candidates:
-        raise ValueError(f"Date column '{date_col}' not found in data")
+        raise ValueError(f"no column is named {date_col!r} or like a date")
     log.warning("date column %r not found; using %r", date_col, candidates[0])
     return candidates[0]
 
@@ -66,7 +66,11 @@ def ingest_data(spark: SparkSession, config: InsightConfig, base_path: str = "",
                 frames: dict[str, DataFrame] | None = None) -> tuple[DataFrame, str]:
     """(joined fact table, date column to use). Nothing runs yet except the
     small jobs that sniff a CSV delimiter or detect a text date format."""
-    loaded = normalise_dates(load_all_sources(spark, config, base_path, frames), config)
+    return join_loaded(normalise_dates(load_all_sources(spark, config, base_path, frames), config), config)
+
+
+def join_loaded(loaded: dict[str, DataFrame], config: InsightConfig) -> tuple[DataFrame, str]:
+    """:func:`ingest_data` for sources that are loaded, their dates normalised."""
     fact = join_sources(loaded, config)
     primary_date = date_fallback(fact.columns, config.dataset.primary.date_col)
     report_date = config.report.primary_date_col

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import qi
+from ..functions.numeric import col, qi
 from ..functions.text import value_str_sql
 
 
@@ -68,7 +68,11 @@ def report_payload(tables) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: list[str] | None = None) -> None:
+                partition_by: list[str] | None = None, bounded: bool = True) -> None:
+    """``bounded``: a key has few rows (top-N), so it goes to one file; else Spark splits large keys over several."""
+    if partition_by:
+        by = [col(k) for k in partition_by]
+        df = df.repartition(*by) if bounded else df.hint("rebalance", *by)
     writer = df.write.mode(mode).format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -94,6 +98,6 @@ def write_report(tables, path: str, fmt: str = "parquet", mode: str = "overwrite
         named.append(("payload", report_payload(tables)))
     for name, df in named:
         target = f"{path.rstrip('/')}/{name}"
-        write_table(df, target, fmt, mode, keys if keys and name != "meta" else None)
+        write_table(df, target, fmt, mode, keys if keys and name != "meta" else None, bool(tables.top_n))
         out[name] = target
     return out

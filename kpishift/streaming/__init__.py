@@ -1,5 +1,5 @@
 """Incremental (Structured Streaming) form of the report."""
 
-from .incremental import file_stream, stream_report, streaming_periods
+from .incremental import file_stream, published, stream_report, streaming_periods
 
-__all__ = ["file_stream", "stream_report", "streaming_periods"]
+__all__ = ["file_stream", "published", "stream_report", "streaming_periods"]

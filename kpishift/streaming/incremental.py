@@ -4,9 +4,12 @@ The fused period aggregate is a streaming stateful aggregation: the state
 holds one row of running sums per (report key, dimension tuple), so it is
 bounded by the report's own output domain, not by the data volume. Each
 micro-batch receives the complete aggregate, scores and ranks it with the
-batch operators and overwrites the published tables, so readers always see
-one consistent snapshot. Progress and state live in the checkpoint folder
-(shared storage), so a restarted query resumes where it stopped.
+batch operators and writes the tables to a folder of its own,
+``batch=<id>``; a small table ``current`` then gains a row that names it.
+Readers (:func:`published`) take the folder of the highest complete batch,
+so they see tables of one batch only, also while the next one is written.
+Progress and state live in the checkpoint folder (shared storage), so a
+restarted query resumes where it stopped and rewrites an unfinished batch.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods
 from ..functions.dates import DATE_TYPES, as_date
 from ..plans.report import report_from_periods
 from ..session import scratch_path
-from ..sources.sinks import with_dimension_map
+from ..sources.sinks import with_dimension_map, write_table
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet",
@@ -36,7 +39,8 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | None = No
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if os.path.isfile(path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
         base, name = os.path.split(path)
         return reader.option("basePath", base).load(os.path.join(base, name[:-1] + f"[{name[-1]}]"))
     return reader.load(path)
@@ -58,6 +62,13 @@ def streaming_periods(config: InsightConfig, stream: DataFrame) -> DataFrame:
     return aggregate_periods(flagged, group, metric_list(config), IN_CURRENT, IN_PREVIOUS, rep.accumulator)
 
 
+def published(spark: SparkSession, sink_path: str, name: str) -> DataFrame:
+    """A table (insights, summary, totals) of the latest complete batch."""
+    root = sink_path.rstrip("/")
+    latest = spark.read.parquet(f"{root}/current").agg({"id": "max"}).first()[0]
+    return spark.read.parquet(f"{root}/batch={latest}/{name}")
+
+
 def stream_report(config: InsightConfig, stream: DataFrame, sink_path: str, checkpoint_location: str | None = None,
                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the query; every micro-batch republishes insights, summary and totals.
@@ -69,17 +80,17 @@ def stream_report(config: InsightConfig, stream: DataFrame, sink_path: str, chec
     ckpt = checkpoint_location or scratch_path(spark, f"stream-{os.path.basename(sink_path.rstrip('/'))}")
     periods = streaming_periods(config, stream)
 
+    root = sink_path.rstrip("/")
+
     def publish(batch: DataFrame, epoch_id: int) -> None:
         batch.persist()
         try:
             tables = report_from_periods(config, batch)
-            keys = list(tables.keys)
             for name, df in (("insights", with_dimension_map(tables.insights, tables.dims)),
                              ("summary", tables.summary), ("totals", tables.totals)):
-                writer = df.write.mode("overwrite")
-                if keys:
-                    writer = writer.partitionBy(*keys)
-                writer.parquet(f"{sink_path.rstrip('/')}/{name}")
+                write_table(df, f"{root}/batch={epoch_id}/{name}", partition_by=list(tables.keys) or None,
+                            bounded=bool(tables.top_n))
+            spark.range(epoch_id, epoch_id + 1).coalesce(1).write.mode("append").parquet(f"{root}/current")
         finally:
             batch.unpersist()
 

@@ -1,13 +1,8 @@
-import os
-
-import pytest
-
 from kpishift.__main__ import main
 
 from .fixtures import CLICKS_CSV, CONFIG_A
 
 
-@pytest.mark.skipif(not os.path.exists(CLICKS_CSV), reason="sample CSV not available")
 def test_cli_report_writes_all_tables(spark, tmp_path):
     cfg = tmp_path / "cfg.yaml"
     cfg.write_text(CONFIG_A.format(clicks=CLICKS_CSV))
@@ -18,7 +13,6 @@ def test_cli_report_writes_all_tables(spark, tmp_path):
     assert spark.read.parquet(str(out / "insights")).count() == 20
 
 
-@pytest.mark.skipif(not os.path.exists(CLICKS_CSV), reason="sample CSV not available")
 def test_cli_payload_json(spark, tmp_path):
     cfg = tmp_path / "cfg.yaml"
     cfg.write_text(CONFIG_A.format(clicks=CLICKS_CSV))

@@ -95,3 +95,20 @@ def test_apply_recommended_keeps_existing(spark):
         for k in applied:                                           # leave the shared session as it was
             spark.conf.unset(k)
         spark.conf.set(key, old)
+
+
+def test_url_parameters_and_escapes():
+    o = connection_string_options("postgresql://u%40x:p%40ss%2F@h:5432/my%20db?sslmode=require&application_name=a%20b")
+    assert o["url"] == "jdbc:postgresql://h:5432/my db?sslmode=require&application_name=a+b"
+    assert (o["user"], o["password"]) == ("u@x", "p@ss/")
+    o = connection_string_options("sqlserver://u:p@h/db?encrypt=true")
+    assert o["url"] == "jdbc:sqlserver://h:1433;databaseName=db;encrypt=true"
+    with pytest.raises(ConfigError):
+        connection_string_options("no url at all")
+    with pytest.raises(ConfigError):
+        connection_string_options("mysql://h:port/db")
+
+
+def test_formulas_are_read_with_the_definition():
+    with pytest.raises(ValueError, match="bad"):
+        load_config_from_string(BASE + "derived_metrics: {bad: 'a + b + c'}\n")

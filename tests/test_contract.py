@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from kpishift.functions.formulas import parse_formula
+from kpishift.functions.formulas import read_formulas
 from kpishift.operators.aggregate import aggregate_by_dimensions, metric_list
 from kpishift.operators.derive import compute_all_derived_metrics
 from kpishift.operators.joins import join_periods, join_sources
@@ -35,7 +35,9 @@ def test_q2_formula_grammar(spark, formula):
 
 
 def test_q2_parse():
-    assert parse_formula("  clicks/impressions ") == ("clicks", "/", "impressions")
+    assert read_formulas({"ctr": "  clicks/impressions "}) == {"ctr": ("clicks", "/", "impressions")}
+    with pytest.raises(ValueError, match="one, two"):
+        read_formulas({"one": "a +", "ok": "a + b", "two": ""})
 
 
 def test_q3_division_and_nulls(spark):
@@ -92,9 +94,9 @@ def test_q8_metric_list_dedup():
 
 def test_q9_dims_and_metrics_checked(spark):
     df = frame(spark, [("2025-01-09", "x", 1.0, 2.0)])
-    with pytest.raises(ValueError, match="Missing dimension"):
+    with pytest.raises(ValueError, match="nope"):
         aggregate_by_dimensions(df, ["nope"], ["a"])
-    with pytest.raises(ValueError, match="No valid metrics"):
+    with pytest.raises(ValueError, match="none of the metrics"):
         aggregate_by_dimensions(df, ["k"], ["nope"])
     assert aggregate_by_dimensions(df, [], ["a", "nope"]).columns == ["a"]
 
@@ -216,12 +218,12 @@ def test_q25_date_fallback(spark):
 
 
 def test_q27_text_and_date_keys_join_as_dates(spark):
-    from kpishift.plans.report import prepare_facts
+    from kpishift.sources.ingest import ingest_data
     p = spark.createDataFrame([("01/09/2025", "x", 1.0)], "d string, k string, a double")
     s = spark.createDataFrame([("2025-01-09", "x", 5.0)], "d string, k string, r double").select(
         F.to_date("d").alias("d"), "k", "r")
     cfg = _two_source_config()
-    joined, _ = prepare_facts(spark, cfg, frames={"p": p, "s": s})
+    joined, _ = ingest_data(spark, cfg, frames={"p": p, "s": s})
     assert joined.first().r == 5.0
 
 
@@ -268,3 +270,104 @@ def test_column_names_with_dots_and_spaces(spark):
     for t in (rep.summary, rep.totals, rep.breakdown, rep.cards, rep.table, rep.narrative):
         assert t.count() >= 1
     assert rep.table.orderBy("rank").first().segment.startswith("geo.code: ")
+
+
+@pytest.mark.parametrize("odd", [float("inf"), float("-inf"), float("nan")])
+def test_decimal_accumulator_keeps_nonfinite_values(spark, odd):
+    import math
+
+    df = frame(spark, [("2025-01-09", "x", odd, 0.0), ("2025-01-10", "x", 0.2, 0.0), ("2025-01-02", "x", 0.3, 0.0),
+                       ("2025-01-09", "y", 1.5, 0.0), ("2025-01-02", "y", 1.0, 0.0)])
+    sums = {}
+    for kind in ("double", "decimal"):
+        rep = run(spark, df, ["k"], ["a"], ["a"], accumulator=kind)
+        sums[kind] = {r.k: (r.a_current, r.a_previous) for r in rep.periods.collect()}
+        rows = {r.k: (r.current_value, r.previous_value, r.direction) for r in rep.insights.collect()}
+        assert rows["y"] == (1.5, 1.0, "up") and ("x" in rows) == (not math.isnan(odd))
+    for k, want in sums["double"].items():
+        assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(sums["decimal"][k], want))
+
+
+@pytest.mark.parametrize("rows", [[("2025-01-09", "x", 1e29, 0.0)],
+                                  [("2025-01-09", "x", 9e26, 0.0)] * 20])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_decimal_accumulator_out_of_range_fails_clearly(spark, rows, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="accumulator decimal"):
+            run(spark, frame(spark, rows), ["k"], ["a"], ["a"], accumulator="decimal").insights.collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_source_columns_named_like_flags_or_helpers(spark):
+    names = ["in_current", "in_previous", "_c", "_p", "__p0", "_pid", "_first"]
+    df = spark.createDataFrame([("2025-01-09", "x", 2.0, *[7.0] * len(names)), ("2025-01-02", "x", 1.0, *[7.0] * len(names))],
+                               "d string, k string, a double, " + ", ".join(f"{n} double" for n in names))
+    for n in names:
+        for top_n in (5, None):
+            rows = run(spark, df, ["k", n], ["a", "in_current"], ["a", "in_current"] if n != "in_current" else ["a"], top_n=top_n)
+            assert {r.metric: r.delta for r in rows.insights.collect()}["a"] == 1.0
+
+
+def test_full_ranking_runs_nothing_until_used(spark, monkeypatch):
+    import kpishift.operators.rank as rank
+    import kpishift.plans.report as report
+
+    cuts = []
+    for m in (rank, report):
+        monkeypatch.setattr(m, "cut_lineage", lambda df, cut=m.cut_lineage: cuts.append(1) or cut(df))
+    df = frame(spark, [(f"2025-01-{1 + i % 14:02d}", f"k{i}", float(i), 1.0) for i in range(50)])
+    rep = run(spark, df, ["k"], ["a"], ["a"], top_n=None)
+    assert not cuts
+    assert rep.insights.schema["rank"].dataType.simpleString() == "bigint"
+    assert sorted(r.rank for r in rep.insights.collect()) == list(range(1, 51)) and len(cuts) == 1
+    from kpishift import write_report
+    from kpishift.session import remove_scratch, scratch_path
+
+    cuts.clear()
+    path = scratch_path(spark, "full-ranking-once")
+    write_report(run(spark, df, ["k"], ["a"], ["a"], top_n=None), path, extra=("totals", "breakdown"))
+    assert len(cuts) == 2  # the period aggregate, and the ranking where it is numbered
+    assert spark.read.parquet(f"{path}/insights").count() == 50
+    remove_scratch(spark, path)
+
+
+def test_scratch_folder_rules(spark, monkeypatch):
+    import kpishift.session as session
+
+    class Conf:
+        def __init__(self, master):
+            self.master = master
+
+        def get(self, key, default=None):
+            return self.master if key == "spark.master" else default
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    monkeypatch.setattr(session, "_context", lambda s: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session("spark://host:7077"))
+    assert session.checkpoint_dir(Session("local[4]"))
+    monkeypatch.undo()
+    with pytest.raises(ValueError):
+        session.remove_scratch(spark, "/somewhere/else")
+
+
+def test_profile_rules(spark):
+    from kpishift import column_profile, suggested_ranges
+
+    n = 1000
+    df = spark.createDataFrame([(i % 3, i % 2, i, i % 5, None if i % 4 else 1.5, f"{1 + i % 12:02d}/{1 + i % 28:02d}/2024")
+                                for i in range(n)], "grade int, store int, visits int, item_count int, price double, `sold on` string")
+    p = {r.column_name: r for r in column_profile(df).collect()}
+    assert {k: r.role for k, r in p.items()} == {"grade": "dimension", "store": "dimension", "visits": "metric",
+                                                "item_count": "metric", "price": "metric", "sold on": "date"}
+    assert p["grade"].distinct_estimate == 3 and p["store"].distinct_estimate == 2
+    assert abs(p["visits"].distinct_estimate - n) <= 0.15 * n
+    assert p["price"].null_rate == 0.75 and p["grade"].null_rate == 0.0
+    r = suggested_ranges(df, "sold on").first()
+    assert (r.anchor, r.current_start, r.previous_start, r.previous_end) == ("2024-12-28", "2024-12-21", "2024-12-14", "2024-12-20")
+    assert column_profile(df.limit(0)).where("null_rate <> 0").count() == 0

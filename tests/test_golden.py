@@ -1,14 +1,8 @@
 """Golden reports over the 84-row sample CSV (values from FIXTURES.md)."""
 
-import os
-
-import pytest
-
 from kpishift import load_config_from_string, run_report
 
-from .fixtures import CLICKS_CSV, CONFIG_A, CONFIG_B, GOLDEN_A, GOLDEN_B, conversion_rows
-
-pytestmark = pytest.mark.skipif(not os.path.exists(CLICKS_CSV), reason="sample CSV not available")
+from .fixtures import CLICKS_CSV, CONFIG_A, CONFIG_B, CONVERSIONS_CSV, GOLDEN_A, GOLDEN_B
 
 COLS = ["campaign", "geo", "metric", "current_value", "previous_value", "delta", "delta_pct", "impact_score",
         "direction"]
@@ -42,12 +36,8 @@ def test_golden_single_source(spark):
     assert s.biggest_drop is None
 
 
-def test_golden_two_sources(spark, tmp_path):
-    conv = spark.createDataFrame(conversion_rows(), "date string, campaign string, geo string, conversions int, "
-                                                    "revenue double")
-    path = str(tmp_path / "conversions")
-    conv.coalesce(1).write.option("header", True).csv(path)
-    cfg = load_config_from_string(CONFIG_B.format(clicks=CLICKS_CSV, conversions=path))
+def test_golden_two_sources(spark):
+    cfg = load_config_from_string(CONFIG_B.format(clicks=CLICKS_CSV, conversions=CONVERSIONS_CSV))
     rep = run_report(spark, cfg)
     rows = _rows(rep)
     for got, want in zip(rows, GOLDEN_B):
@@ -57,3 +47,23 @@ def test_golden_two_sources(spark, tmp_path):
     assert facts.count() == 48
     assert {r.cpa for r in facts.select("cpa").distinct().collect()} == {0.0}
     assert facts.where("roas IS NOT NULL").count() == 0
+
+
+def test_every_source_is_loaded_and_dated_once(spark, monkeypatch):
+    import kpishift.operators.periods as periods
+    import kpishift.sources.ingest as ingest
+
+    loads, detections = [], []
+    read, detect = ingest.load_source, periods.detect_date_pattern
+    monkeypatch.setattr(ingest, "load_source", lambda s, name, *a: loads.append(name) or read(s, name, *a))
+    monkeypatch.setattr(periods, "detect_date_pattern", lambda df, c: detections.append(c) or detect(df, c))
+    for pre in (False, True):
+        loads.clear()
+        detections.clear()
+        text = CONFIG_B.format(clicks=CLICKS_CSV, conversions=CONVERSIONS_CSV)
+        text = text.replace("  primary_source: clicks", f"  pre_aggregate: {str(pre).lower()}\n  primary_source: clicks")
+        # text dates, so that each source's format is detected
+        cfg = load_config_from_string(text.replace('date_col: "date"', 'date_col: "date"\n      options: {inferSchema: "false"}'))
+        rep = run_report(spark, cfg)
+        assert rep.facts.count() == 84 and rep.insights.count() == 20
+        assert sorted(loads) == ["clicks", "conversions"] and len(detections) == 2

@@ -122,8 +122,9 @@ def test_aggregation_below_joins_is_exact(spark):
     from kpishift.plans.report import eager_periods, load_all_sources, normalise_dates, run_report
     cfg, frames = _two_source(spark)
     assert eager_periods(cfg, normalise_dates(load_all_sources(spark, cfg, "", frames), cfg)) is not None
-    eager = run_report(spark, cfg, frames=frames)
-    first = run_report(spark, cfg, frames=frames, plan="join_first")
+    eager = run_report(spark, pre_aggregated(cfg), frames=frames)
+    first = run_report(spark, cfg, frames=frames)
+    assert eager.facts.columns == first.facts.columns and eager.facts.count() == first.facts.count()
     plan = eager.periods._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate")       # an aggregate sits below the join
     key = lambda r: (r.region or "", r.metric)
@@ -138,8 +139,48 @@ def test_metric_from_a_secondary_joins_first(spark):
     assert eager_periods(cfg, normalise_dates(load_all_sources(spark, cfg, "", frames), cfg)) is None
 
 
-def test_per_nation_report_aggregates_before_joining(spark):
+def pre_aggregated(cfg):
+    from dataclasses import replace
+
+    return replace(cfg, dataset=replace(cfg.dataset, pre_aggregate=True))
+
+
+def test_per_nation_report_joins_first(spark):
     rep = per_nation_report(spark, SF_SMALL)
     plan = rep.periods._jdf.queryExecution().optimizedPlan().toString()
-    # top aggregate per (nation, segment), joins below it, orders summed per customer below the joins
-    assert plan.count("Aggregate") == 2 and plan.index("Join") < plan.rindex("Aggregate")
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join")
+    rep.insights.collect()
+    ran = plan_text(rep.insights).split("Initial Plan")[0]
+    # one exchange for the aggregate, one for the report key; both joins are broadcast
+    assert ran.count("Exchange hashpartitioning") == 2 and ran.count("BroadcastHashJoin") == 2
+
+
+def test_metrics_that_are_join_keys(spark):
+    """A KPI, or a derived metric, named like a join key: the same rows with and without pre-aggregation."""
+    from kpishift import config_from_dict, run_report
+
+    p = spark.createDataFrame([("2025-01-09", 1.0, 4.0), ("2025-01-02", 1.0, 2.0), ("2025-01-09", 2.0, 3.0)], "d string, k double, m double")
+    s = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (5.0, "c")], "k double, seg string")
+    for metrics, kpis, derived in ((["m", "k"], ["k", "m"], {}), (["m"], ["m"], {"k": "m + k"})):
+        cfg = config_from_dict({
+            "dataset": {"primary_source": "p", "sources": {
+                "p": {"type": "table", "table": "p", "date_col": "d", "metrics": metrics},
+                "s": {"type": "table", "table": "s", "date_col": "d", "join_key": ["k"]}}},
+            "derived_metrics": derived,
+            "report": {"primary_date_col": "d", "primary_dims": ["seg"], "kpi_priority": kpis,
+                       "comparison": {"current_start": "2025-01-08", "current_end": "2025-01-14",
+                                      "previous_start": "2025-01-01", "previous_end": "2025-01-07"}}})
+        frames = {"p": p, "s": s}
+        rows = [sorted(map(tuple, run_report(spark, c, frames=frames).insights.collect())) for c in (cfg, pre_aggregated(cfg))]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_keyed_top_n_is_cut_before_the_shuffle_for_any_n(spark):
+    from kpishift.plans.catalog import per_nation_config, per_nation_frames
+    from kpishift import config_from_dict, run_report
+
+    for n in (1000, 1001, 50_000):
+        rep = run_report(spark, config_from_dict(per_nation_config(n)), frames=per_nation_frames(spark, SF_SMALL))
+        text = rep.insights._jdf.queryExecution().executedPlan().toString()
+        partial, final = text.index(", Partial"), text.index(", Final")
+        assert "WindowGroupLimit" in text and "Exchange hashpartitioning(n_name" in text[final:partial]

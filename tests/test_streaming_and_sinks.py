@@ -72,13 +72,13 @@ def test_payload_one_row_per_report(spark):
 
 def test_streaming_per_report_key(spark):
     from kpishift.plans.catalog import per_nation_config, per_nation_frames
-    from kpishift.plans.report import prepare_facts, run_report
-    from kpishift.streaming import stream_report
+    from kpishift.plans.report import run_report
+    from kpishift.streaming import published, stream_report
 
     # stream the joined facts of the per-nation report, written once as files
     frames = per_nation_frames(spark, SF_SMALL)
     cfg = config_from_dict(per_nation_config())
-    facts, _ = prepare_facts(spark, cfg, frames)
+    facts = run_report(spark, cfg, frames).facts
     src = scratch_path(spark, f"facts/{uuid.uuid4().hex}")
     facts.write.parquet(src)
     single = config_from_dict({**per_nation_config(), "dataset": {"primary_source": "orders", "sources": {
@@ -87,7 +87,7 @@ def test_streaming_per_report_key(spark):
     sink = scratch_path(spark, f"stream_sink/{uuid.uuid4().hex}")
     q = stream_report(single, file_stream(spark, src), sink, checkpoint_location=sink + "_ck")
     q.awaitTermination()
-    got = spark.read.parquet(f"{sink}/insights")
+    got = published(spark, sink, "insights")
     want = run_report(spark, cfg, frames=frames).insights
     cols = ["n_name", "c_mktsegment", "metric", "rank", "impact_score", "current_value"]
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
@@ -103,6 +103,7 @@ def test_write_report_partitions_by_report_key(spark):
     local = out["insights"].removeprefix("file:")          # checkpoint folders come back as URIs
     parts = [d for d in os.listdir(local) if d.startswith("n_name=")]
     back = spark.read.parquet(out["insights"])
+    assert all(len([f for f in os.listdir(os.path.join(local, p)) if f.startswith("part-")]) == 1 for p in parts)
     assert len(parts) == back.select("n_name").distinct().count() > 1
     assert back.count() == rep.insights.count()
     assert spark.read.parquet(out["narrative"]).count() == len(parts)
