@@ -16,6 +16,7 @@ from .language import languages
 from .licenses import digest, scan_licenses
 from .lines import line_classes
 from .minhash import near_duplicates
+from .oracles import ORACLES
 from .packing import pack
 from .quality import quality_scores
 from .records import read_records, with_starts, write_records
@@ -91,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]

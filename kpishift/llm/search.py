@@ -9,7 +9,10 @@ Statistics are global: number of documents, mean length and document frequency
 of every query term over all shards, so scores do not depend on the sharding.
 
 Search: queries go in blocks of bounded size; every block is broadcast and run
-against every shard. Within a shard, block-max WAND runs for many queries at
+against every shard. Shards are visited in groups of about 8, 64, 512 ...; the
+k-th best score that a query has found so far goes with it to the next group,
+which returns nothing below it, so a query gets back a few times k rows from a
+group, however many shards it has. Within a shard, block-max WAND runs for many queries at
 once. Lists of rare terms are added up document by document. For common terms a
 matrix of block maxima gives each query's upper bound in each block; a block
 whose bound, with the best rare-term sum in it, is below the query's current
@@ -29,15 +32,18 @@ rows that share an id are one query.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import rows_of, saved, text_chunks, word_hashes
 
-SHARD_SCHEMA = ("n int, n_words long, doc_ids array<long>, lengths binary, terms binary, first binary, docs binary, counts binary")
-_SHARDS = pa.schema([("n", pa.int32()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()),
+SHARD_SCHEMA = ("shard long, n int, n_words long, doc_ids array<long>, lengths binary, terms binary, first binary, docs binary, counts binary")
+_SHARDS = pa.schema([("shard", pa.int64()), ("n", pa.int32()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()),
                      ("terms", pa.binary()), ("first", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 _NO_ID = np.iinfo(np.int64).min
 
@@ -67,7 +73,7 @@ class _Shard:
         self.ids += ids
         self.bytes += size
 
-    def batch(self) -> pa.RecordBatch:
+    def batch(self, number: int) -> pa.RecordBatch:
         row, term, count = map(np.concatenate, (self.rows, self.terms, self.counts))
         lengths = np.concatenate(self.lengths)
         n = len(lengths)
@@ -85,23 +91,23 @@ class _Shard:
         cells = [(np.take(lengths, rank), np.int32), (term[start], np.uint64), (np.append(start, len(term)), np.int32),
                  (doc, np.uint16), (count, np.uint32)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([n], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([[self.ids[i] for i in rank]], pa.list_(pa.int64())),
+            [pa.array([number]), pa.array([n], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([[self.ids[i] for i in rank]], pa.list_(pa.int64())),
              *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in cells)], schema=_SHARDS)
 
 
 def _shard_batches(max_docs: int, max_bytes: int):
     def run(batches):
-        shard = _Shard()
+        shard, number = _Shard(), TaskContext.get().partitionId() << 32
         for batch, offsets, data in text_chunks(batches):
             ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             for a in range(0, len(batch), max_docs):
                 part = offsets[a:a + max_docs + 1]
                 if len(shard.ids) + len(part) - 1 > max_docs or (shard.ids and shard.bytes + part[-1] - part[0] > max_bytes):
-                    yield shard.batch()
-                    shard = _Shard()
+                    yield shard.batch(number)
+                    shard, number = _Shard(), number + 1
                 shard.add(ids[a:a + len(part) - 1], *term_counts(data[part[0]:part[-1]], part - part[0]), int(part[-1] - part[0]))
         if shard.ids:
-            yield shard.batch()
+            yield shard.batch(number)
 
     return run
 
@@ -142,10 +148,14 @@ class Queries:
 
 
 class Best:
-    """The best k (score, document) of each query so far; by score, then id."""
+    """The best k (score, document) of each query so far; by score, then id.
+
+    ``floor``: k-th best scores found elsewhere; nothing below them is wanted.
+    """
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
         self.k = k
+        self.floor = np.zeros(queries) if floor is None else floor
         self.score = np.zeros((queries, k))
         self.doc = np.full((queries, k), np.iinfo(np.int64).max)
 
@@ -157,7 +167,7 @@ class Best:
         self.score[at], self.doc[at] = np.take_along_axis(score, top, 1), np.take_along_axis(doc, top, 1)
 
     def least(self, at: np.ndarray) -> np.ndarray:
-        return self.score[at, -1]
+        return np.maximum(self.score[at, -1], self.floor[at])
 
 
 def search_shard(shard: dict, queries: Queries, best: Best, k1: float, b: float, mean: float, block: int = 128, group: int = 512):
@@ -220,19 +230,19 @@ def search_shard(shard: dict, queries: Queries, best: Best, k1: float, b: float,
 
 def _search_batches(shared, k: int, k1: float, b: float, mean: float):
     def run(batches):
-        queries = shared.value
+        queries, floor = shared.value
         best = None
         for batch in batches:
             for i in range(len(batch)):
                 if best is None:
-                    best = Best(len(queries.ids), k)
+                    best = Best(len(queries.ids), k, floor)
                 ids = np.array([_NO_ID if x is None else x for x in batch.column("doc_ids")[i].as_py()], np.int64)
                 shard = {"n": batch.column("n")[i].as_py(), "doc_ids": ids}
                 for name, kind in (("lengths", np.int32), ("terms", np.uint64), ("first", np.int32), ("docs", np.uint16), ("counts", np.uint32)):
                     shard[name] = _array(batch.column(name)[i], kind)
                 search_shard(shard, queries, best, k1, b, mean)
         if best is not None:
-            q, j = np.nonzero(best.score > 0)
+            q, j = np.nonzero((best.score > 0) & (best.score >= floor[:, None]))
             doc = best.doc[q, j]
             yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(doc, mask=doc == _NO_ID), pa.array(best.score[q, j])],
                                              names=["query_id", "doc_id", "score"])
@@ -247,7 +257,7 @@ def bm25_search(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1
     ``block_terms`` bounds the distinct words of the queries of one block, which is what a task holds.
     """
     spark = index.sparkSession
-    total = index.agg(F.sum("n").alias("n"), F.sum("n_words").alias("words")).first()
+    total = index.agg(F.sum("n").alias("n"), F.sum("n_words").alias("words"), F.count("*").alias("shards")).first()
     schema = "query_id long, rank int, doc_id long, score double"
     if not total["words"]:
         return spark.createDataFrame([], schema)
@@ -258,12 +268,24 @@ def bm25_search(index: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1
     weighted = saved(asked.join(df, "term").select(
         "query_id", "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight")), "search-queries")
     blocks = max(1, -(-weighted.count() // block_terms))
-    found = None
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
+    spread = F.pmod(F.xxhash64("shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))  # a shard's place in [0, 1)
+    parts = []
     for block in range(blocks):  # a stated query set against all rows, in blocks
-        part = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast(Queries(part))
-        one = index.mapInArrow(_search_batches(shared, k, k1, b, total["words"] / n), "query_id long, doc_id long, score double")
-        found = one if found is None else found.union(one)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_first())
-    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "doc_id", "score"))
+        queries = Queries(weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow())
+        floor, found, low, size = np.zeros(len(queries.ids)), None, 0.0, 8
+        while low < 1:
+            high = min(1.0, low + size / total["shards"])
+            shared = spark.sparkContext.broadcast((queries, floor))
+            group = saved(index.where((spread >= low) & (spread < high)).mapInArrow(
+                _search_batches(shared, k, k1, b, total["words"] / n), "query_id long, doc_id long, score double"), "search-found")
+            found = group if found is None else found.union(group)
+            found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score")
+            low, size = high, size * 8
+            if low < 1:  # at most one row for each query of the block
+                kth = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).toArrow()
+                floor = np.zeros(len(queries.ids))
+                floor[np.searchsorted(queries.ids, kth.column("query_id").to_numpy())] = kth.column("score").to_numpy()
+        parts.append(found)
+    every = functools.reduce(DataFrame.union, parts)
+    return (every.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "doc_id", "score"))

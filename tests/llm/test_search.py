@@ -64,7 +64,7 @@ def test_blocks_are_skipped(prose, monkeypatch):
     texts = ["the " * 9 + prose(d, 60, 50) for d in range(500)] + ["der " * 9 + prose(d, 60, 50).replace("w", "v") for d in range(500)]
     shard = search._Shard()
     shard.add(list(range(1000)), *search.term_counts(*raw(texts)), 0)
-    row = shard.batch().to_pylist()[0]
+    row = shard.batch(0).to_pylist()[0]
     kinds = {"lengths": np.int32, "terms": np.uint64, "first": np.int32, "docs": np.uint16, "counts": np.uint32}
     data = {"n": 1000, "doc_ids": np.array(row["doc_ids"])} | {k: np.frombuffer(row[k], v) for k, v in kinds.items()}
     q, t, c, _ = search.term_counts(*raw([texts[3][36:]]))
