@@ -32,11 +32,15 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """One row per document: its ids (little-endian uint32, end id last) and its place in its partition."""
+    """One row per document: its ids (end id last) and its place in its partition.
+
+    Ids are little-endian, 2 bytes each if the whole vocabulary fits, else 4.
+    """
 
     def run(batches):
         enc, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)
+        kind = "<u2" if max(enc.vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             for at in range(0, len(batch), 500):
                 some = batch.slice(at, 500)
@@ -46,7 +50,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 place += int(lengths.sum())
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id").cast(pa.int64()), pa.array(np.full(len(ids), part, np.int32)),
-                     pa.array(places), pa.array(lengths), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                     pa.array(places), pa.array(lengths), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
                     schema=_IDS)
 
     return docs.select("doc_id", "text").mapInArrow(run, IDS_SCHEMA)
@@ -60,23 +64,22 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1) ->
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("part").alias("base_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     placed = (ids.join(F.broadcast(bases), F.col("part") == F.col("base_part"))
-              .select("doc_id", (F.col("base") + F.col("place")).alias("at"), "ids"))
+              .select("doc_id", (F.col("base") + F.col("place")).alias("at"), "doc_tokens", "ids"))
 
     def cut(batches):
         for batch in batches:
-            offsets = np.zeros(len(batch), np.int64)
             rows, starts, lengths, totals, parts = [], [], [], [], []
-            offsets = batch.column("at").to_numpy()
-            for i, one in enumerate(batch.column("ids")):
-                raw = memoryview(one.as_buffer())
-                n, done = len(raw) // 4, 0
+            offsets, counts = batch.column("at").to_numpy(), batch.column("doc_tokens").to_pylist()
+            for i, (n, one) in enumerate(zip(counts, batch.column("ids"), strict=True)):
+                raw = one.as_buffer()
+                ids, done = np.frombuffer(raw, f"<u{raw.size // n}").astype("<u4"), 0
                 while done < n:
                     step = min(n - done, size - int(offsets[i] + done) % size)
                     rows.append(i)
                     starts.append(done)
                     lengths.append(step)
                     totals.append(n)
-                    parts.append(bytes(raw[4 * done:4 * (done + step)]))
+                    parts.append(ids[done:done + step].tobytes())
                     done += step
             rows, starts = np.array(rows, np.int64), np.array(starts, np.int64)
             at = offsets[rows] + starts if len(rows) else np.zeros(0, np.int64)

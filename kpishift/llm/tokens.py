@@ -21,6 +21,8 @@ import numpy as np
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Pieces in the small dictionary that is asked first.
+OFTEN = 100_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -34,7 +36,7 @@ def _plain(text: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,8 +54,10 @@ class Encoder:
 
     def _forget(self):
         self._place: dict[str, int] = {}
+        self._often: dict[str, int] = {}  # the pieces met first, most of them frequent: small enough for the processor's cache
         self._ids = np.zeros(1 << 20, np.uint32)
         self._start = np.zeros(self._max + 1, np.int64)
+        self._uses = np.zeros(self._max + 1, np.int64)
         self._used = 0
         blank = self._raw([" "])[0]
         self._keep([""], blank, np.array([len(blank)]))
@@ -71,6 +75,27 @@ class Encoder:
         self._start[n + 1:n + 1 + len(pieces)] = self._used + np.cumsum(lengths)
         self._used += len(flat)
         self._place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        if n < OFTEN:
+            self._often.update(zip(pieces[:OFTEN - n], range(n, OFTEN), strict=False))
+
+    def _purge(self):
+        """Keep the pieces that were used again, the most used first, at most half of all."""
+        n = len(self._place)
+        order = np.argsort(-self._uses[:n], kind="stable")[:self._max // 2]
+        order = order[self._uses[order] > 1]
+        pieces, uses = list(self._place), self._uses[order] // 2
+        kept = [pieces[i] for i in order.tolist()]
+        lengths, flat = self._gather(order)
+        self._forget()
+        again = [i for i, p in enumerate(kept) if p]
+        if len(again) < len(kept):  # the empty piece is there already
+            keep = np.zeros(len(kept), bool)
+            keep[again] = True
+            flat = flat[np.repeat(keep, lengths)]
+            kept, lengths, uses = [kept[i] for i in again], lengths[keep], uses[keep]
+        if kept:
+            self._keep(kept, flat, lengths)
+            self._uses[1:len(kept) + 1] = uses
 
     def _learn(self, new: list[str]):
         """Pieces are keyed without their blank; those after a line end begin with it."""
@@ -111,15 +136,20 @@ class Encoder:
                 first.append(len(pieces))
             elif t:
                 whole.append(i)
-        place = np.fromiter(map(self._place.get, pieces, repeat(-1)), np.int64, len(pieces))
-        new = np.flatnonzero(place < 0).tolist()
+        place = np.fromiter(map(self._often.get, pieces, repeat(-1)), np.int64, len(pieces))
+        rare = np.flatnonzero(place < 0)
+        place[rare] = np.fromiter(map(self._place.get, map(pieces.__getitem__, rare.tolist()), repeat(-1)), np.int64, len(rare))
+        new = rare[place[rare] < 0].tolist()
         if new:
             missing = list({pieces[i] for i in new})
             if len(self._place) + len(missing) > self._max:
-                self._forget()
+                self._purge()
                 new, missing = range(len(pieces)), list(set(pieces).difference(self._place))
             self._learn(missing)
             place[new] = np.fromiter((self._place[pieces[i]] for i in new), np.int64, len(new))
+        if len(self._place) > len(self._uses):
+            self._uses = np.concatenate([self._uses, np.zeros(len(self._place), np.int64)])
+        self._uses[:len(self._place)] += np.bincount(place, minlength=len(self._place))
         lengths, flat = self._gather(place)
         total = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
