@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kpishift.session import scratch_path
 
 #: Bytes of text worked on at once inside a task (one longer text is its own chunk).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -94,6 +94,8 @@ def text_chunks(batches, column: str = "text") -> Iterator[tuple[pa.RecordBatch,
         offsets, data = utf8(batch.column(column))
         for a, b in chunks(offsets):
             yield batch.slice(a, b - a), offsets[a:b + 1] - offsets[a], data[offsets[a]:offsets[b]]
+        del batch, offsets, data
+    pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
 
 # --- words -----------------------------------------------------------------
