@@ -170,7 +170,7 @@ class Best:
         return np.maximum(self.score[at, -1], self.floor[at])
 
 
-def search_shard(shard: dict, queries: Queries, best: Best, k1: float, b: float, mean: float, block: int = 128, group: int = 512):
+def search_shard(shard: dict, queries: Queries, best: Best, k1: float, b: float, mean: float, block: int = 128, group: int = 256):
     """Run all queries of a block against one shard."""
     n = shard["n"]
     terms, first = shard["terms"], shard["first"]
