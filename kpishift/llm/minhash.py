@@ -10,9 +10,11 @@
 4. Keys that still hold several components are compared between different
    components, on signatures, in tasks of bounded blocks. First the few most
    similar pairs of each node are verified, and the components joined; then all
-   pairs left whose signatures reach ``screen``. After this no pair of nodes
-   with a common key and such signatures is unverified, except within a
-   component, and few pairs of a large group had to be verified.
+   pairs left whose signatures reach ``screen`` and whose bitmaps allow a link.
+   (A bitmap has a bit for every shingle's hash; bits set in one of two bitmaps
+   only are a lower bound of the sets' difference, so this drops no link.) After
+   this no pair of nodes with a common key and such signatures is unverified,
+   except within a component, and few pairs of a large group had to be verified.
 
 A link of similarity 0.75 is missed by all 32 bands with probability 5e-6 and
 by the signature screen (0.64 of 256 minima) with probability 3e-5.
@@ -36,9 +38,10 @@ from .common import NON_SPACE_BYTES, mix, rows_of, saved, text_chunks, word_hash
 from .components import components
 from .groups import changes, whole_runs
 
-SHINGLE, BANDS, WIDTH, MINIMA = 5, 32, 4, 256
+SHINGLE, BANDS, WIDTH, MINIMA, BITMAP = 5, 32, 4, 256, 12  # 2^12 bits
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()),
-                         ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+                         ("bands", pa.list_(pa.int64())), ("sig", pa.binary()),
+                          ("bits", pa.binary())])
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +84,14 @@ def _signature_batches(batches):
         shingles, starts = shingle_hashes(data, offsets)
         n = len(batch)
         some = np.flatnonzero(np.diff(starts) > 0)
-        sizes, prints = np.zeros(n, np.int64), [None] * n
+        sizes, prints, bits = np.zeros(n, np.int64), [None] * n, [None] * n
         for i in some:
             distinct = np.unique(shingles[starts[i]:starts[i + 1]])
             sizes[i] = len(distinct)
             prints[i] = hashlib.blake2b(distinct.tobytes(), digest_size=16).digest()
+            flags = np.zeros(1 << BITMAP, bool)
+            flags[distinct >> np.uint64(64 - BITMAP)] = True
+            bits[i] = np.packbits(flags).tobytes()
         sigs, places, keys = [None] * n, np.zeros(n + 1, np.int64), np.zeros(0, np.int64)
         if len(some):
             low = minima(shingles, starts[some])
@@ -101,13 +107,14 @@ def _signature_batches(batches):
             keys = np.ascontiguousarray(band.T).reshape(-1).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes), pa.array(prints, pa.binary()),
-             pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(keys)), pa.array(sigs, pa.binary())],
+             pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(keys)), pa.array(sigs, pa.binary()),
+             pa.array(bits, pa.binary())],
             schema=_SIGNATURES)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        _signature_batches, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, sig binary")
+        _signature_batches, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, sig binary, bits binary")
 
 
 def shingle_set(text: str) -> set:
@@ -154,16 +161,20 @@ def _agreement_batches(batches):
                                          names=["a", "b", "same"])
 
 
-def _cross_batches(screen: float, most: int | None):
+def _cross_batches(screen: float, most: int | None, percent: int):
     """Pairs of a block group in different components that agree in at least ``screen`` of their minima.
 
-    ``y`` is the end outside the group's largest component; with ``most``, only its most similar pairs.
+    ``y`` is the end outside the group's largest component. With ``most``, only its most similar pairs; else all that
+    their bitmaps leave possible.
     """
     def run(batches):
         for table in whole_runs(batches, ["key", "bi", "bj"]):
             table = table.combine_chunks()
             nodes, comps, blocks, bi, bj = (table.column(c).to_numpy() for c in ("node", "comp", "blk", "bi", "bj"))
             sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
+            if not most:
+                maps = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(nodes), -1)
+                counts = table.column("n_shingles").to_numpy()
             starts = changes(table.to_batches()[0], ["key", "bi", "bj"])
             a, b, y, same = [], [], [], []
             for s, e in zip(starts, np.append(starts[1:], len(nodes)), strict=True):
@@ -183,6 +194,10 @@ def _cross_batches(screen: float, most: int | None):
                     like = (sig[at] == sig[i]).mean(axis=1)
                     good = like >= screen
                     at, like = at[good], like[good]
+                    if not most:
+                        apart = np.bitwise_count(maps[order[at]] ^ maps[order[i]]).sum(axis=1, dtype=np.int64)
+                        good = apart * (100 + percent) <= (100 - percent) * (counts[order[at]] + counts[order[i]])
+                        at, like = at[good], like[good]
                     if most and len(at) > most:
                         top = np.argpartition(-like, most)[:most]
                         at, like = at[top], like[top]
@@ -196,7 +211,8 @@ def _cross_batches(screen: float, most: int | None):
     return run
 
 
-def _cross(shared: DataFrame, sigs: DataFrame, forest: DataFrame, screen: float, block: int, most: int | None) -> DataFrame:
+def _cross(shared: DataFrame, sigs: DataFrame, forest: DataFrame, screen: float, block: int, most: int | None,
+           percent: int) -> DataFrame:
     """Pairs (a, b) with a common key, in different trees of ``forest`` (node, component)."""
     comps = forest.select(F.col("node").alias("comp_node"), "component")
     placed = (shared.join(comps, F.col("node") == F.col("comp_node"), "left")
@@ -207,9 +223,10 @@ def _cross(shared: DataFrame, sigs: DataFrame, forest: DataFrame, screen: float,
                .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp"))
-    pairs = (blocked.join(sigs, "node").select("key", "bi", "bj", "blk", "node", "comp", "sig")
+    shown = ["sig"] if most else ["sig", "bits", "n_shingles"]
+    pairs = (blocked.join(sigs.select("node", *shown), "node").select("key", "bi", "bj", "blk", "node", "comp", *shown)
              .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-             .mapInArrow(_cross_batches(screen, most), "a long, b long, y long, same double").distinct())
+             .mapInArrow(_cross_batches(screen, most, percent), "a long, b long, y long, same double").distinct())
     if most:
         nearest = Window.partitionBy("y").orderBy(F.desc("same"), "a", "b")
         pairs = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= most)
@@ -224,7 +241,7 @@ def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float
     keys = (bands.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "key")).alias("leader"))
             .where("size > 1"))
     shared = saved(bands.join(keys, "key").select("key", "node", "size", "leader"), "minhash-keys")
-    sigs = reps.select("node", "sig").dropDuplicates(["node"])
+    sigs = reps.select("node", "sig", "bits", "n_shingles").dropDuplicates(["node"])
     of = {s: sigs.select(F.col("node").alias(f"id_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "ab"}
     star = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     near = (star.join(of["a"], F.col("a") == F.col("id_a")).join(of["b"], F.col("b") == F.col("id_b"))
@@ -234,7 +251,7 @@ def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "minhash-best")
     forest = components(saved(verified(tested, docs, percent), "minhash-links"))
     for most in (nearest, None):
-        edges = saved(_cross(shared, sigs, forest, screen, block, most).join(tested, ["a", "b"], "left_anti"), "minhash-cross")
+        edges = saved(_cross(shared, sigs, forest, screen, block, most, percent).join(tested, ["a", "b"], "left_anti"), "minhash-cross")
         if edges.isEmpty():
             break
         new = saved(verified(edges, docs, percent), "minhash-links")
@@ -251,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
              .agg(F.min("doc_id").alias("node")))
     mapped = saved(sigs.join(nodes, F.col("fp") == F.col("node_fp"), "left")
                    .select("doc_id", "text_hash", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"),
-                           F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig")), "minhash-nodes")
+                           F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig"),
+                           F.when(F.col("doc_id") == F.col("node"), F.col("bits")).alias("bits")), "minhash-nodes")
     comps = linked(docs, mapped, percent).select(F.col("node").alias("comp_node"), "component")
     return (mapped.join(comps, F.col("node") == F.col("comp_node"), "left")
             .select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
