@@ -10,8 +10,10 @@ bytes. Every line is indexed under (length, segment number, segment), and probes
 the lengths it can be linked with at the places where the segment can stand
 (multi-match-aware selection). Lines meeting under a key are verified by banded
 bit-parallel edit distance. Keys held by one line end before any text is
-moved; keys with many lines are verified in pairs of blocks, in tasks of
-bounded size, and give at most a spanning set of links.
+moved, and lines without a shared key are left out before the shuffle by a bit
+table of fixed size (some others pass it; the join drops them). Keys with many
+lines are verified in pairs of blocks, in tasks of bounded size, and give at
+most a spanning set of links.
 
 Of each class the first line stays: least document id (null first), then the
 hash of the text, then the line's number. Rows with the same id and text are one
@@ -118,10 +120,28 @@ def _key_batches(min_bytes: int, max_edits: int):
     return run
 
 
-def _line_batches(min_bytes: int):
+FILTER_BITS = 25  # a table of 4 MB, whatever the number of lines
+
+
+def bit_table(ids: DataFrame) -> np.ndarray:
+    """Bytes of a table with bit (id mod 2^FILTER_BITS) set for every id of the one column."""
+    place = F.pmod(F.col(ids.columns[0]), F.lit(1 << FILTER_BITS)) + 1
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 1024 of 4 KB
+    table = np.zeros(((1 << FILTER_BITS) >> 15, 4096), np.uint8)
+    for r in rows:
+        table[r["bucket"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table.reshape(-1)
+
+
+def _line_batches(min_bytes: int, shared):
     def run(batches):
+        table = shared.value
         for _, offsets, data in text_chunks(batches):
             _, h1, start, end = _distinct_lines(data, offsets, min_bytes)
+            low = (h1 & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            some = (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+            h1, start, end = h1[some], start[some], end[some]
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)),
                                               pa.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
@@ -246,7 +266,8 @@ def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block:
     shared = saved(rows.repartition("key").sortWithinPartitions("key", "role", "line")
                    .mapInArrow(_shared_batches(block), "key long, role byte, line long, blk int"), "lines-keys")
     wanted = shared.select(F.col("line").alias("wanted")).distinct()
-    lines = saved(texts.mapInArrow(_line_batches(min_bytes), "id long, bytes binary")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted))
+    lines = saved(texts.mapInArrow(_line_batches(min_bytes, table), "id long, bytes binary")
                   .join(wanted, F.col("id") == F.col("wanted"), "left_semi").dropDuplicates(["id"]), "lines-texts")
     hot = shared.groupBy(F.col("key").alias("hot_key")).agg((F.max("blk") + 1).alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
