@@ -152,7 +152,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, kept_o
     """doc_id, held_out, score, predicted for every row of ``docs``; labels (doc_id, toxic) of the fold are never used."""
     terms = saved(docs.select("doc_id", fold(F.col("doc_id"), modulus, kept_out).alias("held_out"), "text")
                   .mapInArrow(_term_batches, "doc_id long, held_out boolean, terms array<int>"), "toxicity-terms")
-    rows = saved(terms.where("not held_out").join(label_of(labels, "toxic"), F.col("doc_id") == F.col("label_id"))
+    known = label_of(labels, "toxic").hint("merge")  # labels grow with the documents: the same plan at every size
+    rows = saved(terms.where("not held_out").join(known, F.col("doc_id") == F.col("label_id"))
                  .select("doc_id", "terms", "label"), "toxicity-rows")
     scored = terms.mapInArrow(_scored(fit(rows)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
