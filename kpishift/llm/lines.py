@@ -17,7 +17,8 @@ most a spanning set of links.
 
 Of each class the first line stays: least document id (null first), then the
 hash of the text, then the line's number. Rows with the same id and text are one
-place: neither repeats the other. Null texts stay null; short lines stay.
+place: neither repeats the other. Null texts stay null; lines of less than
+``min_bytes`` stay, unless ``exact_bytes`` lets their exact repeats go.
 """
 
 from __future__ import annotations
@@ -279,13 +280,15 @@ def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block:
             .mapInArrow(_link_batches(max_edits), "a long, b long").distinct())
 
 
-def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20) -> DataFrame:
+def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None) -> DataFrame:
     """Every line that takes part: doc_id, text_hash, number, its class (named by the first line's place), is_first.
 
+    With ``exact_bytes``, shorter lines down to that length take part too, in exact repeats only.
+
     Lines that neither occur elsewhere nor have a link are left out: they are their own class and stay.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
-    places = saved(keyed.mapInArrow(_occurrence_batches(min_bytes), "doc_id long, text_hash long, number int, h1 long, h2 long"),
+    places = saved(keyed.mapInArrow(_occurrence_batches(min_bytes if exact_bytes is None else exact_bytes), "doc_id long, text_hash long, number int, h1 long, h2 long"),
                    "lines-places")
     place = F.struct("doc_id", "text_hash", "number")
     comps = components(saved(line_links(docs, max_edits, min_bytes), "lines-links")).select(F.col("node").alias("linked"), "component")
@@ -303,9 +306,9 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20) -> Da
                     F.struct("doc_id", "text_hash", "number").eqNullSafe(F.col("head")).alias("is_first")))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None) -> DataFrame:
     """``docs`` with every line that repeats an earlier one taken out of ``text``; all rows and columns stay."""
-    drop = (line_classes(docs, max_edits, min_bytes).where("not is_first")
+    drop = (line_classes(docs, max_edits, min_bytes, exact_bytes).where("not is_first")
             .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
             .agg(F.collect_set("number").alias("drop_lines")))  # at most the lines of one text
     names = ["kpishift_drop_id", "kpishift_drop_hash", "kpishift_drop_lines"]

@@ -145,3 +145,12 @@ def test_repeated_rows_null_ids_and_no_rows(docs_of):
     docs = docs_of([f"{line}\nx", f"{line}\nx"], [3, 3])
     assert [x.text for x in dedup_lines(docs).collect()] == [f"{line}\nx"] * 2  # one place, not a repeat
     assert dedup_lines(docs_of([])).count() == 0
+
+
+def test_exact_repeats_of_short_lines_go(spark, docs_of):
+    import corpus_pipeline
+
+    texts = ["Les.\nfirst", "Les.\n\nLes\n ", " Les. \nx\nx", None, "é"]
+    out = {x.doc_id: x.text for x in corpus_pipeline.without_repeated_lines(spark, docs_of(texts), "").collect()}
+    assert out == {0: "Les.\nfirst", 1: "\nLes\n ", 2: "x", 3: None, 4: "é"}
+    assert {x.doc_id: x.text for x in dedup_lines(docs_of(texts)).collect()} == dict(enumerate(texts))
