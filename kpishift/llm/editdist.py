@@ -64,3 +64,31 @@ def _band(data, long, short, limit: int) -> np.ndarray:
         if i % 16 == 15 and not ((distance <= 2 * limit + 1) & (i < n)).any():
             break
     return distance <= limit
+
+
+def sequences_within(a: list, b: list, limit: int) -> bool:
+    """Whether two lists are at most ``limit`` edits of items apart; any length and limit (bit vectors are Python integers)."""
+    if abs(len(a) - len(b)) > limit:
+        return False
+    head, least = 0, min(len(a), len(b))
+    while head < least and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b) <= limit
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    vp, vn, distance = every, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        d0 = ((((same & vp) + vp) ^ vp) | same | vn) & every
+        hp, hn = vn | (every & ~(d0 | vp)), d0 & vp
+        distance += bool(hp & last) - bool(hn & last)
+        hp, hn = hp << 1 | 1, hn << 1
+        vp, vn = (hn | ~(d0 | hp)) & every, hp & d0 & every
+    return distance <= limit

@@ -3,6 +3,9 @@
 A line is what stands between line ends, without white space around it; lines
 of at least ``min_bytes`` take part. Two lines are linked if at most
 ``max_edits`` edits (of UTF-8 bytes) part them; classes are connected components.
+With ``grow`` the threshold grows with the shorter line: under 80 bytes, a tenth
+of its bytes; from 10 words on, a tenth of its words, exchanged, added or left
+out (words between white space, of any length, lines of any length).
 
 Join: a line of n bytes is cut into max_edits + 1 segments. Of two linked lines,
 one holds a segment of the other unchanged, at a place that differs by few
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import NON_SPACE_BYTES, mix, prefix_hash, saved, span_hash, text_chunks, words
 from .components import components
-from .editdist import within
+from .editdist import sequences_within, within
 from .groups import whole_runs
 
 _NOT_END = np.ones(256, bool)
@@ -56,8 +59,53 @@ def _hashes(prefix, start, end):
     return h, mix(h ^ _SEED) ^ span_hash(prefix, start, start + (end - start) // 2)
 
 
-def segment_keys(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int):
-    """(key, line number, role): role 0 where the key is of the line's own segments, 1 where it is a probe."""
+#: With ``grow``: a tenth of the bytes of lines under LONG bytes, a tenth of the words from WORDY words on.
+TENTH, LONG, WORDY = 10, 80, 10
+GRAM = 4  # words of a gram
+
+
+def edit_bands(max_edits: int, min_bytes: int, grow: bool) -> list[tuple[int, int, int]]:
+    """(from, to, edits): how many edits of bytes may part lines of which the shorter has from <= bytes < to."""
+    top = np.iinfo(np.int64).max // 2
+    if not grow or min_bytes >= LONG:
+        return [(min_bytes, top, max_edits)]
+    return [*((max(n, min_bytes), n + TENTH, max(max_edits, n // TENTH)) for n in range(min_bytes // TENTH * TENTH, LONG, TENTH)),
+            (LONG, top, max_edits)]
+
+
+def word_keys(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(key, line number): the least gram of every window of grams, for lines of at least WORDY words.
+
+    Of two lines at most a tenth of the shorter one's words apart, w - t of its w words are unchanged, in at most t + 1 runs:
+    one run has 5 words, from w = 20 on 6. It holds a window of 2 grams, or 3, so both lines have its least gram.
+    """
+    begin, stop, _ = words(data, offsets, NON_SPACE_BYTES)
+    first, last = np.searchsorted(begin, start), np.searchsorted(begin, end)
+    lines = np.flatnonzero(last - first >= WORDY)
+    h = span_hash(prefix, begin, stop)
+    gram = h[:max(0, len(h) - GRAM + 1)].copy()
+    for k in range(1, GRAM):
+        gram = gram * np.uint64(0x100000001B3) + h[k:k + len(gram)]
+    gram = mix(gram)
+    n = (last - first)[lines]
+    width = np.where(n <= 2 * WORDY, 2, 3)  # 20 words may face 19
+    count = n - GRAM + 1 - (width - 1)
+    which = np.repeat(np.arange(len(lines)), count)
+    at = first[lines][which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    least = np.minimum(gram[at], gram[at + 1])
+    three = np.flatnonzero(width[which] == 3)
+    least[three] = np.minimum(least[three], gram[at[three] + 2])
+    fresh = np.ones(len(least), bool)
+    fresh[1:] = (least[1:] != least[:-1]) | (which[1:] != which[:-1])
+    return mix(least[fresh] ^ _SEED), lines[which[fresh]]
+
+
+def segment_keys(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int, shortest: int = 0,
+                 below: int = np.iinfo(np.int64).max):
+    """(key, line number, role): role 0 where the key is of the line's own segments, 1 where it is a probe.
+
+    Lines of ``shortest`` <= bytes < ``below`` are indexed.
+    """
     length, t = end - start, max_edits
     keys, lines, roles = [], [], []
 
@@ -78,7 +126,7 @@ def segment_keys(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, max_edi
             high = np.minimum.reduce([place + i, place + less + (t - i), length - size])
             for shift in range(-i, i + 1):
                 at = place + shift
-                which = every[(at >= low) & (at <= high) & (short >= 1)]
+                which = every[(at >= low) & (at <= high) & (short >= 1) & (n >= shortest) & (n < below)]
                 own = less == 0 and shift == 0
                 add(which, n, i, start + at, size, 0 if own else 1)
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(roles)
@@ -109,18 +157,30 @@ def _distinct_lines(data, offsets, min_bytes):
     return prefix, h1, start[at], end[at]
 
 
-def _key_batches(min_bytes: int, max_edits: int):
+def _key_batches(min_bytes: int, max_edits: int, grow: bool):
+    bands = edit_bands(max_edits, min_bytes, grow)
+
     def run(batches):
         for _, offsets, data in text_chunks(batches):
             prefix, h1, start, end = _distinct_lines(data, offsets, min_bytes)
-            if len(h1):
-                key, line, role = segment_keys(prefix, start, end, max_edits)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), pa.array(h1[line].view(np.int64))],
-                                                 names=["key", "role", "line"])
+            if not len(h1):
+                continue
+            for low, high, edits in bands:
+                some = np.flatnonzero((end - start >= low) & (end - start < high + edits))
+                key, line, role = segment_keys(prefix, start[some], end[some], edits, low, high)
+                yield _key_rows(key, role, h1[some[line]])
+            if grow:
+                key, line = word_keys(data, offsets, prefix, start, end)
+                yield _key_rows(key, np.zeros(len(key), np.int8), h1[line])
 
     return run
 
 
+def _key_rows(key, role, line) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), pa.array(line.view(np.int64))],
+                                      names=["key", "role", "line"])
+
+
 FILTER_BITS = 25  # a table of 4 MB, whatever the number of lines
 
 
@@ -201,32 +261,40 @@ def _placed(batch: pa.RecordBatch, blk: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(blk.astype(np.int32))], names=["key", "role", "line", "blk"])
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of links in order, those that join two parts not joined before."""
-    root: dict[int, int] = {}
+class _Parts:
+    """Items joined so far; of further links, those that join two parts not joined before."""
+
+    def __init__(self, n: int):
+        self._root = list(range(n))
 
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
+    def _find(self, x: int) -> int:
+        root = self._root
+        while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    keep = np.zeros(len(a), bool)
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep[k] = True
-    return keep
+    def joins(self, a: np.ndarray, b: np.ndarray, linked=None, limits=None) -> np.ndarray:
+        """Which of the links are needed; with ``linked``, they are only tried (item, item, limit) where they would be."""
+        keep = np.zeros(len(a), bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self._find(i), self._find(j)
+            if x != y and (linked is None or linked(i, j, int(limits[k]))):
+                self._root[max(x, y)] = min(x, y)
+                keep[k] = True
+        return keep
 
 
-def _link_batches(max_edits: int, most: int = 400_000):
+def _link_batches(max_edits: int, min_bytes: int, grow: bool, most: int = 400_000):
+    bands = edit_bands(max_edits, min_bytes, grow)
+    floors, limits = np.array([low for low, _, _ in bands]), np.array([edits for _, _, edits in bands])
+
     def run(batches):
         for table in whole_runs(batches, ["key", "bi", "bj"]):
             table = table.combine_chunks()
             key, bi, bj, blk, role, line = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "blk", "role", "line"))
-            column = table.column("bytes").combine_chunks()
-            column = column.cast(pa.large_binary())
+            names, at, text = np.unique(line, return_index=True, return_inverse=True)  # a line may stand under many keys
+            column = table.column("bytes").combine_chunks().take(pa.array(at)).cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
             data = np.frombuffer(column.buffers()[2], np.uint8)
             start, end = offsets[:-1], offsets[1:]
@@ -236,36 +304,71 @@ def _link_batches(max_edits: int, most: int = 400_000):
             begins = np.flatnonzero(new)
             run_end = np.append(begins[1:], len(key))[np.cumsum(new) - 1]
             later = run_end - np.arange(len(key)) - 1
-            counts = np.zeros((len(key), 32), np.int16)
-            np.add.at(counts, (np.repeat(np.arange(len(key)), length), data[offsets[0]:offsets[-1]] & 31), 1)
+            counts = np.zeros((len(names), 32), np.int32)
+            np.add.at(counts, (np.repeat(np.arange(len(names)), length), data[offsets[0]:offsets[-1]] & 31), 1)
+            if grow:
+                n_words, word_counts = _word_counts(data[offsets[0]:offsets[-1]], offsets - offsets[0])
+            joined = _Parts(len(names))
             row = 0
             while row < len(key):  # pairs of some rows with all later rows of their run, a bounded number at a time
                 upto = max(row + 1, int(np.searchsorted(np.cumsum(later[row:]), most, "right")) + row)
                 left = np.repeat(np.arange(row, upto), later[row:upto])
                 right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later[row:upto]) - later[row:upto], later[row:upto])
-                ok = ((role[left] == 0) | (role[right] == 0)) & (abs(length[left] - length[right]) <= max_edits) & (line[left] != line[right])
+                ok = ((role[left] == 0) | (role[right] == 0)) & (text[left] != text[right])
                 ok &= (bi[left] == bj[left]) | (blk[left] != blk[right])
-                left, right = left[ok], right[ok]
-                for part in np.array_split(np.arange(len(left)), len(left) // 100_000 + 1):
-                    x, y = left[part], right[part]
-                    near = abs(counts[x] - counts[y]).sum(axis=1) <= 2 * max_edits
-                    x, y = x[near], y[near]
-                    linked = within(data, (start[x], end[x]), (start[y], end[y]), max_edits)
-                    a, b = np.minimum(line[x], line[y])[linked], np.maximum(line[x], line[y])[linked]
-                    keep = _spanning(a, b)
-                    if keep.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+                left, right = text[left[ok]], text[right[ok]]
+                edits = limits[np.searchsorted(floors, np.minimum(length[left], length[right]), "right") - 1]
+                near = abs(length[left] - length[right]) <= edits
+                a, b = [], []
+                x, y, edits = left[near], right[near], edits[near]
+                for part in np.array_split(np.arange(len(x)), len(x) // 100_000 + 1):
+                    part = part[abs(counts[x[part]] - counts[y[part]]).sum(axis=1) <= 2 * edits[part]]
+                    for limit in np.unique(edits[part]):
+                        p = part[edits[part] == limit]
+                        p = p[within(data, (start[x[p]], end[x[p]]), (start[y[p]], end[y[p]]), int(limit))]
+                        keep = joined.joins(x[p], y[p])
+                        a.append(names[x[p][keep]])
+                        b.append(names[y[p][keep]])
+                if grow:
+                    edits = np.minimum(n_words[left], n_words[right]) // TENTH
+                    near = (edits > 0) & (abs(n_words[left] - n_words[right]) <= edits)
+                    x, y, edits = left[near], right[near], edits[near]
+                    for part in np.array_split(np.arange(len(x)), len(x) // 100_000 + 1):
+                        part = part[abs(word_counts[x[part]] - word_counts[y[part]]).sum(axis=1) <= 2 * edits[part]]
+                        keep = joined.joins(x[part], y[part], lambda i, j, t: sequences_within(
+                            data[start[i]:end[i]].tobytes().split(), data[start[j]:end[j]].tobytes().split(), t), edits[part])
+                        a.append(names[x[part][keep]])
+                        b.append(names[y[part][keep]])
+                a, b = (np.concatenate([*z, np.zeros(0, np.int64)]) for z in (a, b))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
                 row = upto
 
     return run
 
 
-def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block: int = 2048) -> DataFrame:
+def _word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each line, and how many of them fall into each of 64 parts."""
+    begin, stop, first = words(data, offsets, NON_SPACE_BYTES)
+    value = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(data.astype(np.uint64) + _SEED), out=value[1:])
+    part = (mix(value[stop] - value[begin]) & np.uint64(63)).astype(np.int64)
+    counts = np.zeros((len(offsets) - 1, 64), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(offsets) - 1), np.diff(first)), part), 1)
+    return np.diff(first), counts
+
+
+def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block: int = 2048, grow: bool = False) -> DataFrame:
     """Links (a, b) between hashes of different lines: enough to give the classes of all links."""
     texts = docs.select("text").where("text is not null")
-    rows = texts.mapInArrow(_key_batches(min_bytes, max_edits), "key long, role byte, line long")
+    rows = texts.mapInArrow(_key_batches(min_bytes, max_edits, grow), "key long, role byte, line long")
     shared = saved(rows.repartition("key").sortWithinPartitions("key", "role", "line")
                    .mapInArrow(_shared_batches(block), "key long, role byte, line long, blk int"), "lines-keys")
+    if grow:  # of keys with the same lines in the same roles, one gives all the pairs
+        sets = (shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("line", "role")).alias("x"),
+                                          F.bit_xor(F.xxhash64("role", "line")).alias("y"))
+                .groupBy("n", "x", "y").agg(F.min("key").alias("one")))
+        shared = saved(shared.join(sets.select("one"), F.col("key") == F.col("one"), "left_semi"), "lines-sets")
     wanted = shared.select(F.col("line").alias("wanted")).distinct()
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted))
     lines = saved(texts.mapInArrow(_line_batches(min_bytes, table), "id long, bytes binary")
@@ -277,21 +380,23 @@ def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block:
                .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "role", "line"))
     return (blocked.join(lines, F.col("line") == F.col("id")).select("key", "bi", "bj", "blk", "role", "line", "bytes")
             .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-            .mapInArrow(_link_batches(max_edits), "a long, b long").distinct())
+            .mapInArrow(_link_batches(max_edits, min_bytes, grow), "a long, b long").distinct())
 
 
-def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None) -> DataFrame:
+def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None,
+                 grow: bool = False) -> DataFrame:
     """Every line that takes part: doc_id, text_hash, number, its class (named by the first line's place), is_first.
 
     With ``exact_bytes``, shorter lines down to that length take part too, in exact repeats only.
 
     Lines that neither occur elsewhere nor have a link are left out: they are their own class and stay.
     """
+    more = {"grow": True} if grow else {}
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null")
     places = saved(keyed.mapInArrow(_occurrence_batches(min_bytes if exact_bytes is None else exact_bytes), "doc_id long, text_hash long, number int, h1 long, h2 long"),
                    "lines-places")
     place = F.struct("doc_id", "text_hash", "number")
-    comps = components(saved(line_links(docs, max_edits, min_bytes), "lines-links")).select(F.col("node").alias("linked"), "component")
+    comps = components(saved(line_links(docs, max_edits, min_bytes, **more), "lines-links")).select(F.col("node").alias("linked"), "component")
     distinct = (places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .join(comps, F.col("h1") == F.col("linked"), "left")
                 .where("component is not null or first <> last")
@@ -306,9 +411,10 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact
                     F.struct("doc_id", "text_hash", "number").eqNullSafe(F.col("head")).alias("is_first")))
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None,
+                 grow: bool = False) -> DataFrame:
     """``docs`` with every line that repeats an earlier one taken out of ``text``; all rows and columns stay."""
-    drop = (line_classes(docs, max_edits, min_bytes, exact_bytes).where("not is_first")
+    drop = (line_classes(docs, max_edits, min_bytes, exact_bytes, grow).where("not is_first")
             .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
             .agg(F.collect_set("number").alias("drop_lines")))  # at most the lines of one text
     names = ["kpishift_drop_id", "kpishift_drop_hash", "kpishift_drop_lines"]

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kpishift.llm.common import prefix_hash
-from kpishift.llm.editdist import within
+from kpishift.llm.editdist import sequences_within, within
 from kpishift.llm.lines import dedup_lines, line_classes, segment_keys
 
 from .conftest import CLASHING
@@ -154,3 +154,60 @@ def test_exact_repeats_of_short_lines_go(spark, docs_of):
     out = {x.doc_id: x.text for x in corpus_pipeline.without_repeated_lines(spark, docs_of(texts), "").collect()}
     assert out == {0: "Les.\nfirst", 1: "\nLes\n ", 2: "x", 3: None, 4: "é"}
     assert {x.doc_id: x.text for x in dedup_lines(docs_of(texts)).collect()} == dict(enumerate(texts))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 9))
+def test_distance_of_sequences(a, b, limit):
+    assert sequences_within(a, b, limit) == (distance(a, b) <= limit)
+
+
+def grown(a, b):
+    """Whether lines a and b are linked with ``grow``."""
+    n = min(len(a), len(b))
+    edits = n // 10 if n < 80 else 1
+    if a == b or (abs(len(a) - len(b)) <= edits and distance(a, b) <= edits):
+        return True
+    a, b = a.split(), b.split()
+    t = min(len(a), len(b)) // 10
+    return t > 0 and abs(len(a) - len(b)) <= t and distance(a, b) <= t
+
+
+def test_threshold_grows_with_the_line(docs_of):
+    r = random.Random(12)
+    rows = []
+    for size in (3, 4, 5, 6, 7, 8, 9, 10, 11, 15, 19, 20, 21, 25, 31, 40, 70):
+        for _ in range(2):
+            base = ["".join(r.choice("abcdefg") for _ in range(r.randrange(2, 9))) for _ in range(size)]
+            for _ in range(7):
+                w = list(base)
+                for _ in range(r.randrange(0, size // 8 + 2)):
+                    k = r.randrange(5)
+                    at = r.randrange(len(w))
+                    if k == 0:
+                        w.insert(at, "new" + r.choice("xyz"))
+                    elif k == 1 and len(w) > 1:
+                        del w[at]
+                    elif k == 2:
+                        w[at] = r.choice("rstuv") * 6
+                    else:
+                        w[at] = w[at][:1] + r.choice(["é", "7", ""]) + w[at][2:]
+                rows.append((len(rows), "  ".join(w)))
+    texts = [t.encode() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (texts[i] == texts[j] or min(len(texts[i]), len(texts[j])) >= 20) and find(i) != find(j) and grown(texts[i], texts[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = docs_of([t for _, t in rows], [d for d, _ in rows], extra=CLASHING)
+    out = {x.doc_id: x.text for x in dedup_lines(docs, 1, 20, 1, grow=True).collect()}
+    assert out == {d: t if find(d) == d else "" for d, t in rows}
+    few = {x.doc_id for x in line_classes(docs).where("not is_first").collect()}
+    assert len([d for d in out if find(d) != d]) > len(few) + 40
