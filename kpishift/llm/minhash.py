@@ -253,7 +253,7 @@ def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float
     for most in (nearest, None):
         edges = saved(_cross(shared, sigs, forest, screen, block, most, percent).join(tested, ["a", "b"], "left_anti"), "minhash-cross")
         if edges.isEmpty():
-            break
+            continue  # a node's nearest may all be tested, and a pair behind them not
         new = saved(verified(edges, docs, percent), "minhash-links")
         if not new.isEmpty():
             forest = components(new.union(forest.select(F.col("node").alias("a"), F.col("component").alias("b"))))

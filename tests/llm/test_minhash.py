@@ -64,6 +64,25 @@ def test_hot_keys_are_compared_in_blocks(docs_of, prose, monkeypatch):
     assert got == {d: c for d, (_, c) in brute(list(range(120)), texts).items()}
 
 
+def test_all_pairs_follow_an_empty_round_of_nearest(docs_of, prose, monkeypatch):
+    import kpishift.llm.minhash as m
+
+    r = random.Random(5)
+    hub = prose(7, 120)
+    texts = [altered(r, hub, 4) for _ in range(60)]
+    inner, rounds = m._cross, []
+
+    def cross(shared, sigs, forest, screen, block, most, percent):
+        rounds.append(most)
+        pairs = inner(shared, sigs, forest, screen, block, most, percent)
+        return pairs.limit(0) if most else pairs
+
+    monkeypatch.setattr(m, "_cross", cross)
+    got = {x.doc_id: x.component_id for x in near_duplicates(docs_of(texts)).collect()}
+    assert got == {d: c for d, (_, c) in brute(list(range(60)), texts).items()}
+    assert rounds == [8, None]
+
+
 def test_null_and_repeated_ids_and_no_rows(docs_of, prose):
     t = prose(3, 80)
     rows = near_duplicates(docs_of([t, t, t, prose(4, 50), None], [5, 5, None, None, 8])).collect()
