@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from kpishift.session import scratch_path
 
 from .common import table
+from .compress import compress
+from .conversations import damage, repair
 from .decontaminate import contaminated
 from .language import languages
 from .licenses import digest, scan_licenses
@@ -20,6 +22,7 @@ from .oracles import ORACLES
 from .packing import pack
 from .quality import quality_scores
 from .records import read_records, with_starts, write_records
+from .repetition import repetition_rules
 from .search import bm25_search, build_index
 from .toxicity import toxicity_scores
 
@@ -79,6 +82,18 @@ def op2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_search(build_index(docs), queries, k=10)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_search": op2_search,
@@ -90,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_records": op8_records,
     "op9_packing": op9_packing,
     "op10_minhash": op10_minhash,
+    "op11_conversations": op11_conversations,
+    "op12_repetition": op12_repetition,
+    "op13_codes": op13_codes,
 }
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
