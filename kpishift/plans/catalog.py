@@ -20,6 +20,7 @@ from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, parse_dat
 from ..operators.profile import column_profile, suggested_ranges
 from ..session import cut_lineage, remove_scratch, scratch_path
 from ..sources.sinks import report_payload, write_report, write_table
+from ..sources.store import ReportStore
 from .oracle import fmt_sql, insights_sql, q, rnd, safe_div_sql, thousands_sql
 from .report import ReportTables, period_aggregate, run_report
 
@@ -486,6 +487,42 @@ def q_report_sink(spark, sf_dir):
     return read_back(back.select(*tables.insights.columns, F.col("dimensions")["c_mktsegment"].alias("segment_text")), path)
 
 
+def _region_report(spark, sf_dir, regions: list[int], cur: tuple, prev: tuple) -> ReportTables:
+    cfg = per_nation_config()
+    cfg["dataset"]["join_type"] = "inner"
+    cfg["report"]["comparison"] = _comparison(cur, prev)
+    frames = per_nation_frames(spark, sf_dir)
+    frames["nation"] = table(spark, sf_dir, "nation").where(F.col("n_regionkey").isin(regions)).select(
+        F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return run_report(spark, config_from_dict(cfg), frames=frames)
+
+
+STORE_RUNS = [([0, 1, 2], FLAG_CUR, FLAG_PREV), ([2, 3], ("1997-01-01", "1997-12-31"), ("1996-01-01", "1996-12-31"))]
+
+
+def q_report_store(spark, sf_dir):
+    """Two runs into one report store: the second replaces the nations of its regions, the others keep the first run's
+    reports. Older versions are removed, then the insights of all reports are read."""
+    path = scratch_path(spark, f"report_store-{uuid.uuid4().hex}")
+    store = ReportStore(spark, path, ["n_name"])
+    for regions, cur, prev in STORE_RUNS:
+        store.publish_report(_region_report(spark, sf_dir, regions, cur, prev))
+    store.vacuum(keep=1)
+    periods = store.read("meta").select("n_name", "current_period")
+    return read_back(store.read("insights").drop("dimensions").join(periods, "n_name"), path)
+
+
+def _sql_report_store() -> str:
+    parts = []
+    for k, (regions, cur, prev) in enumerate(STORE_RUNS):
+        mine = [r for r in regions if not any(r in later for later, _, _ in STORE_RUNS[k + 1:])]
+        fact = f"{PER_NATION_FACT} WHERE n.n_regionkey IN ({', '.join(map(str, mine))})"
+        one = insights_sql(fact, "CAST(o_orderdate AS DATE)", ["c_mktsegment"], {"o_totalprice": "o_totalprice", "order_count": "1"},
+                           PR_KPIS, cur, prev, 5, 0.0, keys=["n_name"])
+        parts.append(f"SELECT *, '{cur[0]} to {cur[1]}' AS current_period FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
 SQL_REPORT_SINK = f"SELECT *, c_mktsegment AS segment_text FROM ({SQL_PER_REPORT})"
 
 
@@ -681,15 +718,19 @@ def q_column_profile(spark, sf_dir):
     return prof.drop("distinct_estimate")
 
 
+def _sql_date_like(c: str) -> str:
+    """The count of the format that parses most values."""
+    counts = [f"count(try_strptime({c}, '{f}'))" for f in ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y")]
+    return f"greatest({', '.join(counts)}, count(TRY_CAST({c} AS DATE)))"
+
+
 def _sql_profile() -> str:
     parts = []
     for i, (c, t) in enumerate(ORDERS_COLUMNS):
         if t == "timestamp_ntz":
             like = f"count({c})"
         elif t == "string":
-            like = (f"count(*) FILTER (WHERE {c} IS NOT NULL AND coalesce(try_strptime({c}, '%Y-%m-%d'), "
-                    f"try_strptime({c}, '%Y/%m/%d'), try_strptime({c}, '%m/%d/%Y'), try_strptime({c}, '%d/%m/%Y'), "
-                    f"TRY_CAST({c} AS DATE)) IS NOT NULL)")
+            like = _sql_date_like(c)
         else:
             like = "0"
         parts.append(
@@ -715,6 +756,26 @@ SQL_PROFILE_LABELS = " UNION ALL ".join(
     f"'dimension' AS role, TRUE AS estimate_close FROM labels" for c, t in (("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")))
 
 
+def _text_dates(spark, sf_dir) -> DataFrame:
+    """orders with its date as text: month first and day first in turn, then day first, then month first."""
+    d = F.col("o_orderdate")
+    month, day = F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "dd/MM/yyyy")
+    return table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 2 == 0, month).otherwise(day).alias("mixed_date"), day.alias("paid"), month.alias("due_date"), "o_totalprice")
+
+
+def q_column_profile_dates(spark, sf_dir):
+    """A text column that mixes month first and day first is no date, whatever its name; the first with one format is."""
+    return column_profile(_text_dates(spark, sf_dir)).select("column_name", "non_null_count", "date_like_count", "role")
+
+
+SQL_TEXT_DATES = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE strftime(o_orderdate, '%d/%m/%Y') END AS mixed_date,
+  strftime(o_orderdate, '%d/%m/%Y') AS paid, strftime(o_orderdate, '%m/%d/%Y') AS due_date, o_totalprice FROM orders"""
+SQL_PROFILE_DATES = f"WITH t AS ({SQL_TEXT_DATES}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null_count, CAST({_sql_date_like(c) if role != 'metric' else '0'} AS BIGINT) AS date_like_count, "
+    f"'{role}' AS role FROM t" for c, role in (("mixed_date", "dimension"), ("paid", "date"), ("due_date", "dimension"), ("o_totalprice", "metric")))
+
+
 def q_suggested_ranges_text(spark, sf_dir):
     """Ranges from a date column that is text, month first."""
     o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "MM/dd/yyyy").alias("o.date"))
@@ -801,6 +862,7 @@ QUERIES = {
     "date_fallback": q_date_fallback,
     "report_sink": q_report_sink,
     "report_payload": q_report_payload,
+    "report_store": q_report_store,
     "insights_per_report": q_insights_per_report,
     "insight_summary": q_insight_summary,
     "period_totals": q_period_totals,
@@ -810,6 +872,7 @@ QUERIES = {
     "narrative": q_narrative,
     "column_profile": q_column_profile,
     "column_profile_labels": q_column_profile_labels,
+    "column_profile_dates": q_column_profile_dates,
     "suggested_ranges": q_suggested_ranges,
     "suggested_ranges_text": q_suggested_ranges_text,
     "csv_source": q_csv_source,
@@ -847,6 +910,7 @@ def oracle_statements() -> dict[str, str]:
         "date_fallback": SQL_CSV_SOURCE,
         "report_sink": SQL_REPORT_SINK,
         "report_payload": SQL_REPORT_PAYLOAD,
+        "report_store": _sql_report_store(),
         "insights_per_report": SQL_PER_REPORT,
         "insight_summary": _sql_summary(),
         "period_totals": _sql_totals(),
@@ -856,6 +920,7 @@ def oracle_statements() -> dict[str, str]:
         "narrative": _sql_narrative(),
         "column_profile": _sql_profile(),
         "column_profile_labels": SQL_PROFILE_LABELS,
+        "column_profile_dates": SQL_PROFILE_DATES,
         "suggested_ranges": SQL_SUGGESTED_RANGES,
         "suggested_ranges_text": SQL_SUGGESTED_RANGES,
         "csv_source": SQL_CSV_SOURCE,

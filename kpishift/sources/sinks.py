@@ -74,11 +74,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         by = [col(k) for k in partition_by]
         df = df.repartition(*by) if bounded else df.hint("rebalance", *by)
     writer = df.write.mode(mode).format(fmt)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    if partition_by:  # an overwrite replaces the keys that have rows and leaves the other keys' folders
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.save(path)
 
 
+def report_frames(tables, extra: tuple = ()) -> list[tuple[str, DataFrame]]:
+    """(name, rows) of the tables of a report that are written: insights, summary, meta and ``extra`` ones by name."""
+    named = [("insights", with_dimension_map(tables.insights, tables.dims)), ("summary", tables.summary),
+             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra if n != "payload"]
+    if "payload" in extra:
+        named.append(("payload", report_payload(tables)))
+    return named
+
+
 def write_report(tables, path: str, fmt: str = "parquet", mode: str = "overwrite",
                  extra: tuple = (), materialize: bool = True) -> dict[str, str]:
     """Write insights, summary, metadata (and ``extra`` tables by name, e.g.
@@ -86,17 +95,15 @@ def write_report(tables, path: str, fmt: str = "parquet", mode: str = "overwrite
 
     With ``materialize`` the facts are scanned and aggregated once for all
     tables (see ``ReportTables.materialize``). Per-report-key runs are
-    partitioned by the key, so one report is one directory to read back.
+    partitioned by the key, so one report is one directory to read back; a
+    run replaces the reports of its own keys. For readers that must
+    not see half a run, and for a history, use :class:`kpishift.sources.store.ReportStore`.
     """
     if materialize:
         tables = tables.materialize()
     keys = list(tables.keys)
     out = {}
-    named = [("insights", with_dimension_map(tables.insights, tables.dims)), ("summary", tables.summary),
-             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra if n != "payload"]
-    if "payload" in extra:
-        named.append(("payload", report_payload(tables)))
-    for name, df in named:
+    for name, df in report_frames(tables, extra):
         target = f"{path.rstrip('/')}/{name}"
         write_table(df, target, fmt, mode, keys if keys and name != "meta" else None, bool(tables.top_n))
         out[name] = target

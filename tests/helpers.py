@@ -1,3 +1,6 @@
+import uuid
+from contextlib import contextmanager
+
 from kpishift import config_from_dict, run_report
 
 
@@ -20,3 +23,14 @@ def run(spark, df, dims, kpis, metrics, derived=None, plan="fused", **kw):
 
 def by_key(rows, *cols):
     return {tuple(r[c] for c in cols): r for r in rows}
+
+
+@contextmanager
+def jobs_of(spark):
+    """Yields a function that counts the Spark jobs started inside the block."""
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "counted")
+    try:
+        yield lambda: len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
