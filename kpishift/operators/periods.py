@@ -17,7 +17,7 @@ IN_PREVIOUS = "__kpi_in_previous"
 
 
 def detect_date_pattern(df: DataFrame, col: str) -> str | None:
-    """First pattern that parses *every* non-null value of ``col``.
+    """First pattern that parses *every* non-null value of ``col``, found now (to be put into a config, say).
 
     One aggregate job counts failures for all candidates at once; the format
     is chosen for the whole column, never per row (that would mix month-first
@@ -34,8 +34,37 @@ def detect_date_pattern(df: DataFrame, col: str) -> str | None:
     raise ValueError(f"no known date format fits every value of column {col!r}")
 
 
+def format_mask(value: Column) -> Column:
+    """One bit per candidate format that parses the text ``value`` (null for a null): bit i is pattern i, the last the ISO cast."""
+    bits = [F.when(parse_with(value, p).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+            for i, p in enumerate([*DATE_PATTERNS, None])]
+    return F.when(value.isNotNull(), sum(bits[1:], bits[0]))
+
+
+def detected_mask(df: DataFrame, col: str) -> Column:
+    """The formats that parse every non-null value of ``col``, as a scalar subquery (every format for no values)."""
+    mask = F.bit_and(format_mask(F.col(qi(col)).cast("string")))
+    return df.agg(F.coalesce(mask, F.lit((1 << len(DATE_PATTERNS) + 1) - 1)).alias("mask")).scalar()
+
+
+def parse_detected(df: DataFrame, col: str) -> Column:
+    """``col`` parsed with the first format that fits the whole column, all within one lazy plan.
+
+    The format is found by the subquery of :func:`detected_mask` when the plan
+    runs; if none fits, the plan fails with a message.
+    """
+    mask, value = detected_mask(df, col), F.col(qi(col)).cast("string")
+    out = F.when(mask == 0, F.raise_error(F.lit(f"no known date format fits every value of column {col!r}")).cast("date"))
+    for i, pattern in enumerate([*DATE_PATTERNS, None]):
+        out = out.when(mask.bitwiseAND(1 << i) != 0, parse_with(value, pattern))
+    return out
+
+
 def parse_date_column(df: DataFrame, col: str, pattern: str | None = None, detect: bool = True) -> DataFrame:
-    """Date kept, timestamp -> date, string parsed with one whole-column format."""
+    """Date kept, timestamp -> date, string parsed with one whole-column format.
+
+    No job runs here: an undetected format is part of the plan (:func:`parse_detected`).
+    """
     if col not in df.columns:
         raise ValueError(f"there is no column {col!r} to take dates from")
     dtype = df.schema[col].dataType
@@ -46,7 +75,7 @@ def parse_date_column(df: DataFrame, col: str, pattern: str | None = None, detec
     if not isinstance(dtype, T.StringType):
         raise ValueError(f"column {col!r} is {dtype.simpleString()}, not a date, timestamp or text")
     if pattern is None and detect:
-        pattern = detect_date_pattern(df, col)
+        return df.withColumn(col, parse_detected(df, col))
     return df.withColumn(col, as_date(F.col(qi(col)), dtype, pattern))
 
 

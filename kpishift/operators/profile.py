@@ -31,13 +31,13 @@ MEASURE_NAME_PATTERN = re.compile(r"(amount|count|total|price|revenue|sales|inco
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def _date_like(c, dtype: T.DataType):
+def _date_counts(c, dtype: T.DataType) -> list:
+    """How many values are dates: per format for text, else one count."""
     if isinstance(dtype, DATE_TYPES):
-        return c.isNotNull()
+        return [F.count(c)]
     if isinstance(dtype, T.StringType):
-        parsed = [parse_with(c, p) for p in DATE_PATTERNS] + [parse_with(c, None)]
-        return c.isNotNull() & F.coalesce(*parsed).isNotNull()
-    return F.lit(False)
+        return [F.count(parse_with(c, p)) for p in (*DATE_PATTERNS, None)]
+    return [F.lit(0)]
 
 
 def column_profile(df: DataFrame) -> DataFrame:
@@ -46,15 +46,17 @@ def column_profile(df: DataFrame) -> DataFrame:
     All statistics come from a single aggregate over the data (every column
     is read once, partial aggregation on each partition). Role rules:
     * date: the first column that is date/timestamp typed, or text whose
-      non-null values all parse as dates, or text named like a date
-      (``date``, ``dt_``, ``timestamp``, ``created_at``); later such
-      columns become dimensions;
+      non-null values are all parsed by one and the same format, or text named like a
+      date (``date``, ``dt_``, ``timestamp``, ``created_at``) without any
+      value; later such columns become dimensions. Text that mixes
+      formats is never a date: no report could read it;
     * dimension: text or boolean, an integer named like an id, key, code or
       year, or a low-cardinality integer: an estimated number of distinct values
       of at most ``MAX_CATEGORIES`` and ``MAX_CATEGORY_SHARE`` of its non-null
       rows, unless its name is one of a measure;
     * metric: any other number;
     * none: other types.
+    ``date_like_count`` is the count of the format that parses most values.
     ``distinct_estimate`` is HyperLogLog++ (relative standard deviation 5 %;
     exact in practice at the size of the category rule). ``null_rate`` is the
     share of null rows, 0 without rows.
@@ -64,7 +66,8 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         c = col(f.name)
         aggs.append(F.count(c).alias(f"n{i}"))
-        aggs.append(F.count_if(_date_like(c, f.dataType)).alias(f"d{i}"))
+        counts = _date_counts(c, f.dataType)
+        aggs.append((F.greatest(*counts) if len(counts) > 1 else counts[0]).alias(f"d{i}"))
         aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
     stats = df.agg(*aggs)
     args = [F.lit(len(fields))]
@@ -88,9 +91,8 @@ def column_profile(df: DataFrame) -> DataFrame:
                              "distinct_estimate", "__kpi_temporal", "__kpi_string", "__kpi_text", "__kpi_numeric", "__kpi_integral",
                              "__kpi_date_name", "__kpi_id_name", "__kpi_measure_name"))
     candidate = (F.col("__kpi_temporal")
-                 | (F.col("__kpi_string") & (F.col("non_null_count") > 0)
-                    & (F.col("date_like_count") == F.col("non_null_count")))
-                 | (F.col("__kpi_string") & F.col("__kpi_date_name")))
+                 | (F.col("__kpi_string") & (F.col("date_like_count") == F.col("non_null_count"))
+                    & ((F.col("non_null_count") > 0) | F.col("__kpi_date_name"))))
     first_date = F.min(F.when(candidate, F.col("ordinal"))).over(Window.partitionBy())
     few = (F.col("__kpi_integral") & ~F.col("__kpi_measure_name") & (F.col("distinct_estimate") <= MAX_CATEGORIES)
            & (F.col("distinct_estimate") <= MAX_CATEGORY_SHARE * F.col("non_null_count")))

@@ -72,7 +72,9 @@ def test_q5_ambiguous_is_month_first_and_mixed_fails(spark):
     assert parse_date_column(df, "d").first().d.isoformat() == "2025-01-02"
     mixed = spark.createDataFrame([("2025-01-02",), ("01/02/2025",)], "d string")
     with pytest.raises(ValueError):
-        parse_date_column(mixed, "d")
+        detect_date_pattern(mixed, "d")
+    with pytest.raises(Exception, match="no known date format fits every value of column 'd'"):
+        parse_date_column(mixed, "d").collect()
 
 
 def test_q6_inclusive_overlap_and_null_dates(spark):

@@ -54,9 +54,9 @@ def test_every_source_is_loaded_and_dated_once(spark, monkeypatch):
     import kpishift.sources.ingest as ingest
 
     loads, detections = [], []
-    read, detect = ingest.load_source, periods.detect_date_pattern
+    read, detect = ingest.load_source, periods.detected_mask
     monkeypatch.setattr(ingest, "load_source", lambda s, name, *a: loads.append(name) or read(s, name, *a))
-    monkeypatch.setattr(periods, "detect_date_pattern", lambda df, c: detections.append(c) or detect(df, c))
+    monkeypatch.setattr(periods, "detected_mask", lambda df, c: detections.append(c) or detect(df, c))
     for pre in (False, True):
         loads.clear()
         detections.clear()
