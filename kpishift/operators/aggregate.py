@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..config import InsightConfig
 from ..functions.numeric import col, qi
+from .exact import exact_period_sums
 from .periods import IN_CURRENT, IN_PREVIOUS
 
 # Exact accumulator for floating metrics: sums become order-independent. Every
@@ -70,12 +71,31 @@ def _valid_metrics(df: DataFrame, dims: list[str], metrics: list[str]) -> list[s
     return valid
 
 
+def _exact(df: DataFrame, dims: list[str], metrics: list[str], types: dict, in_current: str, in_previous: str) -> DataFrame:
+    """Period sums with exact doubles; the other metrics keep the type of their plain sum."""
+    floats = [m for m in metrics if _floating(types[m])]
+    others = {f"{m}_{suffix}": f"CASE WHEN {flag} THEN {qi(m)} END" for m in metrics if m not in floats
+              for flag, suffix in ((in_current, "current"), (in_previous, "previous"))}
+    sums = exact_period_sums(df, dims, floats, others, in_current, in_previous)
+    columns = [col(d) for d in dims]
+    for m in metrics:
+        for suffix in ("current", "previous"):
+            c = col(f"{m}_{suffix}")
+            if isinstance(types[m], T.DecimalType):
+                c = c.cast(T.DecimalType(min(38, types[m].precision + 10), types[m].scale))
+            columns.append(c.alias(f"{m}_{suffix}"))
+    return sums.select(*columns)
+
+
 def aggregate_by_dimensions(df: DataFrame, dims: list[str], metrics: list[str],
                             accumulator: str = "double") -> DataFrame:
     """SUM of each metric per dimension tuple; one global row without dims."""
     dims = list(dims)
     valid = _valid_metrics(df, dims, metrics)
     types = {f.name: f.dataType for f in df.schema.fields}
+    if accumulator == "exact" and any(_floating(types[m]) for m in valid):
+        sums = _exact(df, dims, valid, types, "true", "false")
+        return sums.select(*[col(d) for d in dims], *[col(f"{m}_current").alias(m) for m in valid])
     aggs = [zero_if_null(F.expr(sum_sql(qi(m), types[m], accumulator))).alias(m) for m in valid]
     if not dims:
         return df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
@@ -96,6 +116,8 @@ def aggregate_periods(df: DataFrame, dims: list[str], metrics: list[str], in_cur
     dims = list(dims)
     valid = _valid_metrics(df, dims, metrics)
     types = {f.name: f.dataType for f in df.schema.fields}
+    if accumulator == "exact" and any(_floating(types[m]) for m in valid):
+        return _exact(df, dims, valid, types, in_current, in_previous)
     aggs = []
     for m in valid:
         for flag, suffix in ((in_current, "current"), (in_previous, "previous")):
