@@ -19,10 +19,11 @@ from ..operators.joins import join_periods, join_sources
 from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, parse_date_column
 from ..operators.profile import column_profile, suggested_ranges
 from ..session import cut_lineage, remove_scratch, scratch_path
+from ..sources.kept import KeptDays
 from ..sources.sinks import report_payload, write_report, write_table
 from ..sources.store import ReportStore
 from .oracle import fmt_sql, insights_sql, q, rnd, safe_div_sql, thousands_sql
-from .report import ReportTables, period_aggregate, run_report
+from .report import ReportTables, period_aggregate, range_metrics, run_range_report, run_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -423,6 +424,76 @@ SQL_DECIMAL_NONFINITE = insights_sql(
      "l_quantity": "l_quantity"}, ["amount", "l_quantity"], FLAG_CUR, FLAG_PREV, 20, decimal=True)
 
 
+# ------------------------------------------------- exact sums of all magnitudes
+MAGNITUDES = "CAST(round(l_extendedprice * 100) AS {whole}) * CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE -1 END"
+
+
+def q_exact_sums(spark, sf_dir):
+    """Sums of both signs and of magnitudes 2^0 to 2^70 per group, correctly rounded (accumulator ``exact``), not rounded further."""
+    li = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity", "l_linenumber",
+        f"CAST({MAGNITUDES.format(whole='BIGINT')} AS DOUBLE) * pow(2.0D, 10 * l_linenumber) AS amount")
+    cfg = config_from_dict(_cfg(
+        {"lineitem": {"type": "table", "table": "lineitem", "date_col": "l_shipdate", "metrics": ["amount", "l_quantity", "l_linenumber"]}},
+        "lineitem", "l_shipdate", FLAG_DIMS, ["amount"], FLAG_CUR, FLAG_PREV, accumulator="exact"))
+    fact = parse_date_column(li, "l_shipdate")
+    return period_aggregate(fact, cfg, "l_shipdate")
+
+
+def _sql_exact_sums() -> str:
+    """Whole numbers of 128 bits, read as doubles through their decimal text."""
+    cols = []
+    for suf, (a, b) in (("current", FLAG_CUR), ("previous", FLAG_PREV)):
+        within = f"FILTER (WHERE d BETWEEN DATE '{a}' AND DATE '{b}')"
+        cols += [f"CAST(CAST(coalesce(sum(amount) {within}, 0) AS VARCHAR) AS DOUBLE) AS amount_{suf}",
+                 f"coalesce(sum(l_quantity) {within}, 0) AS l_quantity_{suf}",
+                 f"CAST(coalesce(sum(l_linenumber) {within}, 0) AS BIGINT) AS l_linenumber_{suf}"]
+    amount = f"{MAGNITUDES.format(whole='HUGEINT')} * (CAST(1 AS HUGEINT) << CAST(10 * l_linenumber AS INTEGER))"
+    return (f"SELECT l_returnflag, l_linestatus, {', '.join(cols)} FROM (SELECT *, CAST(l_shipdate AS DATE) AS d, {amount} AS amount FROM lineitem) "
+            f"WHERE d BETWEEN DATE '{FLAG_PREV[0]}' AND DATE '{FLAG_CUR[1]}' GROUP BY ALL")
+
+
+# ----------------------------------------------------- many comparison ranges
+N_RANGES = 1000
+
+
+def many_ranges(spark) -> DataFrame:
+    """Every second day from 1993 on begins a range of four weeks, compared with the four weeks before."""
+    return spark.range(N_RANGES).selectExpr(
+        "id AS range_id", "date_add(DATE'1993-01-01', CAST(2 * id AS INT)) AS current_start").selectExpr(
+        "*", "date_add(current_start, 27) AS current_end", "date_sub(current_start, 28) AS previous_start",
+        "date_sub(current_start, 1) AS previous_end")
+
+
+def q_insights_many_ranges(spark, sf_dir):
+    """1,000 comparison ranges, the best 3 insights of each, from one scan of lineitem."""
+    return run_range_report(spark, config_from_dict(flagship_config(sf_dir, top_n=3)), many_ranges(spark)).insights
+
+
+SQL_MANY_RANGES = insights_sql(
+    f"""SELECT range_id, l.*, pd FROM (
+  SELECT i AS range_id, DATE '1993-01-01' + CAST(2 * i AS INTEGER) AS cs FROM range({N_RANGES}) t(i)) r,
+  (VALUES (DATE '2000-01-02', 0, 27), (DATE '2000-01-01', -28, -1)) p(pd, a, b), lineitem l
+  WHERE CAST(l_shipdate AS DATE) BETWEEN cs + CAST(a AS INTEGER) AND cs + CAST(b AS INTEGER)""",
+    "pd", FLAG_DIMS, FLAG_METRICS_SQL, FLAG_KPIS, ("2000-01-02", "2000-01-02"), ("2000-01-01", "2000-01-01"), 3, decimal=True, keys=["range_id"])
+
+
+# ----------------------------------------------------------- kept daily sums
+def q_insights_kept_days(spark, sf_dir):
+    """The same from kept daily sums: lineitem arrives in two parts, the second refresh reads the second part only."""
+    path = scratch_path(spark, f"kept_days-{uuid.uuid4().hex}")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *FLAG_DIMS, "l_shipdate", "l_extendedprice", "l_quantity")
+    cfg = config_from_dict(flagship_config(sf_dir, top_n=3))
+    kept = KeptDays(
+        spark, f"{path}/kept", lambda files: spark.read.schema(li.schema).parquet(*files), "l_shipdate", FLAG_DIMS,
+        range_metrics(compute_all_derived_metrics(li, cfg.derived_metrics), cfg),
+        prepare=lambda rows: compute_all_derived_metrics(rows, cfg.derived_metrics))
+    for part in (0, 1):
+        li.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == part).write.parquet(f"{path}/source/part={part}")
+        kept.refresh(f"{path}/source")
+    return read_back(run_range_report(spark, cfg, many_ranges(spark), daily=kept.daily()).insights, path)
+
+
 # ------------------------------------------------------ date column fallback
 def q_date_fallback(spark, sf_dir):
     """The configured date column is absent: the first column named like a date is taken."""
@@ -859,6 +930,9 @@ QUERIES = {
     "full_ranking_per_key": q_full_ranking_per_key,
     "large_values": q_large_values,
     "decimal_nonfinite": q_decimal_nonfinite,
+    "exact_sums": q_exact_sums,
+    "insights_many_ranges": q_insights_many_ranges,
+    "insights_kept_days": q_insights_kept_days,
     "date_fallback": q_date_fallback,
     "report_sink": q_report_sink,
     "report_payload": q_report_payload,
@@ -907,6 +981,9 @@ def oracle_statements() -> dict[str, str]:
         "full_ranking_per_key": SQL_FULL_RANKING_PER_KEY,
         "large_values": SQL_LARGE_VALUES,
         "decimal_nonfinite": SQL_DECIMAL_NONFINITE,
+        "exact_sums": _sql_exact_sums(),
+        "insights_many_ranges": SQL_MANY_RANGES,
+        "insights_kept_days": SQL_MANY_RANGES,
         "date_fallback": SQL_CSV_SOURCE,
         "report_sink": SQL_REPORT_SINK,
         "report_payload": SQL_REPORT_PAYLOAD,

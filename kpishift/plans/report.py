@@ -7,6 +7,7 @@ aggregate with both periods -> stack + score -> top-N -> summary tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..operators.joins import default_join_keys, join_periods, join_sources
 from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, parse_date_column, split_by_period
 from ..operators.present import insight_table, kpi_cards, narrative
 from ..operators.rank import rank_insights
+from ..operators.ranges import BROADCAST_RANGES, checked_ranges, daily_sums, range_sums
 from ..operators.summary import dimension_breakdown, insight_summary, period_totals
 from ..operators.unpivot import finish_insights, score_rows
 from ..functions.formulas import read_formulas
@@ -262,4 +264,44 @@ def run_report(spark: SparkSession, config: InsightConfig, frames: dict | None =
     return build_report(config, *prepare_facts(loaded, config), plan)
 
 
-__all__ = ["ReportTables", "run_report", "build_report", "report_from_periods", "prepare_facts", "period_aggregate"]
+def sum_type(dtype: T.DataType) -> T.DataType:
+    """The type of a plain sum over a column of ``dtype``."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    if isinstance(dtype, T.DecimalType):
+        return T.DecimalType(min(38, dtype.precision + 10), dtype.scale)
+    return T.LongType()
+
+
+def range_metrics(fact: DataFrame, config: InsightConfig) -> dict[str, T.DataType]:
+    """The report's metrics among the columns of ``fact``, with the types of their sums."""
+    group = [*config.report.report_key, *config.report.primary_dims]
+    types = {f.name: f.dataType for f in fact.schema.fields}
+    return {m: sum_type(types[m]) for m in metric_list(config) if m in types and m not in group}
+
+
+def run_range_report(spark: SparkSession, config: InsightConfig, ranges: DataFrame, frames: dict | None = None,
+                     base_path: str = "", key: str = "range_id", daily: tuple[DataFrame, dict] | None = None) -> ReportTables:
+    """One report per row of ``ranges`` (``key``, current_start, current_end, previous_start, previous_end) in one scan.
+
+    The report's own comparison is not used; ``key`` becomes the first report key.
+    ``daily``: kept daily sums and their metrics' types, instead of a scan
+    (see :class:`kpishift.sources.kept.KeptDays`).
+    """
+    config.validate()
+    group = [*config.report.report_key, *config.report.primary_dims]
+    n, first, last = checked_ranges(ranges, key)
+    if daily is None:
+        fact, date_col = prepare_facts(normalise_dates(load_all_sources(spark, config, base_path, frames), config), config)
+        if first is not None:
+            fact = fact.where((col(date_col) >= F.lit(first)) & (col(date_col) <= F.lit(last)))  # reaches the scan
+        types = range_metrics(fact, config)
+        days = daily_sums(fact, date_col, group, list(types))
+    else:
+        days, types = daily
+    periods = range_sums(days, group, types, ranges, key, few=n <= BROADCAST_RANGES)
+    own = replace(config, report=replace(config.report, report_key=[key, *config.report.report_key]))
+    return report_from_periods(own, periods)
+
+
+__all__ = ["ReportTables", "run_report", "run_range_report", "range_metrics", "build_report", "report_from_periods", "prepare_facts", "period_aggregate"]
