@@ -27,7 +27,7 @@ FILE = "__kpi_file"  # reserved
 
 
 def _same_form(path):
-    """Both ways in which Spark writes a path (file:/a, file:///a) as one."""
+    """Both ways in which Spark writes a file's address (file:/a, file:///a) as one."""
     return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
@@ -48,7 +48,9 @@ class KeptDays:
     def listing(self, folder: str, glob: str = "*.parquet") -> DataFrame:
         """The folder's files (and those of folders in it): path, length, time. Contents are not read."""
         files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder))
-        return files.select(_same_form(F.col("path")).alias(FILE), "path", "length", F.col("modificationTime").alias("modified"))
+        plain = F.regexp_replace("path", r"([\[\]{}*?\\])", r"\\$1")  # readers take these characters for patterns
+        return files.select(_same_form(F.col("_metadata.file_path")).alias(FILE), plain.alias("path"), "length",
+                            F.col("modificationTime").alias("modified"))
 
     def sums(self, files: list[str]) -> DataFrame:
         """Daily sums of each of ``files``."""

@@ -137,7 +137,7 @@ def test_kept_days_read_only_what_changed(spark):
         return spark.createDataFrame(list(rows), schema)
 
     kept = KeptDays(spark, f"{root}/kept", read, "d", ["k"], {"x": T.DoubleType(), "n": T.LongType()}, date_format="yyyy-M-d")
-    write(frame(("2025-01-01", "a", 1.0, 1), ("2025-01-02", "a", 2.0, None)), f"{source}/a b=%1")  # a path that needs quoting
+    write(frame(("2025-01-01", "a", 1.0, 1), ("2025-01-02", "a", 2.0, None)), f"{source}/a b %1 [x]{{2,3}}*?+")  # a path that needs quoting
     write(frame(("2025-01-01", "a", 10.0, 1), (None, "a", 99.0, 9)), f"{source}/two")
     assert kept.refresh(source) == {"new": 2, "changed": 0, "gone": 0} and len(reads[0]) == 2
     assert {k: (float(x), int(n)) for k, (x, n) in sums_of(kept.days()).items()} == {("a", "2025-01-01"): (11.0, 2), ("a", "2025-01-02"): (2.0, 0)}
@@ -146,8 +146,8 @@ def test_kept_days_read_only_what_changed(spark):
     write(frame(("2025-01-01", "b", 5.0, 5)), f"{source}/three")
     assert kept.refresh(source) == {"new": 1, "changed": 0, "gone": 0}
     assert len(reads[1]) == 1 and "/three/" in reads[1][0]
-    plan = kept.sums(reads[1])._jdf.queryExecution().executedPlan().toString()
-    assert "/three/" in plan and "/two/" not in plan
+    scanned = kept.sums(reads[1]).inputFiles()
+    assert len(scanned) == 1 and "/three/" in scanned[0]
     assert set(sums_of(kept.days())) == {("a", "2025-01-01"), ("a", "2025-01-02"), ("b", "2025-01-01")}
     assert set(sums_of(kept.days(version=1))) == {("a", "2025-01-01"), ("a", "2025-01-02")}
 
