@@ -6,8 +6,8 @@ piece: one piece up to each of them. Ids of a piece are kept for the next time
 it occurs in the process (a bounded number of pieces); new pieces are encoded
 together, as one text, and parted at the tokens that begin with the blank or
 line end. A comma or full stop after a letter is a token of its own, so a piece
-that ends in one takes the ids of the rest. Any other text goes to the
-tokenizer whole. All ways give the ids of encoding the text at once.
+that ends in one takes the ids of the rest. Any other text, and one that holds
+a string listed as an added token, goes to the tokenizer whole. All ways give the ids of encoding the text at once.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the file lists as tokens of their own: a text with one goes to the tokenizer whole
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._max = max_pieces
         self.vocabulary_size = self._tokenizer.get_vocab_size()
         self._begins = {"": np.zeros(self._tokenizer.get_vocab_size(), bool)}
@@ -128,7 +129,7 @@ class Encoder:
         pieces, heads, rows, whole = [], [], [], []
         first = [0]
         for i, t in enumerate(texts):
-            if t and _plain(t):
+            if t and _plain(t) and not any(a in t for a in self._added):
                 parts = t.replace("\n", " \n").split(" ")
                 heads.append(parts[0])
                 pieces += parts[1:]
