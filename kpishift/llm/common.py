@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpishift.session import scratch_path
+from kpishift.session import remove_scratch, scratch_path
 
 #: Bytes of text worked on at once inside a task (one longer text is its own chunk).
 CHUNK_BYTES = 1 << 20
@@ -48,7 +49,40 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for block in _BLOCKS:
+        block.add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kpishift_path = path
+    return out
+
+
+_BLOCKS: list[set[str]] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`saved` that nothing reads any more."""
+    for block in _BLOCKS:
+        block.discard(df.kpishift_path)
+    remove_scratch(df.sparkSession, df.kpishift_path)
+
+
+@contextmanager
+def scratch_block(spark: SparkSession):
+    """Tables that :func:`saved` writes inside the block go at its end, but for those given to the function it yields.
+
+    Only where everything that reads them is written by then: later steps,
+    and repeats of steps after a lost executor, must not need them.
+    """
+    made: set[str] = set()
+    _BLOCKS.append(made)
+    try:
+        yield lambda df: made.discard(df.kpishift_path)
+    finally:
+        _BLOCKS.remove(made)
+        for path in made:
+            for block in _BLOCKS:
+                block.discard(path)
+            remove_scratch(spark, path)
 
 
 def fold(doc_id: Column, modulus: int, kept_out: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,8 +32,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy(F.col("u").alias("center")).agg(F.min("v").alias("m"))
         small = (large.join(low, F.col("u") == F.col("center")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select(F.col("center").alias("u"), F.col("m").alias("v"))).distinct())
-        now = saved(small, "star")
+        before, now = now, saved(small, "star")
         after = _state(now)
+        discard(before)  # the new table is written
         if after == state:
             break
         state = after

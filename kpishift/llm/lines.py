@@ -11,7 +11,9 @@ Join: a line of n bytes is cut into max_edits + 1 segments. Of two linked lines,
 one holds a segment of the other unchanged, at a place that differs by few
 bytes. Every line is indexed under (length, segment number, segment), and probes
 the lengths it can be linked with at the places where the segment can stand
-(multi-match-aware selection). Lines meeting under a key are verified by banded
+(multi-match-aware selection). Where several edits are allowed, a bit table of the indexed
+keys, of fixed size, drops most probes that no line is indexed under before
+they are shuffled (with some 10^8 keys it has filled up and drops few). Lines meeting under a key are verified by banded
 bit-parallel edit distance. Keys held by one line end before any text is
 moved, and lines without a shared key are left out before the shuffle by a bit
 table of fixed size (some others pass it; the join drops them). Keys with many
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE_BYTES, mix, prefix_hash, saved, span_hash, text_chunks, words
+from .common import NON_SPACE_BYTES, discard, mix, prefix_hash, saved, scratch_block, span_hash, text_chunks, words
 from .components import components
 from .editdist import sequences_within, within
 from .groups import whole_runs
@@ -62,6 +64,8 @@ def _hashes(prefix, start, end):
 #: With ``grow``: a tenth of the bytes of lines under LONG bytes, a tenth of the words from WORDY words on.
 TENTH, LONG, WORDY = 10, 80, 10
 GRAM = 4  # words of a gram
+#: (up to so many words, grams in a window): see :func:`word_keys`.
+WINDOWS = ((20, 2), (42, 3), (97, 5), (np.iinfo(np.int64).max, 6))
 
 
 def edit_bands(max_edits: int, min_bytes: int, grow: bool) -> list[tuple[int, int, int]]:
@@ -76,8 +80,10 @@ def edit_bands(max_edits: int, min_bytes: int, grow: bool) -> list[tuple[int, in
 def word_keys(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray):
     """(key, line number): the least gram of every window of grams, for lines of at least WORDY words.
 
-    Of two lines at most a tenth of the shorter one's words apart, w - t of its w words are unchanged, in at most t + 1 runs:
-    one run has 5 words, from w = 20 on 6. It holds a window of 2 grams, or 3, so both lines have its least gram.
+    Of two lines at most t, a tenth of the shorter one's w words, apart, w - t of these are unchanged, in at most t + 1 runs.
+    So one run has (w - t) / (t + 1) words, rounded up: 5 at least, 6 from w = 20 on, 8 from 40 and 9 from 90 on, or a window
+    of 2, 3, 5 and 6 grams. The least gram of a window is also that of a narrower one in it, so both lines have a key in
+    common if neither takes a wider window than the shorter line's run has: 20 words may face 19, 42 face 39, 97 face 89.
     """
     begin, stop, _ = words(data, offsets, NON_SPACE_BYTES)
     first, last = np.searchsorted(begin, start), np.searchsorted(begin, end)
@@ -88,23 +94,24 @@ def word_keys(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, start:
         gram = gram * np.uint64(0x100000001B3) + h[k:k + len(gram)]
     gram = mix(gram)
     n = (last - first)[lines]
-    width = np.where(n <= 2 * WORDY, 2, 3)  # 20 words may face 19
+    width = np.array([w for _, w in WINDOWS])[np.searchsorted([most for most, _ in WINDOWS], n)]
     count = n - GRAM + 1 - (width - 1)
     which = np.repeat(np.arange(len(lines)), count)
     at = first[lines][which] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    least = np.minimum(gram[at], gram[at + 1])
-    three = np.flatnonzero(width[which] == 3)
-    least[three] = np.minimum(least[three], gram[at[three] + 2])
+    least = gram[at]
+    for k in range(1, WINDOWS[-1][1]):
+        wide = np.flatnonzero(width[which] > k)
+        least[wide] = np.minimum(least[wide], gram[at[wide] + k])
     fresh = np.ones(len(least), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (which[1:] != which[:-1])
     return mix(least[fresh] ^ _SEED), lines[which[fresh]]
 
 
 def segment_keys(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, max_edits: int, shortest: int = 0,
-                 below: int = np.iinfo(np.int64).max):
+                 below: int = np.iinfo(np.int64).max, own_only: bool = False):
     """(key, line number, role): role 0 where the key is of the line's own segments, 1 where it is a probe.
 
-    Lines of ``shortest`` <= bytes < ``below`` are indexed.
+    Lines of ``shortest`` <= bytes < ``below`` are indexed. ``own_only``: no probes.
     """
     length, t = end - start, max_edits
     keys, lines, roles = [], [], []
@@ -116,7 +123,7 @@ def segment_keys(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, max_edi
         roles.append(np.full(len(which), role, np.int8))
 
     every = np.arange(len(start))
-    for less in range(t + 1):  # lengths of the indexed line: own length minus less
+    for less in range(1 if own_only else t + 1):  # lengths of the indexed line: own length minus less
         n = length - less
         short, longer = n // (t + 1), n % (t + 1)
         for i in range(t + 1):
@@ -124,7 +131,7 @@ def segment_keys(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, max_edi
             place = i * short + np.maximum(0, i - (t + 1 - longer))
             low = np.maximum.reduce([place - i, place + less - (t - i), np.zeros_like(place)])
             high = np.minimum.reduce([place + i, place + less + (t - i), length - size])
-            for shift in range(-i, i + 1):
+            for shift in range(0, 1) if own_only else range(-i, i + 1):
                 at = place + shift
                 which = every[(at >= low) & (at <= high) & (short >= 1) & (n >= shortest) & (n < below)]
                 own = less == 0 and shift == 0
@@ -157,10 +164,28 @@ def _distinct_lines(data, offsets, min_bytes):
     return prefix, h1, start[at], end[at]
 
 
-def _key_batches(min_bytes: int, max_edits: int, grow: bool):
+def _index_batches(min_bytes: int, max_edits: int, grow: bool):
+    """Keys under which lines of bands with several edits are indexed."""
+    bands = [b for b in edit_bands(max_edits, min_bytes, grow) if b[2] > 1]
+
+    def run(batches):
+        for _, offsets, data in text_chunks(batches):
+            prefix, _, start, end = _distinct_lines(data, offsets, min_bytes)
+            for low, high, edits in bands:
+                some = np.flatnonzero((end - start >= low) & (end - start < high))
+                if len(some):
+                    key, _, _ = segment_keys(prefix, start[some], end[some], edits, low, high, own_only=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return run
+
+
+def _key_batches(min_bytes: int, max_edits: int, grow: bool, indexed=None):
+    """Key rows of all lines; in bands with several edits, probes of keys under which no line is indexed are left out."""
     bands = edit_bands(max_edits, min_bytes, grow)
 
     def run(batches):
+        table = indexed.value if indexed is not None else None
         for _, offsets, data in text_chunks(batches):
             prefix, h1, start, end = _distinct_lines(data, offsets, min_bytes)
             if not len(h1):
@@ -168,6 +193,9 @@ def _key_batches(min_bytes: int, max_edits: int, grow: bool):
             for low, high, edits in bands:
                 some = np.flatnonzero((end - start >= low) & (end - start < high + edits))
                 key, line, role = segment_keys(prefix, start[some], end[some], edits, low, high)
+                if edits > 1:
+                    hit = (role == 0) | _in_table(table, key)
+                    key, line, role = key[hit], line[hit], role[hit]
                 yield _key_rows(key, role, h1[some[line]])
             if grow:
                 key, line = word_keys(data, offsets, prefix, start, end)
@@ -182,26 +210,31 @@ def _key_rows(key, role, line) -> pa.RecordBatch:
 
 
 FILTER_BITS = 25  # a table of 4 MB, whatever the number of lines
+INDEX_BITS = 28  # one of 32 MB
 
 
-def bit_table(ids: DataFrame) -> np.ndarray:
-    """Bytes of a table with bit (id mod 2^FILTER_BITS) set for every id of the one column."""
-    place = F.pmod(F.col(ids.columns[0]), F.lit(1 << FILTER_BITS)) + 1
+def bit_table(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bytes of a table with bit (id mod 2^bits) set for every id of the one column."""
+    place = F.pmod(F.col(ids.columns[0]), F.lit(1 << bits)) + 1
     rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 1024 of 4 KB
-    table = np.zeros(((1 << FILTER_BITS) >> 15, 4096), np.uint8)
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 2^(bits - 15) of 4 KB
+    table = np.zeros(((1 << bits) >> 15, 4096), np.uint8)
     for r in rows:
         table[r["bucket"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return table.reshape(-1)
 
 
+def _in_table(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    low = (ids & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
 def _line_batches(min_bytes: int, shared):
     def run(batches):
         table = shared.value
         for _, offsets, data in text_chunks(batches):
             _, h1, start, end = _distinct_lines(data, offsets, min_bytes)
-            low = (h1 & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            some = (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+            some = _in_table(table, h1)
             h1, start, end = h1[some], start[some], end[some]
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)),
@@ -361,14 +394,19 @@ def _word_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block: int = 2048, grow: bool = False) -> DataFrame:
     """Links (a, b) between hashes of different lines: enough to give the classes of all links."""
     texts = docs.select("text").where("text is not null")
-    rows = texts.mapInArrow(_key_batches(min_bytes, max_edits, grow), "key long, role byte, line long")
+    indexed = None
+    if any(edits > 1 for _, _, edits in edit_bands(max_edits, min_bytes, grow)):
+        keys = texts.mapInArrow(_index_batches(min_bytes, max_edits, grow), "key long")
+        indexed = docs.sparkSession.sparkContext.broadcast(bit_table(keys, INDEX_BITS))
+    rows = texts.mapInArrow(_key_batches(min_bytes, max_edits, grow, indexed), "key long, role byte, line long")
     shared = saved(rows.repartition("key").sortWithinPartitions("key", "role", "line")
                    .mapInArrow(_shared_batches(block), "key long, role byte, line long, blk int"), "lines-keys")
     if grow:  # of keys with the same lines in the same roles, one gives all the pairs
         sets = (shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("line", "role")).alias("x"),
                                           F.bit_xor(F.xxhash64("role", "line")).alias("y"))
                 .groupBy("n", "x", "y").agg(F.min("key").alias("one")))
-        shared = saved(shared.join(sets.select("one"), F.col("key") == F.col("one"), "left_semi"), "lines-sets")
+        every, shared = shared, saved(shared.join(sets.select("one"), F.col("key") == F.col("one"), "left_semi"), "lines-sets")
+        discard(every)
     wanted = shared.select(F.col("line").alias("wanted")).distinct()
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted))
     lines = saved(texts.mapInArrow(_line_batches(min_bytes, table), "id long, bytes binary")
@@ -396,13 +434,15 @@ def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact
     places = saved(keyed.mapInArrow(_occurrence_batches(min_bytes if exact_bytes is None else exact_bytes), "doc_id long, text_hash long, number int, h1 long, h2 long"),
                    "lines-places")
     place = F.struct("doc_id", "text_hash", "number")
-    comps = components(saved(line_links(docs, max_edits, min_bytes, **more), "lines-links")).select(F.col("node").alias("linked"), "component")
-    distinct = (places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                .join(comps, F.col("h1") == F.col("linked"), "left")
-                .where("component is not null or first <> last")
-                .select("h1", "h2", "first", F.coalesce("component", "h1").alias("class"),
-                        F.when(F.col("component").isNull(), F.col("h2")).alias("side")))
-    distinct = saved(distinct, "lines-distinct")
+    with scratch_block(docs.sparkSession) as keep:
+        comps = components(saved(line_links(docs, max_edits, min_bytes, **more), "lines-links")).select(F.col("node").alias("linked"), "component")
+        distinct = (places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .join(comps, F.col("h1") == F.col("linked"), "left")
+                    .where("component is not null or first <> last")
+                    .select("h1", "h2", "first", F.coalesce("component", "h1").alias("class"),
+                            F.when(F.col("component").isNull(), F.col("h2")).alias("side")))
+        distinct = saved(distinct, "lines-distinct")
+        keep(distinct)
     heads = distinct.groupBy("class", "side").agg(F.min("first").alias("head"))
     known = (distinct.alias("d").join(heads.alias("e"), (F.col("d.class") == F.col("e.class")) & F.col("d.side").eqNullSafe(F.col("e.side")))
              .select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("d.class").alias("class"), "head"))

@@ -68,14 +68,15 @@ comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)"""
 
 
 def lines(min_bytes: int = 20) -> str:
-    """Edit distances, at most 1, of distinct lines that begin or end alike (one edit leaves one half as it is)."""
+    """Edit distances, at most 1, of distinct lines that begin or end alike (one edit leaves one half as it is); shorter lines
+    have exact repeats only."""
     max_edits = 1
     return f"""
 WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, unnest(range(len(ls))) AS line, trim(unnest(ls), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM raw),
-used AS (SELECT * FROM line WHERE strlen(x) >= {min_bytes}),
+used AS (SELECT * FROM line WHERE strlen(x) >= 1),
 one AS (SELECT x, strlen(x) AS n, row_number() OVER (ORDER BY x) AS id FROM (SELECT DISTINCT x FROM used)),
-near AS (SELECT a.id AS x, b.id AS y FROM one a JOIN one b ON b.n BETWEEN a.n AND a.n + {max_edits} AND a.id <> b.id
+near AS (SELECT a.id AS x, b.id AS y FROM one a JOIN one b ON b.n BETWEEN a.n AND a.n + {max_edits} AND a.id <> b.id AND a.n >= {min_bytes}
   AND (a.n < b.n OR a.id < b.id)
   AND (left(a.x, CAST(length(a.x) // 2 - 1 AS BIGINT)) = left(b.x, CAST(length(a.x) // 2 - 1 AS BIGINT))
     OR right(a.x, CAST(length(a.x) // 2 - 1 AS BIGINT)) = right(b.x, CAST(length(a.x) // 2 - 1 AS BIGINT)))

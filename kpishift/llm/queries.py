@@ -42,7 +42,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = line_classes(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=20)
+    lines = line_classes(table(spark, sf_dir, "documents"), max_edits=1, min_bytes=20, exact_bytes=1)
     return lines.select("doc_id", F.col("number").alias("line"), "class_doc", F.col("class_number").alias("class_line"),
                         F.col("is_first").alias("kept"))
 

@@ -211,3 +211,29 @@ def test_threshold_grows_with_the_line(docs_of):
     assert out == {d: t if find(d) == d else "" for d, t in rows}
     few = {x.doc_id for x in line_classes(docs).where("not is_first").collect()}
     assert len([d for d in out if find(d) != d]) > len(few) + 40
+
+
+def test_lines_a_tenth_of_their_words_apart_share_a_key():
+    from kpishift.llm.common import prefix_hash
+    from kpishift.llm.lines import word_keys
+
+    r = random.Random(11)
+    for n in [*range(10, 130), 400]:
+        for _ in range(4):
+            a = [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+            b = list(a)
+            t = n // 10
+            step = (n + 1) / (t + 1)  # the worst: edits at even distances
+            places = [min(len(a) - 1, int(step * (k + 1)) - 1) for k in range(t)] if r.random() < 0.5 else r.sample(range(n), t)
+            for p in sorted(places, reverse=True):
+                kind = r.choice(["swap", "add"])  # a is the shorter line
+                if kind == "swap":
+                    b[p] = "x"
+                else:
+                    b.insert(p, "y")
+            texts = [" ".join(a).encode(), " ".join(b).encode()]
+            data = np.frombuffer(b"\n".join(texts), np.uint8)
+            offsets = np.array([0, len(texts[0]) + 1, len(data)])
+            start, end = np.array([0, len(texts[0]) + 1]), np.array([len(texts[0]), len(data)])
+            key, line = word_keys(data, offsets, prefix_hash(data), start, end)
+            assert set(key[line == 0]) & set(key[line == 1]), (n, places)
