@@ -87,7 +87,7 @@ def test_pipeline_of_nothing(spark, corpus, tmp_path):
 
 def test_every_operator_is_registered():
     names = {n.partition("_")[0] for n in QUERIES}
-    assert names == {f"op{k}" for k in range(1, 11)}
+    assert names == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(QUERIES)
 
 
@@ -95,7 +95,7 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark"):
+    for t in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[name](spark, SF)
     cur = con.execute(ORACLES[name])
