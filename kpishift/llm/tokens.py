@@ -2,11 +2,13 @@
 
 The tokenizer never joins a blank or a line end with what stands before it, so
 a text whose white space is single blanks and line ends can be encoded piece by
-piece: one piece up to each of them. Ids of a piece are kept for the next time
-it occurs in the process (a bounded number of pieces); new pieces are encoded
-together, as one text, and parted at the tokens that begin with the blank or
-line end. A comma or full stop after a letter is a token of its own, so a piece
-that ends in one takes the ids of the rest. Any other text, and one that holds
+piece: one piece from each of them to the next. All pieces of a batch of texts
+are looked up at once in a table of ids, which has one slot per hash and holds
+a piece's bytes (up to 24, compared in full) and ids; a comma or full stop after
+an ASCII letter is a token of its own and left out of the key. Pieces that the table does
+not hold are encoded together, as one text, and parted at the tokens that begin
+with the blank or line end. A new piece takes its slot if the piece there was
+not met again since the last one that wanted the slot. Any other text, and one that holds
 a string listed as an added token, goes to the tokenizer whole. All ways give the ids of encoding the text at once.
 """
 
@@ -14,152 +16,151 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 
-_DOUBLE = ("  ", "\n\n", " \n", "\n ")
-_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Pieces in the small dictionary that is asked first.
-OFTEN = 100_000
+#: Bytes of a piece and ids of a piece that a slot of the table has room for.
+KEY_BYTES, WIDTH = 24, 8
+_PLAIN, _PART, _SPACE, _LEAD = range(4)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, 10]] = _PART
+_KIND[[9, 11, 12, 13, 28, 29, 30, 31]] = _SPACE
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD  # first bytes of the white space beyond ASCII
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _plain(text: str) -> bool:
-    """Single blanks and line ends are the only white space."""
-    if any(s in text for s in _DOUBLE):
-        return False
-    if text.isascii():
-        return not any(s in text for s in _ASCII_SPACE)
-    return not _OTHER_SPACE.search(text)
-
-
 class Encoder:
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_pieces: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         # strings that the file lists as tokens of their own: a text with one goes to the tokenizer whole
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._max = max_pieces
         self.vocabulary_size = self._tokenizer.get_vocab_size()
-        self._begins = {"": np.zeros(self._tokenizer.get_vocab_size(), bool)}
-        self._begins["\n"] = self._begins[""].copy()
+        self._begins = np.zeros(self.vocabulary_size, bool)
         for token, number in self._tokenizer.get_vocab().items():
-            self._begins[""][number] = token[0] == "Ġ"
-            self._begins["\n"][number] = token[0] == "Ċ"
-        self._ends = {mark: self._raw([mark])[0] for mark in ",."}
-        self._forget()
-
-    def _forget(self):
-        self._place: dict[str, int] = {}
-        self._often: dict[str, int] = {}  # the pieces met first, most of them frequent: small enough for the processor's cache
-        self._ids = np.zeros(1 << 20, np.uint32)
-        self._start = np.zeros(self._max + 1, np.int64)
-        self._uses = np.zeros(self._max + 1, np.int64)
-        self._used = 0
-        blank = self._raw([" "])[0]
-        self._keep([""], blank, np.array([len(blank)]))
+            self._begins[number] = token[0] in "ĠĊ"
+        self._mark = np.full(256, -1, np.int64)
+        for mark in ",.":
+            ids = self._raw([mark])[0]
+            if len(ids) == 1:
+                self._mark[ord(mark)] = ids[0]
+        self._bits = max(1, (max_pieces - 1).bit_length())
+        self._keys = np.zeros((1 << self._bits, KEY_BYTES // 8 + 1), np.uint64)  # bytes of the piece, number of its ids
+        self._ids = np.zeros((1 << self._bits, WIDTH), np.uint32)
+        self._met = np.zeros(1 << self._bits, bool)
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray):
-        while self._used + len(flat) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        n = len(self._place)
-        if n + len(pieces) >= len(self._start):
-            self._start = np.concatenate([self._start, np.zeros(n + len(pieces), np.int64)])
-        self._ids[self._used:self._used + len(flat)] = flat
-        self._start[n + 1:n + 1 + len(pieces)] = self._used + np.cumsum(lengths)
-        self._used += len(flat)
-        self._place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        if n < OFTEN:
-            self._often.update(zip(pieces[:OFTEN - n], range(n, OFTEN), strict=False))
-
-    def _purge(self):
-        """Keep the pieces that were used again, the most used first, at most half of all."""
-        n = len(self._place)
-        order = np.argsort(-self._uses[:n], kind="stable")[:self._max // 2]
-        order = order[self._uses[order] > 1]
-        pieces, uses = list(self._place), self._uses[order] // 2
-        kept = [pieces[i] for i in order.tolist()]
-        lengths, flat = self._gather(order)
-        self._forget()
-        again = [i for i, p in enumerate(kept) if p]
-        if len(again) < len(kept):  # the empty piece is there already
-            keep = np.zeros(len(kept), bool)
-            keep[again] = True
-            flat = flat[np.repeat(keep, lengths)]
-            kept, lengths, uses = [kept[i] for i in again], lengths[keep], uses[keep]
-        if kept:
-            self._keep(kept, flat, lengths)
-            self._uses[1:len(kept) + 1] = uses
-
-    def _learn(self, new: list[str]):
-        """Pieces are keyed without their blank; those after a line end begin with it."""
-        base = {p: p[:-1] for p in new if p[-1:] in self._ends and p[-2:-1].isalpha()}
-        plain = {base.get(p, p) for p in new}.difference(self._place)
-        for kind, lead in (("", " "), ("\n", "")):
-            some = [p for p in plain if p[:1] == "\n"] if kind else [p for p in plain if p[:1] != "\n"]
-            for at in range(0, len(some), 2_000):
-                part = some[at:at + 2_000]
-                ids = self._raw([lead + lead.join(part)])[0]
-                cut = np.flatnonzero(self._begins[kind][ids])
-                if len(cut) == len(part):
-                    self._keep(part, ids, np.diff(np.append(cut, len(ids))))
-                else:
-                    each = self._raw([lead + p for p in part])
-                    self._keep(part, np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each)))
-        for mark, tail in self._ends.items():
-            some = [p for p in base if p[-1] == mark and p not in self._place]
-            if some:
-                lengths, flat = self._gather(np.fromiter((self._place[base[p]] for p in some), np.int64, len(some)))
-                self._keep(some, np.insert(flat, np.repeat(np.cumsum(lengths), len(tail)), np.tile(tail, len(some))), lengths + len(tail))
-
-    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = self._start[place]
-        lengths = self._start[place + 1] - begin
-        return lengths, self._ids[np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+    def _fresh(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after the other, and their numbers."""
+        flat, counts = [], []
+        for at in range(0, len(pieces), 2_000):
+            part = pieces[at:at + 2_000]
+            ids = self._raw([b"".join(part).decode()])[0] if min(map(len, part)) > 1 else np.zeros(0, np.uint32)
+            cut = np.flatnonzero(self._begins[ids])
+            if len(cut) == len(part):
+                flat.append(ids)
+                counts.append(np.diff(np.append(cut, len(ids))))
+            else:  # a blank or line end alone
+                each = self._raw([p.decode() for p in part])
+                flat += each
+                counts.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _store(self, slot: np.ndarray, keys: np.ndarray, ids: np.ndarray):
+        slot, first = np.unique(slot, return_index=True)
+        free = ~self._met[slot]
+        self._met[slot] = False
+        self._keys[slot[free]] = keys[first[free]]
+        self._ids[slot[free]] = ids[first[free]]
+
+    def _whole(self, texts: list[str | None], kind: np.ndarray, offsets: np.ndarray, part: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Texts with other white space than single blanks and line ends, or with an added token."""
+        whole = np.fromiter((bool(t) and any(a in t for a in self._added) for t in texts), bool, len(texts))
+        twice = np.flatnonzero(np.diff(part) == 1)
+        whole[row[twice[row[twice] == row[twice + 1]]]] = True
+        whole[np.searchsorted(offsets, np.flatnonzero(kind == _SPACE), "right") - 1] = True
+        for i in np.unique(np.searchsorted(offsets, np.flatnonzero(kind == _LEAD), "right") - 1).tolist():
+            whole[i] = whole[i] or bool(_OTHER_SPACE.search(texts[i]))
+        return whole
+
+    def _piece_ids(self, blob: bytes, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces (byte spans) one after the other, and where each one's begin (one more than pieces)."""
+        mark = np.where((end - start > 2) & _LETTER[data[end - 2]], self._mark[data[end - 1]], -1)
+        marked = np.flatnonzero(mark >= 0)
+        stop = end - (mark >= 0)
+        size = stop - start
+        view = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        keys = np.empty((len(start), self._keys.shape[1]), np.uint64)
+        slot = np.zeros(len(start), np.uint64)
+        for k in range(KEY_BYTES // 8):
+            keys[:, k] = view[start + 8 * k] & _LOW_BYTES[np.clip(size - 8 * k, 0, 8)]
+            slot = (slot ^ keys[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            slot ^= slot >> np.uint64(32)
+        slot = ((slot * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self._bits)).astype(np.int64)
+        there = self._keys[slot]
+        known = (there[:, :-1] == keys[:, :-1]).all(axis=1) & (size <= KEY_BYTES)
+        counts = np.where(known, there[:, -1].astype(np.int64), 0)
+        new = np.flatnonzero(~known)
+        spans = [blob[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)]
+        number = {p: i for i, p in enumerate(dict.fromkeys(spans))}
+        if number:
+            fresh, lengths = self._fresh(list(number))
+            begin = np.cumsum(lengths) - lengths
+            which = np.fromiter(map(number.__getitem__, spans), np.int64, len(spans))
+            counts[new] = lengths[which]
+        at = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(counts + (mark >= 0), out=at[1:])
+        out = np.empty(at[-1], np.uint32)
+        some = np.flatnonzero(known)
+        self._met[slot[some]] = True
+        for k in range(WIDTH):
+            some = some[counts[some] > k]
+            out[at[some] + k] = self._ids[slot[some], k]
+        if number:
+            n = counts[new]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(at[new], n) + step] = fresh[np.repeat(begin[which], n) + step]
+            one = np.empty(len(number), np.int64)
+            one[which] = new  # a place of each new piece
+            fits = np.flatnonzero((size[one] <= KEY_BYTES) & (lengths <= WIDTH))
+            keys[one, -1] = lengths
+            ids = np.zeros((len(fits), WIDTH), np.uint32)
+            for k in range(WIDTH):
+                longer = np.flatnonzero(lengths[fits] > k)
+                ids[longer, k] = fresh[begin[fits[longer]] + k]
+            self._store(slot[one[fits]], keys[one[fits]], ids)
+        out[at[marked + 1] - 1] = mark[marked]
+        return out, at
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text (a null is an empty text)."""
-        pieces, heads, rows, whole = [], [], [], []
-        first = [0]
-        for i, t in enumerate(texts):
-            if t and _plain(t) and not any(a in t for a in self._added):
-                parts = t.replace("\n", " \n").split(" ")
-                heads.append(parts[0])
-                pieces += parts[1:]
-                rows.append(i)
-                first.append(len(pieces))
-            elif t:
-                whole.append(i)
-        place = np.fromiter(map(self._often.get, pieces, repeat(-1)), np.int64, len(pieces))
-        rare = np.flatnonzero(place < 0)
-        place[rare] = np.fromiter(map(self._place.get, map(pieces.__getitem__, rare.tolist()), repeat(-1)), np.int64, len(rare))
-        new = rare[place[rare] < 0].tolist()
-        if new:
-            missing = list({pieces[i] for i in new})
-            if len(self._place) + len(missing) > self._max:
-                self._purge()
-                new, missing = range(len(pieces)), list(set(pieces).difference(self._place))
-            self._learn(missing)
-            place[new] = np.fromiter((self._place[pieces[i]] for i in new), np.int64, len(new))
-        if len(self._place) > len(self._uses):
-            self._uses = np.concatenate([self._uses, np.zeros(len(self._place), np.int64)])
-        self._uses[:len(self._place)] += np.bincount(place, minlength=len(self._place))
-        lengths, flat = self._gather(place)
-        total = np.zeros(len(pieces) + 1, np.int64)
-        np.cumsum(lengths, out=total[1:])
-        out = [np.zeros(0, np.uint32)] * len(texts)
-        for k, (i, head) in enumerate(zip(rows, self._raw(heads), strict=True)):
-            out[i] = np.concatenate([head, flat[total[first[k]]:total[first[k + 1]]]])
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        raw = [t.encode() if t else b"" for t in texts]
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)), out=offsets[1:])
+        blob = b"".join([*raw, bytes(KEY_BYTES)])  # keys are read past the last piece
+        data = np.frombuffer(blob, np.uint8)
+        kind = _KIND[data[:offsets[-1]]]
+        part = np.flatnonzero(kind == _PART)
+        row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(part, offsets)))
+        whole = self._whole(texts, kind, offsets, part, row)
+        end = np.minimum(np.append(part[1:], offsets[-1]), offsets[row + 1]) if len(part) else part
+        keep = ~whole[row]
+        start, end, row = part[keep], end[keep], row[keep]
+        flat, at = self._piece_ids(blob, data, start, end)
+        first = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        # a text's head: what stands before its first piece, and the texts taken whole
+        heads = [t or "" if w else r[:start[a] - o if a < b else len(r)].decode()
+                 for t, w, r, o, a, b in zip(texts, whole.tolist(), raw, offsets.tolist(), first[:-1], first[1:], strict=False)]
+        return [np.concatenate([head, flat[at[a]:at[b]]]) if a < b else head
+                for head, a, b in zip(self._raw(heads), first[:-1], first[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:
