@@ -2,7 +2,8 @@
 
 1. One pass over the texts: 5-word shingle sets, a fingerprint of the set, 256
    universal hash minima, 32 band keys of 4 minima, one byte of each minimum.
-2. Equal sets meet by fingerprint; one node (smallest id) stands for them.
+2. Equal sets meet by fingerprint; one node, numbered for itself, stands for them
+   (its texts are those of the least row), so an id with two texts is two nodes.
 3. Nodes sharing a band key are candidates. Each key's nodes are first
    compared with one node of the key only, chosen by a hash (a star, linear in
    the key's size); the most similar one by signature is verified on the full
@@ -21,7 +22,7 @@ by the signature screen (0.64 of 256 minima) with probability 3e-5.
 
 Defined results: a null, empty or blank text has no shingles and is linked with
 nothing; fewer than five words are one shingle; rows sharing an id each take
-the component of their own text; a row with a null id stays, with a null
+the component of their own text, which is named by its smallest id; a row with a null id stays, with a null
 component (if its text is a copy of another row's, that one's component).
 """
 
@@ -142,12 +143,15 @@ def _verified_batches(percent: int):
     return run
 
 
-def verified(edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose documents' full sets reach the threshold."""
+def verified(edges: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose nodes' full sets reach the threshold; ``reps`` (node, doc_id, text_hash) names their texts."""
     ends = edges.select(F.col("a").alias("end")).union(edges.select(F.col("b").alias("end"))).distinct()
+    wanted = (reps.join(ends, F.col("node") == F.col("end"), "left_semi").distinct()
+              .select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
     texts = saved(docs.select("doc_id", "text").where("text is not null")
-                  .join(ends, F.col("doc_id") == F.col("end"), "left_semi"), "minhash-texts")
-    of = {s: texts.select(F.col("doc_id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
+                  .join(wanted, (F.col("doc_id") == F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash")))
+                  .select("node", "text"), "minhash-texts")
+    of = {s: texts.select(F.col("node").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
     both = (edges.join(of["b"], F.col("b") == F.col("id_b")).join(of["a"], F.col("a") == F.col("id_a"))
             .select("a", "b", "text_a", "text_b"))
     return both.mapInArrow(_verified_batches(percent), "a long, b long").distinct()
@@ -236,7 +240,8 @@ def _cross(shared: DataFrame, sigs: DataFrame, forest: DataFrame, screen: float,
 def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float = 0.64, block: int = 4096,
            nearest: int = 8) -> DataFrame:
     """(node, component) of all nodes with a link; a component is its smallest node."""
-    reps = mapped.where("doc_id = node")
+    reps = mapped.where("bands is not null")
+    named = reps.select("node", "doc_id", "text_hash")
     bands = reps.select("node", F.explode("bands").alias("key"))
     keys = (bands.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", "key")).alias("leader"))
             .where("size > 1"))
@@ -249,12 +254,12 @@ def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float
             .where(F.col("same") >= screen))
     tested = saved(near.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))
                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "minhash-best")
-    forest = components(saved(verified(tested, docs, percent), "minhash-links"))
+    forest = components(saved(verified(tested, docs, named, percent), "minhash-links"))
     for most in (nearest, None):
         edges = saved(_cross(shared, sigs, forest, screen, block, most, percent).join(tested, ["a", "b"], "left_anti"), "minhash-cross")
         if edges.isEmpty():
             continue  # a node's nearest may all be tested, and a pair behind them not
-        new = saved(verified(edges, docs, percent), "minhash-links")
+        new = saved(verified(edges, docs, named, percent), "minhash-links")
         if not new.isEmpty():
             forest = components(new.union(forest.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         tested = tested.union(edges)
@@ -264,15 +269,19 @@ def linked(docs: DataFrame, mapped: DataFrame, percent: int = 75, screen: float
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs``."""
     sigs = saved(signatures(docs), "minhash-signatures")
-    nodes = (sigs.where("fp is not null and doc_id is not null").groupBy(F.col("fp").alias("node_fp"))
-             .agg(F.min("doc_id").alias("node")))
+    nodes = saved(sigs.where("fp is not null and doc_id is not null").groupBy(F.col("fp").alias("node_fp"))
+                  .agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+                  .select("node_fp", "rep", F.monotonically_increasing_id().alias("node")), "minhash-sets")
+    is_rep = F.struct("doc_id", "text_hash") == F.col("rep")  # rows that repeat it are equal
     mapped = saved(sigs.join(nodes, F.col("fp") == F.col("node_fp"), "left")
-                   .select("doc_id", "text_hash", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"),
-                           F.when(F.col("doc_id") == F.col("node"), F.col("sig")).alias("sig"),
-                           F.when(F.col("doc_id") == F.col("node"), F.col("bits")).alias("bits")), "minhash-nodes")
-    comps = linked(docs, mapped, percent).select(F.col("node").alias("comp_node"), "component")
-    return (mapped.join(comps, F.col("node") == F.col("comp_node"), "left")
-            .select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
+                   .select("doc_id", "text_hash", "n_shingles", "node", F.col("rep.doc_id").alias("least_id"),
+                           *[F.when(is_rep, F.col(c)).alias(c) for c in ("bands", "sig", "bits")]), "minhash-nodes")
+    comps = linked(docs, mapped, percent)
+    least = (comps.join(nodes.select("node", F.col("rep.doc_id").alias("least_id")), "node")
+             .groupBy("component").agg(F.min("least_id").alias("component_id")))
+    named = comps.join(least, "component").select(F.col("node").alias("comp_node"), "component_id")
+    return (mapped.join(named, F.col("node") == F.col("comp_node"), "left")
+            .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "least_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 

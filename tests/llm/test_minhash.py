@@ -92,6 +92,17 @@ def test_null_and_repeated_ids_and_no_rows(docs_of, prose):
     assert near_duplicates(docs_of([])).count() == 0
 
 
+def test_one_id_with_two_texts(docs_of, prose):
+    r = random.Random(8)
+    a, b, c = prose(31, 120), prose(32, 120), prose(33, 120)
+    texts = [a, b, altered(r, a, 2), altered(r, b, 2), c, altered(r, c, 2), c, c]
+    rows = near_duplicates(docs_of(texts, [1, 1, 5, 6, 9, 7, 9, 1])).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in rows) == [
+        (1, 1, True), (1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 1, False), (9, 1, False), (9, 1, False)]
+    rows = near_duplicates(docs_of(texts[:-1], [3, 3, 2, 6, 9, 7, 9])).collect()
+    assert sorted((x.doc_id, x.component_id) for x in rows) == [(2, 2), (3, 2), (3, 3), (6, 3), (7, 7), (9, 7), (9, 7)]
+
+
 def test_components(spark):
     r = random.Random(2)
     n = 300
