@@ -1,7 +1,8 @@
+import itertools
 import random
 import re
 
-from kpishift.llm.decontaminate import LEAST_WORDS, MASKS, contaminated
+from kpishift.llm.decontaminate import contaminated, short_masks
 
 from .conftest import CLASHING
 
@@ -27,25 +28,46 @@ def best_run(doc, item, diagonal):
 
 
 def brute(docs, items, min_words=10):
+    """Every diagonal of every pair, without seeds."""
     out = {}
     for i, it in items:
         item = words(it)
-        if len(item) < LEAST_WORDS:
-            continue
-        masks = [m for m in MASKS if len(m) <= len(item)] + (["1" * len(item)] if len(item) < max(map(len, MASKS)) else [])
-        for d, dt in docs:
+        for d, dt in docs if len(item) >= 4 else []:
             doc = words(dt)
             for diagonal in range(-len(item), len(doc)):
-                hit = any(all(0 <= diagonal + k + p < len(doc) and doc[diagonal + k + p] == item[k + p]
-                              for p, bit in enumerate(m) if bit == "1") and 0 <= diagonal + k and diagonal + k + len(m) <= len(doc)
-                          for m in masks for k in range(len(item) - len(m) + 1))
-                if hit:
-                    equal, begin = best_run(doc, item, diagonal)
-                    if equal >= min(min_words, -(-len(item) * 8 // 10)):
-                        out[(d, i)] = max(out.get((d, i), (0, 0)), (equal, -begin))
+                equal, begin = best_run(doc, item, diagonal)
+                good = equal >= min_words
+                if len(item) < 15:
+                    same = [diagonal + k for k, w in enumerate(item) if 0 <= diagonal + k < len(doc) and doc[diagonal + k] == w]
+                    good = good or 5 * len(same) >= 4 * len(item)
+                    equal, begin = len(same), min(same, default=0)
+                if good:
+                    out[(d, i)] = max(out.get((d, i), (0, 0)), (equal, -begin))
     return {k: (e, -b) for k, (e, b) in out.items()}
 
 
+def test_short_masks_miss_no_exchanged_words():
+    for n in range(4, 15):
+        for bad in itertools.combinations(range(n), n // 5):
+            assert any(all(m[k] == "0" for k in bad) for m in short_masks(n))
+        assert all(m.count("1") >= min(n, 3) for m in short_masks(n))
+
+
+def test_each_exchanged_word_of_short_items(spark, docs_of, prose):
+    items = [(n, prose(700 + n, n)) for n in range(4, 15)]
+    docs = []
+    for n, text in items:
+        w = text.split(" ")
+        for bad in itertools.combinations(range(n), 2):
+            for kept_out in (bad[:1], bad):
+                docs.append((len(docs), " ".join(["before", *("other" if k in kept_out else x for k, x in enumerate(w)), "after"])))
+        docs += [(len(docs), " ".join(w[1:])), (len(docs) + 1, " ".join(w[:-1])), (len(docs) + 2, text)]
+    got = {(x.doc_id, x.item_id): (x.n_equal, x.start_word) for x in contaminated(
+        docs_of([t for _, t in docs], [d for d, _ in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert got == want and len(want) > 300
+
+
 def test_against_brute_force(spark, docs_of, prose):
     r = random.Random(1)
     items = [(k, prose(500 + k, r.choice([3, 5, 8, 12, 20, 35]))) for k in range(14)]
