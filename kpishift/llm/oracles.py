@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, split_words
+from .licenses import NOTICES, PHRASES, TEMPLATES, split_words
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,26 +33,29 @@ FROM hit WHERE score > 0 QUALIFY rank <= {k}
 
 
 def licenses(threshold: float = 0.8) -> str:
-    """Places of the phrases by their words, and blocks counted against every template."""
-    span = max(len(split_words(t)) for _, t in TEMPLATES)
-    phrase_rows = ", ".join(f"({i}, '{label}', {j}, '{w}', {len(split_words(p))})"
-                            for i, (p, label) in enumerate(PHRASES.items()) for j, w in enumerate(split_words(p)))
-    template_rows = ", ".join(f"({i}, '{label}', '{w}', {len(set(split_words(t)))})"
-                              for i, (label, t) in enumerate(TEMPLATES) for w in sorted(set(split_words(t))))
+    """Places of the phrases, notices and marks by their words, and blocks counted against every template."""
+    orders = [(p, label, "base") for p, label in PHRASES.items()] + [(p, label, "notice") for p, label in NOTICES.items()]
+    orders += [(mark, str(i), "mark") for i, (_, mark, _) in enumerate(TEMPLATES)]
+    phrase_rows = ", ".join(f"({i}, '{label}', '{kind}', {j}, '{w}', {len(split_words(p))})"
+                            for i, (p, label, kind) in enumerate(orders) for j, w in enumerate(split_words(p)))
+    template_rows = ", ".join(f"({i}, '{label}', '{w}', {len(set(split_words(t)))}, {len(split_words(t))})"
+                              for i, (label, _, t) in enumerate(TEMPLATES) for w in sorted(set(split_words(t))))
     return f"""
-WITH phrase(p, label, j, word, size) AS (VALUES {phrase_rows}),
-template(t, label, word, size) AS (VALUES {template_rows}),
+WITH phrase(p, label, kind, j, word, size) AS (VALUES {phrase_rows}),
+template(t, label, word, size, span) AS (VALUES {template_rows}),
 d AS (SELECT doc_id, {_WORDS.format(_low('text'))} AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
-place AS (SELECT doc_id, label, pos - j AS start FROM w JOIN phrase USING (word)
-  GROUP BY doc_id, p, label, size, pos - j HAVING count(*) = any_value(size)),
-block AS (SELECT doc_id, word, pos // {span} AS blk FROM w
-  UNION ALL SELECT doc_id, word, pos // {span} - 1 FROM w WHERE pos >= {span}),
-found AS (SELECT doc_id, label, count(DISTINCT word)::DOUBLE / any_value(size) AS share FROM block JOIN template USING (word)
+place AS (SELECT doc_id, label, kind, size, pos - j AS start FROM w JOIN phrase USING (word)
+  GROUP BY doc_id, p, label, kind, size, pos - j HAVING count(*) = any_value(size)),
+hit AS (SELECT doc_id, t, label, size, span, word, pos // span AS blk FROM w JOIN template USING (word)),
+block AS (SELECT * FROM hit UNION ALL SELECT doc_id, t, label, size, span, word, blk - 1 FROM hit WHERE blk >= 1),
+near AS (SELECT doc_id, t, label, blk, any_value(span) AS span, count(DISTINCT word)::DOUBLE / any_value(size) AS share FROM block
   GROUP BY doc_id, blk, t, label HAVING count(DISTINCT word) >= {threshold} * any_value(size) - 1e-9),
+found AS (SELECT n.doc_id, n.label, share FROM near n JOIN place m ON m.doc_id = n.doc_id AND m.kind = 'mark' AND m.label = CAST(t AS VARCHAR)
+  AND m.start >= blk * span AND m.start + m.size <= (blk + 2) * span),
 base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id),
-every AS (SELECT doc_id, label, share FROM found UNION ALL SELECT doc_id, label, 1.0 FROM place),
+  string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place WHERE kind = 'base' GROUP BY doc_id),
+every AS (SELECT doc_id, label, share FROM found UNION ALL SELECT doc_id, label, 1.0 FROM place WHERE kind <> 'mark'),
 lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM every GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
