@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kpishift.llm.language import languages, ngrams
 from kpishift.llm.quality import N_FEATURES, isotonic, quality_scores, statistics
-from kpishift.llm.toxicity import toxicity_scores, train
+from kpishift.llm.toxicity import Machine, toxicity_scores, train
 
 from .conftest import CLASHING
 
@@ -23,8 +23,8 @@ def test_machine_learns_a_pair_of_terms():
     r = np.random.default_rng(0)
     x = (r.random((4000, 6)) < 0.4).astype(np.uint8)
     y = (x[:, 0] & x[:, 1]).astype(float)  # toxic only together: no linear weight can say so
-    model = train(x, y, np.arange(6), epochs=60)
     rows, terms = np.nonzero(x)
+    model = train(rows, terms, y, np.zeros(8), epochs=60)
     p = model.score(rows, terms, len(x))
     assert ((p >= 0.5) == (y == 1)).mean() > 0.99
     alone = model.score(np.array([0, 1]), np.array([0, 1]), 2)
@@ -57,6 +57,27 @@ def test_toxicity(spark, docs_of, prose):
     assert all(abs(again[i] - x.score) < 1e-9 for i, x in got.items())
 
 
+def test_toxicity_of_exactly_one_of_two_terms(spark, docs_of, prose):
+    """Each term alone says nothing of the label."""
+    texts = [" ".join([*prose(i, 8).split(" "), *["alpha"] * (i % 2), *["beta"] * (i // 2 % 2)]) for i in range(1600)]
+    rows = [(i, i % 2 ^ i // 2 % 2) for i in range(1600)]
+    got = {x.doc_id: x for x in toxicity_scores(docs_of(texts), labels_of(spark, rows, "toxic")).collect()}
+    out = [(got[i].predicted, y) for i, y in rows if got[i].held_out]
+    assert sum(p == y for p, y in out) >= 0.97 * len(out)
+
+
+def test_machine_scores_are_sums_over_pairs():
+    r = np.random.default_rng(4)
+    pairs = np.array([1, 3, 4])
+    m = Machine(-0.3, r.normal(size=6), pairs, r.normal(size=(3, 2)))
+    sets = [[], [0], [1, 3], [0, 1, 3, 4, 5], [2, 4]]
+    rows = np.repeat(np.arange(5), [len(x) for x in sets])
+    v = {int(p): m.v[i] for i, p in enumerate(pairs)}
+    for got, x in zip(m.score(rows, np.array([t for x in sets for t in x], int), 5), sets, strict=True):
+        s = m.base + sum(m.w[t] for t in x) + sum(v[a] @ v[b] for a in x for b in x if a < b and a in v and b in v)
+        assert abs(got - 1 / (1 + np.exp(-s))) < 1e-12
+
+
 def test_toxicity_without_labels_or_rows(spark, docs_of):
     docs = docs_of(["a b", None], [1, None])
     assert [x.score for x in toxicity_scores(docs, labels_of(spark, [], "toxic")).collect()] == [0.0, 0.0]
