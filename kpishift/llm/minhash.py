@@ -146,8 +146,9 @@ def _verified_batches(percent: int):
 def verified(edges: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose nodes' full sets reach the threshold; ``reps`` (node, doc_id, text_hash) names their texts."""
     ends = edges.select(F.col("a").alias("end")).union(edges.select(F.col("b").alias("end"))).distinct()
-    wanted = (reps.join(ends, F.col("node") == F.col("end"), "left_semi").distinct()
-              .select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
+    # written, so that its size is known when the join with the texts is planned
+    wanted = saved(reps.join(ends, F.col("node") == F.col("end"), "left_semi").distinct()
+                   .select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")), "minhash-ends")
     texts = saved(docs.select("doc_id", "text").where("text is not null")
                   .join(wanted, (F.col("doc_id") == F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash")))
                   .select("node", "text"), "minhash-texts")
