@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import InsightConfig
 from ..functions.numeric import col
+from .hotjoin import join_hot_keys, same_key_types
 
 log = logging.getLogger(__name__)
 
@@ -30,7 +31,8 @@ def join_sources(frames: dict[str, DataFrame], config: InsightConfig, how: str |
     Right-side rows with repeated keys multiply primary rows, as in any
     equi-join. Broadcast vs. shuffle is left to Spark: the planner broadcasts
     a side only under ``spark.sql.autoBroadcastJoinThreshold`` (runtime size
-    under AQE) and otherwise sort-merges, with AQE splitting skewed partitions.
+    under AQE) and otherwise sort-merges, with AQE splitting skewed partitions;
+    ``hot_keys`` in the dataset spreads hot keys ahead of the shuffle (keys of one type on both sides).
     """
     primary_name = config.dataset.primary_source
     result = frames[primary_name]
@@ -48,7 +50,11 @@ def join_sources(frames: dict[str, DataFrame], config: InsightConfig, how: str |
         extra = [c for c in df.columns if c not in result.columns]
         order = result.columns + extra  # primary columns keep their place, new ones follow
         right = df.select(*[col(c) for c in common + extra])
-        result = result.join(right, on=common, how=how).select(*[col(c) for c in order])
+        if config.dataset.hot_keys and same_key_types(result, right, common):
+            joined = join_hot_keys(result, right, common, how)
+        else:
+            joined = result.join(right, on=common, how=how)
+        result = joined.select(*[col(c) for c in order])
     return result
 
 
