@@ -31,7 +31,7 @@ MEASURE_NAME_PATTERN = re.compile(r"(amount|count|total|price|revenue|sales|inco
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def _date_counts(c, dtype: T.DataType) -> list:
+def date_counts(c, dtype: T.DataType) -> list:
     """How many values are dates: per format for text, else one count."""
     if isinstance(dtype, DATE_TYPES):
         return [F.count(c)]
@@ -40,6 +40,21 @@ def _date_counts(c, dtype: T.DataType) -> list:
     return [F.lit(0)]
 
 
+def column_flags(fields: list) -> dict[str, list[bool]]:
+    """What the role rules ask of a column's type and name, per flag in the order of ``fields``."""
+    kinds = [f.dataType for f in fields]
+    return {
+        "__kpi_temporal": [isinstance(t, DATE_TYPES) for t in kinds],
+        "__kpi_string": [isinstance(t, T.StringType) for t in kinds],
+        "__kpi_text": [isinstance(t, (T.StringType, T.BooleanType)) for t in kinds],
+        "__kpi_numeric": [isinstance(t, NUMERIC) for t in kinds],
+        "__kpi_integral": [isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for t in kinds],
+        "__kpi_date_name": [any(h in f.name.lower() for h in DATE_NAME_HINTS) for f in fields],
+        "__kpi_id_name": [bool(ID_NAME_PATTERN.search(f.name)) for f in fields],
+        "__kpi_measure_name": [bool(MEASURE_NAME_PATTERN.search(f.name)) for f in fields],
+    }
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: type, counts, date-like count, distinct estimate, role.
 
@@ -66,30 +81,24 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         c = col(f.name)
         aggs.append(F.count(c).alias(f"n{i}"))
-        counts = _date_counts(c, f.dataType)
+        counts = date_counts(c, f.dataType)
         aggs.append((F.greatest(*counts) if len(counts) > 1 else counts[0]).alias(f"d{i}"))
         aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
     stats = df.agg(*aggs)
     args = [F.lit(len(fields))]
+    flags = column_flags(fields)
     for i, f in enumerate(fields):
-        dt = f.dataType
-        is_text = isinstance(dt, (T.StringType, T.BooleanType))
-        is_num = isinstance(dt, NUMERIC)
-        integral = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        args += [
-            F.lit(f.name), F.lit(i), F.lit(dt.simpleString()),
-            F.col(f"n{i}").cast("long"), F.col(f"d{i}").cast("long"),
-            F.col(f"u{i}").cast("long"),
-            F.lit(isinstance(dt, DATE_TYPES)), F.lit(is_text and not isinstance(dt, T.BooleanType)),
-            F.lit(is_text), F.lit(is_num), F.lit(integral),
-            F.lit(any(h in f.name.lower() for h in DATE_NAME_HINTS)),
-            F.lit(bool(ID_NAME_PATTERN.search(f.name))), F.lit(bool(MEASURE_NAME_PATTERN.search(f.name))),
-        ]
+        args += [F.lit(f.name), F.lit(i), F.lit(f.dataType.simpleString()), F.col(f"n{i}").cast("long"), F.col(f"d{i}").cast("long"),
+                 F.col(f"u{i}").cast("long"), *[F.lit(flag[i]) for flag in flags.values()]]
     long = stats.select(
         F.col("__rows").alias("row_count"),
         F.stack(*args).alias("column_name", "ordinal", "data_type", "non_null_count", "date_like_count",
-                             "distinct_estimate", "__kpi_temporal", "__kpi_string", "__kpi_text", "__kpi_numeric", "__kpi_integral",
-                             "__kpi_date_name", "__kpi_id_name", "__kpi_measure_name"))
+                             "distinct_estimate", *flags))
+    return with_roles(long)
+
+
+def with_roles(long: DataFrame, extra: dict | None = None) -> DataFrame:
+    """Profile rows with their role (and ``extra`` columns by name), from one row per column with its counts and ``__kpi_`` flags (see :func:`column_flags`)."""
     candidate = (F.col("__kpi_temporal")
                  | (F.col("__kpi_string") & (F.col("date_like_count") == F.col("non_null_count"))
                     & ((F.col("non_null_count") > 0) | F.col("__kpi_date_name"))))
@@ -106,7 +115,7 @@ def column_profile(df: DataFrame) -> DataFrame:
         (F.col("row_count") - F.col("non_null_count")).alias("null_count"),
         F.when(F.col("row_count") > 0, (F.col("row_count") - F.col("non_null_count")) / F.col("row_count"))
         .otherwise(0.0).alias("null_rate"),
-        "date_like_count", "distinct_estimate", role.alias("role"),
+        "date_like_count", "distinct_estimate", role.alias("role"), *[c.alias(n) for n, c in (extra or {}).items()],
     )
 
 

@@ -31,19 +31,19 @@ def _same_form(path):
     return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
-class KeptDays:
-    """Kept daily sums of ``metrics`` (name -> type of the sum) by ``dims`` under ``root``.
+class KeptFiles:
+    """Something computed per input file, kept in a store with a ledger of the files; see :class:`KeptDays`.
 
-    ``read`` turns a list of files into rows (with its own schema and options);
-    ``prepare``, if given, works on these rows (derived metrics, say).
+    A subclass names its ``TABLE`` and computes it, with the column ``FILE``, in ``rows_of(files)``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, read: Callable[[list[str]], DataFrame], date_col: str, dims: list[str],
-                 metrics: dict[str, T.DataType], prepare: Callable[[DataFrame], DataFrame] | None = None, date_format: str | None = None):
-        self.spark, self.read, self.prepare = spark, read, prepare
-        self.date_col, self.date_format = date_col, date_format
-        self.dims, self.metrics = list(dims), dict(metrics)
-        self.store = ReportStore(spark, root, [FILE])
+    TABLE = ""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.store = spark, ReportStore(spark, root, [FILE])
+
+    def rows_of(self, files: list[str]) -> DataFrame:
+        raise NotImplementedError
 
     def listing(self, folder: str, glob: str = "*.parquet") -> DataFrame:
         """The folder's files (and those of folders in it): path, length, time. Contents are not read."""
@@ -52,13 +52,6 @@ class KeptDays:
         return files.select(_same_form(F.col("_metadata.file_path")).alias(FILE), plain.alias("path"), "length",
                             F.col("modificationTime").alias("modified"))
 
-    def sums(self, files: list[str]) -> DataFrame:
-        """Daily sums of each of ``files``."""
-        rows = self.read(files)
-        rows = rows.withColumn(FILE, _same_form(F.col("_metadata.file_path")))
-        rows = self.prepare(rows) if self.prepare else rows
-        return daily_sums(parse_date_column(rows, self.date_col, self.date_format), self.date_col, self.dims, list(self.metrics), (FILE,))
-
     def refresh(self, folder: str, glob: str = "*.parquet") -> dict[str, int]:
         """Take in what has changed in ``folder``; the numbers of files that are new, changed and gone."""
         now = self.listing(folder, glob)
@@ -78,10 +71,37 @@ class KeptDays:
         ledger = self.spark.createDataFrame([(r[FILE], r.path, r.length, r.modified, r.kind) for r in rows],
                                             f"{FILE} string, path string, length long, modified timestamp, kind string")
         files = [r.path for r in rows if r.kind != "gone"]
-        days = self.sums(files) if files else self.store.read("days").limit(0)
-        self.store.publish({"days": days, "ledger": ledger.where("kind <> 'gone'").drop("kind")}, ledger.select(FILE))
+        kept = self.rows_of(files) if files else self.store.read(self.TABLE).limit(0)
+        self.store.publish({self.TABLE: kept, "ledger": ledger.where("kind <> 'gone'").drop("kind")}, ledger.select(FILE))
         return counts
 
+
+class KeptDays(KeptFiles):
+    """Kept daily sums of ``metrics`` (name -> type of the sum) by ``dims`` under ``root``.
+
+    ``read`` turns a list of files into rows (with its own schema and options);
+    ``prepare``, if given, works on these rows (derived metrics, say).
+    """
+
+    TABLE = "days"
+
+    def __init__(self, spark: SparkSession, root: str, read: Callable[[list[str]], DataFrame], date_col: str, dims: list[str],
+                 metrics: dict[str, T.DataType], prepare: Callable[[DataFrame], DataFrame] | None = None, date_format: str | None = None):
+        super().__init__(spark, root)
+        self.read, self.prepare = read, prepare
+        self.date_col, self.date_format = date_col, date_format
+        self.dims, self.metrics = list(dims), dict(metrics)
+
+    def rows_of(self, files: list[str]) -> DataFrame:
+        return self.sums(files)
+
+    def sums(self, files: list[str]) -> DataFrame:
+        """Daily sums of each of ``files``."""
+        rows = self.read(files)
+        rows = rows.withColumn(FILE, _same_form(F.col("_metadata.file_path")))
+        rows = self.prepare(rows) if self.prepare else rows
+        return daily_sums(parse_date_column(rows, self.date_col, self.date_format), self.date_col, self.dims, list(self.metrics), (FILE,))
+
     def days(self, version: int | None = None) -> DataFrame:
         """Daily sums over all files."""
         return merge_daily(self.store.read("days", version).select(*[col(d) for d in self.dims], *self._columns()), self.dims, list(self.metrics))
