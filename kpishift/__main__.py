@@ -36,10 +36,11 @@ def cmd_report(args) -> int:
     paths = write_report(tables, args.out, fmt=args.format,
                          extra=("totals", "breakdown", "cards", "table", "narrative"))
     if args.payload:
-        from .sources.sinks import report_payload, write_table
-        target = f"{args.out.rstrip('/')}/payload"
-        write_table(report_payload(tables), target, "json", "overwrite")
-        paths["payload"] = target
+        from .sources.sinks import report_pages, report_payload, write_table
+        name, build = ("payload", report_payload) if tables.top_n else ("pages", report_pages)
+        target = f"{args.out.rstrip('/')}/{name}"
+        write_table(build(tables), target, "json", "overwrite")
+        paths[name] = target
     print(json.dumps(paths))
     if args.show:
         tables.insights_ordered().show(args.show, truncate=False)
@@ -67,7 +68,7 @@ def main(argv=None) -> int:
     r.add_argument("--base-path", default="")
     r.add_argument("--format", default="parquet", choices=["parquet", "json", "orc"])
     r.add_argument("--show", type=int, default=0)
-    r.add_argument("--payload", action="store_true", help="also write one JSON document per report")
+    r.add_argument("--payload", action="store_true", help="also write one JSON document per report (without top_n: one per page of 1,000 insights)")
     r.set_defaults(fn=cmd_report)
     p = sub.add_parser("profile")
     p.add_argument("path")

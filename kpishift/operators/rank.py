@@ -63,13 +63,6 @@ def rank_insights(insights: DataFrame, dims: list[str], top_n: int | None = None
     return number_rows(kept, order, [], partitions=partitions)
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[qi(c)].eqNullSafe(right[qi(c)])
-    return cond
-
-
 def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str = RANK,
                 partitions: int | None = None) -> DataFrame:
     """Consecutive 1-based numbers in ``order`` (within each key) for any size.
@@ -94,15 +87,19 @@ def number_rows(df: DataFrame, order: list[Column], keys: list[str], out: str =
     # partitions differently; a reliable checkpoint fixes one partitioning
     # (and spares the second read a recomputation of everything upstream).
     ranged = cut_lineage(ranged)
-    slices = ranged.groupBy(F.col("__kpi_pid"), *[col(k) for k in keys]).agg(F.min("__kpi_pos").alias("__kpi_first"), F.count(F.lit(1)).alias("__kpi_n"))
-    before = Window.partitionBy(*[col(k) for k in keys]).orderBy("__kpi_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("__kpi_pid", *[col(k) for k in keys], "__kpi_first",
+    mine = [f"__kpi_key_{i}" for i in range(len(keys))]  # names of their own: a self-join resolves equal ones again, without quotes
+    slices = ranged.groupBy(F.col("__kpi_pid"), *[col(k).alias(m) for k, m in zip(keys, mine)]).agg(F.min("__kpi_pos").alias("__kpi_first"), F.count(F.lit(1)).alias("__kpi_n"))
+    before = Window.partitionBy(*mine).orderBy("__kpi_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("__kpi_pid", *mine, "__kpi_first",
                             F.coalesce(F.sum("__kpi_n").over(before), F.lit(0)).alias("__kpi_off"))
     if not keys:
         offsets = F.broadcast(offsets)  # one row per partition of ``ranged``
     o = offsets.alias("_o")
     lft = ranged.alias("_l")
-    joined = lft.join(o, _null_safe_on(lft, o, ["__kpi_pid", *keys]))
+    same = F.col("_l.__kpi_pid") == F.col("_o.__kpi_pid")
+    for k, m in zip(keys, mine):
+        same = same & F.col(f"_l.{qi(k)}").eqNullSafe(F.col(f"_o.{m}"))
+    joined = lft.join(o, same)
     cols = [F.col(f"_l.{qi(c)}") for c in df.columns]
     number = F.col("_l.__kpi_pos") - F.col("_o.__kpi_first") + F.lit(1) + F.col("_o.__kpi_off")
     return joined.select(*cols, number.cast("bigint").alias(out))

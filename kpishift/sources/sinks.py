@@ -35,10 +35,10 @@ def report_payload(tables) -> DataFrame:
 
     The JSON document a dashboard reads. Built from the top-N rows only
     (bounded per report); an unlimited ranking is refused rather than
-    collected into one row.
+    collected into one row: see :func:`report_pages`.
     """
     if not tables.config.report.top_n:
-        raise ValueError("a payload needs top_n: an unlimited ranking is not collected into one row")
+        raise ValueError("a payload needs top_n: an unlimited ranking is not collected into one row (see report_pages)")
     keys = list(tables.keys)
     dims = list(tables.dims)
     rec = _record(dims, tables.dim_types)
@@ -67,6 +67,35 @@ def report_payload(tables) -> DataFrame:
                     config.alias("config"))
 
 
+def report_pages(tables, page_rows: int = 1000) -> DataFrame:
+    """The insights of a payload in pages: report keys, ``page`` (from 1), ``first_rank``, ``page_count``, ``next_page``, ``insights``.
+
+    For rankings without a limit: a page holds at most ``page_rows`` insights in rank
+    order, so no group grows with the report, and the reader asks for ``next_page`` until it is
+    null. One shuffle by key and page: the first insight of a page also goes to
+    the page before it, as the sign that another one follows.
+    """
+    if page_rows < 1:
+        raise ValueError("a page has at least one row")
+    keys = [col(k) for k in tables.keys]
+    rank, number = F.col("rank").cast("long"), F.floor((F.col("rank") - 1) / F.lit(page_rows)).cast("long") + 1
+    first = (rank - 1) % page_rows == 0
+    here = F.struct(number.alias("page"), F.lit(False).alias("sign"))
+    before = F.struct((number - 1).alias("page"), F.lit(True).alias("sign"))
+    dealt = tables.insights.select(
+        *keys, rank.alias("__kpi_rank"), _record(list(tables.dims), tables.dim_types).alias("__kpi_record"),
+        F.explode(F.when(first & (number > 1), F.array(here, before)).otherwise(F.array(here))).alias("__kpi_at"))
+    own = F.when(~F.col("__kpi_at.sign"), F.struct(F.col("__kpi_rank").alias("rank"), F.col("__kpi_record").alias("r")))
+    page = F.col("__kpi_at.page").alias("page")
+    pages = dealt.groupBy(*keys, page).agg(
+        F.array_sort(F.collect_list(own), lambda a, b: F.signum(a["rank"] - b["rank"]).cast("int")).alias("__kpi_ranked"),
+        F.bool_or("__kpi_at.sign").alias("__kpi_more"))
+    return pages.select(
+        *keys, "page", F.col("__kpi_ranked")[0]["rank"].alias("first_rank"), F.size("__kpi_ranked").alias("page_count"),
+        F.when(F.col("__kpi_more"), F.col("page") + 1).alias("next_page"),
+        F.transform("__kpi_ranked", lambda x: x["r"]).alias("insights"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None, bounded: bool = True) -> None:
     """``bounded``: a key has few rows (top-N), so it goes to one file; else Spark splits large keys over several."""
@@ -82,9 +111,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def report_frames(tables, extra: tuple = ()) -> list[tuple[str, DataFrame]]:
     """(name, rows) of the tables of a report that are written: insights, summary, meta and ``extra`` ones by name."""
     named = [("insights", with_dimension_map(tables.insights, tables.dims)), ("summary", tables.summary),
-             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra if n != "payload"]
+             ("meta", tables.meta)] + [(n, getattr(tables, n)) for n in extra if n not in ("payload", "pages")]
     if "payload" in extra:
         named.append(("payload", report_payload(tables)))
+    if "pages" in extra:
+        named.append(("pages", report_pages(tables)))
     return named
 
 
