@@ -19,8 +19,10 @@ from ..operators.joins import join_periods, join_sources
 from ..operators.periods import IN_CURRENT, IN_PREVIOUS, flag_periods, parse_date_column
 from ..operators.profile import column_profile, suggested_ranges
 from ..session import cut_lineage, remove_scratch, scratch_path
+from ..sources.csv_folder import read_csv_folder
 from ..sources.kept import KeptDays
-from ..sources.sinks import report_payload, write_report, write_table
+from ..sources.kept_profile import KeptProfile
+from ..sources.sinks import report_pages, report_payload, write_report, write_table
 from ..sources.store import ReportStore
 from .oracle import fmt_sql, insights_sql, q, rnd, safe_div_sql, thousands_sql
 from .report import ReportTables, period_aggregate, range_metrics, run_range_report, run_report
@@ -889,6 +891,127 @@ SQL_CSV_SOURCE = insights_sql("SELECT * FROM events", "CAST(ts AS DATE)", ["even
                               TN_CUR, TN_PREV, 20)
 
 
+# --------------------------------------------- reports over the documents table
+DOC_CUR, DOC_PREV = ("2025-01-08", "2025-01-14"), ("2025-01-01", "2025-01-07")
+DOC_DAY = "date_add(DATE'2025-01-01', CAST(doc_id % 14 AS INT))"
+SQL_DOCS = "SELECT doc_id, source, lang, n_chars, DATE '2025-01-01' + CAST(doc_id % 14 AS INTEGER) AS day, 1 AS docs FROM documents"
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.expr(DOC_DAY).alias("day"), F.lit(1).alias("docs"))
+
+
+def q_join_hot_keys(spark, sf_dir):
+    """Documents joined with one row per source, of which one holds a third of all rows: hot sources salted, then the report."""
+    docs = _documents(spark, sf_dir)
+    feeds = docs.groupBy("source").agg(F.count(F.lit(1)).alias("feed_docs"), F.sum("n_chars").alias("feed_chars"))
+    cfg = _cfg({"docs": {"type": "table", "table": "docs", "date_col": "day", "metrics": ["n_chars"]},
+                "feeds": {"type": "table", "table": "feeds", "date_col": "day", "metrics": ["feed_docs"], "join_key": ["source"]}},
+               "docs", "day", ["lang", "source"], ["share", "feed_docs", "n_chars"], DOC_CUR, DOC_PREV, {"share": "n_chars * feed_docs"}, top_n=50)
+    cfg["dataset"]["hot_keys"] = True
+    return run_report(spark, config_from_dict(cfg), frames={"docs": docs, "feeds": feeds}).insights
+
+
+SQL_JOIN_HOT_KEYS = insights_sql(
+    f"SELECT d.*, f.feed_docs FROM ({SQL_DOCS}) d LEFT JOIN (SELECT source, count(*) AS feed_docs FROM documents GROUP BY source) f ON d.source = f.source",
+    "day", ["lang", "source"], {"n_chars": "n_chars", "feed_docs": "feed_docs", "share": "CAST(n_chars AS DOUBLE) * CAST(feed_docs AS DOUBLE)"},
+    ["share", "feed_docs", "n_chars"], DOC_CUR, DOC_PREV, 50)
+
+PAGE_ROWS = 1000
+
+
+def q_report_pages(spark, sf_dir):
+    """Every insight of every document ranked per language, written as JSON pages of 1,000, read back and laid out as rows."""
+    path = scratch_path(spark, f"report_pages-{uuid.uuid4().hex}")
+    cfg = _cfg({"docs": {"type": "table", "table": "docs", "date_col": "day", "metrics": ["n_chars", "docs"]}}, "docs", "day", ["doc_id"],
+               ["n_chars", "docs"], DOC_CUR, DOC_PREV, top_n=None, report_key=["lang"])
+    pages = report_pages(run_report(spark, config_from_dict(cfg), frames={"docs": _documents(spark, sf_dir)}), PAGE_ROWS)
+    write_table(pages, path, "json")
+    back = spark.read.schema(pages.schema).json(path).select(
+        "lang", "page", "next_page", "page_count", "first_rank", F.posexplode("insights").alias("place", "i"))
+    return read_back(back.select("lang", "page", "next_page", "page_count", (F.col("first_rank") + F.col("place")).alias("rank"),
+                                 F.col("i.dimensions")["doc_id"].cast("long").alias("doc_id"), "i.metric", "i.current_value",
+                                 "i.previous_value", "i.delta", "i.delta_pct", "i.impact_score", "i.direction"), path)
+
+
+SQL_REPORT_PAGES = (
+    "SELECT lang, page, CASE WHEN page < max(page) OVER (PARTITION BY lang) THEN page + 1 END AS next_page, "
+    "CAST(count(*) OVER (PARTITION BY lang, page) AS INTEGER) AS page_count, rank, doc_id, metric, current_value, previous_value, delta, delta_pct, "
+    f"impact_score, direction FROM (SELECT *, (rank - 1) // {PAGE_ROWS} + 1 AS page FROM ("
+    + insights_sql(SQL_DOCS, "day", ["doc_id"], {"n_chars": "n_chars", "docs": "docs"}, ["n_chars", "docs"], DOC_CUR, DOC_PREV, None, keys=["lang"]) + "))")
+
+
+def q_kept_profile(spark, sf_dir):
+    """Profile of documents that arrive in two parts, from sketches kept per file; the second refresh reads the second part only.
+    Distinct estimates are compared with the exact counts (4 %), medians by their place among the values (2 %)."""
+    path = scratch_path(spark, f"kept_profile-{uuid.uuid4().hex}")
+    docs = _documents(spark, sf_dir).drop("docs")
+    kept = KeptProfile(spark, f"{path}/kept", docs.schema)
+    for part in (0, 1):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part).write.parquet(f"{path}/source/part={part}")
+        kept.refresh(f"{path}/source")
+    prof = cut_lineage(kept.profile())
+    remove_scratch(spark, path)
+    median = {c: prof.where(F.col("column_name") == c).select(F.get("quantiles", F.lit(2))).scalar() for c in ("doc_id", "n_chars")}
+    exact = docs.agg(*[F.count_distinct(F.col(c)).alias(f"u_{c}") for c in docs.columns],
+                     *[F.struct(F.avg((F.col(c) < m).cast("int")).alias("below"), F.avg((F.col(c) <= m).cast("int")).alias("upto")).alias(f"m_{c}")
+                       for c, m in median.items()])
+    rows = exact.select(F.stack(F.lit(len(docs.columns)), *[x for c in docs.columns for x in (
+        F.lit(c), F.col(f"u_{c}"), F.col(f"m_{c}") if c in median else F.lit(None).cast("struct<below:double,upto:double>"))]).alias("name", "exact", "at"))
+    return prof.join(rows, F.col("column_name") == F.col("name")).select(
+        "column_name", "ordinal", "data_type", "row_count", "null_count", "date_like_count", "role",
+        (F.abs(F.col("distinct_estimate") - F.col("exact")) <= 0.04 * F.col("exact")).alias("estimate_close"),
+        ((F.col("at.below") <= 0.52) & (F.col("at.upto") >= 0.48)).alias("median_close"))
+
+
+SQL_KEPT_PROFILE = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS ordinal, '{t}' AS data_type, count(*) AS row_count, count(*) - count({c}) AS null_count, "
+    f"{d} AS date_like_count, '{r}' AS role, TRUE AS estimate_close, {m} AS median_close FROM ({SQL_DOCS})"
+    for i, (c, t, r, d, m) in enumerate((
+        ("doc_id", "bigint", "dimension", "0", "TRUE"), ("source", "string", "dimension", "0", "NULL"), ("lang", "string", "dimension", "0", "NULL"),
+        ("n_chars", "bigint", "metric", "0", "TRUE"), ("day", "date", "date", "count(day)", "NULL"))))
+
+# per part of documents: delimiter, columns in their order
+CSV_LAYOUTS = [(",", ["doc_id", "source", "lang", "n_chars", "day"]), (";", ["day", "n_chars", "lang", "source", "doc_id"]),
+               ("\t", ["source", "day", "doc_id", "n_chars"])]
+
+
+def _csv_folder(spark, sf_dir):
+    """documents as CSV files of three layouts (one without lang), and once more every 97th with a length that is no number."""
+    path = scratch_path(spark, f"csv_folder-{uuid.uuid4().hex}")
+    docs = _documents(spark, sf_dir).drop("docs")
+    for i, (sep, columns) in enumerate(CSV_LAYOUTS):
+        docs.where(F.col("doc_id") % 3 == i).select(*columns).write.csv(f"{path}/part{i}", sep=sep, header=True)
+    docs.where(F.col("doc_id") % 97 == 0).select("doc_id", "source", F.concat(F.col("n_chars").cast("string"), F.lit("?")).alias("n_chars"), "day").write.csv(
+        f"{path}/bad", header=True)
+    return path
+
+
+def q_csv_folder(spark, sf_dir):
+    """A report over a folder of CSV files of several layouts, every file read by its own header."""
+    path = _csv_folder(spark, sf_dir)
+    cfg = config_from_dict(_cfg(
+        {"docs": {"type": "csv", "path": path, "date_col": "day", "own_headers": True, "metrics": ["n_chars"],
+                  "schema": "day DATE, doc_id BIGINT, source STRING, lang STRING, n_chars BIGINT"}},
+        "docs", "day", ["source", "lang"], ["n_chars"], DOC_CUR, DOC_PREV, top_n=None))
+    return read_back(run_report(spark, cfg).insights, path)
+
+
+SQL_CSV_FOLDER = insights_sql(f"SELECT * REPLACE (CASE WHEN doc_id % 3 < 2 THEN lang END AS lang) FROM ({SQL_DOCS})", "day", ["source", "lang"],
+                              {"n_chars": "n_chars"}, ["n_chars"], DOC_CUR, DOC_PREV, None)
+
+
+def q_csv_folder_malformed(spark, sf_dir):
+    """The rows of that folder that do not fit their file's header."""
+    path = _csv_folder(spark, sf_dir)
+    folder = read_csv_folder(spark, path, "day DATE, doc_id BIGINT, source STRING, lang STRING, n_chars BIGINT")
+    return read_back(folder.malformed.select("record", "reason"), path)
+
+
+SQL_CSV_FOLDER_MALFORMED = (f"SELECT doc_id || ',' || coalesce(source, '') || ',' || coalesce(n_chars || '?', '') || ',' || strftime(day, '%Y-%m-%d') AS record, "
+                            f"'values' AS reason FROM ({SQL_DOCS}) WHERE doc_id % 97 = 0 AND n_chars IS NOT NULL")
+
+
 # ------------------------------------------------------------------ streaming
 def q_streaming_flagship(spark, sf_dir):
     """Flagship over lineitem read as a file stream; result read back from the sink."""
@@ -950,6 +1073,11 @@ QUERIES = {
     "suggested_ranges": q_suggested_ranges,
     "suggested_ranges_text": q_suggested_ranges_text,
     "csv_source": q_csv_source,
+    "join_hot_keys": q_join_hot_keys,
+    "report_pages": q_report_pages,
+    "kept_profile": q_kept_profile,
+    "csv_folder": q_csv_folder,
+    "csv_folder_malformed": q_csv_folder_malformed,
     "streaming_flagship": q_streaming_flagship,
 }
 
@@ -1001,5 +1129,10 @@ def oracle_statements() -> dict[str, str]:
         "suggested_ranges": SQL_SUGGESTED_RANGES,
         "suggested_ranges_text": SQL_SUGGESTED_RANGES,
         "csv_source": SQL_CSV_SOURCE,
+        "join_hot_keys": SQL_JOIN_HOT_KEYS,
+        "report_pages": SQL_REPORT_PAGES,
+        "kept_profile": SQL_KEPT_PROFILE,
+        "csv_folder": SQL_CSV_FOLDER,
+        "csv_folder_malformed": SQL_CSV_FOLDER_MALFORMED,
         "streaming_flagship": flagship_sql(),
     }

@@ -10,13 +10,23 @@ from pyspark.sql import types as T
 from ..config import InsightConfig, SourceConfig
 from ..operators.joins import join_sources
 from ..operators.periods import parse_date_column
+from .csv_folder import read_csv_folder
 from .files import read_csv, read_parquet, read_table, resolve_path
 from .jdbc import read_db_table, read_sql_query
 
 log = logging.getLogger(__name__)
 
+
+
+def _csv(spark: SparkSession, cfg: SourceConfig, base: str) -> DataFrame:
+    path = resolve_path(cfg.path, base)
+    if cfg.own_headers:
+        return read_csv_folder(spark, path, cfg.schema).rows
+    return read_csv(spark, path, cfg.sep, cfg.schema, cfg.options)
+
+
 READERS = {
-    "csv": lambda spark, cfg, base: read_csv(spark, resolve_path(cfg.path, base), cfg.sep, cfg.schema, cfg.options),
+    "csv": _csv,
     "parquet": lambda spark, cfg, base: read_parquet(spark, resolve_path(cfg.path, base), cfg.options),
     "table": lambda spark, cfg, base: read_table(spark, cfg.table),
     "sql": lambda spark, cfg, base: read_sql_query(spark, cfg),

@@ -11,7 +11,7 @@ from kpishift.plans import catalog
 
 from .conftest import SF_SMALL
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents"]
 
 
 @pytest.fixture(scope="module")
