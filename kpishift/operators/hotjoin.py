@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col
+from ..session import cut_lineage
 
 HOWS = ("left", "inner", "right", "outer")
 MAX_PARTS = 16384        # a key is never called hot below this share (one in MAX_PARTS) of the rows
@@ -88,7 +89,7 @@ def join_hot_keys(left: DataFrame, right: DataFrame, on: list[str], how: str = "
 
     ``parts``: a key with more than one part in ``parts`` of the rows is hot (default:
     the number of shuffle partitions). Costs one more pass over the key columns
-    of ``left``; for ``right`` and ``outer`` a second one, as right rows
+    of ``left``, run when this is called (its small result is checkpointed); for ``right`` and ``outer`` a second one, as right rows
     without a partner are taken by an anti-join with the distinct left keys
     (each of their copies would otherwise come out alone).
 
@@ -108,7 +109,9 @@ def join_hot_keys(left: DataFrame, right: DataFrame, on: list[str], how: str = "
         raise ValueError(f"both sides have columns {clash}")
     extra = [c for c in right.columns if c not in keys]
     rest = [c for c in left.columns if c not in keys]
-    hot = F.broadcast(hot_keys(left, keys, parts))  # fewer than two rows a part, MAX_PARTS parts at most
+    # Written once: sketches merged in another order may count otherwise, and both sides must agree on the copies.
+    # Fewer than two rows a part, MAX_PARTS parts at most.
+    hot = F.broadcast(cut_lineage(hot_keys(left, keys, parts)))
     facts = maybe_partnered(left, right, keys) if how in ("inner", "right") else left
     spread = F.pmod(F.xxhash64(*[col(c) for c in left.columns], F.spark_partition_id()), F.col(_COPIES)).cast("int")
     salted = (facts.withColumn(_HASH, _hash(keys)).join(hot, _HASH, "left")
