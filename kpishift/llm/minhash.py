@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpishift.operators.hotjoin import maybe_partnered
+
 from .common import NON_SPACE_BYTES, mix, rows_of, saved, text_chunks, word_hashes
 from .components import components
 from .groups import changes, whole_runs
@@ -149,8 +151,10 @@ def verified(edges: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -
     # written, so that its size is known when the join with the texts is planned
     wanted = saved(reps.join(ends, F.col("node") == F.col("end"), "left_semi").distinct()
                    .select("node", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")), "minhash-ends")
-    texts = saved(docs.select("doc_id", "text").where("text is not null")
-                  .join(wanted, (F.col("doc_id") == F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_hash")))
+    # longs as in ``reps``, for the filter's hashes; it drops most texts that are no end before the join shuffles any
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep_id"),
+                                                 F.xxhash64("text").alias("rep_hash"), "text")
+    texts = saved(maybe_partnered(rows, wanted, ["rep_id", "rep_hash"]).join(wanted, ["rep_id", "rep_hash"])
                   .select("node", "text"), "minhash-texts")
     of = {s: texts.select(F.col("node").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
     both = (edges.join(of["b"], F.col("b") == F.col("id_b")).join(of["a"], F.col("a") == F.col("id_a"))

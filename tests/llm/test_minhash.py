@@ -103,6 +103,38 @@ def test_one_id_with_two_texts(docs_of, prose):
     assert sorted((x.doc_id, x.component_id) for x in rows) == [(2, 2), (3, 2), (3, 3), (6, 3), (7, 7), (9, 7), (9, 7)]
 
 
+def test_only_texts_of_candidate_ends_are_shuffled(spark, docs_of, prose, monkeypatch):
+    import kpishift.llm.minhash as m
+
+    r = random.Random(13)
+    texts = [prose(k, 40) for k in range(600)]
+    texts += [altered(r, texts[k], 1) for k in range(12)]
+    ids = list(range(len(texts)))
+    inner, shuffled = m.saved, []
+
+    def watched(df, name):
+        if name == "minhash-texts":
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().executedPlan()
+            leaves = (plan.plan() if plan.nodeName() == "ResultQueryStage" else plan).collectLeaves()
+            stages = [x for x in (leaves.apply(i) for i in range(leaves.size())) if "ShuffleQueryStage" in x.nodeName()]
+            shuffled.append(max((int(str(x.getRuntimeStatistics().rowCount().get())) for x in stages), default=0))
+        return inner(df, name)
+
+    monkeypatch.setattr(m, "saved", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ends than a broadcast holds
+    try:
+        for kind in ("long", "int"):
+            docs = docs_of(texts, ids)
+            got = {x.doc_id: x.component_id for x in near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast(kind))).collect()}
+            assert got == {d: c for d, (_, c) in brute(ids, texts).items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(d != c for d, c in got.items()) == 12
+    assert shuffled and 12 <= max(shuffled) <= 60  # of 612 texts
+
+
 def test_components(spark):
     r = random.Random(2)
     n = 300
