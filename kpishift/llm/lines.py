@@ -18,7 +18,8 @@ bit-parallel edit distance. Keys held by one line end before any text is
 moved, and lines without a shared key are left out before the shuffle by a bit
 table of fixed size (some others pass it; the join drops them). Keys with many
 lines are verified in pairs of blocks, in tasks of bounded size, and give at
-most a spanning set of links.
+most a spanning set of links. Each line is written once with all its keys; the
+keys are verified in slices, of which only one is shuffled with its texts at a time.
 
 Of each class the first line stays: least document id (null first), then the
 hash of the text, then the line's number. Rows with the same id and text are one
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE_BYTES, discard, mix, prefix_hash, saved, scratch_block, span_hash, text_chunks, words
+from .common import NON_SPACE_BYTES, discard, mix, passing_shuffles, prefix_hash, saved, scratch_block, span_hash, text_chunks, words
 from .components import components
 from .editdist import sequences_within, within
 from .groups import whole_runs
@@ -216,8 +217,9 @@ INDEX_BITS = 28  # one of 32 MB
 def bit_table(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """Bytes of a table with bit (id mod 2^bits) set for every id of the one column."""
     place = F.pmod(F.col(ids.columns[0]), F.lit(1 << bits)) + 1
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 2^(bits - 15) of 4 KB
+    with passing_shuffles(ids.sparkSession):
+        rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 2^(bits - 15) of 4 KB
     table = np.zeros(((1 << bits) >> 15, 4096), np.uint8)
     for r in rows:
         table[r["bucket"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -407,18 +409,37 @@ def line_links(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, block:
                 .groupBy("n", "x", "y").agg(F.min("key").alias("one")))
         every, shared = shared, saved(shared.join(sets.select("one"), F.col("key") == F.col("one"), "left_semi"), "lines-sets")
         discard(every)
-    wanted = shared.select(F.col("line").alias("wanted")).distinct()
+    wanted = shared.select("line").distinct()
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted))
-    lines = saved(texts.mapInArrow(_line_batches(min_bytes, table), "id long, bytes binary")
-                  .join(wanted, F.col("id") == F.col("wanted"), "left_semi").dropDuplicates(["id"]), "lines-texts")
-    hot = shared.groupBy(F.col("key").alias("hot_key")).agg((F.max("blk") + 1).alias("parts")).where("parts > 1")
+    hot = saved(shared.groupBy(F.col("key").alias("hot_key")).agg((F.max("blk") + 1).alias("parts")).where("parts > 1"), "lines-hot")
     parts = F.coalesce("parts", F.lit(1))
-    blocked = (shared.join(hot, F.col("key") == F.col("hot_key"), "left")
-               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-               .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "role", "line"))
-    return (blocked.join(lines, F.col("line") == F.col("id")).select("key", "bi", "bj", "blk", "role", "line", "bytes")
-            .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-            .mapInArrow(_link_batches(max_edits, min_bytes, grow), "a long, b long").distinct())
+    placed = (shared.join(hot, F.col("key") == F.col("hot_key"), "left")
+              .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+              .select("line", F.struct("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "role").alias("p"))
+              .groupBy("line").agg(F.collect_list("p").alias("places")))
+    lines = saved(texts.mapInArrow(_line_batches(min_bytes, table), "id long, bytes binary")
+                  .join(placed, F.col("id") == F.col("line")).dropDuplicates(["id"]).select("line", "bytes", "places"), "lines-texts")
+    discard(shared)
+    slices = _slices(lines)
+    links = None
+    for s in range(slices):  # each is shuffled, verified and gone before the next
+        mine = F.filter("places", lambda p: F.pmod(F.xxhash64(p["key"], p["bi"], p["bj"]), F.lit(slices)) == s)  # noqa: B023
+        part = saved(lines.select("line", "bytes", F.explode(mine).alias("p")).select("p.key", "p.bi", "p.bj", "p.blk", "p.role", "line", "bytes")
+                     .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+                     .mapInArrow(_link_batches(max_edits, min_bytes, grow), "a long, b long").distinct(), "lines-slice")
+        links = part if links is None else links.union(part)
+    discard(lines)
+    return links.distinct()
+
+
+SLICE_BYTES = 128 << 20
+_ROW = 48  # bytes of a shuffled row besides its text
+
+
+def _slices(lines: DataFrame) -> int:
+    """In how many slices of keys to verify lines under all their keys, so that one moves, on average, no more bytes than all lines have."""
+    held, moved = lines.agg(F.sum(F.length("bytes").cast("long")), F.sum((F.length("bytes").cast("long") + _ROW) * F.size("places"))).first()
+    return max(1, -(-(moved or 0) // max(SLICE_BYTES, held or 0)))
 
 
 def line_classes(docs: DataFrame, max_edits: int = 1, min_bytes: int = 20, exact_bytes: int | None = None,

@@ -138,6 +138,42 @@ def test_hot_segments_in_blocks(docs_of, monkeypatch):
     check(docs_of, [(d, head + "".join(r.choice("ab") for _ in range(7))) for d in range(90)], 1)
 
 
+def test_verified_in_slices_of_keys(docs_of, monkeypatch):
+    import kpishift.llm.lines as m
+
+    names, inner, saved = [], m.line_links, m.saved
+    monkeypatch.setattr(m, "SLICE_BYTES", 1)
+    monkeypatch.setattr(m, "saved", lambda df, name: names.append(name) or saved(df, name))
+    monkeypatch.setattr(m, "line_links", lambda docs, e, b: inner(docs, e, b, block=8))
+    r = random.Random(5)
+    head = "the very same beginning of many lines "
+    rows = [(d, head + "".join(r.choice("ab") for _ in range(6))) for d in range(24)]
+    want = brute(rows, 1, 20)
+    out = {x.doc_id: x.text for x in dedup_lines(docs_of([t for _, t in rows])).collect()}
+    assert out == {d: t if want[d, 0] == (d, 0) else "" for d, t in rows}
+    assert names.count("lines-slice") > 2
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    import time
+
+    from kpishift.llm.common import saved
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(k).getName() for k in range(files.size())) if f.startswith("shuffle_")}
+
+    before = shuffled()
+    table = saved(spark.range(1000).repartition(3, "id"), "test-shuffled")
+    for _ in range(20):  # they are removed in the background
+        left = {f for f in shuffled() - before if f.endswith(".data")}
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left
+    assert table.count() == 1000
+
+
 def test_repeated_rows_null_ids_and_no_rows(docs_of):
     line = "a line of more than twenty bytes"
     docs = docs_of([f"{line}\nx", f"{line}\nx", line, line], [3, 3, None, 9])
